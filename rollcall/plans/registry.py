@@ -27,6 +27,17 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+def bigint_counts(sql: str) -> str:
+    """Write ``count_if(x)`` as a filtered count, whose type is BIGINT in the check engine."""
+    while (i := sql.find("count_if(")) >= 0:
+        j, depth = i + 9, 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        sql = f"{sql[:i]}count(*) FILTER (WHERE {sql[i + 9:j - 1]}){sql[j:]}"
+    return sql
+
+
 def query(name: str, sql: str | None = None, views: dict[str, str] | None = None):
     """Register ``fn(domain) -> DataFrame`` under ``name`` with its check SQL."""
 
@@ -41,7 +52,7 @@ def query(name: str, sql: str | None = None, views: dict[str, str] | None = None
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
-            ORACLE[name] = with_views(sql, views)
+            ORACLE[name] = with_views(bigint_counts(sql), views)
         return fn
 
     return register
@@ -56,15 +67,3 @@ def rounded(df: DataFrame, digits: int = 6, **per_column: int) -> DataFrame:
             c = (F.round(c, per_column.get(f.name, digits)) + F.lit(0.0)).alias(f.name)
         out.append(c)
     return df.select(*out)
-
-
-def rsql(body: str, digits: dict[str, int] | int, columns: str) -> str:
-    """Wrap ``body``: select ``columns``; names given as ``x:n`` are rounded to n digits."""
-    parts = []
-    for item in [c.strip() for c in columns.split(",") if c.strip()]:
-        if ":" in item:
-            name, n = item.split(":")
-            parts.append(f"round({name},{n})+0.0e0 AS {name}")
-        else:
-            parts.append(item)
-    return f"SELECT {', '.join(parts)} FROM ({body})"
