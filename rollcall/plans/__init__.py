@@ -4,7 +4,7 @@ import importlib
 
 from rollcall.plans.registry import ORACLE, QUERIES
 
-for _part in ("scans", "cleaning", "joins", "aggregates", "ordering", "features", "spatial", "series",
+for _part in ("scans", "cleaning", "joins", "aggregates", "ordering", "features", "scalars", "spatial", "series",
               "scoring", "learned", "explaining", "policies", "streams"):
     try:
         importlib.import_module(f"rollcall.plans.{_part}")

@@ -18,11 +18,11 @@ TOTAL = "age_0_5+age_5_17+age_18_greater"
 def scored(d: Domain) -> DataFrame:
     """Demographic updates with their z-score based anomaly score."""
     s = scoring.zscore_score(d.demographic(), ["demo_age_5_17", "demo_age_17_"])
-    return s.withColumns({"score": F.round("score", 6) + 0.0, "month": F.month("date").cast("bigint"),
+    return s.withColumns({"score": F.round("score", 9) + 0.0, "month": F.month("date").cast("bigint"),
                           "is_weekend": (F.weekday("date") >= 5).cast("bigint")})
 
 
-VIEW_SQL["scored"] = """SELECT * EXCLUDE (c, lo, hi), round((c-lo)/(hi-lo+1e-10),6)+0e0 AS score, month(date) AS month,
+VIEW_SQL["scored"] = """SELECT * EXCLUDE (c, lo, hi), round((c-lo)/(hi-lo+1e-10),9)+0e0 AS score, month(date) AS month,
  CAST(isodow(date)>=6 AS BIGINT) AS is_weekend FROM (SELECT *, min(c) OVER () lo, max(c) OVER () hi FROM (
  SELECT demo.*, (abs((demo_age_5_17-ma)/sa)+abs((demo_age_17_-mb)/sb))/2e0 AS c FROM demo,
  (SELECT avg(demo_age_5_17) ma, stddev_pop(demo_age_5_17) sa, avg(demo_age_17_) mb, stddev_pop(demo_age_17_) sb FROM demo) s))"""
