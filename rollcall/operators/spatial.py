@@ -138,10 +138,16 @@ def same_group_neighbors(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def grid_cross_points(cells: DataFrame, points: DataFrame, max_distance: float, value: str) -> DataFrame:
-    """Grid cells (cell, lat, lon) with every point closer than ``max_distance``."""
+    """Grid cells (cell, lat, lon) with every point closer than ``max_distance``.
+
+    The grid is broadcast once its size is checked, so the points are never
+    shuffled and a crowded area stays spread over their own partitions.
+    """
     a = cells.select("cell", F.col("lat").alias("glat"), F.col("lon").alias("glon"))
+    a = a.withColumn("_cell", F.explode(_around(max_distance, F.col("glat"), F.col("glon"))))
     p = points.select(F.col("lat").alias("plat"), F.col("lon").alias("plon"), F.col(value).cast("double").alias("v"))
-    pairs = near_pairs(a, p, "glat", "glon", "plat", "plon", max_distance).withColumn("d", distance("glat", "glon", "plat", "plon"))
+    p = p.withColumn("_pcell", F.struct(_cell(F.col("plat"), max_distance).alias("cx"), _cell(F.col("plon"), max_distance).alias("cy")))
+    pairs = p.join(spread.small(a), F.col("_pcell") == F.col("_cell")).drop("_pcell", "_cell").withColumn("d", distance("glat", "glon", "plat", "plon"))
     return pairs.filter(F.col("d") < max_distance)
 
 
