@@ -109,3 +109,70 @@ def ensemble_vote(df: DataFrame, scores: Sequence[str], method: str = "voting",
     else:
         v = reduce(lambda a, b: a + b, cols) / float(len(cols))
     return df.withColumn(out, v)
+
+
+# ---------------------------------------------------------------- model bookkeeping
+
+def model_selection(profile: DataFrame) -> DataFrame:
+    """Detectors that suit a data profile."""
+    complex_ = F.col("complexity").isin("medium", "high") | F.col("has_temporal")
+    models = F.array_compact(F.array(F.lit("isolation_forest"), F.when(complex_, F.lit("autoencoder")),
+                                     F.when(F.col("has_geo") | (F.col("n") > 100), F.lit("hdbscan"))))
+    return profile.withColumn("models", models)
+
+
+def balance_classes(df: DataFrame, label: str) -> DataFrame:
+    """Weight n / (k * n_c) per row."""
+    g = spread.pin(df.groupBy(label).agg(F.count(F.lit(1)).alias("_c")))
+    g = spread.with_totals(g, F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    g = g.select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("weight"))
+    return spread.join_stats(df, g, [label])
+
+
+def confusion_metrics(df: DataFrame, label: str, prediction: str) -> DataFrame:
+    y, p = F.col(label) == 1, F.col(prediction) == 1
+    g = df.agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(~y & ~p).alias("tn"), F.count_if(y & ~p).alias("fn"))
+    div = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
+    g = g.withColumn("accuracy", div(tp + tn, tp + fp + tn + fn)).withColumn("precision", div(tp, tp + fp)).withColumn("recall", div(tp, tp + fn))
+    return g.withColumn("f1", F.coalesce(F.col("precision") * F.col("recall") * 2.0 / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)), F.lit(0.0)))
+
+
+def roc_pr_points(df: DataFrame, label: str, score: str) -> DataFrame:
+    """One point per distinct score, from exact running counts over range partitions."""
+    g = df.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) != 1).alias("_n")).withColumn("_neg", -F.col(score))
+    r = spread.running(g, [], ["_neg"], {"pos": "_p", "all_neg": "_n"})
+    tp, fp = F.col("pos_before") + F.col("_p"), F.col("all_neg_before") + F.col("_n")
+    return r.select(F.col(score).alias("threshold"), tp.alias("tp"), fp.alias("fp"), (tp / F.nullif("pos_all", F.lit(0))).alias("tpr"),
+                    (fp / F.nullif("all_neg_all", F.lit(0))).alias("fpr"), (tp / (tp + fp)).alias("precision"), "_p", "_n", "pos_before", "pos_all", "all_neg_all")
+
+
+def roc_pr_auc(points: DataFrame) -> DataFrame:
+    """Area under both curves: trapezoids of the ROC, step sum of the PR curve."""
+    area = F.sum(F.col("_n") * (F.col("pos_before") + F.col("_p") / 2.0)) / F.max(F.col("pos_all") * F.col("all_neg_all"))
+    return points.agg(area.alias("roc_auc"), (F.sum(F.col("_p") * F.col("precision")) / F.max("pos_all")).alias("pr_auc"), F.count(F.lit(1)).alias("points"))
+
+
+def importance_merge(df: DataFrame) -> DataFrame:
+    """Mean over models of importances scaled by each model's largest."""
+    top = df.groupBy("model").agg(F.max("importance").alias("_m"))
+    out = df.join(top, "model").withColumn("_s", F.col("importance") / F.nullif("_m", F.lit(0.0)))
+    return out.groupBy("feature").agg(F.avg(F.coalesce("_s", F.lit(0.0))).alias("importance"), F.count(F.lit(1)).alias("models"))
+
+
+def linear_contribution(df: DataFrame, coefs: Mapping[str, float], k: int = 3) -> DataFrame:
+    """Additive drivers coef * (x - mean) per row, the k largest first."""
+    out = spread.with_totals(df, *[F.avg(c).alias(f"_m_{c}") for c in coefs])
+    parts = F.array(*[F.struct(((F.col(c) - F.col(f"_m_{c}")) * float(w)).alias("value"), F.lit(c).alias("feature")) for c, w in coefs.items()])
+    ordered = F.array_sort(parts, lambda a, b: F.when(F.abs(a["value"]) > F.abs(b["value"]), -1).when(F.abs(a["value"]) < F.abs(b["value"]), 1)
+                           .when(a["feature"] < b["feature"], -1).when(a["feature"] > b["feature"], 1).otherwise(0))
+    total = reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"_m_{c}")) * float(w) for c, w in coefs.items()])
+    return (out.withColumn("total_contribution", total).withColumn("drivers", F.slice(ordered, 1, k)).drop(*[f"_m_{c}" for c in coefs]))
+
+
+def global_contribution(df: DataFrame, coefs: Mapping[str, float]) -> DataFrame:
+    """Mean |contribution| per feature."""
+    out = spread.with_totals(df, *[F.avg(c).alias(f"_m_{c}") for c in coefs])
+    one = out.agg(*[F.avg(F.abs((F.col(c) - F.col(f"_m_{c}")) * float(w))).alias(c) for c, w in coefs.items()])
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean_abs")) for c in coefs])
+    return one.select(F.explode(rows).alias("e")).select("e.*")
