@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.scalar import gender_risk_level
+from rollcall.operators.ordering import top_k_per_group
 
 # Recommendation per driver word, first match wins.
 DRIVER_ACTIONS = (
@@ -62,10 +63,10 @@ def programme_actions(regions: DataFrame, clusters: DataFrame | None = None) ->
         F.when(F.array_contains("factors", "High elderly population"), F.lit("2|Senior Citizen Outreach Program")),
         F.when(F.array_contains("factors", "Low biometric update rate"), F.lit("3|Increase Update Center Capacity"))))
     one = regions.select("state", "risk_score", F.explode(rules).alias("_p"))
-    w = F.struct((-F.col("risk_score")).alias("s"), F.col("state").alias("n"))
-    out = one.groupBy("_p").agg(F.count(F.lit(1)).alias("regions"), F.array_sort(F.collect_list(w)).alias("_l"))
-    out = out.select(F.split("_p", "\\|")[0].cast("int").alias("priority"), F.split("_p", "\\|")[1].alias("title"), "regions",
-                     F.array_join(F.transform(F.slice("_l", 1, 5), lambda s: s["n"]), "|").alias("names"))
+    counts = one.groupBy("_p").agg(F.count(F.lit(1)).alias("regions"))
+    worst = top_k_per_group(one, ["_p"], [F.desc("risk_score"), F.asc("state")], 5)
+    names = worst.groupBy("_p").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "state"))), lambda s: s["state"]), "|").alias("names"))
+    out = counts.join(names, "_p").select(F.split("_p", "\\|")[0].cast("int").alias("priority"), F.split("_p", "\\|")[1].alias("title"), "regions", "names")
     if clusters is not None:
         hot = clusters.filter(F.col("mean_risk") >= 0.6).agg(F.count(F.lit(1)).alias("regions"), F.array_join(F.array_sort(F.collect_list(F.col("cluster").cast("string"))), "|").alias("names"))
         out = out.unionByName(hot.filter("regions > 0").select(F.lit(4).alias("priority"), F.lit("Demographic-Specific Programs").alias("title"), "regions", "names"))
