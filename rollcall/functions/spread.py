@@ -17,6 +17,7 @@ Rules the operators follow:
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,15 +44,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Compute once and keep in the reliable checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute once and keep as a table in the shared checkpoint folder.
+
+    Reading the table back cuts the lineage and gives Catalyst its true size,
+    so joins with small pinned tables become broadcasts by the usual threshold;
+    the loss of an executor costs nothing but a re-read.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS, pinned: bool = False) -> DataFrame:
     """Broadcast-hint ``df`` when its row count is within ``max_rows``.
 
-    The table is computed once (checkpoint) and counted; a larger table comes
+    The table is computed once (``pin``) and counted; a larger table comes
     back without a hint, so the caller's join runs as a shuffled join.
     """
     held = df if pinned else pin(df)

@@ -177,19 +177,20 @@ def lof_score(df: DataFrame, key: str, x: str, y: str, k: int = 20, outlier: flo
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Connected components of (a, b) over the single-column table ``nodes`` (id): (id, comp = smallest id).
 
-    Minimum labels spread over the edges and are then shortened by looking up
-    the label's own label; stops when nothing changes.
+    Every round each node points to its smallest neighbour, pointers are
+    followed once more, and the edges are rewritten to the pointed nodes; the
+    graph shrinks by contraction until no edge is left.
     """
-    both = spread.pin(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    lab = spread.pin(nodes.select("id", F.col("id").alias("comp")))
-    while True:
-        near = both.join(lab.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("_n"))
-        step = lab.join(near, "id", "left").select("id", F.col("comp").alias("_old"), F.least("comp", F.coalesce("_n", "comp")).alias("_c"))
-        hop = step.select(F.col("id").alias("_c"), F.col("_c").alias("_cc"))
-        new = spread.pin(step.join(hop, "_c", "left").select("id", "_old", F.least("_c", F.coalesce("_cc", "_c")).alias("comp")))
-        if new.filter(F.col("comp") != F.col("_old")).isEmpty():
-            return new.select("id", "comp")
-        lab = new.select("id", "comp")
+    left = spread.pin(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    lab = nodes.select("id", F.col("id").alias("comp"))
+    while not left.isEmpty():
+        near = left.groupBy("a").agg(F.min("b").alias("_m")).select("a", F.least("a", "_m").alias("p"))
+        hop = near.select(F.col("a").alias("p"), F.col("p").alias("_pp"))
+        to = spread.pin(near.join(hop, "p").select("a", F.col("_pp").alias("p")))
+        lab = spread.pin(lab.join(to.withColumnRenamed("a", "comp"), "comp", "left").select("id", F.coalesce("p", "comp").alias("comp")))
+        moved = left.join(to, "a").select(F.col("p").alias("_a"), "b").join(to.withColumnRenamed("a", "b"), "b").select(F.col("_a").alias("a"), F.col("p").alias("b"))
+        left = spread.pin(moved.filter("a <> b").distinct())
+    return lab
 
 
 def dbscan_labels(df: DataFrame, key: str, x: str, y: str, eps: float = 0.5, min_samples: int = 5) -> DataFrame:
@@ -338,7 +339,7 @@ def tune_classifier(df: DataFrame, features: Sequence[str], label: str, folds: i
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=folds, seed=seed, parallelism=4)
     model = cv.fit(data)
     best = max(model.avgMetrics)
-    rows = [(float(g[lr.regParam]), float(g[lr.elasticNetParam]), float(m), m == best) for g, m in zip(grid, model.avgMetrics)]
+    rows = [(float(g[lr.regParam]), float(g[lr.elasticNetParam]), float(m), bool(m == best)) for g, m in zip(grid, model.avgMetrics)]
     return df.sparkSession.createDataFrame(rows, "reg_param double, elastic_net double, roc_auc double, is_best boolean")
 
 
@@ -351,7 +352,7 @@ def cv_compare(df: DataFrame, key: str, features: Sequence[str], label: str, kin
         acc = [ev.evaluate(classifier(features, kind, seed).fit(data.filter(F.col("_fold") != f)).transform(data.filter(F.col("_fold") == f))) for f in range(folds)]
         means[kind] = sum(acc) / folds
     best = max(means.values())
-    return df.sparkSession.createDataFrame([(k, float(v), v == best) for k, v in means.items()], "model string, accuracy double, is_best boolean")
+    return df.sparkSession.createDataFrame([(k, float(v), bool(v == best)) for k, v in means.items()], "model string, accuracy double, is_best boolean")
 
 
 def batch_predict(train: DataFrame, rows: DataFrame, key: str, features: Sequence[str], label: str, kind: str = "logistic") -> DataFrame:

@@ -71,9 +71,9 @@ _B = {"nb": f"SELECT a.id AS i, b.id AS j FROM behav a JOIN behav b ON (a.x-b.x)
       "ce": "SELECT nb.i, nb.j FROM nb JOIN cores a ON nb.i=a.i JOIN cores b ON nb.j=b.i"}
 
 
-@query("dbscan_labels", f"""WITH RECURSIVE behav AS ({VIEW_SQL['behav']}), nb AS ({_B['nb']}), cores AS ({_B['cores']}), ce AS ({_B['ce']}), walk AS (SELECT i AS node, i AS root FROM cores UNION SELECT ce.j, walk.root FROM walk JOIN ce ON walk.node=ce.i AND walk.root<ce.j),
- lab AS (SELECT node, min(root) AS comp FROM walk GROUP BY 1), border AS (SELECT nb.i, min(l.comp) AS comp FROM nb JOIN lab l ON nb.j=l.node WHERE nb.i NOT IN (SELECT i FROM cores) GROUP BY 1)
- SELECT id, coalesce(l.comp, b.comp, -1) AS cluster, l.comp IS NOT NULL AS is_core FROM behav LEFT JOIN lab l ON id=l.node LEFT JOIN border b ON id=b.i""", views={})
+@query("dbscan_labels", f"""WITH RECURSIVE nb AS ({_B['nb']}), cores AS ({_B['cores']}), ce AS ({_B['ce']}), walk AS (SELECT i AS node, i AS root FROM cores UNION SELECT ce.j, walk.root FROM walk JOIN ce ON walk.node=ce.i AND walk.root<ce.j),
+ clab AS (SELECT node, min(root) AS comp FROM walk GROUP BY 1), border AS (SELECT nb.i, min(l.comp) AS comp FROM nb JOIN clab l ON nb.j=l.node WHERE nb.i NOT IN (SELECT i FROM cores) GROUP BY 1)
+ SELECT id, coalesce(l.comp, b.comp, -1) AS cluster, l.comp IS NOT NULL AS is_core FROM behav LEFT JOIN clab l ON id=l.node LEFT JOIN border b ON id=b.i""")
 def dbscan_labels(d: Domain):
     return mo.dbscan_labels(behav(d), "id", "x", "y", _EPS, _MIN)
 

@@ -15,7 +15,7 @@ ORACLE: dict[str, str] = {}
 
 
 def plain(df: DataFrame) -> DataFrame:
-    """Widen small integers and floats, so that result schemas are stable."""
+    """Widen small integers and floats and drop time zones, so that result schemas are stable."""
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -23,6 +23,8 @@ def plain(df: DataFrame) -> DataFrame:
             c = c.cast("bigint").alias(f.name)
         elif isinstance(f.dataType, (T.FloatType, T.DecimalType)):
             c = c.cast("double").alias(f.name)
+        elif isinstance(f.dataType, T.TimestampType):
+            c = c.cast("timestamp_ntz").alias(f.name)
         out.append(c)
     return df.select(*out)
 

@@ -161,6 +161,8 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
         return body
     ctes = ",\n".join(f"{n} AS ({views[n]})" for n in needed)
     head = "WITH "
+    if body.lstrip().upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ctes + ",\n" + body.lstrip()[15:]
     if body.lstrip().upper().startswith("WITH "):
         return head + ctes + ",\n" + body.lstrip()[5:]
     return head + ctes + "\n" + body
