@@ -57,33 +57,59 @@ def _drop_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.drop(*[f"_{n}_{c}" for c in features for n in ("m", "s", "lo", "hi")])
 
 
-def _cells(features: Sequence[str]) -> Column:
-    """Array of (feature, value, mean, z, lo, hi), z = 0 where the feature is constant."""
-    out = []
-    for c in features:
-        v, m = F.col(c).cast("double"), F.col(f"_m_{c}")
-        z = F.coalesce((v - m) / F.nullif(f"_s_{c}", F.lit(0.0)), F.lit(0.0))
-        out.append(F.struct(F.lit(c).alias("feature"), v.alias("value"), m.alias("mean"), z.alias("z"),
-                            F.col(f"_lo_{c}").alias("lo"), F.col(f"_hi_{c}").alias("hi")))
-    return F.array(*out)
+def _z(c: str) -> Column:
+    """z of a feature against the attached statistics, 0 where the feature is constant."""
+    return F.coalesce((F.col(c).cast("double") - F.col(f"_m_{c}")) / F.nullif(f"_s_{c}", F.lit(0.0)), F.lit(0.0))
+
+
+def _top(cells: Sequence[Column], k: int) -> Column:
+    """The first k cells; every cell starts with its sort key (-|z|), then the feature name.
+
+    ``sort_array`` on structs runs in generated code, unlike a comparator lambda.
+    """
+    return F.slice(F.sort_array(F.array(*cells)), 1, k)
 
 
-def _by_abs_z(cells: Column) -> Column:
-    """Largest |z| first, then by name."""
-    keyed = F.transform(cells, lambda s: F.struct((-F.round(F.abs(s["z"]), 9)).alias("k"), s["feature"].alias("feature"), s.alias("c")))
-    return F.transform(F.array_sort(keyed), lambda s: s["c"])
+def _sort_key(z: Column) -> Column:
+    return -F.round(F.abs(z), 9)
+
+
+def _sentence(feature: str, value: Column, mean: Column, z: Column) -> Column:
+    """What to say about a feature; NULL when the value is the mean."""
+    low = feature.lower()
+    tail = (" (possible volume spike)" if "spike" in low or "count" in low else " (unusual distribution)" if "ratio" in low
+            else " (statistical outlier)" if "zscore" in low else "")
+    how = ladder(F.abs(z), [(">", 3, "extremely"), (">", 2, "significantly"), (">", 1, "moderately")], "slightly")
+    head = F.lit(f"The {FEATURE_WORDS.get(feature, feature.replace('_', ' '))} is ")
+    return F.when(value != mean, F.concat(head, how, F.when(value > mean, " higher").otherwise(" lower"), F.lit(f" than expected{tail}")))
+
+
+def _tags(feature: str, z: Column) -> Column:
+    """The pattern rules a feature name takes part in, as one piece of text."""
+    low = feature.lower()
+    has = lambda *words: any(w in low for w in words)
+    found = [t for t, hit in (("geo", has("state", "district", "pincode", "geo")), ("operator", has("operator", "center")),
+                              ("temporal", has("weekend", "month_end", "month_start", "day_of_week")), ("bio_z", has("bio") and has("zscore")), ("bio", has("bio")),
+                              ("demo_z", has("demo") and has("zscore")), ("demo", has("demo")), ("age_ratio", has("enrolment", "age") and has("ratio")),
+                              ("age", has("enrolment", "age"))) if hit]
+    text = "".join(f"<{t}>" for t in found)
+    return F.when(z > 2, F.lit(f"<volume>{text}")).otherwise(F.lit(text)) if has("count", "total") else F.lit(text)
 
 
 def attribution(df: DataFrame, features: Sequence[str], k: int = 5, stats: DataFrame | None = None) -> DataFrame:
     """Share of |z| per feature, the k largest with direction, in ``contributors``."""
     out = spread.with_global(df, stats if stats is not None else feature_stats(df, features))
-    out = out.withColumn("_cells", _by_abs_z(_cells(features)))
-    out = out.withColumn("_total", F.aggregate("_cells", F.lit(0.0), lambda a, s: a + F.abs(s["z"])))
-    share = F.transform(F.slice("_cells", 1, k), lambda s: F.struct(
-        s["feature"].alias("feature"), (F.abs(s["z"]) / F.nullif(F.col("_total"), F.lit(0.0))).alias("share"), s["value"].alias("value"),
-        s["mean"].alias("mean"), s["z"].alias("z"),
-        F.when(s["value"] > s["mean"], "above").when(s["value"] < s["mean"], "below").otherwise("at").alias("direction")))
-    return _drop_stats(out.withColumn("contributors", share), features).drop("_cells", "_total")
+    out = out.withColumns({f"_z_{c}": _z(c) for c in features})
+    total = reduce(lambda a, b: a + b, [F.abs(F.col(f"_z_{c}")) for c in features])
+    out = out.withColumn("_total", F.nullif(total, F.lit(0.0)))
+    cells = []
+    for c in features:
+        v, m, z = F.col(c).cast("double"), F.col(f"_m_{c}"), F.col(f"_z_{c}")
+        side = F.when(v > m, "above").when(v < m, "below").otherwise("at")
+        cells.append(F.struct(_sort_key(z).alias("key"), F.lit(c).alias("feature"), (F.abs(z) / F.col("_total")).alias("share"), v.alias("value"),
+                              m.alias("mean"), z.alias("z"), side.alias("direction"), _sentence(c, v, m, z).alias("sentence"), _tags(c, z).alias("tags")))
+    out = out.withColumn("contributors", _top(cells, k))
+    return _drop_stats(out, features).drop("_total", *[f"_z_{c}" for c in features])
 
 
 def compare_to_normal(df: DataFrame, key: Sequence[str], features: Sequence[str], anomalous: Column) -> DataFrame:
@@ -130,10 +156,16 @@ def baseline_by_dim(df: DataFrame, dims: Sequence[str], features: Sequence[str])
     return reduce(DataFrame.unionByName, parts)
 
 
-def deviation_type(feature: Column) -> Column:
-    f = F.lower(feature)
-    return (F.when(f.rlike("state|district|pincode|geo"), "geographic").when(f.rlike("month|day|weekend|quarter|time"), "temporal")
-             .when(f.rlike("operator|center|update|enrolment"), "behavioral").otherwise("statistical"))
+# Kind of deviation by words in the feature name, first match wins; what a sentence adds for it.
+DEVIATION_WORDS = (("geographic", ("state", "district", "pincode", "geo")), ("temporal", ("month", "day", "weekend", "quarter", "time")),
+                   ("behavioral", ("operator", "center", "update", "enrolment")))
+DEVIATION_CONTEXT = {"geographic": " (unusual for this location)", "temporal": " (unusual for this time period)",
+                     "behavioral": " (deviates from typical behavior)", "statistical": ""}
+INTENSITY = {"critical": "extremely", "high": "significantly", "medium": "moderately", "low": "slightly"}
+
+
+def deviation_type(feature: str) -> str:
+    return next((kind for kind, words in DEVIATION_WORDS if any(w in feature.lower() for w in words)), "statistical")
 
 
 def deviation_severity(z: Column, pct: Column) -> Column:
@@ -142,32 +174,26 @@ def deviation_severity(z: Column, pct: Column) -> Column:
              .when((a > 2) | (pct > 95) | (pct < 5), "medium").otherwise("low"))
 
 
-def _percentile(s: Column) -> Column:
-    v, m, lo, hi = s["value"], s["mean"], s["lo"], s["hi"]
-    return (F.when(v <= lo, 0.0).when(v >= hi, 100.0).when(v < m, (v - lo) * 50.0 / F.nullif(m - lo, F.lit(0.0)))
-             .otherwise((v - m) * 50.0 / F.nullif(hi - m, F.lit(0.0)) + 50.0))
-
-
 def deviations(df: DataFrame, features: Sequence[str], k: int = 10, stats: DataFrame | None = None) -> DataFrame:
     """The k largest deviations of a record in ``deviations``: z, percentile, type, severity, sentence."""
     out = spread.with_global(df, stats if stats is not None else feature_stats(df, features, sample=True))
-    out = out.withColumn("_cells", F.slice(_by_abs_z(_cells(features)), 1, k))
-    first = F.transform("_cells", lambda s: F.struct(
-        s["feature"].alias("feature"), s["value"].alias("value"), s["mean"].alias("expected"), (s["value"] - s["mean"]).alias("deviation"),
-        F.abs(s["z"]).alias("z"), _percentile(s).alias("percentile"), deviation_type(s["feature"]).alias("type")))
-    out = out.withColumn("_d", first)
-    intensity = F.create_map(*[F.lit(x) for kv in {"critical": "extremely", "high": "significantly", "medium": "moderately", "low": "slightly"}.items() for x in kv])
-    context = F.create_map(*[F.lit(x) for kv in {"geographic": " (unusual for this location)", "temporal": " (unusual for this time period)",
-                                                 "behavioral": " (deviates from typical behavior)", "statistical": ""}.items() for x in kv])
-
-    def finish(s: Column) -> Column:
-        sev = deviation_severity(s["z"], s["percentile"])
-        text = F.concat(F.initcap(F.replace(s["feature"], F.lit("_"), F.lit(" "))), F.lit(" is "), intensity[sev], F.lit(" "),
-                        F.when(s["value"] > s["expected"], "higher").otherwise("lower"), F.lit(" than expected"), context[s["type"]])
-        return s.withField("severity", sev).withField("explanation", text)
-
-    out = out.withColumn("deviations", F.transform("_d", finish))
-    return _drop_stats(out, features).drop("_cells", "_d")
+    pct = {}
+    for c in features:
+        v, m, lo, hi = F.col(c).cast("double"), F.col(f"_m_{c}"), F.col(f"_lo_{c}"), F.col(f"_hi_{c}")
+        pct[f"_p_{c}"] = (F.when(v <= lo, 0.0).when(v >= hi, 100.0).when(v < m, (v - lo) * 50.0 / F.nullif(m - lo, F.lit(0.0)))
+                           .otherwise((v - m) * 50.0 / F.nullif(hi - m, F.lit(0.0)) + 50.0))
+    out = out.withColumns({**pct, **{f"_z_{c}": F.abs(_z(c)) for c in features}})
+    out = out.withColumns({f"_v_{c}": deviation_severity(F.col(f"_z_{c}"), F.col(f"_p_{c}")) for c in features})
+    cells = []
+    for c in features:
+        v, m, z, sev = F.col(c).cast("double"), F.col(f"_m_{c}"), F.col(f"_z_{c}"), F.col(f"_v_{c}")
+        kind = deviation_type(c)
+        how = F.when(sev == "critical", INTENSITY["critical"]).when(sev == "high", INTENSITY["high"]).when(sev == "medium", INTENSITY["medium"]).otherwise(INTENSITY["low"])
+        text = F.concat(F.lit(f"{c.replace('_', ' ').title()} is "), how, F.when(v > m, " higher").otherwise(" lower"), F.lit(f" than expected{DEVIATION_CONTEXT[kind]}"))
+        cells.append(F.struct(_sort_key(z).alias("key"), F.lit(c).alias("feature"), v.alias("value"), m.alias("expected"), (v - m).alias("deviation"), z.alias("z"),
+                              F.col(f"_p_{c}").alias("percentile"), F.lit(kind).alias("type"), sev.alias("severity"), text.alias("explanation")))
+    out = out.withColumn("deviations", _top(cells, k))
+    return _drop_stats(out, features).drop(*[f"_{n}_{c}" for c in features for n in "pzv"])
 
 
 def _dim_flags(df: DataFrame, dim: str, features: Sequence[str], label: str, stats: DataFrame | None = None) -> DataFrame:
@@ -199,36 +225,19 @@ def geo_deviations(df: DataFrame, features: Sequence[str], dims: Sequence[str] =
 
 
 def reasons(contributors: Column, score: Column) -> Column:
-    """Up to five sentences, the score line first."""
-    words = F.create_map(*[F.lit(x) for kv in FEATURE_WORDS.items() for x in kv])
-
-    def sentence(c: Column) -> Column:
-        name = F.coalesce(F.try_element_at(words, c["feature"]), F.replace(c["feature"], F.lit("_"), F.lit(" ")))
-        how = ladder(F.abs(c["z"]), [(">", 3, "extremely"), (">", 2, "significantly"), (">", 1, "moderately")], "slightly")
-        f = F.lower(c["feature"])
-        tail = (F.when(f.rlike("spike|count"), " (possible volume spike)").when(f.contains("ratio"), " (unusual distribution)")
-                 .when(f.contains("zscore"), " (statistical outlier)").otherwise(""))
-        side = F.when(c["direction"] == "above", "higher").otherwise("lower")
-        return F.when(c["direction"] != "at", F.concat(F.lit("The "), name, F.lit(" is "), how, F.lit(" "), side, F.lit(" than expected"), tail))
-
+    """The sentences of the contributors, the score line first."""
     head = ladder(score, [(">", b, t) for b, t in SCORE_PREFIX], "")
-    lines = F.array_compact(F.transform(F.slice(contributors, 1, 5), sentence))
+    lines = F.array_compact(contributors["sentence"])
     lines = F.when(head != "", F.concat(F.array(head), lines)).otherwise(lines)
     return F.when(F.size(lines) == 0, F.array(F.lit("No specific anomaly patterns identified"))).otherwise(lines)
 
 
 def fraud_pattern(contributors: Column) -> Column:
-    """First matching rule on the names of the top five features."""
-    top = F.slice(contributors, 1, 5)
-    names = F.transform(top, lambda c: F.lower(c["feature"]))
-    has = lambda pattern: F.exists(names, lambda f: f.rlike(pattern))
-    spike = F.exists(top, lambda c: F.lower(c["feature"]).rlike("count|total") & (c["z"] > 2))
-    rules = (("geo", F.size(F.filter(names, lambda f: f.rlike("state|district|pincode|geo"))) >= 2), ("operator", has("operator|center")), ("volume", spike),
-             ("temporal", has("weekend|month_end|month_start|day_of_week")), ("bio_z", has("bio.*zscore|zscore.*bio")), ("bio", has("bio")),
-             ("demo_z", has("demo.*zscore|zscore.*demo")), ("demo", has("demo")), ("age_ratio", has("(enrolment|age).*ratio|ratio.*(enrolment|age)")), ("age", has("enrolment|age")))
-    out = None
-    for name, cond in rules:
-        out = F.when(cond, PATTERNS[name]) if out is None else out.when(cond, PATTERNS[name])
+    """First matching rule on the names of the contributors."""
+    tags = F.concat_ws("", contributors["tags"])
+    out = F.when(tags.rlike("<geo>.*<geo>"), PATTERNS["geo"])
+    for name in ("operator", "volume", "temporal", "bio_z", "bio", "demo_z", "demo", "age_ratio", "age"):
+        out = out.when(tags.contains(f"<{name}>"), PATTERNS[name])
     return out.otherwise(PATTERNS["other"])
 
 
@@ -269,6 +278,6 @@ def explain_summary(explained: DataFrame, score: str) -> DataFrame:
     row = lambda g, sec: g.select(F.lit(sec).alias("section"), F.col("item"), F.col("n"), F.col("value"))
     parts = [row(explained.groupBy(F.col(c).alias("item")).agg(F.count(F.lit(1)).alias("n"), F.avg(score).alias("value")), c) for c in ("severity", "pattern")]
     parts.append(row(explained.agg(F.lit("all").alias("item"), F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("value")), "confidence"))
-    m = explained.select(F.explode(F.transform(F.slice("contributors", 1, 3), lambda c: c["feature"])).alias("item"), F.col(score).alias("_s"))
+    m = explained.select(F.explode_outer(F.transform(F.slice("contributors", 1, 3), lambda c: c["feature"])).alias("item"), F.col(score).alias("_s"))
     parts.append(row(m.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.avg("_s").alias("value")), "feature"))
     return reduce(DataFrame.unionByName, parts)

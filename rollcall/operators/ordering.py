@@ -112,4 +112,4 @@ def source_union(df: DataFrame, key: str, signals: str, scopes: str,
     via_scope = F.flatten(F.transform(scopes, lambda s: F.coalesce(tables.lookup(scope_map, s), nothing)))
     found = F.array_union(via_signal, via_scope)
     found = F.when(F.size(found) == 0, F.array(F.lit("enrolment"))).otherwise(found)
-    return df.select(key, F.explode(found).alias("source")).distinct()
+    return df.select(key, F.explode_outer(found).alias("source")).distinct()

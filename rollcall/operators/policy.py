@@ -98,7 +98,7 @@ def resolve_signals(requests: DataFrame, keep: Sequence[str]) -> DataFrame:
     ``requests`` has intent, vigilance, has_location, is_today.
     """
     sig = F.coalesce(tables.lookup(tables.INTENT_SIGNALS, F.col("intent")), F.array().cast("array<string>"))
-    out = requests.withColumn("signal", F.explode(sig)).withColumn("_w", tables.lookup(tables.SIGNAL_WEIGHTS, F.col("signal")))
+    out = requests.withColumn("signal", F.explode_outer(sig)).filter("signal is not null").withColumn("_w", tables.lookup(tables.SIGNAL_WEIGHTS, F.col("signal")))
     cap = lambda c: F.least(F.lit(1.0), c)
     out = out.withColumn("_w", F.when(F.col("has_location") & (F.col("signal") == "geographic_distribution"), cap(F.col("_w") * 1.2)).otherwise(F.col("_w")))
     out = out.withColumn("_w", F.when(F.col("is_today") & (F.col("signal") == "temporal_patterns"), cap(F.col("_w") * 1.1)).otherwise(F.col("_w")))
@@ -124,7 +124,7 @@ def recommend_strategies(requests: DataFrame, keep: Sequence[str], k: int = 3) -
     scored = F.array_sort(F.filter(F.array(*entries), lambda e: e["neg"] < 0))
     fallback = F.array(F.struct(F.lit(0.0).alias("neg"), F.lit(0).alias("o"), F.lit("behavioral_baseline").alias("strategy")))
     out = out.withColumn("_top", F.slice(F.when(F.size(scored) == 0, fallback).otherwise(scored), 1, k))
-    out = out.select(*keep, F.posexplode("_top").alias("_p", "e"))
+    out = out.select(*keep, F.posexplode_outer("_top").alias("_p", "e"))
     return out.select(*keep, (F.col("_p") + 1).alias("rank"), "e.strategy", (-F.col("e.neg")).alias("score"),
                       F.when(F.col("e.neg") <= -2, "High").otherwise("Standard").alias("confidence"))
 

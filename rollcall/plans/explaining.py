@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rollcall.functions import spread
 from rollcall.operators import explain as ex
 from rollcall.plans import views
 from rollcall.plans.registry import query, rounded
@@ -17,11 +18,12 @@ VIEW_SQL["feats"] = """SELECT *, CASE WHEN order_id%5<>0 THEN (demo_age_5_17%11)
 
 
 def feats(d: Domain):
-    from rollcall.functions import spread
+    """Scored records with their features, computed once: explanations read them several times."""
     s = views.scored(d)
     s = spread.join_stats(s, d.demographic().groupBy("center_id").agg(F.count(F.lit(1)).alias("center_event_count")), ["center_id"])
-    return s.withColumns({"total_demo_updates": F.col("demo_age_5_17") + F.col("demo_age_17_"),
-                          "is_month_end": (F.dayofmonth("date") >= 25).cast("bigint"), "is_month_start": (F.dayofmonth("date") <= 5).cast("bigint")})
+    return spread.pin(s.withColumns({
+        "total_demo_updates": F.col("demo_age_5_17") + F.col("demo_age_17_"),
+        "is_month_end": (F.dayofmonth("date") >= 25).cast("bigint"), "is_month_start": (F.dayofmonth("date") <= 5).cast("bigint")}))
 
 
 _NAMES = "[" + ",".join(f"'{f}'" for f in FEATS) + "]"
@@ -36,14 +38,10 @@ VIEW_SQL["devs"] = """SELECT *, CASE WHEN z>4 OR pct>99.5e0 OR pct<0.5e0 THEN 'c
  FROM (SELECT flong.*, m, lo, hi, coalesce(abs((value-m)/nullif(ss,0)),0) AS z FROM flong JOIN fstat ON feature=sf))"""
 
 
-def _top(col: str, *fields: str):
-    return F.array_join(F.transform(col, lambda c: F.concat_ws(":", *[c[f].cast("string") for f in fields])), "|")
-
-
 @query("attribution", """SELECT order_id, line_no, feature, round(share,6) AS share, round(z,6)+0e0 AS z, direction, rn AS rank FROM attr WHERE rn<=3""")
 def attribution(d: Domain):
     a = ex.attribution(feats(d), FEATS, 3)
-    out = a.select(*KEY, F.posexplode("contributors").alias("p", "c")).select(*KEY, "c.feature", "c.share", "c.z", "c.direction", (F.col("p") + 1).alias("rank"))
+    out = a.select(*KEY, F.posexplode_outer("contributors").alias("p", "c")).select(*KEY, "c.feature", "c.share", "c.z", "c.direction", (F.col("p") + 1).alias("rank"))
     return rounded(out)
 
 
@@ -78,7 +76,7 @@ _TITLE = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{f.replace('_', ' ').titl
 @query("deviations", f"""SELECT order_id, line_no, feature, value, round(value-m,6)+0e0 AS deviation, round(z,6) AS z, round(pct,6) AS percentile, type, severity, concat({_TITLE}, ' is ',
  CASE severity WHEN 'critical' THEN 'extremely' WHEN 'high' THEN 'significantly' WHEN 'medium' THEN 'moderately' ELSE 'slightly' END, ' ', CASE WHEN value>m THEN 'higher' ELSE 'lower' END, ' than expected', {_CTX}) AS explanation FROM devs WHERE rn<=2""")
 def deviations(d: Domain):
-    out = ex.deviations(feats(d), FEATS, 2).select(*KEY, F.explode("deviations").alias("c"))
+    out = ex.deviations(feats(d), FEATS, 2).select(*KEY, F.explode_outer("deviations").alias("c"))
     return rounded(out.select(*KEY, "c.feature", "c.value", "c.deviation", "c.z", "c.percentile", "c.type", "c.severity", "c.explanation"))
 
 
@@ -94,12 +92,12 @@ VIEW_SQL["gdev"] = _dim_sql("state", "state_deviation") + " UNION ALL " + _dim_s
 
 @query("temporal_deviations", "SELECT order_id, line_no, type, feature, severity FROM tdev")
 def temporal_deviations(d: Domain):
-    return ex.temporal_deviations(feats(d), FEATS).select(*KEY, F.explode("temporal_flags").alias("c")).select(*KEY, "c.*")
+    return ex.temporal_deviations(feats(d), FEATS).select(*KEY, F.explode_outer("temporal_flags").alias("c")).filter("c is not null").select(*KEY, "c.*")
 
 
 @query("geo_deviations", "SELECT order_id, line_no, type, feature, severity FROM gdev")
 def geo_deviations(d: Domain):
-    return ex.geo_deviations(feats(d), FEATS, ["state", "center_id"]).select(*KEY, F.explode("geo_flags").alias("c")).select(*KEY, "c.*")
+    return ex.geo_deviations(feats(d), FEATS, ["state", "center_id"]).select(*KEY, F.explode_outer("geo_flags").alias("c")).filter("c is not null").select(*KEY, "c.*")
 
 
 _WORD = "CASE feature " + " ".join(f"WHEN '{f}' THEN '{ex.FEATURE_WORDS.get(f, f.replace('_', ' '))}'" for f in FEATS) + " END"
@@ -137,10 +135,8 @@ VIEW_SQL["expl"] = """SELECT *, CASE WHEN score>0.9e0 OR (confidence>0.8e0 AND c
 
 
 def explained(d: Domain):
-    from rollcall.functions import spread
     k = F.col("order_id") % 5
     f = feats(d).withColumn("s2", F.when(k != 0, F.col("demo_age_5_17") % 11 / 10.0)).withColumn("s3", F.when(F.col("order_id") % 7 != 0, F.col("demo_age_17_") % 9 / 8.0))
-    f = spread.pin(f)
     return ex.explain_batch(f, FEATS, "score", ["score", "s2", "s3"], ["state", "center_id"], 0.5)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollcall.session import tune
 from rollcall.sources.domain import Domain, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,7 +49,7 @@ def query(name: str, sql: str | None = None, views: dict[str, str] | None = None
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return plain(fn(Domain(spark, folder)))
+            return plain(fn(Domain(tune(spark), folder)))
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
