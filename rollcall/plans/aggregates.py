@@ -45,9 +45,9 @@ def _pen(d: Domain):
     return agg.penetration(d.enrolment(), d.regions().filter("zone <> 'REGION_3'"))
 
 
-@query("penetration", f"SELECT * REPLACE (round(penetration_pct,6) AS penetration_pct) FROM ({_PEN})")
+@query("penetration", f"SELECT * REPLACE (round(penetration_pct,9) AS penetration_pct) FROM ({_PEN})")
 def penetration(d: Domain):
-    return rounded(_pen(d))
+    return rounded(_pen(d), 9)
 
 
 @query("penetration_summary", f"""SELECT count(*) AS states, {S('total', 'total')}, {S('population', 'population')}, count(penetration_pct) AS with_data,
@@ -126,7 +126,7 @@ def coverage_stats(d: Domain):
 # ---------------------------------------------------------------- score reports
 
 @query("anomaly_statistics", """SELECT count(*) AS total_records, count_if(score>=0.5e0) AS anomaly_count, count_if(score>=0.8e0) AS high_risk,
- count_if(score>=0.5e0 AND score<0.8e0) AS medium_risk, round(avg(score),6) AS mean_score, max(score) AS max_score, round(stddev_pop(score),6) AS std_score,
+ count_if(score>=0.5e0 AND score<0.8e0) AS medium_risk, round(avg(score),6) AS mean_score, round(max(score),6) AS max_score, round(stddev_pop(score),6) AS std_score,
  round(quantile_cont(score,0.5),6) AS median_score, round(count_if(score>=0.5e0)*100e0/count(*),6) AS anomaly_pct, CAST(0 AS BIGINT) AS low_risk FROM scored""")
 def anomaly_statistics(d: Domain):
     return rounded(agg.anomaly_statistics(views.scored(d)))
@@ -149,7 +149,7 @@ def _entity(df):
     return rounded(df.withColumn("patterns", F.array_join("patterns", "|")))
 
 
-_ENT = "total, anomaly_count, round(anomaly_rate,6) AS anomaly_rate, round(mean_score,6) AS mean_score, max_score, risk_level, patterns"
+_ENT = "total, anomaly_count, round(anomaly_rate,6) AS anomaly_rate, round(mean_score,6) AS mean_score, round(max_score,6) AS max_score, risk_level, patterns"
 
 
 @query("suspicious_regions", f"SELECT state, round(risk,6) AS risk, {_ENT} FROM (SELECT *, {_LEVEL}, " + _pat(
@@ -173,7 +173,7 @@ def suspicious_operators(d: Domain):
     return _entity(agg.suspicious_operators(views.scored(d)))
 
 
-@query("temporal_trends", f"""SELECT month, total, anomaly_count, round(anomaly_rate,6) AS anomaly_rate, round(mean_score,6) AS mean_score, max_score,
+@query("temporal_trends", f"""SELECT month, total, anomaly_count, round(anomaly_rate,6) AS anomaly_rate, round(mean_score,6) AS mean_score, round(max_score,6) AS max_score,
  CASE WHEN n<3 THEN 'stable' WHEN l>f*1.1e0 THEN 'increasing' WHEN l<f*0.9e0 THEN 'decreasing' ELSE 'stable' END AS trend_direction,
  anomaly_rate>m*1.5e0 AS spike, round(CASE WHEN anomaly_rate>m*1.5e0 THEN anomaly_rate/m END,6) AS spike_magnitude FROM ({_groups('month')}),
  (SELECT avg(anomaly_rate) m, arg_min(mean_score,month) f, arg_max(mean_score,month) l, count(*) n FROM ({_groups('month')}))""")
@@ -181,7 +181,7 @@ def temporal_trends(d: Domain):
     return rounded(agg.temporal_trends(views.scored(d)))
 
 
-@query("weekend_split", f"""SELECT is_weekend, total, anomaly_count, round(anomaly_rate,6) AS anomaly_rate, round(mean_score,6) AS mean_score, max_score,
+@query("weekend_split", f"""SELECT is_weekend, total, anomaly_count, round(anomaly_rate,6) AS anomaly_rate, round(mean_score,6) AS mean_score, round(max_score,6) AS max_score,
  is_weekend=1 AND anomaly_rate>0.1e0 AS spike FROM ({_groups('is_weekend')})""")
 def weekend_split(d: Domain):
     return rounded(agg.weekend_split(views.scored(d)))
@@ -266,8 +266,8 @@ def auditor_summary(d: Domain):
     return rounded(agg.auditor_summary(views.scored(d), _FEATS))
 
 
-@query("region_score_heat", """SELECT * FROM (SELECT 'state' AS level, state AS place, round(avg(score),6) AS mean_score, max(score) AS max_score, count(*) AS n FROM scored GROUP BY 2)
- UNION ALL SELECT * FROM (SELECT 'center', center_id, round(avg(score),6), max(score), count(*) FROM scored GROUP BY 2 ORDER BY avg(score) DESC, center_id LIMIT 20)""")
+@query("region_score_heat", """SELECT * FROM (SELECT 'state' AS level, state AS place, round(avg(score),6) AS mean_score, round(max(score),6) AS max_score, count(*) AS n FROM scored GROUP BY 2)
+ UNION ALL SELECT * FROM (SELECT 'center', center_id, round(avg(score),6), round(max(score),6), count(*) FROM scored GROUP BY 2 ORDER BY avg(score) DESC, center_id LIMIT 20)""")
 def region_score_heat(d: Domain):
     s = views.scored(d)
     st = agg.region_score_heat(s, "state", 1000).select(F.lit("state").alias("level"), F.col("state").alias("place"), "mean_score", "max_score", "n")

@@ -23,8 +23,8 @@ def series_by_group(d: Domain):
 
 
 @query("decompose_seasonal", """SELECT state, month, value, idx, round(trend,4) AS trend, round(seasonal,4)+0e0 AS seasonal, round(residual,4)+0e0 AS residual,
- stddev_pop(seasonal) OVER (PARTITION BY state)>stddev_pop(residual) OVER (PARTITION BY state)*0.5e0 AS has_seasonality FROM (SELECT *, value-trend-seasonal AS residual FROM (
- SELECT a.*, s.a-avg(m) OVER (PARTITION BY a.state) AS seasonal FROM (SELECT *, avg(value) OVER (PARTITION BY state ORDER BY month ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING) AS trend FROM mi) a
+ n>=24 AND stddev_pop(seasonal) OVER (PARTITION BY state)>stddev_pop(residual) OVER (PARTITION BY state)*0.5e0 AS has_seasonality FROM (SELECT *, value-trend-seasonal AS residual FROM (
+ SELECT a.*, CASE WHEN a.n>=24 THEN s.a-m ELSE 0e0 END AS seasonal FROM (SELECT *, CASE WHEN n>=24 THEN avg(value) OVER (PARTITION BY state ORDER BY month ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING) ELSE value::DOUBLE END AS trend FROM mi) a
  JOIN dslots s ON a.state=s.state AND a.idx%12=s.slot JOIN (SELECT state, avg(a) AS m FROM dslots GROUP BY 1) q ON a.state=q.state))""",
        views={"mi": ZIN["mi"], "dslots": """SELECT state, idx%12 AS slot, avg(value-trend) AS a FROM (SELECT *, avg(value) OVER (PARTITION BY state ORDER BY month ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING) AS trend FROM mi) GROUP BY 1,2"""})
 def decompose_seasonal(d: Domain):
