@@ -32,12 +32,14 @@ def shuffle_parts(spark: SparkSession) -> int:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only if none is set."""
+    """The shared folder the cluster names; a temporary one only in local mode with none set."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     target = named or tempfile.mkdtemp(prefix="rollcall-ckpt-")
     sc.setCheckpointDir(target)
     return target

@@ -96,7 +96,11 @@ def sarima_forecast(d: Domain):
     return rounded(se.sarima_forecast(d.months(), *G), 4)
 
 
-@query("holt_winters")
+@query("holt_winters", """WITH RECURSIVE base AS (SELECT state, max(month) AS last_date, list(value::DOUBLE ORDER BY idx) AS ys, sum(CASE WHEN idx<12 THEN value END)/12e0 AS l0,
+ (sum(CASE WHEN idx BETWEEN 12 AND 23 THEN value END)/12e0-sum(CASE WHEN idx<12 THEN value END)/12e0)/12e0 AS b0 FROM mi GROUP BY 1 HAVING count(*)>=24),
+ hw AS (SELECT state, last_date, ys, 12 AS i, l0 AS l, b0 AS b, list_transform(ys[1:12], lambda x: x-l0) AS s FROM base
+ UNION ALL SELECT state, last_date, ys, i+1, lev, (lev-l)*0.05e0+b*0.95e0, list_append(s[2:12], (y-lev)*0.1e0+old*0.9e0) FROM (SELECT *, ys[i+1] AS y, s[1] AS old, (ys[i+1]-s[1])*0.3e0+(l+b)*0.7e0 AS lev FROM hw WHERE i<len(ys)))
+ SELECT state, p AS period, CAST(last_date+to_months(CAST(p AS INT)) AS DATE) AS date, round(greatest(0e0, l+b*p+s[(p-1)%12+1]),4) AS predicted FROM hw, (SELECT unnest(range(1,7)) AS p) WHERE i=len(ys)""")
 def holt_winters(d: Domain):
     return rounded(se.holt_winters(d.months(), *G), 4)
 

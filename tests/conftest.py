@@ -11,8 +11,8 @@ sys.path.insert(0, os.path.join(ROOT, "tests"))
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     from compare import session
-    s = session("4")
-    s.conf.set("spark.sql.shuffle.partitions", "4")
+    s = session("8")
+    s.conf.set("spark.sql.shuffle.partitions", "2")
     s.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("ckpt")))
     yield s
     s.stop()
