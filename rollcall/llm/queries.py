@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import url_filter
+from rollcall.llm import exact_dedup, url_filter
 from rollcall.llm.common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -54,3 +54,19 @@ FROM pg JOIN shares ON pg.host = shares.host AND pg.template = shares.template
 
 QUERIES = {"op10_url_filter": op10_url_filter}
 ORACLE = {"op10_url_filter": OP10_SQL}
+
+
+def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Equal texts of the documents; the largest doc_id of each group stays."""
+    return exact_dedup.exact_dedup(table(spark, folder, "documents"))
+
+
+OP3_SQL = """
+WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+ FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256)
+"""
+
+QUERIES["op3_exact_dedup"] = op3_exact_dedup
+ORACLE["op3_exact_dedup"] = OP3_SQL
