@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import exact_dedup, url_filter
+from rollcall.llm import exact_dedup, quality, url_filter
 from rollcall.llm.common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -70,3 +70,11 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 
 QUERIES["op3_exact_dedup"] = op3_exact_dedup
 ORACLE["op3_exact_dedup"] = OP3_SQL
+
+
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Posterior quality of every document; rejected below one half."""
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES["op6_quality"] = op6_quality
