@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import exact_dedup, quality, url_filter
+from rollcall.llm import byte_bpe, exact_dedup, quality, url_filter
 from rollcall.llm.common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -78,3 +79,11 @@ def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op6_quality"] = op6_quality
+
+
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts and digests of every document, encoded and decoded again."""
+    return byte_bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+QUERIES["op7_byte_bpe"] = op7_byte_bpe
