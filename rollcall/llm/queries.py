@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import byte_bpe, exact_dedup, quality, url_filter
+from rollcall.llm import byte_bpe, exact_dedup, packing, quality, url_filter
 from rollcall.llm.common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -87,3 +87,11 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op7_byte_bpe"] = op7_byte_bpe
+
+
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES["op8_packing"] = op8_packing
