@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollcall.llm import byte_bpe, exact_dedup, packing, quality, url_filter
+from rollcall.functions.spread import ensure_checkpoint_dir
+from rollcall.llm import byte_bpe, exact_dedup, packing, quality, token_file, url_filter
 from rollcall.llm.common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -95,3 +98,14 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op8_packing"] = op8_packing
+
+
+def op1_token_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Token-id file of all documents, written and read back."""
+    target = f"{ensure_checkpoint_dir(spark)}/llm-tokens-{uuid.uuid4().hex}"
+    token_file.write_token_file(table(spark, folder, "documents"), target,
+                                public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_file.read_token_file(spark, target)
+
+
+QUERIES["op1_token_file"] = op1_token_file
