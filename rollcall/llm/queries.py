@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.functions.spread import ensure_checkpoint_dir
-from rollcall.llm import byte_bpe, exact_dedup, packing, quality, token_file, url_filter
+from rollcall.llm import byte_bpe, exact_dedup, ngram_join, packing, quality, token_file, url_filter
 from rollcall.llm.common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -109,3 +109,11 @@ def op1_token_file(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op1_token_file"] = op1_token_file
+
+
+def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return ngram_join.ngram_components(table(spark, folder, "documents"), n=4, percent=85)
+
+
+QUERIES["op9_ngram_join"] = op9_ngram_join
