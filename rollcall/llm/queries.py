@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.functions.spread import ensure_checkpoint_dir
-from rollcall.llm import byte_bpe, exact_dedup, ngram_join, packing, quality, token_file, url_filter
+from rollcall.llm import byte_bpe, exact_dedup, ngram_join, packing, quality, substring_dedup, token_file, url_filter
 from rollcall.llm.common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -117,3 +117,11 @@ def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op9_ngram_join"] = op9_ngram_join
+
+
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that an earlier document has in a string of 50 bytes."""
+    return substring_dedup.repeats(table(spark, folder, "documents"), length=50)
+
+
+QUERIES["op5_substring_dedup"] = op5_substring_dedup
