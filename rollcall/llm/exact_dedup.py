@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import ASCII_LOWER, hold
+from rollcall.llm.common import ASCII_LOWER, ascii_lower, hold
 
 EPOCH_BYTES = 32 << 20
 TRIE_BYTES = 96 << 20
@@ -244,3 +244,26 @@ def exact_dedup(docs: DataFrame, keep: str = "max", normalise: bool = True) -> D
     return (rows.filter(F.col("n").isNull()).select("doc_id", "row", "entry", "text_sha256")
             .join(owned, F.col("entry") == F.col("_entry"))
             .select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256"))
+
+
+def drop_copies(docs: DataFrame, keep: str = "max", normalise: bool = True) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of every group of equal texts.
+
+    Rows that go are found by id and digest; rows equal in both are told apart
+    by a number within the scan, so exactly one of them stays.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    body = ascii_lower(text) if normalise else text
+    verdict = exact_dedup(docs, keep, normalise)
+    stays = verdict.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    marked = docs.withColumn("_digest", F.sha2(body.cast("binary"), 256))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha"))
+    left = marked.join(stays, same, "left_semi")
+    # rows equal in id and digest all found the one that stays: keep the first of each such pair
+    twice = verdict.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    if not twice.limit(1).count():
+        return left.drop("_digest")
+    single = left.join(twice, same, "left_anti")
+    several = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_digest"])
+    return single.unionByName(several).drop("_digest")
