@@ -40,26 +40,28 @@ LANES, LEAST_BLOCK, MOST_BLOCK = 2048, 256, 4096
 SLOTS1, SLOTS2 = 512, 1024
 MIX, ORDER0 = 12, 18  # bits of the mixing weights and of the order-0 counts
 U = np.uint64
+K1, K2, K3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
+S1, S2 = np.uint32(32 - 9), np.uint32(32 - 10)  # for 512 and 1024 slots
 
 
 class Model:
     """State of all lanes: prediction slots, hit rates, the two latest ids."""
 
     def __init__(self, lanes: int):
-        lane = np.arange(lanes, dtype=np.int64)
-        self.slots1, self.slots2 = np.zeros(lanes * SLOTS1, np.int64), np.zeros(lanes * SLOTS2, np.int64)
+        lane = np.arange(lanes, dtype=np.int32)
+        self.slots1, self.slots2 = np.zeros(lanes * SLOTS1, np.int32), np.zeros(lanes * SLOTS2, np.int32)
         self.base1, self.base2 = lane * SLOTS1, lane * SLOTS2
         # hit rate per confidence, in 1 / 65536; confidence 0 means an empty slot
-        self.rate1 = np.tile(np.array([0, 16000, 32000, 48000], np.int64), lanes)
-        self.rate2 = np.tile(np.array([0, 24000, 40000, 56000], np.int64), lanes)
+        self.rate1 = np.tile(np.array([0, 16000, 32000, 48000], np.int32), lanes)
+        self.rate2 = np.tile(np.array([0, 24000, 40000, 56000], np.int32), lanes)
         self.rates = lane * 4
-        self.last = np.zeros(lanes, np.int64)
-        self.last2 = np.zeros(lanes, np.int64)
+        self.last = np.zeros(lanes, np.uint32)
+        self.last2 = np.zeros(lanes, np.uint32)
 
     def predict(self):
         """Predicted ids of order 2 and 1 and their mixing weights (of ``2 ** MIX``)."""
-        self.at1 = self.base1 + (((self.last * 0x9E3779B1) >> 12) & (SLOTS1 - 1))
-        self.at2 = self.base2 + (((self.last * 0x85EBCA6B + self.last2 * 0xC2B2AE35) >> 13) & (SLOTS2 - 1))
+        self.at1 = self.base1 + ((self.last * K1) >> S1).astype(np.int32)
+        self.at2 = self.base2 + ((self.last * K2 + self.last2 * K3) >> S2).astype(np.int32)
         self.s1, self.s2 = self.slots1[self.at1], self.slots2[self.at2]
         self.c1, self.c2 = self.s1 & 3, self.s2 & 3
         self.p1, self.p2 = self.s1 >> 2, self.s2 >> 2
@@ -67,9 +69,10 @@ class Model:
         self.q1, self.q2 = self.rate1[self.r1], self.rate2[self.r2]
         w2 = self.q2 >> (16 - MIX)
         w1 = (((1 << MIX) - w2) * self.q1) >> 16
-        same = self.p1 == self.p2
-        w2 = np.where(same, np.where(self.c2 > 0, w2 + w1, w2), w2)
-        w1 = np.where(same & (self.c2 > 0), 0, w1)
+        same = (self.p1 == self.p2) & (self.c2 > 0)
+        joint = w1 * same
+        w2 += joint
+        w1 -= joint
         return w2, w1
 
     def update(self, ids) -> None:
@@ -80,7 +83,7 @@ class Model:
         fresh = (ids << 2) | 1
         self.slots1[self.at1] = np.where(hit1, self.s1 + (self.c1 < 3), np.where(self.c1 > 1, self.s1 - 1, fresh))
         self.slots2[self.at2] = np.where(hit2, self.s2 + (self.c2 < 3), np.where(self.c2 > 1, self.s2 - 1, fresh))
-        self.last2, self.last = self.last, ids
+        self.last2, self.last = self.last, ids.astype(np.uint32)
 
 
 def _normalise(low, span):
@@ -96,7 +99,8 @@ def encode_lanes(grid: np.ndarray, freq: np.ndarray, cum: np.ndarray) -> list[by
     model = Model(lanes)
     low, span = np.zeros(lanes, U), np.full(lanes, np.iinfo(np.uint64).max, U)
     out, at = np.zeros((lanes, 2 * steps + 4), "<u4"), np.zeros(lanes, np.int64)
-    columns = np.ascontiguousarray(grid.T.astype(np.int64))
+    columns = np.ascontiguousarray(grid.T.astype(np.int32))
+    freq, cum = freq.astype(np.int32), cum.astype(np.int32)
     for ids in columns:
         w2, w1 = model.predict()
         rest = (1 << MIX) - w2 - w1
@@ -127,12 +131,13 @@ def decode_lanes(parts: list[bytes], steps: int, freq: np.ndarray, cum: np.ndarr
     low, span = np.zeros(lanes, U), np.full(lanes, np.iinfo(np.uint64).max, U)
     code = (words[:, 0].astype(U) << U(32)) | words[:, 1].astype(U)
     at = np.full(lanes, 2, np.int64)
-    grid = np.zeros((steps, lanes), np.int64)
+    grid = np.zeros((steps, lanes), np.int32)
+    freq, cum, by_slot = freq.astype(np.int32), cum.astype(np.int32), by_slot.astype(np.int32)
     for step in range(steps):
         w2, w1 = model.predict()
         rest = (1 << MIX) - w2 - w1
         unit = span >> U(MIX + ORDER0)
-        target = np.minimum((code - low) // unit, U((1 << (MIX + ORDER0)) - 1)).astype(np.int64)
+        target = np.minimum((code - low) // unit, U((1 << (MIX + ORDER0)) - 1)).astype(np.int32)
         edge1 = w2 << ORDER0
         edge0 = (w2 + w1) << ORDER0
         ids = by_slot[np.maximum(target - edge0, 0) // rest]

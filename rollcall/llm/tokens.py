@@ -3,10 +3,10 @@
 A text is cut only where the vocabulary's own splitting always cuts, so the
 ids are those the library gives for the whole text:
 
-* ``byte`` files (byte-level, the usual pattern): before a single space that
-  stands between two characters that are not white space; a slice not in the
-  cache is cut again by the pattern itself.  Texts with a space inside a run of
-  white space go to the library whole.
+* ``byte`` files (byte-level, the usual pattern): at single spaces and line
+  ends between characters that are not white space; a slice not in the cache is
+  cut again by the pattern itself.  Texts with other white space, or with runs
+  of it, are cut by the pattern as a whole.
 * ``word`` files (white space dropped): at spaces and line ends, and
   before a final comma or full stop after letters.
 """
@@ -21,7 +21,8 @@ from itertools import chain
 
 import numpy as np
 
-RUN = re.compile(r"\s | \s|^ | $")
+OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+RUNS = ("  ", "\n\n", " \n", "\n ")
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -39,7 +40,9 @@ class SliceEncoder:
             spec = json.load(f)
         self.by_word = spec["normalizer"] is not None
         self.split = regex.compile(PATTERN).findall
-        self.most, self.cache = cache, {}
+        self.most = cache
+        self.cache: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         run = getattr(self.lib, "encode_batch_fast", self.lib.encode_batch)
@@ -49,27 +52,46 @@ class SliceEncoder:
         ends = (4 * ends).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends)]
 
-    def _learn(self, slices: set[str]) -> None:
-        """Add the ids of new slices to the cache."""
-        cache = self.cache
+    def _parts(self, key: str) -> tuple[str, ...] | list[str]:
+        """What the library is asked for a slice: words and final stops apart, the rest by the pattern."""
         if self.by_word:
-            parts = {s: (s[:-1], s[-1]) if len(s) > 1 and s[-1] in ",." and s[:-1].isalpha() else (s,) for s in slices}
+            return (key[:-1], key[-1]) if len(key) > 1 and key[-1] in ",." and key[:-1].isalpha() else (key,)
+        mark, word = key[:1], key[1:]
+        if mark == "\n":
+            before: tuple[str, ...] = ("\n",)
+        elif mark == "\0":
+            before = ()
         else:
-            parts = {s: self.split(s) for s in slices}
-        # a part that is itself a slice may be in the cache already
-        new = [p for p in set(chain.from_iterable(parts.values())) if p not in cache]
-        known = dict(zip(new, self._library(new)))
+            before, word = (), " " + key
+        body = word[:-1] if word[-1:] in (",", ".") else word
+        if body.lstrip(" ").isalpha():
+            return (*before, body) if body is word else (*before, body, word[-1])
+        return (*before, *self.split(word))
+
+    def _learn(self, keys: set[str]) -> None:
+        """Add the ids of new slices to the cache."""
+        cache, parts = self.cache, {s: self._parts(s) for s in keys}
+        new = [p for p in set(chain.from_iterable(parts.values())) if p not in self.pieces]
+        known = self.pieces
+        if len(known) > self.most:
+            known = self.pieces = {}
+            new = list(set(chain.from_iterable(parts.values())))
+        known.update(zip(new, self._library(new)))
         for s, ps in parts.items():
-            cache[s] = b"".join([known[p] if p in known else cache[p] for p in ps])
+            cache[s] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
+        for p in new:
+            if len(p) > 48:
+                del known[p]
 
     def _slices(self, text: str) -> list[str]:
-        cut = text.replace("\n", " ").split(" ")
+        """Keys of the slices: a word after a space as it is, after a line end or at the start with a mark before it."""
         if self.by_word:
-            return cut
-        if len(cut) != len(text.split()) and text and RUN.search(text):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)]
+            return text.replace("\n", " ").split(" ")
+        if any(r in text for r in RUNS) or text[:1].isspace() or text[-1:].isspace() or OTHER_SPACE.search(text):
+            return ["\0" + text]
+        out = text.replace("\n", " \n").split(" ")
+        out[0] = "\0" + out[0]
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and the number of ids of each text."""
@@ -77,7 +99,9 @@ class SliceEncoder:
         if len(self.cache) > self.most:
             self.cache = {}
         cache = self.cache
-        cache[""] = b""
+        cache["\0"] = b""
+        if self.by_word:
+            cache[""] = b""
         flat = list(chain.from_iterable(slices))
         ids = list(map(cache.get, flat))
         if None in ids:
