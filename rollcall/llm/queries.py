@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.functions.spread import ensure_checkpoint_dir
-from rollcall.llm import byte_bpe, exact_dedup, ngram_join, packing, quality, substring_dedup, token_file, url_filter
+from rollcall.llm import byte_bpe, exact_dedup, ngram_join, packing, quality, substring_dedup, token_file, toxicity, url_filter
 from rollcall.llm.common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -125,3 +125,11 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op5_substring_dedup"] = op5_substring_dedup
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document by its nearest labelled examples."""
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+QUERIES["op4_toxicity"] = op4_toxicity
