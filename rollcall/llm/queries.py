@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.functions.spread import ensure_checkpoint_dir
-from rollcall.llm import byte_bpe, exact_dedup, ngram_join, packing, quality, substring_dedup, token_file, toxicity, url_filter
+from rollcall.llm import byte_bpe, exact_dedup, ngram_join, nn_descent, packing, quality, substring_dedup, token_file, toxicity, url_filter
 from rollcall.llm.common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -133,3 +133,11 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op4_toxicity"] = op4_toxicity
+
+
+def op2_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return nn_descent.nearest(table(spark, folder, "embeddings"))
+
+
+QUERIES["op2_nn_descent"] = op2_nn_descent
