@@ -37,12 +37,12 @@ def lowest_states(df: DataFrame, k: int = 10) -> DataFrame:
 
 
 def penetration(df: DataFrame, population: DataFrame) -> DataFrame:
-    """Penetration in percent and monthly velocity per state."""
+    """Penetration in percent and monthly velocity (rounded half up) per state."""
     g = df.groupBy("state").agg(F.sum(total_enrolled()).alias("total"),
                                 F.countDistinct(F.trunc("date", "month")).alias("months"))
     g = g.join(population.select("state", "population"), "state", "left")
     return (g.withColumn("penetration_pct", F.col("total") * 100.0 / F.nullif("population", F.lit(0)))
-             .withColumn("monthly_velocity", F.expr("total div months")))
+             .withColumn("monthly_velocity", F.expr("(2 * total + months) div (2 * months)")))
 
 
 def penetration_summary(p: DataFrame) -> DataFrame:
@@ -88,10 +88,12 @@ def male_milli(state: Column) -> Column:
 
 
 def gender_ratios(g: DataFrame) -> DataFrame:
-    both = F.nullif(F.col("male") + F.col("female"), F.lit(0))
-    return (g.withColumn("male_ratio", F.col("male") / both).withColumn("female_ratio", F.col("female") / both)
-             .withColumn("gender_gap", (F.col("male") - F.col("female")) / both)
-             .withColumn("female_per_male", F.col("female") / F.nullif("male", F.lit(0))))
+    """Shares of the total enrolment (of male and female where no ``total`` is given); 0 where there is none."""
+    whole = F.nullif(F.col("total") if "total" in g.columns else F.col("male") + F.col("female"), F.lit(0))
+    share = lambda x, of: F.coalesce(x / of, F.lit(0.0))
+    return (g.withColumn("male_ratio", share(F.col("male"), whole)).withColumn("female_ratio", share(F.col("female"), whole))
+             .withColumn("gender_gap", share(F.col("male") - F.col("female"), whole))
+             .withColumn("female_per_male", share(F.col("female"), F.nullif("male", F.lit(0)))))
 
 
 def gender_coverage(df: DataFrame, ratios: DataFrame | None = None, by: Sequence[str] = ("state", "district")) -> DataFrame:
@@ -291,8 +293,8 @@ def normal_vs_anomalous(df: DataFrame, features: Sequence[str], flag: Column, k:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlations of at most 15 columns, in one aggregate."""
-    cols = list(columns)[:15]
+    """Pearson correlations of all given columns, in one aggregate."""
+    cols = list(columns)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
     cells = []
@@ -331,14 +333,14 @@ def region_score_heat(df: DataFrame, geo: str, k: int) -> DataFrame:
 
 
 def auditor_summary(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Bands, states above .5 (five), pattern of the widest feature, monthly spikes; as (section, item, value)."""
+    """Bands, states above .5 (five), the five widest features, months above 1.5 times the mean; as (section, item, value)."""
     bands = risk_bands(df, "score", [("high", 0.8), ("medium", 0.5), ("low", 0.0)], closed=False)
     part = lambda x, sec: x.select(F.lit(sec).alias("section"), F.col("item"), F.col("value").cast("double").alias("value"))
     b = bands.select(F.explode(F.array(*[F.struct(F.lit(n).alias("item"), F.col(n).alias("value")) for n in ("high", "medium", "low")])).alias("e")).select("e.*")
-    states = (df.groupBy("state").agg(F.avg("score").alias("value")).filter("value > 0.3")
+    states = (df.groupBy("state").agg(F.avg("score").alias("value")).filter("value > 0.5")
                 .orderBy(F.desc("value"), "state").limit(5).withColumnRenamed("state", "item"))
-    diff = normal_vs_anomalous(df, features, F.col("score") > 0.5, 1).select(F.col("feature").alias("item"), F.col("difference").alias("value"))
-    spikes = (monthly_score_trend(df).filter("spike_magnitude > 1.2")
+    diff = normal_vs_anomalous(df, features, F.col("score") > 0.5, 5).select(F.col("feature").alias("item"), F.col("difference").alias("value"))
+    spikes = (monthly_score_trend(df).filter("spike_magnitude > 1.5")
               .select(F.col("month").cast("string").alias("item"), F.col("spike_magnitude").alias("value")))
     return part(b, "band").unionByName(part(states, "state")).unionByName(part(diff, "pattern")).unionByName(part(spikes, "spike"))
 

@@ -36,9 +36,14 @@ STATE_ALIASES = {
     "orissa": "Odisha",
     "west bangal": "West Bengal",
     "westbengal": "West Bengal",
-    "saudiarabia": "Saudi Arabia",
-    "unitedkingdom": "United Kingdom",
-    "unitedstates": "United States",
+    "jammu and kashmir": "Jammu & Kashmir",
+    "andaman and nicobar": "Andaman And Nicobar Islands",
+    "dadra and nagar haveli": "Dadra And Nagar Haveli And Daman And Diu",
+    "daman and diu": "Dadra And Nagar Haveli And Daman And Diu",
+    "national capital territory of delhi": "NCT of Delhi",
+    "uttaranchal": "Uttarakhand",
+    "pondicherry": "Puducherry",
+    "chattisgarh": "Chhattisgarh",
 }
 
 
@@ -263,17 +268,22 @@ def extreme_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 # ---------------------------------------------------------------- encoding, scaling
 
+UNKNOWN = "UNKNOWN"
+
+
 def encoding_table(df: DataFrame, column: str) -> DataFrame:
-    """Sorted distinct values with codes 0..n-1, numbered across range partitions."""
-    values = df.filter(F.col(column).isNotNull()).select(column).distinct().withColumn("_one", F.lit(1))
+    """Sorted distinct values, ``UNKNOWN`` among them, with codes 0..n-1, numbered across range partitions."""
+    values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("string").alias(column))
+    unknown = df.sparkSession.createDataFrame([(UNKNOWN,)], f"`{column}` string")
+    values = values.unionByName(unknown).distinct().withColumn("_one", F.lit(1))
     return spread.running(values, [], [column], {"code": "_one"}).select(column, F.col("code_before").alias("code"))
 
 
 def label_encode(df: DataFrame, column: str, table: DataFrame | None = None, out: str | None = None) -> DataFrame:
-    """Codes from ``table`` (fitted earlier) or from ``df``; unseen values get the next code."""
+    """Codes from ``table`` (fitted earlier) or from ``df``; NULL and unseen values get the code of ``UNKNOWN``."""
     out = out or f"{column}_code"
     codes = spread.pin(table if table is not None else encoding_table(df, column))
-    n = codes.agg(F.count(F.lit(1)).alias("_n"))
+    n = codes.agg(F.max(F.when(F.col(column) == UNKNOWN, F.col("code"))).alias("_n"))
     joined = spread.join_stats(df, codes, [column])
     joined = spread.with_global(joined, n)
     return joined.withColumn(out, F.coalesce("code", "_n").cast("bigint")).drop("code", "_n")

@@ -107,7 +107,7 @@ def resolve_signals(requests: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def recommend_strategies(requests: DataFrame, keep: Sequence[str], k: int = 3) -> DataFrame:
-    """Strategies by matching signals, the k best per request, ties in catalogue order.
+    """Strategies by matching signals, the k best per request, ties in the order in which the signals reach them.
 
     Scored inside the row: no request is exploded before its list is cut to k.
     """
@@ -119,10 +119,13 @@ def recommend_strategies(requests: DataFrame, keep: Sequence[str], k: int = 3) -
         score = F.size(F.array_intersect("_sig", F.array(*[F.lit(m) for m in match]))).cast("double")
         if s in ("pattern_consistency", "cross_reference"):
             score = score + bonus
-        entries.append(F.struct((-score).alias("neg"), F.lit(i).alias("o"), F.lit(s).alias("strategy")))
+        # place of the first signal that reaches it, then its place in that signal's list; by vigilance alone: last
+        reached = [F.when(F.array_contains("_sig", F.lit(g)), F.array_position("_sig", F.lit(g)) * 100 + tables.SIGNAL_STRATEGIES[g].index(s)) for g in match]
+        first = F.coalesce(F.array_min(F.array_compact(F.array(*reached))) if reached else F.lit(None).cast("bigint"), F.lit(1_000_000 + i).cast("bigint"))
+        entries.append(F.struct((-score).alias("neg"), first.alias("o"), F.lit(s).alias("strategy")))
     out = requests.withColumn("_sig", sig)
     scored = F.array_sort(F.filter(F.array(*entries), lambda e: e["neg"] < 0))
-    fallback = F.array(F.struct(F.lit(0.0).alias("neg"), F.lit(0).alias("o"), F.lit("behavioral_baseline").alias("strategy")))
+    fallback = F.array(F.struct(F.lit(0.0).alias("neg"), F.lit(0).cast("bigint").alias("o"), F.lit("behavioral_baseline").alias("strategy")))
     out = out.withColumn("_top", F.slice(F.when(F.size(scored) == 0, fallback).otherwise(scored), 1, k))
     out = out.select(*keep, F.posexplode_outer("_top").alias("_p", "e"))
     return out.select(*keep, (F.col("_p") + 1).alias("rank"), "e.strategy", (-F.col("e.neg")).alias("score"),
@@ -159,7 +162,7 @@ def unified_risk(outputs: DataFrame, key: Sequence[str], vigilance: str = "stand
     w = F.coalesce(tables.lookup(tables.STRATEGY_WEIGHTS, F.col("strategy")), F.lit(0.15))
     g = outputs.groupBy(*key).agg((F.sum(F.col("raw_score") * w) / F.sum(w)).alias("_s"), F.avg("confidence").alias("_c"),
                                   F.count(F.lit(1)).alias("strategies"), F.sum("records_analyzed").alias("records"))
-    index = F.round(F.least(F.lit(1.0), F.col("_s") * tables.VIGILANCE_RISK[vigilance]) * 100.0).cast("bigint")
+    index = F.bround(F.least(F.lit(1.0), F.col("_s") * tables.VIGILANCE_RISK[vigilance]) * 100.0).cast("bigint")
     bonus = F.least(F.lit(0.15), F.col("strategies") * 0.03)
     penalty = F.when(F.col("records") < 100, 0.1).when(F.col("records") < 500, 0.05).otherwise(0.0)
     g = g.withColumn("risk_index", index).withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_c") + bonus - penalty)))

@@ -163,7 +163,7 @@ def _forecast_series(y: np.ndarray, d: int, seasonal: bool, periods: int, z: flo
         levels.append(levels[-1][s:] - levels[-1][:-s])
         steps.append(s)
     w = levels[-1]
-    lags = [1, period] if seasonal and len(w) > 3 * period else [1]
+    lags = [1, period] if seasonal and len(w) > period + 1 else [1]
     sse, coef, e, th, ths = _fit(w, lags, seasonal and len(lags) > 1, period)
     k = len(coef) + 1 + (1 if ths else 0)
     sigma2 = sse / max(1, len(e) - k)
@@ -208,7 +208,7 @@ def _forecast(df: DataFrame, group: str, date: str, value: str, periods: int, le
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("at")
         y = pdf["value"].to_numpy(dtype=float)
-        use_season = seasonal and len(y) >= 24 + 13
+        use_season = seasonal and len(y) >= 24
         diff = 1 if seasonal else int(pdf["d"].iloc[0])
         r = _forecast_series(y, diff, use_season, periods, z)
         label = f"({1},{diff},{1})" + ("(1,1,1,12)" if use_season else "")
@@ -225,7 +225,7 @@ def arima_forecast(df: DataFrame, group: str, date: str, value: str, periods: in
 
 
 def sarima_forecast(df: DataFrame, group: str, date: str, value: str, periods: int = 6, level: float = 0.95, min_points: int = 10) -> DataFrame:
-    """(1,1,1)(1,1,1,12) per group; short series drop the seasonal part."""
+    """(1,1,1)(1,1,1,12) per group from 24 points on; the label names the terms that were fitted."""
     return _forecast(df, group, date, value, periods, level, min_points, seasonal=True)
 
 

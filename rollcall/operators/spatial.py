@@ -52,8 +52,8 @@ def _as(df: DataFrame, key: str, x: str, y: str, tag: str, *more: str) -> DataFr
                      *[F.col(m).alias(f"{tag}_{m}") for m in more])
 
 
-def knn_neighbors(df: DataFrame, key: str, x: str, y: str, k: int = 5) -> DataFrame:
-    """Edges (i, j, rank, d, w) to the k nearest points, ties by key, w = 1/number of edges.
+def knn_neighbors(df: DataFrame, key: str, x: str, y: str, k: int = 5, donors: DataFrame | None = None) -> DataFrame:
+    """Edges (i, j, rank, d, w) to the k nearest points (of ``donors`` if given), ties by key, w = 1/number of edges.
 
     Equal positions are one site with at most k+1 members kept as candidates
     (no more can matter).  Cells start fine enough that none is crowded; sites
@@ -61,12 +61,13 @@ def knn_neighbors(df: DataFrame, key: str, x: str, y: str, k: int = 5) -> DataFr
     wide, so dense and sparse areas both stay cheap and the result is exact.
     """
     pts = spread.pin(_as(df, key, x, y, "i"))
-    box = pts.agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"),
+    givers = pts if donors is None else spread.pin(_as(donors, key, x, y, "i"))
+    box = (pts if donors is None else pts.unionByName(givers)).agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"),
                   F.count(F.lit(1)).alias("n")).first()
     if not box["n"]:
         return pts.select("i", F.col("i").alias("j"), F.lit(1).alias("rank"), F.lit(0.0).alias("d"), F.lit(0.0).alias("w"))
     extent = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-9)
-    members = pts.withColumn("_rn", F.row_number().over(W.partitionBy("ix", "iy").orderBy("i"))).filter(F.col("_rn") <= k + 1)
+    members = givers.withColumn("_rn", F.row_number().over(W.partitionBy("ix", "iy").orderBy("i"))).filter(F.col("_rn") <= k + 1)
     cand = spread.pin(members.select(F.col("i").alias("j"), F.col("ix").alias("jx"), F.col("iy").alias("jy")))
     todo = spread.pin(pts.select("ix", "iy").distinct())
 
@@ -334,13 +335,25 @@ def spatial_summary(z: DataFrame, moran: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- smoothing, grids
 
-def gauss_smooth(df: DataFrame, key: str, value: str, sigma: float = 1.0, lat: str = "lat", lon: str = "lon", reach: float = 6.0) -> DataFrame:
-    """Kernel-weighted mean; points beyond ``reach`` sigmas weigh less than 2e-8 and are left out."""
-    r = sigma * reach
-    pairs = near_pairs(_as(df, key, lat, lon, "i"), _as(df, key, lat, lon, "j", value), "ix", "iy", "jx", "jy", r)
-    pairs = pairs.withColumn("d", distance("ix", "iy", "jx", "jy")).filter(F.col("d") <= r)
+def gauss_smooth(df: DataFrame, key: str, value: str, sigma: float = 1.0, lat: str = "lat", lon: str = "lon", reach: float | None = None) -> DataFrame:
+    """Kernel-weighted mean over all points, or over those within ``reach`` sigmas if it is given.
+
+    Points are first folded to sites (equal positions) with their sum and
+    count; only sites meet, so the work follows the number of different places,
+    at most ``spread.BROADCAST_ROWS`` of them without a ``reach``.
+    """
+    sites = spread.pin(df.groupBy(F.col(lat).alias("jx"), F.col(lon).alias("jy")).agg(F.sum(value).alias("_s"), F.count(value).alias("_c")))
+    mine = sites.select(F.col("jx").alias("ix"), F.col("jy").alias("iy"))
+    if reach is None:
+        if sites.count() > spread.BROADCAST_ROWS:
+            raise ValueError("too many places to weigh each with each; give a reach")
+        pairs = mine.crossJoin(F.broadcast(sites)).withColumn("d", distance("ix", "iy", "jx", "jy"))
+    else:
+        pairs = near_pairs(mine, sites, "ix", "iy", "jx", "jy", sigma * reach)
+        pairs = pairs.withColumn("d", distance("ix", "iy", "jx", "jy")).filter(F.col("d") <= sigma * reach)
     w = F.exp(-F.col("d") * F.col("d") / (2.0 * sigma * sigma))
-    return pairs.groupBy(F.col("i").alias(key)).agg((F.sum(w * F.col(f"j_{value}")) / F.sum(w)).alias("smoothed"))
+    smooth = pairs.groupBy("ix", "iy").agg((F.sum(w * F.col("_s")) / F.sum(w * F.col("_c"))).alias("smoothed"))
+    return df.select(key, lat, lon).join(smooth, (F.col(lat) == F.col("ix")) & (F.col(lon) == F.col("iy")), "left").select(key, "smoothed")
 
 
 def idw_points(cells: DataFrame, points: DataFrame, value: str, power: float = 2.0, max_distance: float = 5.0) -> DataFrame:
@@ -460,9 +473,10 @@ def spatial_lag_rho(values: DataFrame, key: str, value: str, edges: DataFrame) -
 
 
 def impute_knn(df: DataFrame, key: str, x: str, y: str, target: str, k: int = 5) -> DataFrame:
-    """Missing ``target`` becomes the mean over the k nearest rows, else the global mean."""
-    edges = knn_neighbors(df, key, x, y, k)
-    near = edges.join(df.select(F.col(key).alias("j"), F.col(target).alias("_t")), "j").groupBy("i").agg(F.avg("_t").alias("_near"))
+    """Missing ``target`` becomes the mean over the k nearest rows that have it, else the global mean."""
+    donors = df.filter(F.col(target).isNotNull())
+    edges = knn_neighbors(df.filter(F.col(target).isNull()), key, x, y, k, donors)
+    near = edges.join(donors.select(F.col(key).alias("j"), F.col(target).alias("_t")), "j").groupBy("i").agg(F.avg("_t").alias("_near"))
     out = df.join(near, df[key] == near["i"], "left").drop("i")
     out = spread.with_global(out, df.agg(F.avg(target).alias("_mean")))
     return out.withColumn(target, F.coalesce(target, "_near", "_mean")).drop("_near", "_mean")

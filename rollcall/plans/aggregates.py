@@ -36,13 +36,13 @@ def lowest_states(d: Domain):
     return agg.lowest_states(d.enrolment())
 
 
-_PEN = f"""SELECT e.state, total, months, population, total*100e0/population AS penetration_pct, total//months AS monthly_velocity FROM
+_PEN = f"""SELECT e.state, total, months, population, total*100e0/population AS penetration_pct, (2*total+months)//(2*months) AS monthly_velocity FROM
  (SELECT state, {S(T, 'total')}, count(DISTINCT date_trunc('month', date)) AS months FROM enrol GROUP BY 1) e
- LEFT JOIN (SELECT * FROM regions WHERE zone<>'REGION_3') r ON e.state=r.state"""
+ LEFT JOIN regions r ON e.state=r.state"""
 
 
 def _pen(d: Domain):
-    return agg.penetration(d.enrolment(), d.regions().filter("zone <> 'REGION_3'"))
+    return agg.penetration(d.enrolment(), d.regions())
 
 
 @query("penetration", f"SELECT * REPLACE (round(penetration_pct,9) AS penetration_pct) FROM ({_PEN})")
@@ -72,8 +72,8 @@ _COV = "round(male_ratio,6) AS male_ratio, round(female_ratio,6) AS female_ratio
 
 
 @query("gender_coverage", f"""SELECT 'district' AS level, state, district, total, male, female, districts, records, {_COV} FROM coverage
- UNION ALL SELECT 'state', state, NULL, total, male, female, districts, records, {_COV} FROM (SELECT *, male/(male+female)::DOUBLE AS male_ratio,
- female/(male+female)::DOUBLE AS female_ratio, (male-female)/(male+female)::DOUBLE AS gender_gap, female/male::DOUBLE AS female_per_male FROM
+ UNION ALL SELECT 'state', state, NULL, total, male, female, districts, records, {_COV} FROM (SELECT *, coalesce(male/nullif(total,0)::DOUBLE,0) AS male_ratio,
+ coalesce(female/nullif(total,0)::DOUBLE,0) AS female_ratio, coalesce((male-female)/nullif(total,0)::DOUBLE,0) AS gender_gap, coalesce(female/nullif(male,0)::DOUBLE,0) AS female_per_male FROM
  (SELECT state, {S('total', 'total')}, {S('male', 'male')}, {S('female', 'female')}, count(*) AS districts, {S('records', 'records')} FROM coverage GROUP BY 1))""")
 def gender_coverage(d: Domain):
     dist = agg.gender_coverage(d.enrolment(), views.ratios(d)).withColumn("level", F.lit("district"))
@@ -259,9 +259,9 @@ def risk_summary(d: Domain):
 @query("auditor_summary", f"""SELECT section, item, round(value,6)+0e0 AS value FROM (
  SELECT 'band' AS section, 'high' AS item, count_if(score>0.8e0)::DOUBLE AS value FROM scored UNION ALL SELECT 'band','medium', count_if(score>0.5e0 AND score<=0.8e0) FROM scored
  UNION ALL SELECT 'band','low', count_if(score<=0.5e0 AND score>0) FROM scored
- UNION ALL SELECT * FROM (SELECT 'state', state, avg(score) AS v FROM scored GROUP BY 2 HAVING avg(score)>0.3e0 ORDER BY v DESC, state LIMIT 5)
- UNION ALL SELECT * FROM (SELECT 'pattern', feature, anomalous_mean-normal_mean FROM ({_NVA.replace('score<0.5e0', 'score<=0.5e0').replace('score>=0.5e0', 'score>0.5e0')}) ORDER BY abs(anomalous_mean-normal_mean) DESC, feature LIMIT 1)
- UNION ALL SELECT 'spike', CAST(month AS VARCHAR), spike_magnitude FROM ({_MST}) WHERE spike_magnitude>1.2e0)""")
+ UNION ALL SELECT * FROM (SELECT 'state', state, avg(score) AS v FROM scored GROUP BY 2 HAVING avg(score)>0.5e0 ORDER BY v DESC, state LIMIT 5)
+ UNION ALL SELECT * FROM (SELECT 'pattern', feature, anomalous_mean-normal_mean FROM ({_NVA.replace('score<0.5e0', 'score<=0.5e0').replace('score>=0.5e0', 'score>0.5e0')}) ORDER BY abs(anomalous_mean-normal_mean) DESC, feature LIMIT 5)
+ UNION ALL SELECT 'spike', CAST(month AS VARCHAR), spike_magnitude FROM ({_MST}) WHERE spike_magnitude>1.5e0)""")
 def auditor_summary(d: Domain):
     return rounded(agg.auditor_summary(views.scored(d), _FEATS))
 

@@ -109,7 +109,6 @@ _HAS = lambda p: f"bool_or(regexp_matches(feature,'{p}'))"
 VIEW_SQL["pat"] = f"""SELECT rid, order_id, line_no, score, CASE WHEN count(*) FILTER (WHERE regexp_matches(feature,'state|district|pincode|geo'))>=2 THEN '{ex.PATTERNS['geo']}' WHEN {_HAS('operator|center')} THEN '{ex.PATTERNS['operator']}'
  WHEN bool_or(regexp_matches(feature,'count|total') AND z>2) THEN '{ex.PATTERNS['volume']}' WHEN {_HAS('weekend|month_end|month_start|day_of_week')} THEN '{ex.PATTERNS['temporal']}' WHEN {_HAS('bio')} THEN '{ex.PATTERNS['bio']}'
  WHEN {_HAS('demo')} THEN '{ex.PATTERNS['demo']}' WHEN {_HAS('enrolment|age')} THEN '{ex.PATTERNS['age']}' ELSE '{ex.PATTERNS['other']}' END AS pattern FROM attr WHERE rn<={{k}} GROUP BY 1,2,3,4"""
-VIEW_SQL["pat2"] = VIEW_SQL["pat"].replace("{k}", "2")
 VIEW_SQL["pat"] = VIEW_SQL["pat"].replace("{k}", "5")
 
 
@@ -119,9 +118,9 @@ def reasons(d: Domain):
     return a.select(*KEY, F.array_join(ex.reasons(F.col("contributors"), F.col("score")), "|").alias("reasons"))
 
 
-@query("fraud_pattern", "SELECT order_id, line_no, pattern FROM pat2")
+@query("fraud_pattern", "SELECT order_id, line_no, pattern FROM pat")
 def fraud_pattern(d: Domain):
-    a = ex.attribution(feats(d), FEATS, 2)
+    a = ex.attribution(feats(d), FEATS, 5)
     return a.select(*KEY, ex.fraud_pattern(F.col("contributors")).alias("pattern"))
 
 

@@ -38,10 +38,9 @@ def join_boundaries(d: Domain):
 
 
 @query("join_population", """SELECT district, d.state, enrolments, r.population, round(enrolments*100e0/r.population,9) AS penetration_pct
- FROM districts d LEFT JOIN (SELECT * FROM regions WHERE zone<>'REGION_2') r ON d.state=r.state""")
+ FROM districts d LEFT JOIN regions r ON d.state=r.state""")
 def join_population(d: Domain):
-    pop = d.regions().filter("zone <> 'REGION_2'")
-    return rounded(joins.join_population(d.districts().select("district", "state", "enrolments"), pop, ["state"], "enrolments"), 9)
+    return rounded(joins.join_population(d.districts().select("district", "state", "enrolments"), d.regions(), ["state"], "enrolments"), 9)
 
 
 @query("enrich_group_stat", """SELECT record_id, district, count(*) OVER (PARTITION BY district) AS district_rows,

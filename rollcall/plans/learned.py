@@ -25,7 +25,7 @@ def docs(d: Domain):
 
 @query("isolation_forest")
 def isolation_forest(d: Domain):
-    out = mo.isolation_forest(emb(d), "vec_id", "x", trees=50, sample=128)
+    out = mo.isolation_forest(emb(d), "vec_id", "x")
     return rounded(out.select("vec_id", "iforest", "is_anomaly"))
 
 
@@ -80,8 +80,8 @@ def dbscan_labels(d: Domain):
 
 @query("kmeans_clusters")
 def kmeans_clusters(d: Domain):
-    """Best silhouette of 2..6 on the behaviour columns, with a risk word per cluster."""
-    c = mo.kmeans_clusters(behav(d), ["x", "y"], max_k=6)
+    """Best silhouette of 2..10 on the behaviour columns, with a risk word per cluster."""
+    c = mo.kmeans_clusters(behav(d), ["x", "y"], max_k=10)
     return rounded(mo.cluster_risk(c, "cluster", ["x", "y"]))
 
 
@@ -126,6 +126,6 @@ def permutation_importance(d: Domain):
     e = d.enrolment().select("record_id", "age_0_5", "age_5_17", "age_18_greater")
     cols = ["age_0_5", "age_5_17", "age_18_greater"]
     arr = F.array(*[F.col(c).cast("double") for c in cols])
-    forest = spread.pin(mo.fit_isolation_forest(e.select("record_id", arr.alias("x")), "record_id", "x", trees=30, sample=128))
+    forest = spread.pin(mo.fit_isolation_forest(e.select("record_id", arr.alias("x")), "record_id", "x"))
     score = lambda t: mo.score_isolation_forest(t.withColumn("_x", arr), forest, "_x", "score").drop("_x")
     return rounded(mo.permutation_importance(e, "record_id", cols, score))

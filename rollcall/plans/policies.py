@@ -92,12 +92,13 @@ def resolve_signals(d: Domain):
     return rounded(policy.resolve_signals(requests(d), ["event_id"]))
 
 
-_CAT = "(VALUES " + ",".join(f"({i},'{s}')" for i, s in enumerate(tables.STRATEGIES)) + ")"
+_REACH = "(VALUES " + ",".join(f"('{intent}', '{strategy}', {(i + 1) * 100 + j})" for intent, signals in tables.INTENT_SIGNALS.items()
+                              for i, signal in enumerate(signals) for j, strategy in enumerate(tables.SIGNAL_STRATEGIES.get(signal, ()))) + ")"
 
 
 @query("recommend_strategies", f"""SELECT event_id, rn AS rank, strategy, score, CASE WHEN score>=2 THEN 'High' ELSE 'Standard' END AS confidence FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY score DESC, o) AS rn FROM (
- SELECT event_id, strategy, o, sum(p)::DOUBLE AS score FROM (SELECT event_id, m.v AS strategy, 1e0 AS p FROM requests JOIN {tables.values_sql(tables.INTENT_SIGNALS)} i(k,v) ON intent=i.k JOIN {tables.values_sql(tables.SIGNAL_STRATEGIES)} m(k,v) ON i.v=m.k
-  UNION ALL SELECT event_id, unnest(['pattern_consistency','cross_reference']), 0.5e0 FROM requests WHERE vigilance IN ('enhanced','maximum')) JOIN {_CAT} c(o,s) ON strategy=c.s GROUP BY 1,2,3)) WHERE rn<=3
+ SELECT event_id, strategy, min(pos) AS o, sum(p)::DOUBLE AS score FROM (SELECT event_id, r.strategy, 1e0 AS p, r.pos FROM requests JOIN {_REACH} r(k, strategy, pos) ON intent=r.k
+  UNION ALL SELECT event_id, v.strategy, 0.5e0, v.pos FROM requests, (VALUES ('pattern_consistency', 1000001), ('cross_reference', 1000002)) v(strategy, pos) WHERE vigilance IN ('enhanced','maximum')) GROUP BY 1,2)) WHERE rn<=3
  UNION ALL SELECT event_id, 1, 'behavioral_baseline', 0e0, 'Standard' FROM requests WHERE vigilance NOT IN ('enhanced','maximum') AND intent IS NULL""")
 def recommend_strategies(d: Domain):
     return policy.recommend_strategies(requests(d), ["event_id"])
@@ -140,7 +141,7 @@ _UW = "CASE strategy " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in tables.ST
 
 @query("unified_risk", f"""SELECT state, strategies, records, risk_index, CASE WHEN risk_index<=30 THEN 'Low' WHEN risk_index<=60 THEN 'Medium' WHEN risk_index<=85 THEN 'High' ELSE 'Critical' END AS risk_level, round(c,6) AS confidence,
  CASE WHEN c<0.4e0 THEN 'Low' WHEN c<0.6e0 THEN 'Moderate' WHEN c<0.8e0 THEN 'High' ELSE 'Very High' END AS confidence_level FROM (SELECT state, count(*) AS strategies, CAST(sum(records_analyzed) AS BIGINT) AS records,
- CAST(round(least(1e0, sum(raw_score*{_UW})/sum({_UW})*1.15e0)*100e0) AS BIGINT) AS risk_index, least(1e0, greatest(0e0, avg(confidence)+least(0.15e0, count(*)*0.03e0)-CASE WHEN sum(records_analyzed)<100 THEN 0.1e0 WHEN sum(records_analyzed)<500 THEN 0.05e0 ELSE 0e0 END)) AS c FROM souts GROUP BY 1)""")
+ CAST(round_even(least(1e0, sum(raw_score*{_UW})/sum({_UW})*1.15e0)*100e0, 0) AS BIGINT) AS risk_index, least(1e0, greatest(0e0, avg(confidence)+least(0.15e0, count(*)*0.03e0)-CASE WHEN sum(records_analyzed)<100 THEN 0.1e0 WHEN sum(records_analyzed)<500 THEN 0.05e0 ELSE 0e0 END)) AS c FROM souts GROUP BY 1)""")
 def unified_risk(d: Domain):
     return rounded(policy.unified_risk(strategy_outputs(d), ["state"], "enhanced"))
 

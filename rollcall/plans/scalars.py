@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rollcall.functions import scalar, tables
+from rollcall.functions import scalar, spread, tables
 from rollcall.operators import policy_text
 from rollcall.plans import views
 from rollcall.plans.registry import query, rounded
@@ -62,10 +62,10 @@ for _s in "abcde":
 
 @query("color_scale", """SELECT record_id, CASE WHEN z>2.58e0 THEN '#DC143C' WHEN z>1.96e0 THEN '#FF8C00' WHEN z>1.65e0 THEN '#FFD700' WHEN z>-1.65e0 THEN '#FFFACD' WHEN z>-1.96e0 THEN '#87CEEB'
  WHEN z>-2.58e0 THEN '#4169E1' ELSE '#00008B' END AS z_color, concat('#', printf('%02x', CASE WHEN n<0.5e0 THEN 255 ELSE CAST(floor(255e0*(2e0-n*2e0)) AS INT) END),
- printf('%02x', CASE WHEN n<0.5e0 THEN CAST(floor(255e0*(n*2e0)) AS INT) ELSE 255 END), '00') AS value_color FROM (SELECT *, (z-(-3e0))/(3e0-(-3e0)) AS n FROM (SELECT record_id, z FROM zs WHERE abs(z)<3e0))""")
+ printf('%02x', CASE WHEN n<0.5e0 THEN CAST(floor(255e0*(n*2e0)) AS INT) ELSE 255 END), '00') AS value_color FROM (SELECT *, (z-lo)/(hi-lo) AS n FROM (SELECT record_id, z FROM zs), (SELECT min(z) AS lo, max(z) AS hi FROM zs))""")
 def color_scale(d: Domain):
-    z = zs(d).filter(F.abs("z") < 3)
-    return z.select("record_id", scalar.z_color(F.col("z")).alias("z_color"), scalar.value_color(F.col("z"), F.lit(-3.0), F.lit(3.0)).alias("value_color"))
+    z = spread.with_totals(zs(d), F.min("z").alias("_lo"), F.max("z").alias("_hi"))
+    return z.select("record_id", scalar.z_color(F.col("z")).alias("z_color"), scalar.value_color(F.col("z"), F.col("_lo"), F.col("_hi")).alias("value_color"))
 
 
 @query("risk_level", "SELECT order_id, line_no, CASE WHEN score>=0.75e0 THEN 'Critical' WHEN score>=0.6e0 THEN 'High' ELSE 'Moderate' END AS level FROM scored")
@@ -88,11 +88,12 @@ def inclusion_risk_level(d: Domain):
     return d.enrolment().select("record_id", scalar.inclusion_risk_level(F.expr(f"age_18_greater*100 div greatest({TOTAL},1)")).alias("level"))
 
 
-@query("format_amount", """SELECT record_id, CASE WHEN x>=10000000 THEN printf('%.2f Cr', x/1e7) WHEN x>=100000 THEN printf('%.2f L', x/1e5) WHEN x>=1000 THEN printf('%.1f K', x/1e3) ELSE printf('%.0f', x::DOUBLE) END AS rupees,
- CASE WHEN x>=1000000 THEN printf('%.2fM', x/1e6) WHEN x>=1000 THEN printf('%.2fK', x/1e3) ELSE printf('%.2f', x::DOUBLE) END AS short FROM (
- SELECT record_id, ((age_0_5+age_5_17+age_18_greater)*(1+record_id%9973))*2+1 AS x FROM enrol) WHERE x%10<>5""")
+@query("format_amount", """SELECT record_id, CASE WHEN x>=10000000 THEN printf('%d.%02d Cr', (x*100+5000000)//1000000000, (x*100+5000000)//10000000%100) WHEN x>=100000 THEN printf('%d.%02d L', (x*100+50000)//10000000, (x*100+50000)//100000%100)
+ WHEN x>=1000 THEN printf('%d.%d K', (x*10+500)//10000, (x*10+500)//1000%10) ELSE printf('%d', x) END AS rupees,
+ CASE WHEN x>=1000000 THEN printf('%d.%02dM', (x*100+500000)//100000000, (x*100+500000)//1000000%100) WHEN x>=1000 THEN printf('%d.%02dK', (x*100+500)//100000, (x*100+500)//1000%100) ELSE printf('%d.00', x) END AS short FROM (
+ SELECT record_id, ((age_0_5+age_5_17+age_18_greater)*(1+record_id%9973))*2+1 AS x FROM enrol)""")
 def format_amount(d: Domain):
-    x = d.enrolment().select("record_id", F.expr(f"({TOTAL})*(1+record_id%9973)*2+1").alias("i")).filter("i % 10 <> 5").withColumn("x", F.col("i").cast("double"))
+    x = d.enrolment().select("record_id", F.expr(f"({TOTAL})*(1+record_id%9973)*2+1").alias("i")).withColumn("x", F.col("i").cast("double"))
     return x.select("record_id", scalar.format_rupees(F.col("x")).alias("rupees"), scalar.format_short(F.col("x")).alias("short"))
 
 

@@ -87,7 +87,7 @@ def adf_stationarity(d: Domain):
 
 @query("arima_forecast")
 def arima_forecast(d: Domain):
-    e = d.enrolment().filter("date < '2001-08-01'").select("district", F.trunc("date", "month").alias("month"), F.expr(TOTAL).alias("v"))
+    e = d.finished_months().select("district", F.trunc("date", "month").alias("month"), F.expr(TOTAL).alias("v"))
     return rounded(se.arima_forecast(e, "district", "month", "v"), 4)
 
 

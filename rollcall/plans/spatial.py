@@ -76,7 +76,8 @@ def grid_cross_points(d: Domain):
 
 
 @query("impute_knn", """SELECT p.id, round(coalesce(b, m, g),6) AS balance FROM (SELECT id, CASE WHEN id%11<>0 THEN balance END AS b FROM places) p
- LEFT JOIN (SELECT i, avg(CASE WHEN j%11<>0 THEN balance END) AS m FROM pknn JOIN places ON j=id GROUP BY 1) n ON p.id=n.i, (SELECT avg(balance) g FROM places WHERE id%11<>0)""")
+ LEFT JOIN (SELECT i, avg(balance) AS m FROM (SELECT a.id AS i, b.balance, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.lat-b.lat)*(a.lat-b.lat)+(a.lon-b.lon)*(a.lon-b.lon)), b.id) AS rn
+  FROM places a JOIN places b ON b.id%11<>0 WHERE a.id%11=0) WHERE rn<=5 GROUP BY 1) n ON p.id=n.i, (SELECT avg(balance) g FROM places WHERE id%11<>0)""")
 def impute_knn(d: Domain):
     p = places(d).withColumn("balance", F.when(F.col("id") % 11 != 0, F.col("balance")))
     return rounded(sp.impute_knn(p, "id", "lat", "lon", "balance", 5).select("id", "balance"))
@@ -168,7 +169,7 @@ def gi_star(d: Domain):
 @query("gi_star_permutation")
 def gi_star_permutation(d: Domain):
     v = inten(d)
-    return rounded(sp.gi_star_permutation(v, "district", "intensity", dknn(v), 199))
+    return rounded(sp.gi_star_permutation(v, "district", "intensity", dknn(v), 999))
 
 
 @query("hotspots", "SELECT district, round(gi_z,6) AS gi_z FROM gik WHERE gi_z>1.2e0")
@@ -194,7 +195,7 @@ def spatial_summary(d: Domain):
 
 # ---------------------------------------------------------------- smoothing, grids
 
-@query("gauss_smooth", f"""SELECT i AS district, round(sum(exp(-d*d/2e0)*x)/sum(exp(-d*d/2e0)),9)+0e0 AS smoothed FROM (SELECT a.district AS i, b.intensity AS x, {_D} AS d FROM dinten a JOIN dinten b ON {_D}<=6e0) GROUP BY 1""")
+@query("gauss_smooth", f"""SELECT i AS district, round(sum(exp(-d*d/2e0)*x)/sum(exp(-d*d/2e0)),9)+0e0 AS smoothed FROM (SELECT a.district AS i, b.intensity AS x, {_D} AS d FROM dinten a CROSS JOIN dinten b) GROUP BY 1""")
 def gauss_smooth(d: Domain):
     return rounded(sp.gauss_smooth(sp.intensity(d.districts()), "district", "intensity"), 9)
 

@@ -40,8 +40,8 @@ def coverage(d: Domain) -> DataFrame:
 
 
 VIEW_SQL["coverage"] = """SELECT state, district, total, male, female, districts, records,
- male/(male+female)::DOUBLE AS male_ratio, female/(male+female)::DOUBLE AS female_ratio,
- (male-female)/(male+female)::DOUBLE AS gender_gap, female/male::DOUBLE AS female_per_male FROM (
+ coalesce(male/nullif(total,0)::DOUBLE,0) AS male_ratio, coalesce(female/nullif(total,0)::DOUBLE,0) AS female_ratio,
+ coalesce((male-female)/nullif(total,0)::DOUBLE,0) AS gender_gap, coalesce(female/nullif(male,0)::DOUBLE,0) AS female_per_male FROM (
  SELECT state, district, CAST(sum(t) AS BIGINT) AS total, CAST(sum((t*m+500)//1000) AS BIGINT) AS male,
  CAST(sum((t*(1000-m)+500)//1000) AS BIGINT) AS female, CAST(1 AS BIGINT) AS districts, count(*) AS records FROM (
  SELECT e.state, district, age_0_5+age_5_17+age_18_greater AS t, male_milli AS m FROM enrol e JOIN ratios r ON e.state=r.state)

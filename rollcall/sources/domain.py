@@ -11,6 +11,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rollcall.functions import spread
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -84,13 +86,14 @@ class Domain:
 
     def districts(self) -> DataFrame:
         """One row per district: place, population, this and the previous year's enrolment."""
-        e = self.enrolment()
+        e = spread.with_totals(self.enrolment(), F.max("date").alias("_last"))
         total = F.col("age_0_5") + F.col("age_5_17") + F.col("age_18_greater")
-        year = F.year("date")
+        # the last year that is complete, and the one before
+        year = F.year("date") - (F.year(F.date_add("_last", 1)) - 1)
         agg = e.groupBy("state", "district").agg(
             F.sum(total).alias("enrolments"),
-            F.sum(F.when(year == 2000, total).otherwise(0)).alias("current"),
-            F.sum(F.when(year == 1999, total).otherwise(0)).alias("previous"))
+            F.sum(F.when(year == 0, total).otherwise(0)).alias("current"),
+            F.sum(F.when(year == -1, total).otherwise(0)).alias("previous"))
         seg = (F.instr(F.lit("ABFHM"), F.substring(F.element_at(F.split("district", "_"), -1), 1, 1)) - 1)
         return (agg.join(self.regions(), "state").withColumn("_s", seg)
                    .select("state", "district", "zone",
@@ -99,12 +102,16 @@ class Domain:
                            F.expr("population div 5 + _s * 1000").alias("population"),
                            "enrolments", "current", "previous"))
 
+    def finished_months(self) -> DataFrame:
+        """Enrolment without the last month, unless that one is complete."""
+        e = spread.with_totals(self.enrolment(), F.max("date").alias("_last"))
+        end = F.when(F.col("_last") < F.last_day("_last"), F.trunc("_last", "month")).otherwise(F.date_add("_last", 1))
+        return e.filter(F.col("date") < end).drop("_last")
+
     def months(self) -> DataFrame:
         """State by month series of enrolment totals; the unfinished last month is left out."""
-        e = self.enrolment()
         total = F.col("age_0_5") + F.col("age_5_17") + F.col("age_18_greater")
-        return (e.filter(F.col("date") < F.to_date(F.lit("2001-08-01")))
-                 .groupBy("state", F.trunc("date", "month").alias("month"))
+        return (self.finished_months().groupBy("state", F.trunc("date", "month").alias("month"))
                  .agg(F.sum(total).alias("value")))
 
 
@@ -134,13 +141,13 @@ VIEW_SQL = {
     "districts": """SELECT d.state, d.district, zone, lat+(s-2)*0.5e0 AS lat, lon+(s%3-1)*0.5e0 AS lon,
   population//5+s*1000 AS population, enrolments, current, previous
   FROM (SELECT state, district, CAST(sum(age_0_5+age_5_17+age_18_greater) AS BIGINT) AS enrolments,
-    CAST(sum(CASE WHEN year(date)=2000 THEN age_0_5+age_5_17+age_18_greater ELSE 0 END) AS BIGINT) AS current,
-    CAST(sum(CASE WHEN year(date)=1999 THEN age_0_5+age_5_17+age_18_greater ELSE 0 END) AS BIGINT) AS previous,
+    CAST(sum(CASE WHEN year(date)=year(last+1)-1 THEN age_0_5+age_5_17+age_18_greater ELSE 0 END) AS BIGINT) AS current,
+    CAST(sum(CASE WHEN year(date)=year(last+1)-2 THEN age_0_5+age_5_17+age_18_greater ELSE 0 END) AS BIGINT) AS previous,
     CAST(instr('ABFHM', substr(split_part(district,'_',-1),1,1))-1 AS BIGINT) AS s
-    FROM enrol GROUP BY state, district) d JOIN regions r ON d.state=r.state""",
+    FROM enrol, (SELECT max(date) AS last FROM enrol) GROUP BY state, district) d JOIN regions r ON d.state=r.state""",
     "months": """SELECT state, CAST(date_trunc('month', date) AS DATE) AS month,
   CAST(sum(age_0_5+age_5_17+age_18_greater) AS BIGINT) AS value
-  FROM enrol WHERE date < DATE '2001-08-01' GROUP BY 1, 2""",
+  FROM enrol WHERE date < (SELECT CASE WHEN max(date) < last_day(max(date)) THEN CAST(date_trunc('month', max(date)) AS DATE) ELSE max(date)+1 END FROM enrol) GROUP BY 1, 2""",
 }
 
 
