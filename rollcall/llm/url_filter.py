@@ -27,6 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.functions.spread import small
 from rollcall.llm.common import ascii_lower, hold
 
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -49,6 +50,8 @@ def best_rule(rules: Sequence[tuple[str, str, str]]) -> Column:
                    F.struct(F.lit(len(h + p)).alias("size"), F.lit(len(h)).alias("host_size"),
                             F.lit(h + p).alias("rule"), F.lit(action).alias("action")))
             for action, h, p in rules]
+    if not fits:
+        return F.lit(None).cast("struct<size:int,host_size:int,rule:string,action:string>")
     return F.array_max(F.array_compact(F.array(*fits)))
 
 
@@ -65,7 +68,8 @@ def path_templates(parts: DataFrame, max_branch: int = 32) -> DataFrame:
             .groupBy("host", "depth", "before").agg(F.count(F.lit(1)).alias("children"))
             .filter(F.col("children") > max_branch)
             .select(F.col("host").alias("_h"), F.col("depth").alias("_d"), F.col("before").alias("_b"), F.lit(True).alias("variable")))
-    token = segment.join(wide, (F.col("host") == F.col("_h")) & (F.col("depth") == F.col("_d"))
+    # broadcast only when proven small; a larger table is joined by shuffling
+    token = segment.join(small(wide), (F.col("host") == F.col("_h")) & (F.col("depth") == F.col("_d"))
                          & (F.col("before") == F.col("_b")), "left")
     token = token.select("page_id", "depth", F.when(F.col("variable"), F.lit("*")).otherwise(F.col("seg")).alias("seg"))
     lists = token.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("depth", "seg"))).alias("s"))
