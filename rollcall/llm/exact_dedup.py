@@ -255,15 +255,15 @@ def drop_copies(docs: DataFrame, keep: str = "max", normalise: bool = True) -> D
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     body = ascii_lower(text) if normalise else text
     verdict = exact_dedup(docs, keep, normalise)
-    stays = verdict.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_digest", F.sha2(body.cast("binary"), 256))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha"))
+    stays = verdict.filter("kept").select(F.col("doc_id").alias("__dup_id"), F.col("text_sha256").alias("__dup_sha"))
+    marked = docs.withColumn("__dup_digest", F.sha2(body.cast("binary"), 256))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__dup_id")) & (F.col("__dup_digest") == F.col("__dup_sha"))
     left = marked.join(stays, same, "left_semi")
     # rows equal in id and digest all found the one that stays: keep the first of each such pair
     twice = verdict.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+        F.col("doc_id").alias("__dup_id"), F.col("text_sha256").alias("__dup_sha"))
     if not twice.limit(1).count():
-        return left.drop("_digest")
+        return left.drop("__dup_digest")
     single = left.join(twice, same, "left_anti")
-    several = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "_digest"])
-    return single.unionByName(several).drop("_digest")
+    several = left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__dup_digest"])
+    return single.unionByName(several).drop("__dup_digest")

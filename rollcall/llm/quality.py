@@ -105,17 +105,21 @@ class QualityModel:
     def __init__(self, weights: list[float] | None, base: float, paths: DataFrame | None):
         self.weights, self.base, self.paths = weights, base, paths
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with ``evidence`` (log odds of bad), ``path_share`` and ``score`` (probability of good) added."""
+    def score(self, docs: DataFrame, measured: str | None = None) -> DataFrame:
+        """``docs`` with ``__evidence`` (log odds of bad), ``__path_share`` and ``__score`` (probability of good).
+
+        ``measured`` names a column of ``docs`` that holds the features already.
+        """
         if self.weights is None:
-            return docs.withColumns({"evidence": F.lit(0.0), "path_share": F.lit(0.0), "score": F.lit(1.0)})
-        seen = docs if "_f" in docs.columns else docs.withColumn("_f", features(F.col("text").cast("string")))
-        seen = seen.withColumn("evidence", linear(self.weights, "_f")).drop("_f")
-        table = self.paths.select(F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("path_share"))
-        out = seen.join(table, F.col("source").eqNullSafe(F.col("_s")) & F.col("lang").eqNullSafe(F.col("_l")), "left")
+            return docs.withColumns({"__evidence": F.lit(0.0), "__path_share": F.lit(0.0), "__score": F.lit(1.0)})
+        seen = docs.withColumn("__features", F.col(measured) if measured else features(F.col("text").cast("string")))
+        seen = seen.withColumn("__evidence", linear(self.weights, "__features")).drop("__features")
+        table = self.paths.select(F.col("source").alias("__site"), F.col("lang").alias("__lang"), F.col("path_share").alias("__path_share"))
+        same = F.col("source").cast("string").eqNullSafe(F.col("__site")) & F.col("lang").cast("string").eqNullSafe(F.col("__lang"))
+        out = seen.join(table, same, "left").drop("__site", "__lang")
         base = math.log(self.base / (1 - self.base))
-        return out.drop("_s", "_l").withColumn(
-            "score", 1 - logistic(F.col("evidence") - F.lit(base) + logit(F.coalesce("path_share", F.lit(self.base)))))
+        return out.withColumn("__score", 1 - logistic(
+            F.col("__evidence") - F.lit(base) + logit(F.coalesce("__path_share", F.lit(self.base)))))
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, held_out: int | None = 2) -> QualityModel:
@@ -153,11 +157,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, h
 def quality(docs: DataFrame, labels: DataFrame, least: float = 0.5, **fit) -> DataFrame:
     """``doc_id, evidence, path_share, score, kept`` of every row; ``kept`` where ``score >= least``."""
     model = fit_quality(docs, labels, **fit)
-    rows = docs.select("doc_id", "source", "lang", "text") if model.weights is None else model.facts.drop("quality")
-    return model.score(rows).select("doc_id", "evidence", "path_share", "score", (F.col("score") >= least).alias("kept"))
+    scored = model.score(docs) if model.weights is None else model.score(model.facts, "_f")
+    return scored.select("doc_id", F.col("__evidence").alias("evidence"), F.col("__path_share").alias("path_share"),
+                         F.col("__score").alias("score"), (F.col("__score") >= least).alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, **fit) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is at least ``least``."""
     scored = fit_quality(docs, labels, **fit).score(docs)
-    return scored.filter(F.col("score") >= least).select(*[scored[c] for c in docs.columns])
+    return scored.filter(F.col("__score") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
