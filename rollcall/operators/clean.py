@@ -153,8 +153,8 @@ def privacy_noise(df: DataFrame, key: Sequence[str], counts: Sequence[str], rati
     scale = sensitivity / epsilon
     out = {}
     for i, c in enumerate(counts):
-        h = F.xxhash64(*key, F.lit(seed), F.lit(i))
-        u = (F.pmod(h, F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52) - 0.5
+        h = F.substring(F.md5(F.concat_ws("|", *key, F.lit(seed), F.lit(i)).cast("binary")), 1, 13)
+        u = (F.conv(h, 16, 10).cast("double") + 0.5) / float(1 << 52) - 0.5
         noise = -F.lit(scale) * F.signum(u) * F.log(1.0 - 2.0 * F.abs(u))
         out[c] = F.greatest(F.round(F.col(c) + noise), F.lit(0.0)).cast("bigint")
     out.update({r: F.round(r, 2) for r in ratios})

@@ -278,7 +278,7 @@ def _shuffled(values: DataFrame, key: str, value: str, permutations: int, seed:
     """(p, key, x): the region values dealt out anew per permutation; p = 0 is the original."""
     v = spread.pin(values.select(F.col(key).alias("k"), F.col(value).cast("double").alias("x")))
     reps = v.select("k", "x", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p"))
-    slot = F.row_number().over(W.partitionBy("p").orderBy(F.xxhash64("p", "k", F.lit(seed)), "k"))
+    slot = F.row_number().over(W.partitionBy("p").orderBy(F.md5(F.concat_ws("|", "p", "k", F.lit(seed)).cast("binary")), "k"))
     seat = F.row_number().over(W.partitionBy("p").orderBy("k"))
     dealt = reps.select("p", "x", slot.alias("r")).join(reps.select("p", "k", seat.alias("r")), ["p", "r"]).select("p", "k", "x")
     return dealt.unionByName(v.select(F.lit(0).alias("p"), "k", "x"))

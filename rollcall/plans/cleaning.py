@@ -101,7 +101,13 @@ def mask_id(d: Domain):
                                 clean.mask_id("pincode", upper=False).alias("anonymous_id"))
 
 
-@query("privacy_noise")
+def _noisy(column: str, i: int) -> str:
+    u = f"((('0x'||substr(md5(state||'|'||district||'|42|{i}'),1,13))::BIGINT::DOUBLE+0.5e0)/4503599627370496e0-0.5e0)"
+    return f"CAST(greatest(round({column}-2e0*sign({u})*ln(1e0-2e0*abs({u}))),0e0) AS BIGINT) AS {column}"
+
+
+@query("privacy_noise", f"""SELECT state, district, {', '.join(_noisy(c, i) for i, c in enumerate(AGES))}, round(age_0_5/(age_0_5+age_5_17+age_18_greater)::DOUBLE,2) AS child_ratio FROM (
+ SELECT state, district, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in AGES)} FROM enrol GROUP BY 1,2)""")
 def privacy_noise(d: Domain):
     g = d.enrolment().groupBy("state", "district").agg(*[F.sum(c).alias(c) for c in AGES])
     g = g.withColumn("child_ratio", F.col("age_0_5") / F.expr(TOTAL))

@@ -141,7 +141,14 @@ def moran_i(d: Domain):
     return rounded(knn.unionByName(grp).unionByName(fix))
 
 
-@query("moran_permutation")
+VIEW_SQL["mdeal"] = """SELECT s.p, s.k, x FROM (SELECT p, district AS k, row_number() OVER (PARTITION BY p ORDER BY district) AS r FROM dinten, range(1,1000) t(p)) s JOIN
+ (SELECT p, intensity AS x, row_number() OVER (PARTITION BY p ORDER BY md5(p||'|'||district||'|42'), district) AS r FROM dinten, range(1,1000) t(p)) v ON s.p=v.p AND s.r=v.r
+ UNION ALL SELECT 0, district, intensity FROM dinten"""
+
+
+@query("moran_permutation", """SELECT round(i,6)+0e0 AS morans_i, count(*) AS permutations, round((least(count_if(s>=i), count(*)-count_if(s>=i))+1)/(count(*)+1)::DOUBLE,6) AS p_sim,
+ round((i-avg(s))/stddev_pop(s),6)+0e0 AS z_sim FROM (SELECT p, s, max(CASE WHEN p=0 THEN s END) OVER () AS i FROM (SELECT a.p, n/sum(w)*sum(w*(a.x-m)*(b.x-m))/den AS s FROM dknn e
+ JOIN mdeal a ON e.i=a.k JOIN mdeal b ON e.j=b.k AND a.p=b.p, (SELECT count(*)::DOUBLE AS n, avg(intensity) AS m, var_pop(intensity)*count(*) AS den FROM dinten) GROUP BY a.p, n, den)) WHERE p>0 GROUP BY i""")
 def moran_permutation(d: Domain):
     v = inten(d)
     return rounded(sp.moran_permutation(v, "district", "intensity", dknn(v), 999))
@@ -166,7 +173,9 @@ def gi_star(d: Domain):
     return rounded(knn.select(*cols).unionByName(grp.select(*cols)))
 
 
-@query("gi_star_permutation")
+@query("gi_star_permutation", """SELECT i AS district, round(gi,6)+0e0 AS gi, round((least(count_if(s>=gi), count(*)-count_if(s>=gi))+1)/(count(*)+1)::DOUBLE,6) AS p_sim,
+ round((gi-avg(s))/nullif(stddev_pop(s),0),6)+0e0 AS z_sim FROM (SELECT i, p, s, max(CASE WHEN p=0 THEN s END) OVER (PARTITION BY i) AS gi FROM (SELECT e.i, p, sum(w*x) AS s FROM (
+ SELECT i, j, 1e0/count(*) OVER (PARTITION BY i) AS w FROM (SELECT i, j FROM dknn UNION ALL SELECT district, district FROM dinten)) e JOIN mdeal d ON e.j=d.k GROUP BY 1,2)) WHERE p>0 GROUP BY i, gi""")
 def gi_star_permutation(d: Domain):
     v = inten(d)
     return rounded(sp.gi_star_permutation(v, "district", "intensity", dknn(v), 999))

@@ -68,7 +68,8 @@ def stream_late(d: Domain):
     """Events replayed in two files, the second repeating the last hour of the first."""
     folder = work_folder(d.spark, "replay")
     e = d.table("events").select("event_id", "ts", "user_id")
-    mid = F.lit("2024-01-15 12:00:00").cast("timestamp_ntz")
+    span = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    mid = F.lit(span["a"] + (span["b"] - span["a"]) / 2).cast("timestamp_ntz")
     e.filter(F.col("ts") < mid).coalesce(1).write.parquet(f"{folder}/in")
     e.filter((F.col("ts") >= mid) | (F.col("ts") >= mid - F.expr("interval 1 hour"))).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = jobs.stream_late(jobs.read_events(d.spark, f"{folder}/in", files_per_trigger=1), "event_id")
