@@ -92,7 +92,7 @@ def test_label_encode_unseen(spark):
     fit = spark.createDataFrame([("b",), ("a",), ("a",)], "c string")
     table = clean.encoding_table(fit, "c")
     got = {r["c"]: r["c_code"] for r in clean.label_encode(spark.createDataFrame([("a",), ("b",), ("z",)], "c string"), "c", table).collect()}
-    assert got == {"a": 0, "b": 1, "z": 2}
+    assert got == {"a": 1, "b": 2, "z": 0}
 
 
 def test_union_when_nothing_shared(spark):
@@ -127,3 +127,47 @@ def test_json_pages_and_csv(spark, tmp_path):
 def test_tables_agree():
     assert set(tables.SIGNAL_WEIGHTS) == {s for v in tables.INTENT_SIGNALS.values() for s in v}
     assert set(tables.STRATEGY_WEIGHTS) == set(tables.STRATEGIES) == set(tables.STRATEGY_METHODS)
+
+
+def test_state_spellings(spark):
+    names = ["Jammu & Kashmir", "jammu and kashmir", "ANDAMAN & NICOBAR", "WEST BANGAL", "Pondicherry", "100000"]
+    df = spark.createDataFrame([(n,) for n in names], "s string")
+    got = {r["s"]: r["state_clean"] for r in clean.normalize_state(df, "s").collect()}
+    assert got["Jammu & Kashmir"] == got["jammu and kashmir"] == "Jammu & Kashmir"
+    assert (got["ANDAMAN & NICOBAR"], got["WEST BANGAL"], got["Pondicherry"], got["100000"]) == (
+        "Andaman And Nicobar Islands", "West Bengal", "Puducherry", None)
+
+
+def test_unknown_is_numbered_among_the_classes(spark):
+    fitted = spark.createDataFrame([("A",), ("Z",), ("a",)], "c string")
+    codes = {r["c"]: r["c_code"] for r in clean.label_encode(fitted, "c").collect()}
+    assert codes == {"A": 0, "Z": 2, "a": 3}
+    other = clean.label_encode(spark.createDataFrame([("new",), (None,)], "c string"), "c", clean.encoding_table(fitted, "c"))
+    assert {r["c_code"] for r in other.collect()} == {1}
+
+
+def test_shares_are_of_the_total(spark):
+    df = spark.createDataFrame([(200, 103, 98), (0, 0, 0)], "total bigint, male bigint, female bigint")
+    rows = aggregate.gender_ratios(df).orderBy(F.desc("total")).collect()
+    assert (rows[0]["male_ratio"], rows[0]["female_ratio"], rows[0]["gender_gap"]) == (0.515, 0.49, 0.025)
+    assert (rows[1]["male_ratio"], rows[1]["female_per_male"]) == (0.0, 0.0)
+
+
+def test_strategy_ties_keep_signal_order(spark):
+    for intent, signals in tables.INTENT_SIGNALS.items():
+        scores = {}
+        for s in signals:
+            for name in tables.SIGNAL_STRATEGIES.get(s, ()):
+                scores[name] = scores.get(name, 0) + 1
+        want = sorted(scores.items(), key=lambda kv: kv[1], reverse=True)[:3]
+        df = spark.createDataFrame([(1, intent, "routine")], "id int, intent string, vigilance string")
+        rows = policy.recommend_strategies(df, ["id"]).orderBy("rank").collect()
+        assert [(r["strategy"], r["score"]) for r in rows] == ([(k, float(v)) for k, v in want] or [("behavioral_baseline", 0.0)])
+
+
+def test_donors_fill_the_gaps(spark):
+    from rollcall.operators import spatial
+    rows = [(0, 0.0, 0.0, None), (1, 0.1, 0.0, None), (2, 1.0, 0.0, 10.0), (3, 2.0, 0.0, 20.0), (4, 9.0, 0.0, 90.0)]
+    df = spark.createDataFrame(rows, "id int, x double, y double, v double")
+    got = {r["id"]: r["v"] for r in spatial.impute_knn(df, "id", "x", "y", "v", 2).collect()}
+    assert (got[0], got[1], got[4]) == (15.0, 15.0, 90.0)
