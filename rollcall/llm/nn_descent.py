@@ -162,8 +162,8 @@ def _keep_best(edges: DataFrame, k: int) -> DataFrame:
     return once.withColumn("_r", rank).filter(F.col("_r") <= k).drop("_r")
 
 
-def build_graph(points: DataFrame, n: int, k: int = 24, trees: int = 4, bucket: int = 160, rounds: int = 8,
-                settled: float = 0.01, seed: int = 7) -> DataFrame:
+def build_graph(points: DataFrame, n: int, k: int = 24, trees: int = 6, bucket: int = 160, rounds: int = 8,
+                settled: float = 0.03, seed: int = 7) -> DataFrame:
     """Edges ``a, b, sim, fresh`` of the neighbour graph over ``points`` (``id, x``)."""
     bits = max(1, int(np.ceil(np.log2(max(2.0, n / bucket)))))
     coded = hold(points.mapInArrow(_codes(trees, bits, seed), "id long, code long, x binary"), "codes")
