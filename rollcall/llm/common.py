@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rollcall.functions.spread import ensure_checkpoint_dir
+from rollcall.session import tune
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def hold(df: DataFrame, label: str = "held") -> DataFrame:
@@ -24,12 +25,20 @@ def hold(df: DataFrame, label: str = "held") -> DataFrame:
     Python stage is computed once.  The table is written with zstd to keep the
     scratch space small.
     """
-    spark = df.sparkSession
+    spark = tune(df.sparkSession)
     path = f"{ensure_checkpoint_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def input_bytes(docs: DataFrame) -> int:
+    """Size of the input as Catalyst knows it (file sizes), or half its characters where it does not."""
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if known < 1 << 50:
+        return known
+    return (docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0) // 2
+
+
 def discard(*held: DataFrame) -> None:
     """Remove tables made by ``hold`` that no later plan reads."""
     for df in held:

@@ -1,13 +1,13 @@
 """Suffix-array de-duplication: bytes covered by a string of ``length`` bytes that an earlier document has too.
 
 A window is a string of ``length`` bytes.  Every window is *owned* by its
-smallest 16-byte gram (by hash, the leftmost of equal ones), so equal windows
+smallest 24-byte gram (by hash, the leftmost of equal ones), so equal windows
 have equal owners at equal offsets.
 
 1. Every document is cut into its owning grams, each with a digest of the
    bytes of all windows it owns (its *context*).  Inside a run of documents
    equal contexts are folded to the smallest document; the others are decided
-   there and then.
+   there and then (their lines only pass through step 2).
 2. Fragments of the gram hashes fold the rest: of equal contexts all but the
    smallest document are decided.  Only grams with different contexts, in
    different documents, are left open, and only their distinct contexts.
@@ -32,17 +32,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall.functions.spread import shuffle_parts
-from rollcall.llm.common import hold
+from rollcall.llm.common import hold, input_bytes
 from rollcall.llm.induced_sort import suffix_array
-from rollcall.llm.ngram_join import BASE, _by, _input_bytes, _mixed
+from rollcall.llm.ngram_join import BASE, _by, _mixed
 
 U = np.uint64
-GRAM = 16
+GRAM = 24
 LAST_ID = np.iinfo(np.int64).max
 
 
@@ -60,7 +61,21 @@ class Rolling:
                 steps[0] = U(1)
                 setattr(self, name, np.cumprod(steps, dtype=U))
         self.sums = np.zeros(n, U)
-        np.cumsum((data.astype(U) + U(1)) * self.powers[:n - 1], dtype=U, out=self.sums[1:])
+        terms = data.astype(U)
+        terms += U(1)
+        terms *= self.powers[:n - 1]
+        np.cumsum(terms, dtype=U, out=self.sums[1:])
+
+    def grams(self) -> np.ndarray:
+        """Digests of all grams, by position, worked out in place."""
+        h = self.sums[GRAM:] - self.sums[:-GRAM]
+        h *= self.inverse[:len(h)]
+        h += U(GRAM * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
+        for factor in (U(0xFF51AFD7ED558CCD), U(0xC4CEB9FE1A85EC53), None):
+            h ^= h >> U(33)
+            if factor is not None:
+                h *= factor
+        return h
 
     def digest(self, start, end) -> np.ndarray:
         return _mixed((self.sums[end] - self.sums[start]) * self.inverse[start]
@@ -79,10 +94,10 @@ def owners(parts: list[bytes], length: int):
         return none, none, none, none, none.astype(U), none.astype(U)
     ROLL.load(data)
     stops = np.cumsum(sizes)
-    at = np.arange(len(data) - GRAM + 1)
-    gram = ROLL.digest(at, at + GRAM)
+    gram = ROLL.grams()
     # hash in the upper 40 bits, position below: the least is the smallest hash, leftmost first
-    key = (gram & ~U((1 << 24) - 1)) | at.astype(U)
+    key = gram & ~U((1 << 24) - 1)
+    key |= np.arange(len(gram), dtype=U)
     width = length - GRAM + 1
     least, have = key, 1
     while have * 2 <= width:
@@ -108,21 +123,18 @@ def owners(parts: list[bytes], length: int):
     return doc, pos - begin, first - begin, last - begin, gram[pos], context
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+def _pieces(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Runs of (ids and text digests, texts) of about ``most`` bytes; ids as two int64 columns."""
     ids = batch.column(0).fill_null(LAST_ID).to_numpy(zero_copy_only=False)
     who = np.stack([ids, batch.column(1).to_numpy(zero_copy_only=False)], 1)
-    texts, a, held = batch.column(2).to_pylist(), 0, 0
-    parts: list[bytes] = []
-    for i, t in enumerate(texts):
-        data = (t or "").encode()
-        if parts and held + len(data) > most:
-            yield who[a:i], parts
-            a, held, parts = i, 0, []
-        parts.append(data)
-        held += len(data)
-    if parts:
-        yield who[a:], parts
+    column = batch.column(2).cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    # a cut wherever the running size passes a multiple of ``most``; a longer text stands alone
+    run = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(sizes)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield who[a:b], [t or b"" for t in column.slice(a, b - a).to_pylist()]
 
 
 PAIR = [("doc", "<i8"), ("hash", "<i8"), ("low", "<u4"), ("high", "<u4")]
@@ -200,7 +212,13 @@ def _fold(buckets: int, length: int, crowd: int):
     """Step 2: decided windows (kind 1) and open contexts (kind 2), both by bucket of their document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, lines in _by(batches):
+        for frag, lines in _by(batches):
+            passed = [(1, frag, None, body) for kind, _, body in lines if kind == 1]
+            if passed:
+                yield _lines(passed)
+            lines = [(who, body) for kind, who, body in lines if kind == 0]
+            if not lines:
+                continue
             whos, cols, at = [], [[] for _ in range(6)], 0
             for who, body in lines:
                 ids = np.frombuffer(who, "<i8").reshape(-1, 2)
@@ -334,35 +352,35 @@ def _sort_shard(length: int, buckets: int, memory: int):
     return run
 
 
-def find_repeats(source: DataFrame, length: int = 50, crowd: int = 512, bytes_per_fragment: int = 4 << 20,
+def find_repeats(source: DataFrame, length: int = 50, crowd: int = 16_384, bytes_per_fragment: int = 1 << 19,
                  memory: int = 128 << 20, size_hint: int | None = None) -> DataFrame:
     """Per document with repeats (``_doc``, ``_hash``): ``found``, its merged runs, from ``source`` (``doc``, ``hash``, ``text``)."""
     spark = source.sparkSession
-    n = max(shuffle_parts(spark), (size_hint or _input_bytes(source)) // bytes_per_fragment)
+    n = max(2 * shuffle_parts(spark), (size_hint or input_bytes(source)) // bytes_per_fragment)
     lines = source.mapInArrow(_own(n, n, length), LINE)
-    lines = hold(lines, "grams")
-    local = lines.filter("kind = 1").select("kind", "frag", "body")
-    folded = hold(lines.filter("kind = 0").repartition("frag").sortWithinPartitions("frag").select("frag", "who", "body").mapInArrow(
+    folded = hold(lines.repartition("frag").sortWithinPartitions("frag").select("frag", "kind", "who", "body").mapInArrow(
         _fold(n, length, crowd), LINE), "folded")
     asked = (folded.filter("kind = 2").select("frag", "body").repartition("frag").sortWithinPartitions("frag")
              .mapInArrow(_per_document("open"), "_doc long, _hash long, found binary"))
     contexts = source.filter("text is not null").join(asked, (F.col("doc") == F.col("_doc")) & (F.col("hash") == F.col("_hash")))
     sorted_ = hold(contexts.select("doc", "hash", "text", "found").mapInArrow(
-        _contexts(n, length), "shard int, doc long, hash long, first long, piece binary")
+        _contexts(max(shuffle_parts(spark), 2 * n // 3), length), "shard int, doc long, hash long, first long, piece binary")
         .repartition("shard").sortWithinPartitions("shard").mapInArrow(_sort_shard(length, n, memory), LINE), "decided")
-    runs = local.unionByName(folded.filter("kind = 1").select("kind", "frag", "body")).unionByName(sorted_.select("kind", "frag", "body"))
+    runs = folded.filter("kind = 1").select("kind", "frag", "body").unionByName(sorted_.select("kind", "frag", "body"))
     return (runs.select("frag", "body").repartition("frag").sortWithinPartitions("frag")
             .mapInArrow(_per_document("runs"), "_doc long, _hash long, found binary"))
 
 
 def _with_runs(docs: DataFrame, length: int, **how) -> DataFrame:
-    """``docs`` with ``found`` (null: nothing repeated)."""
+    """``docs`` with ``__cut_runs`` (null: nothing repeated)."""
     text = F.col("text").cast("string")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
-    marked = docs.withColumns({"_d": doc, "_h": F.xxhash64(text)})
+    marked = docs.withColumns({"__cut_doc": doc, "__cut_hash": F.xxhash64(text)})
     source = docs.select(doc.alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    found = find_repeats(source, length, size_hint=_input_bytes(docs), **how)
-    return marked.join(found, (F.col("_d") == F.col("_doc")) & (F.col("_h") == F.col("_hash")), "left").drop("_d", "_h", "_doc", "_hash")
+    found = find_repeats(source, length, size_hint=input_bytes(docs), **how).select(
+        F.col("_doc").alias("__run_doc"), F.col("_hash").alias("__run_hash"), F.col("found").alias("__cut_runs"))
+    same = (F.col("__cut_doc") == F.col("__run_doc")) & (F.col("__cut_hash") == F.col("__run_hash"))
+    return marked.join(found, same, "left").drop("__cut_doc", "__cut_hash", "__run_doc", "__run_hash")
 
 
 def _cut(data: bytes, found: bytes | None) -> tuple[bytes, int]:
@@ -393,7 +411,7 @@ def repeats(docs: DataFrame, length: int = 50, **how) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     rows = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), length, **how)
-    return rows.select("doc_id", "text", "found").mapInArrow(
+    return rows.select("doc_id", "text", "__cut_runs").mapInArrow(
         run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -406,5 +424,5 @@ def _cut_text(texts: pd.Series, found: pd.Series) -> pd.Series:
 def cut_repeats(docs: DataFrame, length: int = 50, **how) -> DataFrame:
     """``docs``, all rows and columns, with repeated bytes taken out of ``text``."""
     rows = _with_runs(docs, length, **how)
-    return rows.select(*[_cut_text(F.col("text").cast("string"), F.col("found")).alias("text") if c == "text" else F.col(f"`{c}`")
+    return rows.select(*[_cut_text(F.col("text").cast("string"), F.col("__cut_runs")).alias("text") if c == "text" else F.col(f"`{c}`")
                          for c in docs.columns])
