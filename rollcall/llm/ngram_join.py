@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.spread import shuffle_parts
-from rollcall.llm.common import ASCII_LOWER, hold
+from rollcall.llm.common import ASCII_LOWER, hold, input_bytes
 from rollcall.llm.components import components
 
 SPACES = np.zeros(256, bool)
@@ -75,7 +75,11 @@ class WordHasher:
         start, end = edge[::2], edge[1::2]
         self._grow(len(b) + 1)
         run = np.zeros(len(b) + 1, U)
-        np.cumsum((b.astype(U) + U(1)) * self.powers[:len(b)], dtype=U, out=run[1:])
+        terms = b.astype(U)
+        terms += U(1)
+        terms *= self.powers[:len(b)]
+        np.cumsum(terms, dtype=U, out=run[1:])
+        del terms
         h = (run[end] - run[start]) * self.inverse[start]
         return start, _mixed(h ^ (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
@@ -83,9 +87,9 @@ class WordHasher:
 HASHER = WordHasher()
 
 
-def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     """Sorted distinct n-gram hashes of each text (null as empty), A-Z lower-cased."""
-    parts = [(t or "").encode().translate(ASCII_LOWER) for t in texts]
+    parts = [(t or b"").translate(ASCII_LOWER) for t in texts]
     sizes = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
     start, word = HASHER.words(b" ".join([*parts, b""]))
     first = np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))
@@ -110,7 +114,7 @@ def shingle_sets(texts: list[str | None], n: int) -> list[np.ndarray]:
 def _runs(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     at = held = 0
     for i, t in enumerate(texts):
-        size = len(t or "")
+        size = len(t or b"")
         if i > at and held + size > most:
             yield at, i
             at, held = i, 0
@@ -119,37 +123,52 @@ def _runs(texts: list, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-def _sets(n: int, fragments: int):
-    """Rows per document, and the sets of new classes cut into fragments (one line per batch and fragment)."""
-    names = ["doc_id", "n_shingles", "key", "frag", "keys", "sizes", "index", "hashes"]
+def _keyed(texts: list, n: int) -> Iterator[tuple[bytes | None, np.ndarray]]:
+    """Digest (null for an empty set) and set of every text."""
+    for a, b in _runs(texts):
+        for s in shingle_sets(texts[a:b], n):
+            yield (hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None), s
+
+
+def _rows(n: int):
+    """One line per document: id, hash of its text, size of its set, key of its class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            counts, keys = [], []
-            fresh: list[tuple[bytes, np.ndarray]] = []
-            for a, b in _runs(texts):
-                for s in shingle_sets(texts[a:b], n):
-                    counts.append(len(s))
-                    key = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                    keys.append(key)
-                    if key is not None and key not in seen:
-                        if len(seen) > 200_000:
-                            seen.clear()
-                        seen.add(key)
-                        fresh.append((key, s))
-            k = len(texts)
+            found = [(len(s), key) for key, s in _keyed(batch.column(2).cast(pa.binary()).to_pylist(), n)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(keys, pa.binary()), pa.nulls(k, pa.int32()),
-                 *[pa.nulls(k, pa.binary())] * 4], names=names)
-            for at in range(0, len(fresh), 4000):
-                yield _fragments(fresh[at:at + 4000], fragments, names)
+                [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.int64()),
+                 pa.array([f[1] for f in found], pa.binary())], names=["doc_id", "text_hash", "n_shingles", "key"])
+
+    return run
+
+
+def _cut_sets(n: int, fragments: int):
+    """The sets of classes new to the task, cut into fragments (one line per run of classes and fragment)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        fresh: list[tuple[bytes, np.ndarray]] = []
+        held = 0
+        for batch in batches:
+            for key, s in _keyed(batch.column(0).cast(pa.binary()).to_pylist(), n):
+                if key is None or key in seen:
+                    continue
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.add(key)
+                fresh.append((key, s))
+                held += len(s)
+                if held > 1_000_000 or len(fresh) >= 60_000:
+                    yield _fragments(fresh, fragments)
+                    fresh, held = [], 0
+        if fresh:
+            yield _fragments(fresh, fragments)
 
     return run
 
 
-def _fragments(sets: list[tuple[bytes, np.ndarray]], fragments: int, names: list[str]) -> pa.RecordBatch:
+def _fragments(sets: list[tuple[bytes, np.ndarray]], fragments: int) -> pa.RecordBatch:
     sizes = np.array([len(s) for _, s in sets], "<u4")
     hashes = np.concatenate([s for _, s in sets])
     index = np.repeat(np.arange(len(sets), dtype="<u2"), sizes)
@@ -163,17 +182,18 @@ def _fragments(sets: list[tuple[bytes, np.ndarray]], fragments: int, names: list
     for x, y in zip(a.tolist(), b.tolist()):
         own, local = np.unique(index[x:y], return_inverse=True)
         rows.append((int(frag[x]), keys[own].tobytes(), sizes[own].tobytes(), local.astype("<u2").tobytes(), hashes[x:y].tobytes()))
-    k = len(rows)
     return pa.RecordBatch.from_arrays(
-        [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([r[0] for r in rows], pa.int32()),
-         *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4)]], names=names)
+        [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3, 4)]],
+        names=["frag", "keys", "sizes", "index", "hashes"])
 
 
 def _by(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
     """Lines of a partition sorted by the first column, one group at a time."""
     group, rows = None, []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+        # one line at a time: lines may be large, and a second copy of the batch is not wanted
+        for i in range(batch.num_rows):
+            row = tuple(c[i].as_py() for c in batch.columns)
             if row[0] != group:
                 if rows:
                     yield group, rows
@@ -200,23 +220,30 @@ def _stacked(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, lis
     return own, size, local[np.concatenate(index)], [np.frombuffer(b"".join(r[i] for r in rows), "<u8" if i == 3 else "<u4") for i in range(3, len(rows[0]))]
 
 
+def _shared(grams: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-gram, class, number of classes) of the n-grams that at least two classes have."""
+    order = np.lexsort((owner, grams))
+    grams, owner = grams[order], owner[order]
+    once = np.ones(len(grams), bool)
+    once[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
+    grams, owner = grams[once], owner[once]
+    head = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(head, len(grams)))
+    df = np.repeat(counts, counts)
+    return grams[df > 1], owner[df > 1], df[df > 1]
+
+
 def _count_fragment(buckets: int):
     """Class counts per n-gram of a fragment; what at least two classes share goes on, by bucket of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frag, rows in _by(batches):
             keys, sizes, owner, (grams,) = _stacked(rows)
-            order = np.lexsort((owner, grams))
-            grams, owner = grams[order], owner[order]
-            once = np.ones(len(grams), bool)
-            once[1:] = (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])
-            grams, owner = grams[once], owner[once]
-            head = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
-            counts = np.diff(np.append(head, len(grams)))
-            df = np.repeat(counts, counts)
-            # classes with nothing shared still count: their size is known from the others' absence
-            keep = df > 1
-            grams, owner, df = grams[keep], owner[keep], df[keep]
+            del rows
+            # a few bits at a time, so that sorting needs little beside the fragment itself
+            part = (grams >> U(20)).astype(np.uint8) & 7
+            shared = [_shared(grams[part == i], owner[part == i]) for i in range(8)]
+            grams, owner, df = (np.concatenate(c) for c in zip(*shared))
             if not len(grams):
                 continue
             bucket = (np.frombuffer(keys.tobytes(), "<u4").reshape(-1, 4)[:, 0].astype(np.int64) * buckets) >> 32
@@ -303,10 +330,6 @@ def _compare_blocks(percent: int, chunk: int = 4096):
     return run
 
 
-def _input_bytes(df: DataFrame) -> int:
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-
-
 def link_classes(fragments: DataFrame, n_fragments: int, percent: int, short_list: int, block: int) -> DataFrame:
     """Links ``a, b`` between class keys; enough of them to give every component, and no false one."""
     counted = (fragments.repartition("frag").sortWithinPartitions("frag")
@@ -368,24 +391,54 @@ def _long_lists(long: DataFrame, classes: DataFrame, percent: int, block: int) -
             .mapInArrow(_compare_blocks(percent), "a binary, b binary"))
 
 
+def _linked(docs: DataFrame, n: int, percent: int, short_list: int, block: int, bytes_per_fragment: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (``doc_id, text_hash, n_shingles, key``), and ``node, root`` of the classes with links."""
+    text = F.col("text").cast("string")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    n_fragments = max(shuffle_parts(docs.sparkSession), input_bytes(docs) // bytes_per_fragment)
+    # the sets are worked out twice: once for the digests, once cut up, which is cheaper than keeping them
+    own = hold(source.mapInArrow(_rows(n), "doc_id long, text_hash long, n_shingles long, key binary"), "sets")
+    cut = source.select("text").mapInArrow(
+        _cut_sets(n, n_fragments), "frag int, keys binary, sizes binary, index binary, hashes binary")
+    return own, components(link_classes(cut, n_fragments, percent, short_list, block))
+
+
 def ngram_components(docs: DataFrame, n: int = 4, percent: int = 85, short_list: int = 48, block: int = 256,
-                     bytes_per_fragment: int = 8 << 20) -> DataFrame:
+                     bytes_per_fragment: int = 32 << 20) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id``, ``text``).
 
     Two documents are linked when ``100 * |A and B| >= percent * |A or B|``.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n_fragments = max(shuffle_parts(docs.sparkSession), _input_bytes(docs) // bytes_per_fragment)
-    rows = hold(source.mapInArrow(_sets(n, n_fragments), "doc_id long, n_shingles long, key binary, frag int, "
-                                  "keys binary, sizes binary, index binary, hashes binary"), "sets")
-    links = link_classes(rows.filter("frag is not null"), n_fragments, percent, short_list, block)
-    own = rows.filter("frag is null").select("doc_id", "n_shingles", "key")
+    own, groups = _linked(docs, n, percent, short_list, block, bytes_per_fragment)
     least = own.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"))
-    group = components(links)
-    group = group.join(least, F.col("node") == F.col("key")).select("node", "root", "least")
+    group = groups.join(least, F.col("node") == F.col("key")).select("node", "root", "least")
     lowest = group.groupBy("root").agg(F.min("least").alias("lowest")).withColumnRenamed("root", "_r")
     named = group.join(lowest, F.col("root") == F.col("_r")).select("node", "lowest")
     of_class = hold(least.join(named, F.col("key") == F.col("node"), "left").select(
         F.col("key").alias("_k"), F.coalesce("lowest", "least").alias("component")), "components")
     return own.join(of_class, F.col("key") == F.col("_k"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, short_list: int = 48, block: int = 256,
+                     bytes_per_fragment: int = 32 << 20) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: the smallest ``doc_id`` of every group (null ids last), and all without words.
+
+    Rows are told apart by id and text; of rows equal in both one stays.
+    """
+    own, groups = _linked(docs, n, percent, short_list, block, bytes_per_fragment)
+    named = own.filter("key is not null").groupBy("key", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    named = named.join(groups, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("root", "key"))
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")
+    best = named.groupBy("group").agg(F.min(order).alias("best")).select(F.col("group").alias("_g"), "best")
+    verdict = hold(named.join(best, F.col("group") == F.col("_g")).select(
+        F.col("doc_id").alias("__near_id"), F.col("text_hash").alias("__near_hash"),
+        (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.text_hash") == F.col("text_hash"))).alias("stays"), "n"), "near")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__near_id")) & (F.col("__near_text") == F.col("__near_hash"))
+    marked = docs.withColumn("__near_text", F.xxhash64(F.col("text").cast("string")))
+    left = marked.join(verdict.filter("not stays").select("__near_id", "__near_hash"), same, "left_anti")
+    twice = verdict.filter("stays and n > 1").select("__near_id", "__near_hash")
+    if not twice.limit(1).count():
+        return left.drop("__near_text")
+    return left.join(twice, same, "left_anti").unionByName(
+        left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "__near_text"])).drop("__near_text")
