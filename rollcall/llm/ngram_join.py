@@ -94,9 +94,10 @@ def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     start, word = HASHER.words(b" ".join([*parts, b""]))
     first = np.searchsorted(start, np.concatenate([[0], np.cumsum(sizes)]))
     gram = np.zeros(len(word), U)
+    whole = max(0, len(word) - n + 1)  # a run may hold fewer words than one n-gram
     with np.errstate(over="ignore"):
         for k in range(n):
-            gram[:len(word) - n + 1] = _mixed(gram[:len(word) - n + 1] * U(0x9FB21C651E98DF25) + word[k:len(word) - n + 1 + k] + U(k))
+            gram[:whole] = _mixed(gram[:whole] * U(0x9FB21C651E98DF25) + word[k:whole + k] + U(k))
     out = []
     for a, b in zip(first.tolist(), first[1:].tolist()):
         if b - a >= n:

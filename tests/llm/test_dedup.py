@@ -90,6 +90,17 @@ def test_ngram_edges(spark):
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 3, 8]
 
 
+@pytest.mark.parametrize("n", [4, 5])
+def test_ngram_runs_of_few_words(spark, n):
+    texts = [" ".join(f"w{k}" for k in range(size)).encode() for size in range(n + 2)]
+    together = ngram_join.shingle_sets(texts, n)
+    for text, want in zip(texts, together):
+        assert ngram_join.shingle_sets([text], n)[0].tolist() == want.tolist()
+    rows = [(size, " ".join(f"w{size}x{k}" for k in range(size))) for size in range(1, n + 1)]
+    single = docs(spark, rows).repartitionByRange(n, "doc_id")
+    assert sorted(tuple(r) for r in ngram_join.ngram_components(single, n, 85).collect()) == [(i, 1, i) for i in range(1, n + 1)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(45)] + [(100, i) for i in range(101, 140)] + [(i, i + 1) for i in range(200, 240)]
