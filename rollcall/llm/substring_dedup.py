@@ -95,7 +95,8 @@ def owners(parts: list[bytes], length: int):
     ROLL.load(data)
     stops = np.cumsum(sizes)
     gram = ROLL.grams()
-    # hash in the upper 40 bits, position below: the least is the smallest hash, leftmost first
+    # hash in the upper 40 bits, position below (a run is far below 16 MB): the least is the smallest hash, leftmost first
+    assert len(data) < 1 << 24
     key = gram & ~U((1 << 24) - 1)
     key |= np.arange(len(gram), dtype=U)
     width = length - GRAM + 1
@@ -123,38 +124,45 @@ def owners(parts: list[bytes], length: int):
     return doc, pos - begin, first - begin, last - begin, gram[pos], context
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Runs of (ids and text digests, texts) of about ``most`` bytes; ids as two int64 columns."""
+def _pieces(batch: pa.RecordBatch, length: int, most: int = 1_000_000) -> Iterator[tuple[np.ndarray, int, list[bytes]]]:
+    """Runs of (ids and text digests, start in the text, texts) of at most about ``most`` bytes; ids as two int64 columns.
+
+    A longer text stands alone, in pieces that overlap so that every window lies in exactly one; other texts start at 0.
+    """
     ids = batch.column(0).fill_null(LAST_ID).to_numpy(zero_copy_only=False)
     who = np.stack([ids, batch.column(1).to_numpy(zero_copy_only=False)], 1)
     column = batch.column(2).cast(pa.binary())
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    # a cut wherever the running size passes a multiple of ``most``; a longer text stands alone
-    run = np.cumsum(sizes) // most
-    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(sizes)]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield who[a:b], [t or b"" for t in column.slice(a, b - a).to_pylist()]
+    at = held = 0
+    cuts = []
+    for i, size in enumerate(sizes.tolist()):
+        if i > at and held + size > most:
+            cuts.append((at, i))
+            at, held = i, 0
+        held += size
+    if len(sizes):
+        cuts.append((at, len(sizes)))
+    for a, b in cuts:
+        texts = [t or b"" for t in column.slice(a, b - a).to_pylist()]
+        if b - a == 1 and len(texts[0]) > most:
+            for start in range(0, len(texts[0]) - length + 1, most):
+                yield who[a:b], start, [texts[0][start:start + most + length - 1]]
+        else:
+            yield who[a:b], 0, texts
 
 
 PAIR = [("doc", "<i8"), ("hash", "<i8"), ("low", "<u4"), ("high", "<u4")]
 OPEN = [("doc", "<i8"), ("hash", "<i8"), ("first", "<u4"), ("last", "<u4"), ("pos", "<u4"), ("gram", "<u8"), ("crowd", "u1")]
 
 
-def _long_text_ok(n: int) -> None:
-    if n >= 1 << 24:
-        raise ValueError("texts of 16 MB and more need a wider position field")
-
-
 def _own(fragments: int, buckets: int, length: int):
     """Step 1: lines ``kind 0`` for fragments, ``kind 1`` with windows decided inside the run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for who, parts in _pieces(batch):
-                for p in parts:
-                    _long_text_ok(len(p))
+            for who, start, parts in _pieces(batch, length):
                 doc, pos, first, last, gram, context = owners(parts, length)
+                pos, first, last = pos + start, first + start, last + start
                 order = np.lexsort((who[doc, 0], context, gram))
                 doc, pos, first, last, gram, context = (x[order] for x in (doc, pos, first, last, gram, context))
                 same = np.zeros(len(doc), bool)

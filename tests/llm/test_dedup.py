@@ -170,3 +170,17 @@ def test_repeats(spark, crowd):
     assert cut.count() == len(rows) and cut.columns == docs(spark, []).columns
     assert cut.filter("doc_id = 50").first()["text"] == ""
     assert substring_dedup.repeats(docs(spark, []), 50).count() == 0
+
+
+def test_repeats_of_very_long_texts(spark):
+    rng = np.random.default_rng(3)
+    long = rng.integers(97, 123, 17_000_000, np.uint8).tobytes().decode()
+    spans = [(0, 300), (999_900, 1_000_200), (16_777_100, 16_777_400), (16_999_000, 17_000_000)]
+    after = [(2 + i, "<" + long[a:b] + ">") for i, (a, b) in enumerate(spans)]
+    frame = docs(spark, [(1, long), *after]).coalesce(1)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in substring_dedup.repeats(frame, 50).collect()}
+    assert got == {1: (len(long), 0, 0)} | {2 + i: (b - a + 2, b - a, 1) for i, (a, b) in enumerate(spans)}
+    # a text just below 16 MB, followed by others in the same batch
+    frame = docs(spark, [(1, long[:16_500_000]), (2, "x" * 30 + long[16_400_000:16_400_400]), (3, long[20:90]), (4, "y" * 30 + long[16_400_000:16_400_400])]).coalesce(1)
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeats(frame, 50).collect()}
+    assert got == {1: 0, 2: 400, 3: 70, 4: 400}
