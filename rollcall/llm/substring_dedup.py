@@ -11,11 +11,14 @@ have equal owners at equal offsets.
 2. Fragments of the gram hashes fold the rest: of equal contexts all but the
    smallest document are decided.  Only grams with different contexts, in
    different documents, are left open, and only their distinct contexts.
-3. The open contexts are dealt to shards by gram.  A gram with more than
-   ``crowd`` contexts is dealt by window instead, so that no shard gets it
-   whole.  A shard writes its contexts one after the other and sorts them with
-   ``induced_sort``; windows with a common prefix of ``length`` are equal and
-   take the smallest document among them.
+3. The open contexts are dealt to shards by gram.  A shard writes its contexts
+   one after the other and sorts them with ``induced_sort``; windows with a
+   common prefix of ``length`` are equal and take the smallest document among
+   them.  A gram with more than ``crowd`` contexts goes to no shard: its windows
+   fold inside the task that cuts them, where all but the smallest document are
+   decided at once.  What is left is folded to one smallest document per window
+   by partial minima and joined back; the windows that many rows still have are
+   few and are broadcast, so no task gathers the copies of one window.
 4. The decided windows of a document are merged into runs and cut out.
 
 Defined results: a null text counts as empty; matches never cross documents;
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollcall.functions.spread import shuffle_parts
+from rollcall.functions.spread import shuffle_parts, small
 from rollcall.llm.common import hold, input_bytes
 from rollcall.llm.induced_sort import suffix_array
 from rollcall.llm.ngram_join import BASE, _by, _mixed
@@ -152,7 +155,7 @@ def _pieces(batch: pa.RecordBatch, length: int, most: int = 1_000_000) -> Iterat
 
 
 PAIR = [("doc", "<i8"), ("hash", "<i8"), ("low", "<u4"), ("high", "<u4")]
-OPEN = [("doc", "<i8"), ("hash", "<i8"), ("first", "<u4"), ("last", "<u4"), ("pos", "<u4"), ("gram", "<u8"), ("crowd", "u1")]
+OPEN = [("doc", "<i8"), ("hash", "<i8"), ("first", "<u4"), ("last", "<u4"), ("pos", "<u4"), ("gram", "<u8")]
 
 
 def _own(fragments: int, buckets: int, length: int):
@@ -217,7 +220,7 @@ def _decided(who: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int) -
 
 
 def _fold(buckets: int, length: int, crowd: int):
-    """Step 2: decided windows (kind 1) and open contexts (kind 2), both by bucket of their document."""
+    """Step 2: decided windows (kind 1), open contexts (kind 2) and those of crowded grams (kind 3), by bucket of their document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frag, lines in _by(batches):
@@ -257,8 +260,9 @@ def _fold(buckets: int, length: int, crowd: int):
                 records = np.zeros(len(ask), OPEN)
                 records["doc"], records["hash"] = who[doc[ask], 0], who[doc[ask], 1]
                 records["first"], records["last"], records["pos"] = first[ask], first[ask] + ahead[ask], pos[ask]
-                records["gram"], records["crowd"] = gram[ask], several[of[ask]] > crowd
-                rows += _bucketed(records, buckets, 2)
+                records["gram"] = gram[ask]
+                crowded = several[of[ask]] > crowd
+                rows += _bucketed(records[~crowded], buckets, 2) + _bucketed(records[crowded], buckets, 3)
             if rows:
                 yield _lines(rows)
 
@@ -299,7 +303,7 @@ def _per_document(kind: str):
 
 
 def _contexts(shards: int, length: int):
-    """Texts of open contexts, dealt to shards by gram, or by window where a gram is crowded."""
+    """Texts of open contexts, dealt to shards by gram."""
     names = ["shard", "doc", "hash", "first", "piece"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,22 +312,97 @@ def _contexts(shards: int, length: int):
             for doc, h, text, found in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode()
                 records = np.frombuffer(found, OPEN)
-                for first, last, gram, crowd in zip(*(records[k].tolist() for k in ("first", "last", "gram", "crowd"))):
-                    if crowd:
-                        for w in range(first, last + 1):
-                            piece = data[w:w + length]
-                            key = int.from_bytes(hashlib.blake2b(piece, digest_size=4).digest(), "little")
-                            for col, v in zip(out, (key * shards >> 32, doc, h, w, piece)):
-                                col.append(v)
-                    else:
-                        for col, v in zip(out, ((gram >> 32) * shards >> 32, doc, h, first, data[first:last + length])):
-                            col.append(v)
+                for first, last, gram in zip(*(records[k].tolist() for k in ("first", "last", "gram"))):
+                    for col, v in zip(out, ((gram >> 32) * shards >> 32, doc, h, first, data[first:last + length])):
+                        col.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names)
 
     return run
 
 
+WINDOW = "doc long, hash long, low long, high long, piece binary"
+
+
+def _windows(length: int, most: int = 200_000, chunk: int = 50_000):
+    """Windows of crowded grams, folded within the task: decided runs (``piece`` null), and windows not decided yet.
+
+    A window is decided when the task has met it in a smaller document.  What is remembered is cleared above ``most``
+    windows, which costs rows, not results.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, int] = {}
+        out: list[list] = [[] for _ in range(5)]
+
+        def put(*row):
+            for col, v in zip(out, row):
+                col.append(v)
+
+        def taken() -> pa.RecordBatch:
+            ready = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (*[pa.int64()] * 4, pa.binary()))],
+                                               names=["doc", "hash", "low", "high", "piece"])
+            for col in out:
+                col.clear()
+            return ready
+
+        for batch in batches:
+            ids, hashes = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i in sorted(range(batch.num_rows), key=ids.__getitem__):
+                doc, h, data = ids[i], hashes[i], batch.column(2)[i].as_py().encode()
+                records = np.frombuffer(batch.column(3)[i].as_py(), OPEN)
+                for first, last in zip(records["first"].tolist(), records["last"].tolist()):
+                    begun = None
+                    for w in range(first, last + 1):
+                        piece = data[w:w + length]
+                        known = least.get(piece)
+                        if known is not None and known < doc:
+                            begun = w if begun is None else begun
+                            continue
+                        if begun is not None:
+                            put(doc, h, begun, w - 1 + length, None)
+                            begun = None
+                        put(doc, h, w, w + length, piece)
+                        if len(least) >= most:
+                            least.clear()
+                        least[piece] = doc
+                    if begun is not None:
+                        put(doc, h, begun, last + length, None)
+                    if len(out[0]) >= chunk:
+                        yield taken()
+        yield taken()
+
+    return run
+
+
+def _as_lines(buckets: int):
+    """Decided runs (``doc, hash, low, high``) as lines by bucket of their document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, h, low, high = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield _lines(_decided(np.stack([doc, h], 1), low, high, buckets))
+
+    return run
+
+
+def _decide_crowded(windows: DataFrame, buckets: int, hot: int) -> DataFrame:
+    """Lines of all decided windows of crowded grams, from ``_windows``."""
+    left = windows.filter("piece is not null")
+    # partial minima inside the tasks; only windows of different documents decide anything
+    least = left.groupBy("piece").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("n"))
+    least = hold(least.filter("least < most").select(F.col("piece").alias("_piece"), "least", "n"), "least")
+    # at most (rows / hot) windows have more than ``hot`` rows: they are broadcast where that is proven small, the rest is shuffled
+    same = (F.col("piece") == F.col("_piece")) & (F.col("doc") > F.col("least"))
+    many = small(least.filter(F.col("n") > hot).select("_piece", "least"))
+    few = least.filter(F.col("n") <= hot).select("_piece", "least")
+    cold = left.join(many, F.col("piece") == F.col("_piece"), "left_anti")
+    decided = windows.filter("piece is null").select("doc", "hash", "low", "high").unionByName(
+        left.join(many, same).select("doc", "hash", "low", "high")).unionByName(
+        cold.join(few, same).select("doc", "hash", "low", "high"))
+    return decided.mapInArrow(_as_lines(buckets), LINE)
+
+
 def _sort_shard(length: int, buckets: int, memory: int):
     """Step 3: decided windows of a shard from the suffix and common-prefix arrays of its contexts."""
 
@@ -361,19 +440,26 @@ def _sort_shard(length: int, buckets: int, memory: int):
 
 
 def find_repeats(source: DataFrame, length: int = 50, crowd: int = 16_384, bytes_per_fragment: int = 1 << 19,
-                 memory: int = 128 << 20, size_hint: int | None = None) -> DataFrame:
+                 memory: int = 128 << 20, size_hint: int | None = None, hot: int = 10_000) -> DataFrame:
     """Per document with repeats (``_doc``, ``_hash``): ``found``, its merged runs, from ``source`` (``doc``, ``hash``, ``text``)."""
     spark = source.sparkSession
     n = max(2 * shuffle_parts(spark), (size_hint or input_bytes(source)) // bytes_per_fragment)
     lines = source.mapInArrow(_own(n, n, length), LINE)
     folded = hold(lines.repartition("frag").sortWithinPartitions("frag").select("frag", "kind", "who", "body").mapInArrow(
         _fold(n, length, crowd), LINE), "folded")
-    asked = (folded.filter("kind = 2").select("frag", "body").repartition("frag").sortWithinPartitions("frag")
-             .mapInArrow(_per_document("open"), "_doc long, _hash long, found binary"))
-    contexts = source.filter("text is not null").join(asked, (F.col("doc") == F.col("_doc")) & (F.col("hash") == F.col("_hash")))
-    sorted_ = hold(contexts.select("doc", "hash", "text", "found").mapInArrow(
+
+    def contexts(kind: int) -> DataFrame:
+        asked = (folded.filter(F.col("kind") == kind).select("frag", "body").repartition("frag").sortWithinPartitions("frag")
+                 .mapInArrow(_per_document("open"), "_doc long, _hash long, found binary"))
+        return source.filter("text is not null").join(asked, (F.col("doc") == F.col("_doc")) & (F.col("hash") == F.col("_hash"))).select(
+            "doc", "hash", "text", "found")
+
+    sorted_ = hold(contexts(2).mapInArrow(
         _contexts(max(shuffle_parts(spark), 2 * n // 3), length), "shard int, doc long, hash long, first long, piece binary")
         .repartition("shard").sortWithinPartitions("shard").mapInArrow(_sort_shard(length, n, memory), LINE), "decided")
+    if folded.filter("kind = 3").limit(1).count():
+        windows = hold(contexts(3).mapInArrow(_windows(length), WINDOW), "windows")
+        sorted_ = sorted_.unionByName(hold(_decide_crowded(windows, n, hot), "decided"))
     runs = folded.filter("kind = 1").select("kind", "frag", "body").unionByName(sorted_.select("kind", "frag", "body"))
     return (runs.select("frag", "body").repartition("frag").sortWithinPartitions("frag")
             .mapInArrow(_per_document("runs"), "_doc long, _hash long, found binary"))

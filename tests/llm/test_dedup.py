@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rollcall.llm import exact_dedup, induced_sort, ngram_join, substring_dedup
@@ -184,3 +185,34 @@ def test_repeats_of_very_long_texts(spark):
     frame = docs(spark, [(1, long[:16_500_000]), (2, "x" * 30 + long[16_400_000:16_400_400]), (3, long[20:90]), (4, "y" * 30 + long[16_400_000:16_400_400])]).coalesce(1)
     got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeats(frame, 50).collect()}
     assert got == {1: 0, 2: 400, 3: 70, 4: 400}
+
+
+def crowded_rows(n):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 6)))
+    passage = " ".join(word() for _ in range(16))
+    rows = [(n - i if i % 9 else None, " ".join([word(), word(), passage + word(), word()])) for i in range(n)]
+    return passage, rows + [(5, rows[3][1]), (6, passage + rows[4][1])]
+
+
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_repeats_of_a_crowd(spark, hot):
+    _, rows = crowded_rows(240)
+    got = substring_dedup.repeats(docs(spark, rows).repartition(3), 50, crowd=8, hot=hot).collect()
+    assert sorted(str(tuple(r)) for r in got) == naive_repeats(rows, 50)
+
+
+def test_windows_of_a_crowd_fold_before_they_move(spark):
+    passage, rows = crowded_rows(1200)
+    rows = sorted((i, t) for i, t in rows if i is not None)
+    found = []
+    for _, text in rows:
+        record = np.zeros(1, substring_dedup.OPEN)
+        record["first"], record["last"] = text.index(passage), text.index(passage) + len(passage) - 50
+        found.append(record.tobytes())
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array(range(len(rows)), pa.int64()),
+                                        pa.array([t for _, t in rows]), pa.array(found, pa.binary())], names=["doc", "hash", "text", "found"])
+    moved = [r for out in substring_dedup._windows(50)(iter([batch])) for r in out.to_pylist()]
+    # each window inside the passage moves once; the others become one decided run per document
+    assert sum(r["piece"] is not None for r in moved) == len(passage) - 49
+    assert sum(r["piece"] is None for r in moved) == len(rows) - 1
