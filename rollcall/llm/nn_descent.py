@@ -1,16 +1,17 @@
 """Approximate nearest neighbours by inner product: an NN-descent graph and greedy search on it.
 
 * Equal vectors are one point (its smallest vector ids stand by to be listed).
-  Points get one more component so that all have one length; the largest inner
-  products are then the nearest points, whatever the lengths were.
+  Links and search use one measure, the inner product itself, so a point's
+  links are what a query at that point asks for, whatever the lengths are.
 * Start: points meet in buckets of random projections, split where they are
-  large, and keep their ``k`` best.
+  large, and keep their ``k`` best.  Buckets go by direction alone.
 * Descent: every point brings its neighbours and the points it is a neighbour
-  of together (a join of the edge table with itself and the vectors); pairs not
-  seen before that beat the worst neighbour of one side become edges.  Each
+  of together (a join of the edge table with itself and the vectors); its own
+  neighbours always come, as long vectors are neighbours of very many.  Pairs
+  not seen before that beat the worst neighbour of one side become edges.  Each
   round keeps the ``k`` best per point and ends when few edges are new.
-* Search: a query starts from its own neighbours and from ``entries`` fixed
-  points, and expands the best ``beam`` points not expanded yet, by joins, until
+* Search: a query starts from its own neighbours, from ``entries`` fixed points
+  and from the ``longest`` longest ones, and expands the best ``beam`` points not expanded yet, by joins, until
   those are all expanded.  The best are scored again in double precision on the
   original vectors.
 
@@ -53,9 +54,9 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 @F.pandas_udf(T.BinaryType())
-def _packed(v: pd.Series, most: pd.Series) -> pd.Series:
-    """Single-precision vector with the component that makes its squared length ``most``."""
-    return pd.Series([np.append(x, np.sqrt(max(0.0, m - float(np.dot(x, x))))).astype("<f4").tobytes() for x, m in zip(v, most)])
+def _packed(v: pd.Series) -> pd.Series:
+    """Single-precision vector."""
+    return pd.Series([np.asarray(x, "<f4").tobytes() for x in v])
 
 
 def _stack(column: pa.Array) -> np.ndarray:
@@ -178,9 +179,11 @@ def build_graph(points: DataFrame, n: int, k: int = 24, trees: int = 6, bucket:
             F.col("a").alias("_i"), F.when(F.col("n") >= k, F.col("m")).otherwise(F.lit(-3.4e38).cast("float")).alias("least"))
         carried = points.join(least, F.col("id") == F.col("_i"), "left").select(
             "id", "x", F.coalesce("least", F.lit(-3.4e38).cast("float")).alias("least"))
-        both = edges.select("a", "b", "fresh").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "fresh"))
-        both = both.groupBy("a", "b").agg(F.max("fresh").alias("fresh"))
-        near = both.withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("fresh"), F.xxhash64("a", "b")))).filter(
+        both = edges.select("a", "b", "fresh", F.lit(True).alias("own")).unionByName(
+            edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "fresh", F.lit(False).alias("own")))
+        both = both.groupBy("a", "b").agg(F.max("fresh").alias("fresh"), F.max("own").alias("own"))
+        order = W.partitionBy("a").orderBy(F.desc("own"), F.desc("fresh"), F.xxhash64("a", "b"))
+        near = both.withColumn("_r", F.row_number().over(order)).filter(
             F.col("_r") <= 2 * k)
         met = near.join(carried, F.col("b") == F.col("id")).select("a", F.col("b").alias("i"), "x", "least", "fresh")
         found = met.repartition("a").sortWithinPartitions("a", "i").mapInArrow(_local_join(k // 2), EDGE)
@@ -197,7 +200,7 @@ def build_graph(points: DataFrame, n: int, k: int = 24, trees: int = 6, bucket:
 def _dot(x: pd.Series, y: pd.Series) -> pd.Series:
     if not len(x):
         return pd.Series([], dtype="float32")
-    a, b = (np.frombuffer(b"".join(s), "<f4").reshape(len(s), -1)[:, :-1] for s in (x, y))
+    a, b = (np.frombuffer(b"".join(s), "<f4").reshape(len(s), -1) for s in (x, y))
     return pd.Series(np.einsum("ij,ij->i", a, b))
 
 
@@ -206,18 +209,22 @@ def _exact(x: pd.Series, y: pd.Series) -> pd.Series:
     return pd.Series([float(np.dot(a, b)) for a, b in zip(x, y)], dtype="float64")
 
 
-def search(queries: DataFrame, points: DataFrame, edges: DataFrame, beam: int = 40, entries: int = 8, rounds: int = 12) -> DataFrame:
+def search(queries: DataFrame, points: DataFrame, edges: DataFrame, beam: int = 100, entries: int = 8,
+           longest: int = 32, rounds: int = 12) -> DataFrame:
     """``q, b``: the ``beam`` best points found for every query (``q, node, qx``), its own point left out."""
     rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("sim"), "b"))
     links = edges.select("a", "b")
     first = queries.select("q", "node").join(links, F.col("node") == F.col("a")).select("q", "b")
-    doors = points.select(F.col("id").alias("b")).orderBy(F.xxhash64("id")).limit(entries)
-    first = first.unionByName(queries.select("q", "node").crossJoin(F.broadcast(doors)).filter("b <> node").select("q", "b"))
-    pool, asked = None, first.distinct()
-    for _ in range(rounds):
+    doors = points.orderBy(F.xxhash64("id")).limit(entries).unionByName(
+        points.orderBy(F.desc(_dot("x", "x")), "id").limit(longest)).distinct()
+    doors = F.broadcast(hold(doors.select(F.col("id").alias("b"), "x"), "doors"))
+    # every query meets the doors, so they are scored where the query is
+    pool = queries.crossJoin(doors).filter("b <> node").select("q", "b", _dot("qx", "x").alias("sim"), F.lit(False).alias("done"))
+    asked = first.distinct()
+    for at in range(rounds):
         scored = (asked.join(queries, "q").filter("b <> node").join(points, F.col("b") == F.col("id"))
                   .select("q", "b", _dot("qx", "x").alias("sim"), F.lit(False).alias("done")))
-        every = scored if pool is None else pool.withColumn("done", F.lit(True)).unionByName(scored)
+        every = (pool if at == 0 else pool.withColumn("done", F.lit(True))).unionByName(scored)
         every = every.groupBy("q", "b").agg(F.max("sim").alias("sim"), F.max("done").alias("done"))
         pool = hold(every.withColumn("_r", rank).filter(F.col("_r") <= beam).drop("_r"), "pool")
         fresh = pool.filter("not done")
@@ -229,14 +236,13 @@ def search(queries: DataFrame, points: DataFrame, edges: DataFrame, beam: int =
     return pool.select("q", "b")
 
 
-def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, degree: int = 24, beam: int = 40, **graph) -> DataFrame:
+def nearest(vectors: DataFrame, query_every: int = 20, k: int = 20, degree: int = 24, beam: int = 100, **graph) -> DataFrame:
     """``query_id, rank, vec_id, score``: neighbours by inner product of the rows whose id ``query_every`` divides."""
     rows = hold(usable(vectors), "vectors")
     # equal vectors are one point; its id is its smallest vector id
     lowest = rows.groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"))
     lowest = hold(lowest, "points")
-    most = lowest.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("most"))
-    points = hold(lowest.crossJoin(F.broadcast(most)).select("id", _packed("v", "most").alias("x")), "packed")
+    points = hold(lowest.select("id", _packed("v").alias("x")), "packed")
     n = points.count()
     edges = build_graph(points, n, degree, **graph)
     member = rows.join(lowest.select(F.col("v").alias("_v"), "id", "copies"), F.col("v") == F.col("_v"))

@@ -55,6 +55,24 @@ def test_neighbours_recall(spark):
     assert hits >= 0.9 * 20 * len(want)
 
 
+@pytest.mark.parametrize("folder,spread", [("sf0.1", 0.2), ("sf0.1", 0.5), ("check_s", 0.0)])
+def test_neighbours_recall_whatever_the_lengths(spark, folder, spread):
+    frame = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
+    x = np.array(frame["embedding"].tolist()) * np.exp(spread * np.random.default_rng(3).standard_normal(len(frame)))[:, None]
+    ids = frame["vec_id"].to_numpy()
+    rows = nn_descent.nearest(spark.createDataFrame(list(zip(ids.tolist(), x.tolist())), "vec_id long, embedding array<double>")).collect()
+    own = {}
+    for r in rows:
+        own.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        recall.append(len(own[ids[q]] & set(ids[np.argsort(-score)[:20]].tolist())) / 20)
+    print("recall", folder, spread, np.mean(recall))
+    assert np.mean(recall) >= 0.9
+
+
 def test_neighbours_edges(spark):
     rng = random.Random(1)
     good = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(12)] + [(40 + i, [3.0, 0.0, 0.0, 0.0]) for i in range(30)]
