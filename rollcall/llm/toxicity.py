@@ -1,10 +1,11 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by nearest labelled examples under exact weighted TF-IDF cosine.
 
 * Fit: at most ``sample_rows`` labelled rows (in the order of a hash of
-  ``doc_id``) are the examples.  Terms are words and their beginnings of four
-  to six letters; kept are those whose share among toxic examples is at least
-  ``least_lift`` times that among others, with chi-square ``least_chi2`` or
-  more, at most ``most_terms``.
+  ``doc_id``) are the examples.  All their words are terms.  Words and
+  beginnings of four to six letters whose share among toxic examples is at
+  least ``least_lift`` times that among others, with chi-square ``least_chi2``
+  or more (at most ``most_terms``), are *marks*: such beginnings are terms too,
+  and terms that are no marks weigh ``plain`` times as much.
 * Term counts of every whole text and document frequencies over all documents
   give the TF-IDF vectors.
 * Examples lie in blocks; of every term and block the index knows the largest
@@ -14,11 +15,12 @@
 * Neighbours vote with their cosine; the vote is mapped to a probability by a
   monotone fit on votes of the examples about each other (each left out).
 
-The index is bounded by ``sample_rows`` and ``most_terms`` and is broadcast.
+The index is bounded by the words of ``sample_rows`` texts and is broadcast.
 A score depends on the text alone.
 
 Defined results: a null text counts as empty; texts without any known term get
-the share of toxic examples among such examples; without toxic examples every
+the share of toxic examples among such examples (the share among all counts
+as one such example); without toxic examples every
 score is 0; ties between examples go to the smaller id; an empty table gives an
 empty result.  Extra columns are ignored.
 """
@@ -26,6 +28,7 @@ empty result.  Extra columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -61,20 +64,24 @@ def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["term", "bad", "good"])
 
 
-def choose_terms(examples: DataFrame, n_bad: int, n_good: int, least_chi2: float, least_lift: float, most_terms: int) -> list[str]:
-    """Terms that mark toxic examples (``text``, ``label``)."""
+def count_terms(examples: DataFrame) -> DataFrame:
+    """``term, bad, good``: examples (``text``, ``label``) with each term, toxic and not."""
     counts = examples.select(F.col("text"), F.col("label")).mapInArrow(_count_terms, "term string, bad long, good long")
-    counts = counts.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter("bad >= 3")
+    return counts.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def choose_terms(counts: DataFrame, n_bad: int, n_good: int, least_chi2: float, least_lift: float, most_terms: int) -> list[str]:
+    """Terms that mark toxic examples."""
     n, seen = n_bad + n_good, F.col("bad") + F.col("good")
     gap = F.col("bad") * n_good - F.col("good") * n_bad
     chi2 = gap.cast("double") ** 2 * n / (seen * (n - seen) * float(n_bad) * n_good)
-    rows = (counts.filter((F.col("bad") * n_good >= least_lift * F.col("good") * n_bad) & (seen < n)).withColumn("chi2", chi2).filter(F.col("chi2") >= least_chi2)
-            .orderBy(F.desc("chi2"), "term").limit(most_terms).collect())
+    rows = (counts.filter("bad >= 3").filter((F.col("bad") * n_good >= least_lift * F.col("good") * n_bad) & (seen < n))
+            .withColumn("chi2", chi2).filter(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "term").limit(most_terms).collect())
     return [r["term"] for r in rows]
 
 
 def _vectors(terms: list[str]):
-    """Counts of the chosen terms in every whole text."""
+    """Counts of the terms in every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {t: i for i, t in enumerate(terms)}
@@ -86,7 +93,7 @@ def _vectors(terms: list[str]):
                 for word, n in Counter(WORD.findall((text or "").lower())).items():
                     hit = known.get(word)
                     if hit is None:
-                        if len(known) > 500_000:
+                        if len(known) > 200_000:
                             known.clear()
                         hit = known[word] = tuple(number[f] for f in forms(word) if f in number)
                     for t in hit:
@@ -101,8 +108,15 @@ def _vectors(terms: list[str]):
     return run
 
 
+def _spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """All numbers of many ranges, one range after the other."""
+    size = stop - start
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 class BlockMaxIndex:
-    """Postings of unit vectors by term and block, with the largest weight of each."""
+    """Postings of unit vectors by term and block, with the largest weight of each pair that occurs."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64):
         self.n, self.block = len(vectors), block
@@ -110,35 +124,50 @@ class BlockMaxIndex:
         example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
+        order = np.argsort(term, kind="stable")  # examples are in order already
+        self.example, self.weight = example[order].astype(np.int32), weight[order]
         cell = term[order] * self.blocks + self.example // block
-        self.start = np.searchsorted(cell, np.arange(n_terms * self.blocks + 1)).reshape(-1)
-        self.most = np.zeros(n_terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(n_terms, self.blocks)
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.start = np.append(first, len(cell))  # postings of every (term, block) that occurs
+        self.of = (cell[first] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(cell[first] // self.blocks, np.arange(n_terms + 1))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Examples with the ``k`` largest positive dot products, largest first, ties to the smaller number."""
-        bound = weights @ self.most[terms]
         best, score = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(score) == k and bound[b] < score[-1] - 1e-12):
+        low, high = self.cells[terms], self.cells[terms + 1]
+        cells, own = _spans(low, high), np.repeat(weights, high - low)
+        of = self.of[cells]
+        bound = np.bincount(of, own * self.most[cells], self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        at, step = 0, 4
+        while at < self.blocks:
+            # a few blocks at a time, in falling order of the bound
+            due = order[at:at + step]
+            due = due[bound[due] > 0]
+            if len(score) == k:
+                due = due[bound[due] >= score[-1] - 1e-12]
+            if not len(due):
                 break
-            own = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist()):
-                x, y = self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1]
-                own[self.example[x:y] - b * self.block] += w * self.weight[x:y]
-            hit = np.flatnonzero(own > 0)
-            hit = hit[hit + b * self.block != skip]
-            best, score = np.append(best, hit + b * self.block), np.append(score, own[hit])
-            order = np.lexsort((best, -score))[:k]
-            best, score = best[order], score[order]
+            at, step = at + step, 2 * step
+            wanted = np.zeros(self.blocks, bool)
+            wanted[due] = True
+            use = wanted[of]
+            c, w = cells[use], own[use]
+            x, y = self.start[c], self.start[c + 1]
+            post = _spans(x, y)
+            total = np.bincount(self.example[post], np.repeat(w, y - x) * self.weight[post], self.n)
+            hit = np.flatnonzero(total > 0)
+            hit = hit[hit != skip]
+            best, score = np.append(best, hit), np.append(score, total[hit])
+            top = np.lexsort((best, -score))[:k]
+            best, score = best[top], score[top]
         return best, score
 
 
 def unit(terms, counts, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """TF-IDF vector of length one: (1 + log count) * idf."""
+    """Weighted TF-IDF vector of length one: (1 + log count) * idf, with the weights in ``idf``."""
     t = np.asarray(terms, np.int64)
     w = (1 + np.log(np.asarray(counts, float))) * idf[t]
     return t, w / np.sqrt((w * w).sum()) if len(t) else w
@@ -161,16 +190,32 @@ def monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
 class NearestExamples:
     """The fitted scorer: index, labels and ids of the examples, idf, calibration."""
 
-    def __init__(self, examples: list[tuple[int, int, list, list]], idf: np.ndarray, share_without: float, k: int):
-        examples = sorted(examples)
+    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray, share_without: float, k: int):
+        examples = sorted(examples, key=lambda e: e[0])
         self.ids = np.array([e[0] for e in examples], np.int64)
         self.labels = np.array([e[1] for e in examples], float)
         self.idf, self.k, self.share_without = idf, k, share_without
-        vectors = [unit(e[2], e[3], idf) for e in examples]
+        self.held = [(np.asarray(e[2], np.int32), np.asarray(e[3], np.int64)) for e in examples]
+        vectors = [unit(t, c, idf) for t, c in self.held]
         self.index = BlockMaxIndex(vectors, len(idf))
         votes = np.array([self._vote(*self.index.nearest(t, w, k, skip=i)) for i, (t, w) in enumerate(vectors)])
         self.knots = monotone(votes, self.labels) if len(votes) else (np.zeros(1), np.zeros(1))
 
+    def __getstate__(self) -> dict:
+        # what the index is made of is far smaller than the index; it is built again where it arrives
+        sizes = np.array([len(t) for t, _ in self.held], np.int64)
+        flat = [np.concatenate([x[i] for x in self.held]) if self.held else np.zeros(0, np.int64) for i in (0, 1)]
+        packed = [zlib.compress(f.astype(np.int64).tobytes(), 1) for f in flat]
+        return {k: v for k, v in self.__dict__.items() if k not in ("held", "index")} | {"packed": packed, "sizes": sizes}
+
+    def __setstate__(self, state: dict) -> None:
+        stops = np.cumsum(state.pop("sizes"))[:-1]
+        terms, counts = (np.split(np.frombuffer(zlib.decompress(f), np.int64), stops) for f in state.pop("packed"))
+        self.__dict__.update(state)
+        vectors = [unit(t, c, self.idf) for t, c in zip(terms, counts)] if len(self.ids) else []
+        self.held = list(zip(terms, counts)) if vectors else []
+        self.index = BlockMaxIndex(vectors, len(self.idf))
+
     def _vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         return float((cosine * self.labels[near]).sum() + 0.5 * self.share_without) / float(cosine.sum() + 0.5)
 
@@ -183,7 +228,7 @@ class NearestExamples:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most_terms: int = 2_048, least_chi2: float = 25.0,
-             least_lift: float = 4.0, k: int = 10, held_out: int = 2, cut: float = 0.3) -> DataFrame:
+             least_lift: float = 4.0, k: int = 10, held_out: int = 2, cut: float = 0.3, plain: float = 0.1) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence`` of every row.
 
     Learns from labelled rows whose crc32 modulo 4 is not ``held_out``.
@@ -197,18 +242,27 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     examples = source.join(told, F.col("doc_id") == F.col("_id"))
     size = examples.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("bad"), F.count(F.lit(1)).alias("n")).first()
-    terms = choose_terms(examples, size["bad"], size["n"] - size["bad"], least_chi2, least_lift, most_terms) if 0 < size["bad"] < size["n"] else []
+    terms, marks = [], set()
+    if size["bad"]:
+        counts = hold(count_terms(examples), "counts")
+        if size["bad"] < size["n"]:
+            marks = set(choose_terms(counts, size["bad"], size["n"] - size["bad"], least_chi2, least_lift, most_terms))
+        words = counts.filter(~F.col("term").endswith("*")).select("term").toArrow().column(0).to_pylist()
+        terms = sorted(marks.union(words))
     rows = hold(source.join(told, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "label", "text")
                 .mapInArrow(_vectors(terms), "doc_id long, label int, terms array<int>, counts array<long>"), "terms")
     idf = np.zeros(max(1, len(terms)))
     n_docs = rows.count()
-    for r in rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect():
-        idf[r["t"]] = np.log((1 + n_docs) / (1 + r["df"])) + 1
+    seen = rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).toArrow()
+    idf[seen["t"].to_numpy()] = np.log((1 + n_docs) / (1 + seen["df"].to_numpy())) + 1
+    weight = idf * np.array([1.0 if t in marks else plain for t in terms] or [1.0])
     marked = rows.filter("label is not null").dropDuplicates(["doc_id"])
     without = marked.filter(F.size("terms") == 0).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")).first()
-    share = (without["bad"] + 0.5) / (without["n"] + 1) if size["bad"] else 0.0
-    found = [(r["doc_id"], r["label"], list(r["terms"]), list(r["counts"])) for r in marked.filter(F.size("terms") > 0).collect()]
-    model = spark.sparkContext.broadcast(NearestExamples(found, idf, min(share, 0.5), k))
+    share = (without["bad"] + size["bad"] / size["n"]) / (without["n"] + 1) if size["bad"] else 0.0
+    told = marked.filter(F.size("terms") > 0).toArrow()
+    found = [(i, y, t.values.to_numpy(), c.values.to_numpy()) for i, y, t, c in zip(
+        told["doc_id"].to_pylist(), told["label"].to_pylist(), told["terms"], told["counts"])]
+    model = spark.sparkContext.broadcast(NearestExamples(found, weight, min(share, 0.5), k))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value

@@ -134,6 +134,18 @@ def test_toxicity_edges(spark):
     assert toxicity.toxicity(small(spark, []), labels).count() == 0
 
 
+def test_toxicity_knows_every_word(spark):
+    clean = [(i, f"plain c{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} talk about gardens") for i in range(60)]
+    toxic = [(100, "vexum talk about gardens"), (101, "drolk plain")]
+    asked = [(200, "you vexum"), (201, "drolk there"), (202, "plain cak talk"), (203, "never seen words")]
+    labels = spark.createDataFrame([(i, 0) for i, _ in clean] + [(i, 1) for i, _ in toxic], "doc_id long, toxic int")
+    rows = {r["doc_id"]: r for r in toxicity.toxicity(small(spark, clean + toxic + asked), labels, held_out=9).collect()}
+    # words of a single toxic example lead to it, and words of clean text to clean examples
+    assert rows[200]["evidence"] == [100] and rows[201]["evidence"] == [101]
+    assert rows[202]["evidence"] == [] and rows[202]["score"] < min(rows[200]["score"], rows[201]["score"])
+    assert rows[203]["evidence"] == [] and rows[203]["score"] < 0.3
+
+
 def test_quality_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.quality(docs, labels).join(labels, "doc_id").filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).collect()
