@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.functions.spread import ensure_checkpoint_dir
-from rollcall.llm import byte_bpe, exact_dedup, ngram_join, nn_descent, packing, quality, substring_dedup, token_file, toxicity, url_filter
+from rollcall.llm import (byte_bpe, exact_dedup, filter_audit, ngram_join, nn_descent, packing, quality, substring_dedup, token_file,
+                          toxicity, url_filter, whitening)
 from rollcall.llm.common import table
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -141,3 +142,43 @@ def op2_nn_descent(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op2_nn_descent"] = op2_nn_descent
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove in every order, per language."""
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n,
+  CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * list_unique(w) < 80 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN first < d.doc_id THEN 16 ELSE 0 END AS mask
+ FROM d LEFT JOIN (SELECT t AS ft, min(doc_id) AS first FROM d GROUP BY 1) ON t = ft LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+l(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (SELECT a.name || b.name || c.name || d.name || e.name AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+ FROM l a, l b, l c, l d, l e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0) AS seen FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (SELECT part, filter_order, step::INTEGER AS step, bit,
+  sum(CASE WHEN mask & (seen | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN mask & bit <> 0 AND mask & seen = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN mask & bit <> 0 AND mask & seen <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN mask & bit <> 0 AND mask & seen = 0 THEN n * good ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN mask & bit <> 0 AND mask & seen = 0 THEN n * toxic ELSE 0 END)::BIGINT AS toxic_lost
+ FROM f, (SELECT filter_order, step, bit::INTEGER AS bit, seen::INTEGER AS seen FROM s) GROUP BY 1, 2, 3, 4)
+SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
+QUERIES["op12_filter_audit"] = op12_filter_audit
+ORACLE["op12_filter_audit"] = OP12_SQL
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every embedding on at most 32 whitened components."""
+    return whitening.components(table(spark, folder, "embeddings"), "vec_id", "embedding")
+
+
+QUERIES["op13_whitening"] = op13_whitening
