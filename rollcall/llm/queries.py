@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from rollcall.functions.spread import ensure_checkpoint_dir
-from rollcall.llm import (byte_bpe, exact_dedup, filter_audit, ngram_join, nn_descent, packing, quality, substring_dedup, token_file,
+from rollcall.llm import (byte_bpe, exact_dedup, filter_audit, ngram_join, nn_descent, packing, personal_data, quality, substring_dedup, token_file,
                           toxicity, url_filter, whitening)
 from rollcall.llm.common import table
 
@@ -182,3 +182,11 @@ def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES["op13_whitening"] = op13_whitening
+
+
+def op11_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document: strict forms and what their contexts lead to."""
+    return personal_data.digests(personal_data.find(table(spark, folder, "documents")))
+
+
+QUERIES["op11_personal_data"] = op11_personal_data
