@@ -3,12 +3,14 @@
 1. Seeds: strict forms of four kinds, found by scanning every whole text.
 2. Candidates: looser forms (an address without a dot or with its signs spelt
    out, an address of colon groups, a long number that fails its check digit, a
-   telephone number without a plus) that overlap no seed.  They are not spans
-   yet.
+   telephone number without a plus, and the parts of runs in which numbers stand
+   side by side and spoil each other's strict form) that overlap no seed.  They
+   are not spans yet.
 3. Lexical patterns: the word to the left, the two words to the left and the
-   word to the right of a mention.  A second scan counts how often the contexts
+   word to the right of a mention, and the shape of a number (digits as 0, with
+   its check digit right or wrong).  A second scan counts how often the words
    occur anywhere, so that a pattern is measured against everything that fills
-   its slot.
+   its slot; only mentions have a shape.
 4. The graph of patterns and instances (kind, normalised value) is scored in
    rounds of joins: the confidence of a pattern is t / (t + other + unknown / 4 + 1)
    with t the confidence of its trusted instances, each counted once, ``other``
@@ -98,16 +100,51 @@ def quads(text: str) -> list[tuple[int, int]]:
 
 
 def numbers(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Card numbers, and numbers of their length with a wrong check digit."""
+    """Card numbers, numbers of their length with a wrong check digit, and parts of longer runs."""
     good, loose = [], []
     for m in NUMBER.finditer(text):
-        if m.end() - m.start() >= 13 and 13 <= len(d := NOT_DIGITS.sub("", m.group())) <= 19:
-            (good if luhn(d) else loose).append(m.span())
+        if m.end() - m.start() >= 13:
+            d = NOT_DIGITS.sub("", m.group())
+            if 13 <= len(d) <= 19:
+                (good if luhn(d) else loose).append(m.span())
+            elif len(d) > 19:
+                loose += crowded(text, *m.span())
     return good, loose
 
 
-def calls(text: str) -> list[tuple[int, int]]:
-    return [m.span() for m in CALL.finditer(text) if 9 <= len(NOT_DIGITS.sub("", m.group())) <= 15]
+def crowded(text: str, s: int, e: int) -> list[tuple[int, int]]:
+    """Parts of card length in a run of more digits than one number has: single groups, or four groups of four that check."""
+    groups = [(s + m.start(), s + m.end()) for m in re.finditer("[0-9]+", text[s:e])]
+    out, i = [], 0
+    while i < len(groups):
+        four = groups[i:i + 4]
+        if 13 <= groups[i][1] - groups[i][0] <= 19:
+            out.append(groups[i])
+        elif len(four) == 4 and all(b - a == 4 for a, b in four) and luhn("".join(text[a:b] for a, b in four)):
+            out.append((four[0][0], four[3][1]))
+            i += 3
+        i += 1
+    return out
+
+
+def calls(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Telephone numbers, and the likeliest beginnings (to a space) of runs of too many digits."""
+    good, loose = [], []
+    for m in CALL.finditer(text):
+        digits = len(NOT_DIGITS.sub("", m.group()))
+        if 9 <= digits <= 15:
+            good.append(m.span())
+        elif digits > 15:
+            ends, n = [], 0
+            for g in re.finditer(r"[^ ]+", m.group()):
+                n += len(NOT_DIGITS.sub("", g.group()))
+                if n > 15:
+                    break
+                if n >= 9:
+                    ends.append((n < 10, m.start() + g.end()))
+            if ends:
+                loose.append((m.start(), min(ends)[1]))
+    return good, loose
 
 
 def seeds(text: str) -> list[tuple[int, int, int]]:
@@ -133,7 +170,9 @@ def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     if DIGIT.search(text):
         base += [(IP, *x) for x in quads(text)]
         good, open_ = numbers(text)
-        base += [(CARD, *x) for x in good] + [(PHONE, *x) for x in calls(text)]
+        said, begun = calls(text)
+        base += [(CARD, *x) for x in good] + [(PHONE, *x) for x in said]
+        loose += [(PHONE, *x) for x in begun]
         around = lambda s, e: not (text[s - 1:s].isalnum() or text[e:e + 1].isalnum())
         loose += [(CARD, s, e) for s, e in open_ if around(s, e)]
         loose += [(PHONE, *m.span()) for m in CLUSTER.finditer(text) if 7 <= len(NOT_DIGITS.sub("", m.group())) <= 15]
@@ -161,11 +200,11 @@ def _until(taken: list[tuple[int, int]], i: int, e: int) -> Iterator[tuple[int,
 def plain(word: str) -> str:
     """A word as patterns know it: lower case, digits as 0, signs at the edges only where there is nothing else."""
     low = word.lower()
-    return re.sub("[0-9]", "0", EDGE.sub("", low) or low)
+    return DIGIT.sub("0", EDGE.sub("", low) or low)
 
 
-def contexts(text: str, s: int, e: int) -> list[str]:
-    """The patterns a mention stands in: L (left word), B (two left words), R (right word)."""
+def contexts(text: str, kind: int, s: int, e: int) -> list[str]:
+    """The patterns a mention stands in: L (left word), B (two left words), R (right word), S (shape of a number)."""
     reach = 2 * WORD_CHARS + 4
     left, right = text[max(0, s - reach):s].split(), text[e:e + WORD_CHARS + 2].split()
     if s > reach and left and not text[s - reach - 1].isspace():
@@ -179,6 +218,9 @@ def contexts(text: str, s: int, e: int) -> list[str]:
             out.append(f"B {plain(left[0])} {plain(left[1])}")
     if right and len(right[0]) <= WORD_CHARS:
         out.append("R " + plain(right[0]))
+    if kind in (CARD, PHONE) and e - s <= WORD_CHARS:
+        checks = kind == CARD and luhn(NOT_DIGITS.sub("", text[s:e]))
+        out.append("S " + DIGIT.sub("0", text[s:e]) + (" checks" if checks else ""))
     return out
 
 
@@ -200,7 +242,7 @@ def mentions(docs: DataFrame) -> DataFrame:
             for text in b["text"]:
                 text = text or ""
                 base, loose = scan(text)
-                lists.append([(k, s, e, text[s:e], seed, value(k, text[s:e]), contexts(text, s, e))
+                lists.append([(k, s, e, text[s:e], seed, value(k, text[s:e]), contexts(text, k, s, e))
                               for seed, spans in ((True, base), (False, loose)) for k, s, e in spans])
             yield pd.DataFrame({"doc_id": b["doc_id"], "_row": np.arange(row, row + len(b)), "m": lists})
             row += len(b)
@@ -212,6 +254,8 @@ def mentions(docs: DataFrame) -> DataFrame:
 def context_counts(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, total): occurrences of the contexts ``keys`` in all texts, whatever stands beside them."""
     rows = keys.select(F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(BITS)).cast("int").alias("p")).distinct().collect()  # at most BITS rows
+    if not rows:
+        return docs.sparkSession.createDataFrame([], "key string, total long")
     bits = np.zeros(BITS, dtype=bool)
     bits[[r["p"] for r in rows]] = True
     bits = np.packbits(bits).tobytes()
@@ -255,7 +299,7 @@ def trusted(found: DataFrame, docs: DataFrame, least: float, support: int) -> Da
     graph = hold(edges.join(keys, ["k", "key"], "left_semi"), "personal-graph")
     if graph.isEmpty():
         return accepted
-    wanted = graph.select("key").distinct()
+    wanted = graph.filter(~F.col("key").startswith("S ")).select("key").distinct()
     left = wanted.filter(F.col("key").startswith("B ")).select(F.concat(F.lit("L "), F.substring_index("key", " ", -1)).alias("key"))
     totals = hold(context_counts(docs, wanted.unionByName(left)), "personal-totals")
     while True:

@@ -72,6 +72,10 @@ def planted(rng):
     docs += [f"{said(3)} ring 555-88-{3000 + i} {said(3)}" for i in range(4)]
     docs += [f"{said(3)} amber 777-66-{4000 + i} {said(3)} birch lost{i}@nowhere {said(2)}" for i in range(4)]  # everyday words prove nothing
     docs += [f"{said(3)} elsewhere hidden1@intranet {said(3)}", f"{said(2)} 1 212 555 1003 {said(2)}"]  # known instances in unknown places
+    cards = ["4111111111111111", "5500005555555559", "340000000000009", "6011000000000004", "3530111333300000", "4242424242424242", "5555555555554444", "2223003122003222"]
+    docs += [f"{said(2)} {c} {said(3)}" for c in cards]
+    docs += [f"{said(2)} {cards[0]} 4012888888881881 {said(2)}", f"{said(2)} +1 (212) 555-9999 5105105105105100 {said(2)}"]  # side by side
+    docs += [f"{said(2)} 1234567890123456 {said(2)}", f"{said(2)} {' '.join('1234 5678 9012'.split() * 4)} {said(2)}"]  # no card
     docs += [said(30) for _ in range(20)] + [None, "", "é" * 50 + " mailbox"]
     return docs
 
@@ -84,7 +88,8 @@ def test_discovery(spark):
     assert len(out) == len(rows)
     found = sorted((s["kind"], s["text"]) for r in out for s in r["spans"] if s["found"])
     want = [("email", f"hidden{i}@intranet") for i in range(4)] + [("phone", f"555-88-{3000 + i}") for i in range(4)]
-    assert found == sorted([*want, ("email", "hidden1@intranet"), ("phone", "1 212 555 1003")])
+    assert found == sorted([*want, ("email", "hidden1@intranet"), ("phone", "1 212 555 1003"), ("card", "4111111111111111"), ("card", "4012888888881881"),
+                             ("card", "5105105105105100"), ("phone", "+1 (212) 555-9999")])
     digest = {(r["doc_id"], r["base_sha256"]) for r in pd_.digests(pd_.find(df)).collect()}
     assert digest == {(i, hashlib.sha256(base_text(t or "").encode()).hexdigest()) for i, t, _, _ in rows}
     assert pd_.digests(pd_.find(df.limit(0))).count() == 0
