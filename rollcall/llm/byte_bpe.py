@@ -25,9 +25,11 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # symbol classes
 LETTER, NUMBER, OTHER, MARK1, MARK2, JOIN, SPACE, LAST = range(8)
@@ -294,8 +296,6 @@ def load(path: str) -> ByteBPE:
 
 def encode_column(docs: DataFrame, path: str, batch_chars: int = 2_000_000) -> DataFrame:
     """``docs`` with ``ids`` (array of long) added; for consumers that want the ids themselves."""
-    import pandas as pd
-    from pyspark.sql import types as T
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def encode(texts: pd.Series) -> pd.Series:

@@ -35,6 +35,7 @@ from pyspark.sql.window import Window as W
 from rollcall.llm.tokens import load, text_groups
 
 MAGIC = b"IDC1"
+HEAD = "<QQIIII"
 FRAME_IDS = 4 << 20
 LANES, LEAST_BLOCK, MOST_BLOCK = 2048, 256, 4096
 SLOTS1, SLOTS2 = 512, 1024
@@ -162,10 +163,13 @@ def _order0(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     total, goal = int(counts.sum()), 1 << ORDER0
     if np.count_nonzero(counts) > goal:
         raise ValueError("more different ids in a frame than the order-0 table has slots")
-    freq = np.where(counts > 0, np.maximum(1, counts * (goal // 2) // max(total, 1)), 0)
-    freq[np.argmax(freq)] += goal - int(freq.sum())
-    if freq.min() < 0 or freq.max() <= 0:
-        raise ValueError("order-0 table overflow")
+    if not total:
+        raise ValueError("a frame without ids")
+    # one slot for every id that occurs, the others in proportion; what rounding leaves goes to the largest remainders
+    share = counts * (goal - np.count_nonzero(counts))
+    freq = share // total + (counts > 0)
+    left = goal - int(freq.sum())
+    freq[np.argsort(-(share % total), kind="stable")[:left]] += 1
     cum = np.cumsum(freq) - freq
     return freq, cum, np.repeat(np.arange(len(freq)), freq)
 
@@ -184,19 +188,24 @@ def encode_frame(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray)
     docs = zlib.compress(np.array([d is None for d in doc_ids], np.uint8).tobytes()
                          + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.asarray(counts, "<u8").tobytes())
     order0 = zlib.compress(np.diff(used, prepend=0).astype("<u4").tobytes() + times.astype("<u4").tobytes())
-    out = [MAGIC, struct.pack("<QQIIII", len(ids), len(doc_ids), steps, len(used), len(docs), len(order0)), docs, order0]
+    head = MAGIC + struct.pack(HEAD, len(ids), len(doc_ids), steps, len(used), len(docs), len(order0)) + docs + order0
+    out = [head, struct.pack("<I", zlib.crc32(head))]
     for i, part in enumerate(encode_lanes(grid, freq, cum)):
         own = ids[i * steps:(i + 1) * steps].astype("<u4").tobytes()
-        out += [struct.pack("<III", len(own) // 4, len(part), zlib.crc32(own)), part]
+        block = struct.pack("<III", len(own) // 4, len(part), zlib.crc32(own)) + part
+        out += [block, struct.pack("<I", zlib.crc32(block))]
     return b"".join(out)
 
 
 def decode_frame(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """Document ids, id counts and ids of a frame; raises if a checksum fails."""
-    if frame[:4] != MAGIC:
+    """Document ids, id counts and ids of a frame; raises ``ValueError`` if a checksum of header, coded bytes or ids fails."""
+    at = 4 + struct.calcsize(HEAD)
+    if frame[:4] != MAGIC or len(frame) < at:
         raise ValueError("not a token-id frame")
-    n, n_docs, steps, n_used, docs_size, order_size = struct.unpack_from("<QQIIII", frame, 4)
-    at = 4 + struct.calcsize("<QQIIII")
+    n, n_docs, steps, n_used, docs_size, order_size = struct.unpack_from(HEAD, frame, 4)
+    body = at + docs_size + order_size
+    if len(frame) < body + 4 or struct.unpack_from("<I", frame, body)[0] != zlib.crc32(frame[:body]):
+        raise ValueError("checksum of the header fails")
     docs = zlib.decompress(frame[at:at + docs_size])
     null = np.frombuffer(docs, np.uint8, n_docs)
     doc_ids = np.frombuffer(docs, "<i8", n_docs, n_docs).tolist()
@@ -206,13 +215,18 @@ def decode_frame(frame: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     used = np.cumsum(np.frombuffer(order0, "<u4", n_used)).astype(np.int64)
     table = np.zeros(int(used[-1]) + 1, np.int64)
     table[used] = np.frombuffer(order0, "<u4", n_used, 4 * n_used)
-    at += order_size
+    at = body + 4
     parts, heads = [], []
     while at < len(frame):
-        size, length, crc = struct.unpack_from("<III", frame, at)
-        parts.append(frame[at + 12:at + 12 + length])
+        size, length, crc = struct.unpack_from("<III", frame, at) if at + 16 <= len(frame) else (0, 0, 0)
+        end = at + 12 + length
+        if not size or end + 4 > len(frame) or struct.unpack_from("<I", frame, end)[0] != zlib.crc32(frame[at:end]):
+            raise ValueError(f"checksum of block {len(parts)} fails")
+        parts.append(frame[at + 12:end])
         heads.append((size, crc))
-        at += 12 + length
+        at = end + 4
+    if sum(size for size, _ in heads) != n:
+        raise ValueError("blocks are missing")
     ids = decode_lanes(parts, steps, *_order0(table)).reshape(-1)[:n].astype("<u4")
     for i, (size, crc) in enumerate(heads):
         if zlib.crc32(ids[i * steps:i * steps + size].tobytes()) != crc:

@@ -55,7 +55,7 @@ def test_neighbours_recall(spark):
     assert hits >= 0.9 * 20 * len(want)
 
 
-@pytest.mark.parametrize("folder,spread", [("sf0.1", 0.2), ("sf0.1", 0.5), ("check_s", 0.0)])
+@pytest.mark.parametrize("folder,spread", [("sf0.1", 0.2), ("sf0.1", 0.5), ("sf0.1", 0.0)])
 def test_neighbours_recall_whatever_the_lengths(spark, folder, spread):
     frame = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet").select("vec_id", "embedding").toPandas().sort_values("vec_id")
     x = np.array(frame["embedding"].tolist()) * np.exp(spread * np.random.default_rng(3).standard_normal(len(frame)))[:, None]

@@ -86,6 +86,33 @@ def test_frame_round_trip(n, different):
     if n > 1:
         with pytest.raises(ValueError):
             token_file.decode_frame(bytes(broken))
+    for at in [*range(44), *range(len(frame) - 24, len(frame)), *range(44, len(frame), max(1, len(frame) // 50))]:
+        broken = bytearray(frame)
+        broken[at] ^= 255
+        with pytest.raises(ValueError):
+            token_file.decode_frame(bytes(broken))
+    for cut in (0, 3, 40, len(frame) // 2, len(frame) - 1):
+        with pytest.raises(ValueError):
+            token_file.decode_frame(frame[:cut])
+
+
+def order0_bits(ids):
+    counts = np.bincount(ids)
+    share = counts[counts > 0] / len(ids)
+    return float(-(share * np.log2(share)).sum())
+
+
+def test_frame_size(spark):
+    """Ids of real texts take fewer bits than their order-0 entropy; ids without any order lose little against it."""
+    encoder = tokens.load(vocab.path("byte_bpe_50k.json"))
+    found = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    ids = np.concatenate([encoder.encode(group)[0] for group in tokens.text_groups(found)]).astype(np.uint32)
+    assert 8 * len(token_file.encode_frame([1], np.array([len(ids)]), ids)) < order0_bits(ids) * len(ids)
+    p = 1 / np.arange(1, 5001)
+    ids = np.random.default_rng(1).choice(5000, 1_000_000, p=p / p.sum()).astype(np.uint32)
+    frame = token_file.encode_frame([1], np.array([len(ids)]), ids)
+    assert (token_file.decode_frame(frame)[2] == ids).all()
+    assert 8 * len(frame) < (order0_bits(ids) + 0.7) * len(ids)
 
 
 def test_token_file(spark, tmp_path):
