@@ -103,11 +103,12 @@ def order0_bits(ids):
 
 
 def test_frame_size(spark):
-    """Ids of real texts take fewer bits than their order-0 entropy; ids without any order lose little against it."""
+    """A whole frame of real texts takes clearly fewer bits than its order-0 entropy; ids without any order lose little against it."""
     encoder = tokens.load(vocab.path("byte_bpe_50k.json"))
-    found = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    found = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").collect()]
     ids = np.concatenate([encoder.encode(group)[0] for group in tokens.text_groups(found)]).astype(np.uint32)
-    assert 8 * len(token_file.encode_frame([1], np.array([len(ids)]), ids)) < order0_bits(ids) * len(ids)
+    ids = ids[:token_file.FRAME_IDS]
+    assert 8 * len(token_file.encode_frame([1], np.array([len(ids)]), ids)) < (order0_bits(ids) - 0.3) * len(ids)
     p = 1 / np.arange(1, 5001)
     ids = np.random.default_rng(1).choice(5000, 1_000_000, p=p / p.sum()).astype(np.uint32)
     frame = token_file.encode_frame([1], np.array([len(ids)]), ids)
