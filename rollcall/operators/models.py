@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from rollcall.functions import spread
-from rollcall.operators import scoring, spatial
+from rollcall.operators import neighbors, scoring
 
 
 def hashed_unit(*cols: Column | str) -> Column:
@@ -164,14 +164,8 @@ def feature_recon_error(df: DataFrame, features: str, k: int = 8) -> DataFrame:
 # ---------------------------------------------------------------- density and clusters
 
 def lof_score(df: DataFrame, key: str, x: str, y: str, k: int = 20, outlier: float = 1.5) -> DataFrame:
-    """Local outlier factor over two columns, from the exact k-nearest edges."""
-    e = spread.pin(spatial.knn_neighbors(df, key, x, y, k))
-    kd = e.groupBy("i").agg(F.max("d").alias("_kd"))
-    reach = e.join(kd.select(F.col("i").alias("j"), F.col("_kd").alias("_kj")), "j").groupBy("i").agg(F.avg(F.greatest("d", "_kj")).alias("_r"))
-    lrd = spread.pin(reach.select("i", (1.0 / (F.col("_r") + 1e-10)).alias("_l")))
-    mean = e.join(lrd.select(F.col("i").alias("j"), F.col("_l").alias("_lj")), "j").groupBy("i").agg(F.avg("_lj").alias("_m"))
-    out = lrd.join(mean, "i").select(F.col("i").alias(key), (F.col("_m") / F.col("_l")).alias("lof"))
-    return out.withColumn("is_outlier", F.col("lof") > outlier)
+    """Local outlier factor over two columns; ``neighbors.lof`` takes any number."""
+    return neighbors.lof(df, key, [x, y], k, outlier)
 
 
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -364,24 +358,8 @@ def batch_predict(train: DataFrame, rows: DataFrame, key: str, features: Sequenc
 
 
 def smote_oversample(df: DataFrame, key: str, x: str, y: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Synthetic minority rows between a row and one of its k nearest minority rows, until classes are level."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    minority = min(counts, key=counts.get)
-    need = max(counts.values()) - counts[minority]
-    few = spread.pin(df.filter(F.col(label) == minority).select(key, x, y))
-    each = -(-need // counts[minority])
-    e = spatial.knn_neighbors(few, key, x, y, k)
-    near = e.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("rank", "j"))).alias("_js"))
-    base = few.join(near, few[key] == near["i"]).drop("i").withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(max(1, each)))))
-    order = few.withColumn("_one", F.lit(1))
-    order = spread.running(order, [], [key], {"r": "_one"}).select(F.col(key).alias("_ok"), F.col("r_before"))
-    base = base.join(order, base[key] == order["_ok"]).drop("_ok").filter((F.col("_c") - 1) * counts[minority] + F.col("r_before") < need)
-    pick = (F.floor(hashed_unit(F.col(key), F.col("_c"), F.lit(seed)) * F.size("_js")) + 1).cast("int")
-    base = base.withColumn("_j", F.element_at("_js", pick)["j"]).withColumn("_u", hashed_unit(F.col(key), F.col("_c"), F.lit(seed + 1)))
-    other = few.select(F.col(key).alias("_j"), F.col(x).alias("_x"), F.col(y).alias("_y"))
-    mix = lambda c, o: F.col(c) + F.col("_u") * (F.col(o) - F.col(c))
-    new = base.join(other, "_j").select(mix(x, "_x").alias(x), mix(y, "_y").alias(y), F.lit(minority).alias(label), F.lit(True).alias("is_synthetic"))
-    return df.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y), label, F.lit(False).alias("is_synthetic")).unionByName(new)
+    """Synthetic rows of two columns until classes are level; ``neighbors.smote`` takes any number and tells where they come from."""
+    return neighbors.smote(df, key, [x, y], label, k, seed).select(x, y, label, "is_synthetic")
 
 
 def permutation_importance(df: DataFrame, key: str, features: Sequence[str], score: Callable[[DataFrame], DataFrame], seed: int = 42) -> DataFrame:

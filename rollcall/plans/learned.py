@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rollcall.functions import spread
+from rollcall.operators import density, neighbors
 from rollcall.operators import models as mo
 from rollcall.plans import views
 from rollcall.plans.registry import query, rounded
@@ -23,6 +24,9 @@ def docs(d: Domain):
     return f.join(d.table("labels").select("doc_id", "quality"), "doc_id", "left")
 
 
+DOCS_SQL = """SELECT d.doc_id, d.n_chars::DOUBLE AS n_chars, len(string_split(text,' '))::DOUBLE AS n_words, quality FROM documents d LEFT JOIN labels l ON d.doc_id=l.doc_id"""
+
+
 @query("isolation_forest")
 def isolation_forest(d: Domain):
     out = mo.isolation_forest(emb(d), "vec_id", "x")
@@ -78,6 +82,30 @@ def dbscan_labels(d: Domain):
     return mo.dbscan_labels(behav(d), "id", "x", "y", _EPS, _MIN)
 
 
+VIEW_SQL["evecs"] = "SELECT vec_id AS id, embedding::DOUBLE[] AS v, label FROM embeddings"
+
+
+@query("lof_vectors", """SELECT vec_id, round(lof,6) AS lof, lof>1.5e0 AS is_outlier FROM (SELECT e.i AS vec_id, avg(o.l)/max(me.l) AS lof FROM eknn e JOIN elrd o ON e.j=o.i JOIN elrd me ON e.i=me.i GROUP BY 1)""",
+       views={**VIEW_SQL, "eknn": """SELECT i, j, d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rn FROM (
+ SELECT a.id AS i, b.id AS j, list_distance(a.v, b.v) AS d FROM evecs a JOIN evecs b ON a.id<>b.id)) WHERE rn<=20""",
+              "elrd": "SELECT e.i, 1e0/(avg(greatest(d,kd))+1e-10) AS l FROM eknn e JOIN (SELECT i, max(d) AS kd FROM eknn GROUP BY 1) k ON e.j=k.i GROUP BY 1"})
+def lof_vectors(d: Domain):
+    """Local outlier factor over all 64 columns of the embeddings."""
+    return rounded(neighbors.lof(emb(d), "vec_id", "x", 20))
+
+
+_VEPS = 1.2
+_V = {"nb": f"SELECT a.id AS i, b.id AS j FROM evecs a JOIN evecs b ON list_distance(a.v, b.v)<={_VEPS}e0", "cores": _B["cores"], "ce": _B["ce"]}
+
+
+@query("dbscan_vectors", f"""WITH RECURSIVE nb AS ({_V['nb']}), cores AS ({_V['cores']}), ce AS ({_V['ce']}), walk AS (SELECT i AS node, i AS root FROM cores UNION SELECT ce.j, walk.root FROM walk JOIN ce ON walk.node=ce.i AND walk.root<ce.j),
+ clab AS (SELECT node, min(root) AS comp FROM walk GROUP BY 1), border AS (SELECT nb.i, min(l.comp) AS comp FROM nb JOIN clab l ON nb.j=l.node WHERE nb.i NOT IN (SELECT i FROM cores) GROUP BY 1)
+ SELECT id AS vec_id, coalesce(l.comp, b.comp, -1) AS cluster, l.comp IS NOT NULL AS is_core FROM evecs LEFT JOIN clab l ON id=l.node LEFT JOIN border b ON id=b.i""")
+def dbscan_vectors(d: Domain):
+    """DBSCAN over all 64 columns of the embeddings."""
+    return density.dbscan(emb(d), "vec_id", "x", _VEPS, _MIN)
+
+
 @query("kmeans_clusters")
 def kmeans_clusters(d: Domain):
     """Best silhouette of 2..10 on the behaviour columns, with a risk word per cluster."""
@@ -114,12 +142,69 @@ def batch_predict(d: Domain):
     return rounded(mo.batch_predict(x.filter("quality is not null"), x, "doc_id", FEATURES, "quality"))
 
 
-@query("smote_oversample")
+def _smote_sql(rows: str, out: str) -> str:
+    """Rows (id, c, v) levelled by class: the given ones and ``out`` of the new ones (v and o the two ends, u the place)."""
+    u = "((('0x'||substr(md5(id||'|'||copy||'|42|{}'),1,13))::BIGINT::DOUBLE+0.5e0)/4503599627370496e0)"
+    return f"""WITH r AS ({rows}), n AS (SELECT c, count(*) AS n, max(count(*)) OVER () - count(*) AS need FROM r GROUP BY c), f AS (SELECT id, c, v, n, need, row_number() OVER (PARTITION BY c ORDER BY id)-1 AS p FROM r JOIN n USING (c) WHERE need>0),
+ e AS (SELECT i, list(j ORDER BY rn) AS js FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rn FROM (SELECT a.id AS i, b.id AS j, list_distance(a.v, b.v) AS d FROM f a JOIN f b ON a.c=b.c AND a.id<>b.id)) WHERE rn<=5 GROUP BY i),
+ t AS (SELECT *, unnest(range(0, CASE WHEN p<need THEN (need-p-1)//n+1 ELSE 0 END)) AS copy FROM f),
+ s AS (SELECT t.*, coalesce(js, [t.id]) AS js, {u.format('row')} AS pick, {u.format('place')} AS u FROM t LEFT JOIN e ON id=i),
+ m AS (SELECT s.*, o.v AS o, o.id AS other FROM s JOIN f o ON o.id=s.js[CAST(floor(pick*len(js)) AS BIGINT)+1])
+ {out}"""
+
+
+@query("smote_oversample", _smote_sql(
+    f"SELECT doc_id AS id, quality AS c, [n_chars/1000, n_words/200] AS v FROM ({DOCS_SQL}) WHERE quality IS NOT NULL",
+    """SELECT round(v[1],6) AS x, round(v[2],6) AS y, c::BIGINT AS quality, false AS is_synthetic FROM r UNION ALL
+ SELECT round(v[1]+u*(o[1]-v[1]),6), round(v[2]+u*(o[2]-v[2]),6), c::BIGINT, true FROM m"""))
 def smote_oversample(d: Domain):
     x = docs(d).filter("quality is not null").select("doc_id", (F.col("n_chars") / 1000).alias("x"), (F.col("n_words") / 200).alias("y"), "quality")
     return rounded(mo.smote_oversample(x, "doc_id", "x", "y", "quality"))
 
 
+@query("smote_vectors", _smote_sql(
+    "SELECT id, label AS c, v FROM evecs",
+    """SELECT id AS vec_id, -1::BIGINT AS copy, NULL::BIGINT AS other, NULL::DOUBLE AS u, c::BIGINT AS label, false AS is_synthetic, round(v[1],6) AS first, round(list_sum(v),6) AS total FROM r UNION ALL
+ SELECT id, copy, other, round(u,6), c::BIGINT, true, round(v[1]+u*(o[1]-v[1]),6), round(list_sum(v)+u*(list_sum(o)-list_sum(v)),6) FROM m"""))
+def smote_vectors(d: Domain):
+    """Classes of the embeddings levelled over all 64 columns."""
+    s = neighbors.smote(emb(d), "vec_id", "x", "label")
+    total = F.aggregate("x", F.lit(0.0), lambda a, b: a + b)
+    return rounded(s.select("vec_id", "copy", "other", "u", "label", "is_synthetic", F.col("x")[0].alias("first"), total.alias("total")))
+
+
+_COLS = ["bal", "n", "spent"]
+VIEW_SQL["holed"] = """SELECT c_custkey AS id, CASE WHEN c_custkey%7<>0 THEN (bal-mb)/sb END AS bal, CASE WHEN c_custkey%11<>0 THEN (n-mn)/sn END AS n,
+ CASE WHEN c_custkey%13>1 AND c_custkey%77<>0 THEN (spent-ms)/ss END AS spent FROM (SELECT *, avg(bal) OVER () AS mb, stddev_pop(bal) OVER () AS sb, avg(n) OVER () AS mn, stddev_pop(n) OVER () AS sn,
+ avg(spent) OVER () AS ms, stddev_pop(spent) OVER () AS ss FROM (SELECT c_custkey, c_acctbal::DOUBLE AS bal, coalesce(n,0)::DOUBLE AS n, coalesce(s,0)::DOUBLE AS spent FROM customer
+ LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(floor(o_totalprice)::BIGINT) AS s FROM orders GROUP BY 1) ON o_custkey=c_custkey))"""
+
+
+def holed(d: Domain):
+    """Standardised balance, orders and spending per customer, with cells missing at fixed positions."""
+    o = d.table("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("o_totalprice").cast("bigint")).alias("spent"))
+    c = d.table("customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    c = c.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").cast("double").alias("bal"), *[F.coalesce(x, F.lit(0)).cast("double").alias(x) for x in ("n", "spent")])
+    c = spread.with_totals(c, *[f(x).alias(f"{p}{x}") for x in _COLS for p, f in (("m_", F.avg), ("s_", F.stddev_pop))])
+    there = {"bal": F.col("id") % 7 != 0, "n": F.col("id") % 11 != 0, "spent": (F.col("id") % 13 > 1) & (F.col("id") % 77 != 0)}
+    return c.select("id", *[F.when(there[x], (F.col(x) - F.col(f"m_{x}")) / F.col(f"s_{x}")).alias(x) for x in _COLS])
+
+
+def _common(value: str) -> str:
+    return "+".join(f"CASE WHEN a.{c} IS NOT NULL AND b.{c} IS NOT NULL THEN {value.format(c=c)} ELSE 0e0 END" for c in _COLS)
+
+
+_NAN = f"sqrt(3e0/nullif({_common('1e0')},0e0))*sqrt({_common('(a.{c}-b.{c})*(a.{c}-b.{c})')})"
+_FILL = " ".join(f"""LEFT JOIN (SELECT i, avg(x) AS x FROM (SELECT a.id AS i, b.{c} AS x, row_number() OVER (PARTITION BY a.id ORDER BY {_NAN}, b.id) AS rn FROM holed a JOIN holed b
+ ON a.{c} IS NULL AND b.{c} IS NOT NULL WHERE {_NAN} IS NOT NULL) WHERE rn<=5 GROUP BY 1) k{c} ON h.id=k{c}.i""" for c in _COLS)
+
+
+@query("impute_knn_columns", f"""SELECT h.id, {', '.join(f'round(coalesce(h.{c}, k{c}.x, g.{c}),6)+0e0 AS {c}' for c in _COLS)} FROM holed h {_FILL}, (SELECT {', '.join(f'avg({c}) AS {c}' for c in _COLS)} FROM holed) g""")
+def impute_knn_columns(d: Domain):
+    """All missing cells of three columns from the five nearest customers that have the column."""
+    return rounded(neighbors.impute_columns(holed(d), "id", _COLS, 5))
+
+
 @query("permutation_importance")
 def permutation_importance(d: Domain):
     """Importance of two features for the isolation forest score of the enrolment records."""
