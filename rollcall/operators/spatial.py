@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 
 from rollcall.functions import spread
 from rollcall.functions.scalar import classify_z, log_scale, normal_cdf, two_sided_p, z_color
+from rollcall.operators import quadtree
 from rollcall.operators.clean import scale_minmax
 from rollcall.operators.ordering import rank_smooth
 
@@ -112,18 +113,22 @@ def first_point_threshold(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return spread.quantiles(d, ["d"], [0.5]).select(F.col("d_q0").alias("threshold"))
 
 
-def distance_band_neighbors(df: DataFrame, key: str, x: str, y: str, threshold: float) -> DataFrame:
-    """Region pairs closer than ``threshold``, row-standardised."""
-    pairs = near_pairs(_as(df, key, x, y, "i"), _as(df, key, x, y, "j"), "ix", "iy", "jx", "jy", threshold)
-    pairs = pairs.withColumn("d", distance("ix", "iy", "jx", "jy")).filter((F.col("i") != F.col("j")) & (F.col("d") < threshold))
-    return _standardize(pairs.select("i", "j", "d"))
+def distance_band_neighbors(df: DataFrame, key: str, x: str, y: str, threshold: float | None = None) -> DataFrame:
+    """Region pairs closer than ``threshold`` (the median distance to the first point where none is given), row-standardised."""
+    if threshold is None:
+        threshold = first_point_threshold(df, key, x, y).first()["threshold"] or 0.0
+    pairs = quadtree.near_pairs(_points(df, key, x, y), threshold, distance("ix", "iy", "jx", "jy") < threshold)
+    return _standardize(pairs.select("i", "j", distance("ix", "iy", "jx", "jy").alias("d")))
 
 
 def queen_neighbors(df: DataFrame, key: str, x: str, y: str, offset: float) -> DataFrame:
     """Regions whose boxes of +-offset touch or overlap, row-standardised."""
-    pairs = near_pairs(_as(df, key, x, y, "i"), _as(df, key, x, y, "j"), "ix", "iy", "jx", "jy", 2 * offset * 1.0001)
     touch = (F.abs(F.col("ix") - F.col("jx")) <= 2 * offset) & (F.abs(F.col("iy") - F.col("jy")) <= 2 * offset)
-    return _standardize(pairs.filter((F.col("i") != F.col("j")) & touch).select("i", "j"))
+    return _standardize(quadtree.near_pairs(_points(df, key, x, y), 2 * offset, touch).select("i", "j"))
+
+
+def _points(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    return df.select(F.col(key).alias("id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
 
 
 def same_group_neighbors(df: DataFrame, group: str, value: str) -> DataFrame:

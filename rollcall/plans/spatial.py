@@ -38,9 +38,11 @@ def knn_neighbors(d: Domain):
 _D = "sqrt((a.lat-b.lat)*(a.lat-b.lat)+(a.lon-b.lon)*(a.lon-b.lon))"
 
 
-@query("distance_band_neighbors", f"""SELECT i, j, round(d,9) AS d, round(1e0/count(*) OVER (PARTITION BY i),6) AS w FROM (SELECT a.district AS i, b.district AS j, {_D} AS d FROM districts a JOIN districts b ON a.district<>b.district) WHERE d<3e0""")
+@query("distance_band_neighbors", f"""SELECT i, j, round(d,9) AS d, round(1e0/count(*) OVER (PARTITION BY i),6) AS w FROM (SELECT a.district AS i, b.district AS j, {_D} AS d FROM districts a JOIN districts b ON a.district<>b.district),
+ (SELECT quantile_cont(sqrt((lat-y)*(lat-y)+(lon-x)*(lon-x)),0.5) AS threshold FROM districts, (SELECT lat AS y, lon AS x FROM districts ORDER BY district LIMIT 1)) WHERE d<threshold""")
 def distance_band_neighbors(d: Domain):
-    return rounded(sp.distance_band_neighbors(d.districts(), "district", "lat", "lon", 3.0), 9, w=6)
+    """Districts closer than the band's own threshold."""
+    return rounded(sp.distance_band_neighbors(spread.pin(d.districts()), "district", "lat", "lon"), 9, w=6)
 
 
 @query("band_threshold", """SELECT round(quantile_cont(sqrt((lat-y)*(lat-y)+(lon-x)*(lon-x)),0.5),6) AS threshold FROM districts, (SELECT lat AS y, lon AS x FROM districts ORDER BY district LIMIT 1)""")

@@ -4,8 +4,9 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from rollcall.operators import density, neighbors, pivots
+from rollcall.operators import density, neighbors, pivots, quadtree
 
 
 def gap(a, b):
@@ -149,3 +150,28 @@ def test_smote_over_many_columns_and_classes(spark):
             assert np.allclose(r["v"], x[r["id"]] + r["u"] * (x[r["other"]] - x[r["id"]]))
     again = neighbors.smote(df.repartition(7), "id", "v", "c", 4).collect()
     assert sorted((r["id"], r["copy"], r["other"] or 0) for r in rows) == sorted((r["id"], r["copy"], r["other"] or 0) for r in again)
+
+
+@pytest.mark.parametrize("reach", [0.0, 0.05, 0.7, 40.0])
+def test_quadtree_pairs_against_brute_force(spark, reach):
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(60, 2)) * 0.02, np.zeros((40, 2)) + 0.5, rng.uniform(-9, 9, size=(60, 2)), [[300.0, -200.0]]])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)] + [(999, None, 1.0), (998, 1.0, float("nan"))], "id long, x double, y double")
+    close = (F.abs(F.col("ix") - F.col("jx")) <= reach) & (F.abs(F.col("iy") - F.col("jy")) <= reach)
+    got = sorted((r["i"], r["j"]) for r in quadtree.near_pairs(df, reach, close, most=8).collect())
+    assert got == [(i, j) for i in range(len(x)) for j in range(len(x)) if i != j and max(abs(x[i] - x[j])) <= reach]
+    assert quadtree.near_pairs(df.limit(0), reach, close).count() == 0
+
+
+def test_quadtree_spreads_a_crowded_cell(spark):
+    """Half of all points in one cell: leaves stay near their size and no task opens more than twice the pairs of the median one."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(size=(1500, 2)) * 1e-3, np.ones((500, 2)), rng.uniform(-50, 50, size=(2000, 2))])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, x double, y double")
+    tree = quadtree.leaves(df, 32)
+    sizes = [len(r["rows"]) for r in tree.collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 64
+    work = tree.select(F.col("leaf").alias("a"), F.size("rows").alias("n")), tree.select(F.col("leaf").alias("b"), F.size("rows").alias("m"))
+    pairs = quadtree.leaf_pairs(tree, 0.5).join(work[0], "a").join(work[1], "b").repartition(16, "a", "b")
+    tasks = sorted(r["w"] for r in pairs.groupBy(F.spark_partition_id()).agg(F.sum(F.col("n") * F.col("m")).alias("w")).collect())
+    assert len(tasks) == 16 and tasks[-1] <= 2 * tasks[8]
