@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from rollcall.functions import spread
+from rollcall.functions import shuffle, spread
 from rollcall.operators import neighbors, scoring
 
 
@@ -365,18 +365,16 @@ def smote_oversample(df: DataFrame, key: str, x: str, y: str, label: str, k: int
 def permutation_importance(df: DataFrame, key: str, features: Sequence[str], score: Callable[[DataFrame], DataFrame], seed: int = 42) -> DataFrame:
     """Mean |change of score| after dealing one feature's values out anew, over the largest.
 
-    ``score`` adds a ``score`` column.  A feature is shuffled by joining two
-    independent orderings of the rows on their position.
+    ``score`` adds a ``score`` column.  Rows are numbered once; for each feature
+    a keyed bijection on the numbers says whose value a row gets, so a feature
+    is shuffled by one join.
     """
-    base = spread.pin(score(df).select(key, F.col("score").alias("_base"), *features))
-    out = None
-    for n, c in enumerate(features):
-        def place(salt: int, *cols: Column | str) -> DataFrame:
-            t = base.select(F.xxhash64(F.col(key), F.lit(seed + salt)).alias("_h"), F.col(key).alias("_k"), *cols).withColumn("_one", F.lit(1))
-            return spread.running(t, [], ["_h", "_k"], {"r": "_one"}).select("r_before", "_k", *cols)
-        seats = place(2 * n).withColumnRenamed("_k", key)
-        dealt = seats.join(place(2 * n + 1, c).drop("_k"), "r_before").drop("r_before")
-        moved = score(base.drop(c).join(dealt, key))
+    base = spread.pin(shuffle.numbered(score(df).select(key, F.col("score").alias("_base"), *features), key, "_seat"))
+    rows, out = base.count(), None
+    for c in features:
+        given = base.select(F.col("_seat").alias("_from"), F.col(c).alias("_given"))
+        place = base.withColumn("_from", shuffle.shuffled(F.col("_seat"), rows, F.lit(seed), F.lit(c)))
+        moved = score(place.join(given, "_from").drop("_from", "_seat", c).withColumnRenamed("_given", c))
         one = moved.agg(F.avg(F.abs(F.col("score") - F.col("_base"))).alias("change")).withColumn("feature", F.lit(c))
         out = one if out is None else out.unionByName(one)
     out = spread.with_totals(spread.pin(out), F.max("change").alias("_m"))

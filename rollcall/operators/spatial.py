@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from rollcall.functions import spread
+from rollcall.functions import shuffle, spread
 from rollcall.functions.scalar import classify_z, log_scale, normal_cdf, two_sided_p, z_color
 from rollcall.operators import quadtree
 from rollcall.operators.clean import scale_minmax
@@ -280,12 +280,16 @@ def gi_star_groups(values: DataFrame, key: str, group: str, value: str) -> DataF
 
 
 def _shuffled(values: DataFrame, key: str, value: str, permutations: int, seed: int) -> DataFrame:
-    """(p, key, x): the region values dealt out anew per permutation; p = 0 is the original."""
-    v = spread.pin(values.select(F.col(key).alias("k"), F.col(value).cast("double").alias("x")))
-    reps = v.select("k", "x", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p"))
-    slot = F.row_number().over(W.partitionBy("p").orderBy(F.md5(F.concat_ws("|", "p", "k", F.lit(seed)).cast("binary")), "k"))
-    seat = F.row_number().over(W.partitionBy("p").orderBy("k"))
-    dealt = reps.select("p", "x", slot.alias("r")).join(reps.select("p", "k", seat.alias("r")), ["p", "r"]).select("p", "k", "x")
+    """(p, key, x): the region values dealt out anew per permutation; p = 0 is the original.
+
+    Regions are numbered once; each permutation is a keyed bijection on the
+    numbers, so dealing is one join on the number.
+    """
+    v = spread.pin(shuffle.numbered(values.select(F.col(key).alias("k"), F.col(value).cast("double").alias("x")), "k"))
+    n = v.count()
+    reps = v.select("k", "seat", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p"))
+    place = reps.select("p", "k", shuffle.shuffled(F.col("seat"), n, F.lit(seed), F.col("p")).alias("seat"))
+    dealt = place.join(v.select("seat", "x"), "seat").select("p", "k", "x")
     return dealt.unionByName(v.select(F.lit(0).alias("p"), "k", "x"))
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rollcall.functions import spread
+from rollcall.functions import shuffle, spread
 from rollcall.operators import spatial as sp
 from rollcall.plans import views
 from rollcall.plans.registry import query, rounded
@@ -143,8 +143,24 @@ def moran_i(d: Domain):
     return rounded(knn.unionByName(grp).unionByName(fix))
 
 
-VIEW_SQL["mdeal"] = """SELECT s.p, s.k, x FROM (SELECT p, district AS k, row_number() OVER (PARTITION BY p ORDER BY district) AS r FROM dinten, range(1,1000) t(p)) s JOIN
- (SELECT p, intensity AS x, row_number() OVER (PARTITION BY p ORDER BY md5(p||'|'||district||'|42'), district) AS r FROM dinten, range(1,1000) t(p)) v ON s.p=v.p AND s.r=v.r
+def _round_sql(state: str, i: int) -> str:
+    """One Feistel round of the shuffle over (p, k, n, a, b, l, r)."""
+    half, other, size = ("l", "r", "a") if i % 2 == 0 else ("r", "l", "b")
+    moved = f"({half}+('0x'||substr(md5('42|'||p||'|{i}|'||{other}),1,8))::BIGINT)%{size} AS {half}"
+    return f"SELECT p, k, n, a, b, {other}, {moved} FROM ({state})"
+
+
+def _rounds_sql(state: str) -> str:
+    for i in range(shuffle.ROUNDS):
+        state = _round_sql(state, i)
+    return f"SELECT p, k, n, a, b, l*b+r AS x FROM ({state})"
+
+
+_SEATS = """SELECT k, s, v, n, b, greatest(1, (n+b-1)//b) AS a FROM (SELECT district AS k, row_number() OVER (ORDER BY district)-1 AS s, intensity AS v, count(*) OVER () AS n,
+ (CASE WHEN count(*) OVER ()>1 THEN floor(sqrt((count(*) OVER ()-1)::DOUBLE))::BIGINT+1 ELSE 1 END) AS b FROM dinten)"""
+VIEW_SQL["mseat"] = _SEATS
+VIEW_SQL["mdeal"] = f"""SELECT p, w.k, m.v AS x FROM (WITH RECURSIVE walk AS ({_rounds_sql('SELECT p, k, n, a, b, s//b AS l, s%b AS r FROM mseat, range(1,1000) t(p)')}
+ UNION ALL {_rounds_sql('SELECT p, k, n, a, b, x//b AS l, x%b AS r FROM walk WHERE x>=n')}) SELECT p, k, x FROM walk WHERE x<n) w JOIN mseat m ON w.x=m.s
  UNION ALL SELECT 0, district, intensity FROM dinten"""
 
 
