@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from rollcall.functions import shuffle, spread
 from rollcall.functions.scalar import classify_z, log_scale, normal_cdf, two_sided_p, z_color
-from rollcall.operators import quadtree
+from rollcall.operators import gauss, quadtree
 from rollcall.operators.clean import scale_minmax
 from rollcall.operators.ordering import rank_smooth
 
@@ -348,20 +348,18 @@ def gauss_smooth(df: DataFrame, key: str, value: str, sigma: float = 1.0, lat: s
     """Kernel-weighted mean over all points, or over those within ``reach`` sigmas if it is given.
 
     Points are first folded to sites (equal positions) with their sum and
-    count; only sites meet, so the work follows the number of different places,
-    at most ``spread.BROADCAST_ROWS`` of them without a ``reach``.
+    count.  Without a ``reach`` all sites weigh, tile by tile (``gauss``), to
+    1e-14 of the sum of all values; with one, only sites that near are paired.
     """
-    sites = spread.pin(df.groupBy(F.col(lat).alias("jx"), F.col(lon).alias("jy")).agg(F.sum(value).alias("_s"), F.count(value).alias("_c")))
-    mine = sites.select(F.col("jx").alias("ix"), F.col("jy").alias("iy"))
+    sites = spread.pin(df.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull()).groupBy(F.col(lat).cast("double").alias("x"), F.col(lon).cast("double").alias("y")).agg(
+        F.coalesce(F.sum(value), F.lit(0)).cast("double").alias("_s"), F.count(value).cast("double").alias("_c")))
     if reach is None:
-        if sites.count() > spread.BROADCAST_ROWS:
-            raise ValueError("too many places to weigh each with each; give a reach")
-        pairs = mine.crossJoin(F.broadcast(sites)).withColumn("d", distance("ix", "iy", "jx", "jy"))
+        smooth = gauss.transform(sites, sigma, ["_s", "_c"]).select(F.col("x").alias("ix"), F.col("y").alias("iy"), (F.col("_s") / F.nullif("_c", F.lit(0.0))).alias("smoothed"))
     else:
-        pairs = near_pairs(mine, sites, "ix", "iy", "jx", "jy", sigma * reach)
+        pairs = near_pairs(sites.select(F.col("x").alias("ix"), F.col("y").alias("iy")), sites.withColumnsRenamed({"x": "jx", "y": "jy"}), "ix", "iy", "jx", "jy", sigma * reach)
         pairs = pairs.withColumn("d", distance("ix", "iy", "jx", "jy")).filter(F.col("d") <= sigma * reach)
-    w = F.exp(-F.col("d") * F.col("d") / (2.0 * sigma * sigma))
-    smooth = pairs.groupBy("ix", "iy").agg((F.sum(w * F.col("_s")) / F.sum(w * F.col("_c"))).alias("smoothed"))
+        w = F.exp(-F.col("d") * F.col("d") / (2.0 * sigma * sigma))
+        smooth = pairs.groupBy("ix", "iy").agg((F.sum(w * F.col("_s")) / F.sum(w * F.col("_c"))).alias("smoothed"))
     return df.select(key, lat, lon).join(smooth, (F.col(lat) == F.col("ix")) & (F.col(lon) == F.col("iy")), "left").select(key, "smoothed")
 
 

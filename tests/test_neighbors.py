@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rollcall.operators import density, neighbors, pivots, quadtree
+from rollcall.operators import density, gauss, neighbors, pivots, quadtree, spatial
 
 
 def gap(a, b):
@@ -175,3 +175,27 @@ def test_quadtree_spreads_a_crowded_cell(spark):
     pairs = quadtree.leaf_pairs(tree, 0.5).join(work[0], "a").join(work[1], "b").repartition(16, "a", "b")
     tasks = sorted(r["w"] for r in pairs.groupBy(F.spark_partition_id()).agg(F.sum(F.col("n") * F.col("m")).alias("w")).collect())
     assert len(tasks) == 16 and tasks[-1] <= 2 * tasks[8]
+
+
+@pytest.mark.parametrize("sigma", [0.3, 2.0])
+def test_gaussian_sums_against_brute_force(spark, sigma):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(size=(150, 2)) * 0.2, rng.uniform(-8, 8, size=(150, 2)), [[90.0, 90.0]]])
+    q = rng.normal(size=len(x)) * 100
+    df = spark.createDataFrame([(i, *map(float, v), float(w)) for i, (v, w) in enumerate(zip(x, q))] + [(998, *map(float, x[0]), 5.0), (999, None, 1.0, 2.0)],
+                               "id long, lat double, lon double, v double").repartition(4)
+    got = {r["id"]: r["smoothed"] for r in spatial.gauss_smooth(df, "id", "v", sigma).collect()}
+    xs, qs = np.concatenate([x, x[:1]]), np.append(q, 5.0)
+    w = np.exp(-((xs[:, None] - xs[None]) ** 2).sum(axis=-1) / (2 * sigma * sigma))
+    want = (w @ qs) / w.sum(axis=1)
+    assert got.pop(999) is None
+    assert np.abs(np.array([got[i] for i in [*range(len(x)), 998]]) - want).max() < 1e-10
+    assert spatial.gauss_smooth(df.limit(0), "id", "v", sigma).count() == 0
+
+
+def test_gaussian_tile_holds_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(gauss, "BLOCK", 50)
+    rng = np.random.default_rng(14)
+    df = spark.createDataFrame([(float(a), float(b), float(a)) for a, b in rng.uniform(0.1, 0.9, size=(600, 2))], "x double, y double, q double")
+    held = gauss.blocks(df, 1.0, ["q"])
+    assert held.count() == 12 and max(len(r["rows"]) for r in held.collect()) <= 100
