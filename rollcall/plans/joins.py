@@ -30,10 +30,9 @@ def join_common_keys(d: Domain):
 
 
 @query("join_boundaries", """SELECT r.state AS name, lat, lon, total FROM regions r LEFT JOIN
- (SELECT state, CAST(sum(age_0_5+age_5_17+age_18_greater) AS BIGINT) AS total FROM enrol WHERE state<>'NATION_4' GROUP BY 1) e ON r.state=e.state""")
+ (SELECT state, CAST(sum(age_0_5+age_5_17+age_18_greater) AS BIGINT) AS total FROM enrol GROUP BY 1) e ON r.state=e.state""")
 def join_boundaries(d: Domain):
-    data = (d.enrolment().filter("state <> 'NATION_4'").groupBy(F.concat(F.lit(" "), F.lower("state")).alias("label"))
-            .agg(F.sum(F.expr(TOTAL)).alias("total")))
+    data = d.enrolment().groupBy(F.concat(F.lit(" "), F.lower("state")).alias("label")).agg(F.sum(F.expr(TOTAL)).alias("total"))
     return joins.join_boundaries(d.regions().select(F.col("state").alias("name"), "lat", "lon"), data, "name", "label")
 
 

@@ -69,12 +69,12 @@ def top_k_per_group(d: Domain):
 
 @query("multi_key_order", """SELECT center_id, severity, mean_score FROM (SELECT center_id, round(avg(score),6) AS mean_score,
  CASE WHEN avg(score)>0.36e0 THEN 'critical' WHEN avg(score)>0.33e0 THEN 'high' ELSE 'medium' END AS severity FROM scored GROUP BY 1)
- ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, mean_score DESC, center_id LIMIT 40""")
+ ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, mean_score DESC, center_id""")
 def multi_key_order(d: Domain):
     g = views.scored(d).groupBy("center_id").agg(F.avg("score").alias("m"))
     g = g.select("center_id", F.round("m", 6).alias("mean_score"),
                  F.when(F.col("m") > 0.36, "critical").when(F.col("m") > 0.33, "high").otherwise("medium").alias("severity"))
-    return ordering.severity_order(g, "severity", F.desc("mean_score"), F.asc("center_id")).limit(40)
+    return ordering.severity_order(g, "severity", F.desc("mean_score"), F.asc("center_id"))
 
 
 @query("distinct_values", "SELECT state, district, count(DISTINCT date_trunc('month',date)) AS points FROM enrol GROUP BY 1,2 HAVING points>=6")

@@ -38,21 +38,21 @@ def stream_sessions(d: Domain):
     return jobs.run_to_table(jobs.stream_sessions(jobs.read_events(d.spark, path(d)), "user_id"), "sessions")
 
 
-VIEW_SQL["drift"] = """SELECT event_type AS key, round(hm,6) AS historical_mean, round(rm,6) AS recent_mean, round((abs(rm-hm)+abs(rs-hs))/2e0,6) AS magnitude, (abs(rm-hm)+abs(rs-hs))/2e0>0.5e0 AS is_drift FROM (
- SELECT event_type, count(*) AS n, avg(value) FILTER (WHERE rn>80) AS hm, stddev_pop(value) FILTER (WHERE rn>80) AS hs, avg(value) FILTER (WHERE rn<=80) AS rm, stddev_pop(value) FILTER (WHERE rn<=80) AS rs FROM (
- SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn<=160 GROUP BY 1) WHERE n=160"""
+VIEW_SQL["drift"] = """SELECT key, n, n=2000 AS enough, CASE WHEN n=2000 THEN round(hm,6) END AS historical_mean, CASE WHEN n=2000 THEN round(rm,6) END AS recent_mean, CASE WHEN n=2000 THEN round(m,6) END AS magnitude,
+ n=2000 AND coalesce(m>0.1e0, false) AS is_drift FROM (SELECT *, (abs(rm-hm)+abs(rs-hs))/2e0 AS m FROM (
+ SELECT event_type AS key, count(*) AS n, avg(value) FILTER (WHERE rn>1000) AS hm, stddev_pop(value) FILTER (WHERE rn>1000) AS hs, avg(value) FILTER (WHERE rn<=1000) AS rm, stddev_pop(value) FILTER (WHERE rn<=1000) AS rs FROM (
+ SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn<=2000 GROUP BY 1))"""
 
 
 @query("batch_drift", "SELECT * FROM drift")
 def batch_drift(d: Domain):
-    b = jobs.batch_drift(d.events(), "event_type", "ts", "event_id", "value", 80, 0.5)
-    return rounded(b.withColumnRenamed("event_type", "key"))
+    return rounded(jobs.batch_drift(d.events(), "event_type", "ts", "event_id", "value").withColumnRenamed("event_type", "key"))
 
 
 @query("stream_drift", "SELECT * FROM drift")
 def stream_drift(d: Domain):
-    s = jobs.stream_drift(jobs.read_events(d.spark, path(d)), "event_type", "event_id", "value", 80, 0.5)
-    return rounded(jobs.run_to_table(s, "drift"))
+    """Windows of 1000 scores and a cut of 0.1; keys with too few events are flagged."""
+    return rounded(jobs.stream_drift(jobs.read_events(d.spark, path(d)), "event_type", "event_id", "value"))
 
 
 @query("stream_policy", f"""SELECT event_id, round(score,6) AS score, {disp_sql('balanced')} AS disposition FROM (SELECT event_id, least(1e0, abs((value-m)/s)/3e0) AS score FROM events, (SELECT avg(value) m, stddev_pop(value) s FROM events))""")
@@ -65,15 +65,16 @@ def stream_policy(d: Domain):
 
 @query("stream_late", "SELECT event_id, ts::TIMESTAMP AS ts, user_id FROM events")
 def stream_late(d: Domain):
-    """Events replayed in two files, the second repeating the last hour of the first."""
+    """Events replayed as two streams, the second repeating the last hour of the first."""
     folder = work_folder(d.spark, "replay")
     e = d.table("events").select("event_id", "ts", "user_id")
     span = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
     mid = F.lit(span["a"] + (span["b"] - span["a"]) / 2).cast("timestamp_ntz")
-    e.filter(F.col("ts") < mid).coalesce(1).write.parquet(f"{folder}/in")
-    e.filter((F.col("ts") >= mid) | (F.col("ts") >= mid - F.expr("interval 1 hour"))).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    stream = jobs.stream_late(jobs.read_events(d.spark, f"{folder}/in", files_per_trigger=1), "event_id")
-    return jobs.run_to_table(stream, "late")
+    e.filter(F.col("ts") < mid).repartitionByRange("ts").write.parquet(f"{folder}/first")
+    e.filter(F.col("ts") >= mid - F.expr("interval 1 hour")).repartitionByRange("ts").write.parquet(f"{folder}/second")
+    # one file stream per half; both feed one state, so what the halves share comes out once
+    halves = [jobs.read_events(d.spark, f"{folder}/{half}") for half in ("first", "second")]
+    return jobs.run_to_table(jobs.stream_late(halves[0].unionByName(halves[1]), "event_id"), "late")
 
 
 @query("refresh_snapshot", "SELECT event_type, count(*) AS events, round(sum(value),4) AS total, max(ts)::TIMESTAMP AS last_ts FROM events GROUP BY 1")

@@ -4,17 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.window import Window as W
 
 from rollcall.operators import policy
 from rollcall.sources.readers import work_folder
 
-STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def read_events(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A file stream of events; ``ts`` becomes a timestamp with zone for watermarks."""
@@ -78,65 +74,64 @@ def _drift_columns(hist_mean: Column, hist_std: Column, new_mean: Column, new_st
     return {"magnitude": mag, "is_drift": mag > threshold}
 
 
-def last_per_key(df: DataFrame, key: str, order: str, tie: str, n: int, slice_by: str = "hour") -> DataFrame:
-    """The newest n rows per key (``rn`` 1 = newest): cut per (key, slice) first, then per key."""
-    newest = [F.desc(order), F.desc(tie)]
-    cut = df.withColumn("_slice", F.date_trunc(slice_by, F.col(order)))
-    cut = cut.withColumn("_r", F.row_number().over(W.partitionBy(key, "_slice").orderBy(*newest))).filter(F.col("_r") <= n)
-    return cut.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(*newest))).filter(F.col("rn") <= n).drop("_slice", "_r")
+def newest(df: DataFrame, key: str, order: str, tie: str, n: int, slices: int = 64) -> DataFrame:
+    """The newest n rows per key (``rn`` 1 = newest): per (key, slice of a hash of the tie) first, then per key.
+
+    A key that holds half of all rows is ``slices`` sorts; the second step sees
+    ``slices`` times n rows of a key at most.
+    """
+    by = [F.desc(order), F.desc(tie)]
+    cut = df.withColumn("_slice", F.pmod(F.xxhash64(tie), F.lit(slices)))
+    cut = cut.withColumn("_r", F.row_number().over(W.partitionBy(key, "_slice").orderBy(*by))).filter(F.col("_r") <= n)
+    return cut.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(*by))).filter(F.col("rn") <= n).drop("_slice", "_r")
 
 
-def batch_drift(df: DataFrame, key: str, order: str, tie: str, score: str, window: int = 1000, threshold: float = 0.1) -> DataFrame:
-    """Newest ``window`` scores against the ``window`` before them, per key with enough rows."""
-    s = last_per_key(df.select(key, order, tie, score), key, order, tie, 2 * window)
+def compare_windows(rows: DataFrame, key: str, score: str, window: int, threshold: float) -> DataFrame:
+    """The newest ``window`` scores (by ``rn``) against the ``window`` before them; a key with fewer rows is ``enough`` false and no drift."""
     new = F.col("rn") <= window
     pick = lambda cond, f, n: f(F.when(cond, F.col(score))).alias(n)
-    g = s.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), pick(~new, F.avg, "historical_mean"), pick(~new, F.stddev_pop, "_hs"),
-                           pick(new, F.avg, "recent_mean"), pick(new, F.stddev_pop, "_rs")).filter(F.col("_n") == 2 * window)
+    g = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), pick(~new, F.avg, "historical_mean"), pick(~new, F.stddev_pop, "_hs"),
+                              pick(new, F.avg, "recent_mean"), pick(new, F.stddev_pop, "_rs"))
+    g = g.withColumn("enough", F.col("n") == 2 * window)
     g = g.withColumns(_drift_columns(F.col("historical_mean"), F.col("_hs"), F.col("recent_mean"), F.col("_rs"), threshold))
-    return g.drop("_n", "_hs", "_rs")
-
-
-class DriftProcessor(StatefulProcessor):
-    """Keeps the newest 2 x window scores of a key and compares the halves after each batch."""
-
-    def __init__(self, window: int, threshold: float):
-        self.window, self.threshold = window, threshold
-
-    def init(self, handle) -> None:
-        self.kept = handle.getListState("kept", "at bigint, tie bigint, score double")
-
-    def handleInputRows(self, key, rows, timerValues):
-        import heapq
-        import statistics
-
-        size = 2 * self.window
-        heap = [(r[0], r[1], r[2]) for r in self.kept.get()] if self.kept.exists() else []
-        heapq.heapify(heap)
-        for r in rows:
-            item = (r["at"], r["tie"], r["score"])
-            if len(heap) < size:
-                heapq.heappush(heap, item)
-            else:
-                heapq.heappushpop(heap, item)
-        self.kept.put(list(heap))
-        if len(heap) < size:
-            return
-        scores = [s for _, _, s in sorted(heap)]
-        old, new = scores[:self.window], scores[self.window:]
-        mag = (abs(statistics.fmean(new) - statistics.fmean(old)) + abs(statistics.pstdev(new) - statistics.pstdev(old))) / 2
-        yield Row(key=str(key[0]), historical_mean=statistics.fmean(old), recent_mean=statistics.fmean(new), magnitude=mag, is_drift=mag > self.threshold)
-
-    def close(self) -> None:
-        pass
-
-
-def stream_drift(events: DataFrame, key: str, tie: str, score: str, window: int = 1000, threshold: float = 0.1) -> DataFrame:
-    """Stateful drift check per key; state is 2 x window scores."""
-    events.sparkSession.conf.set(STATE_PROVIDER, ROCKSDB)
-    rows = events.select(F.col(key).cast("string").alias("key"), F.unix_micros("ts").alias("at"), F.col(tie).cast("bigint").alias("tie"), F.col(score).cast("double").alias("score"))
-    schema = "key string, historical_mean double, recent_mean double, magnitude double, is_drift boolean"
-    return rows.groupBy("key").transformWithState(DriftProcessor(window, threshold), schema, "Append", "None")
+    shown = [F.when(F.col("enough"), F.col(c)).alias(c) for c in ("historical_mean", "recent_mean", "magnitude")]
+    return g.select(key, "n", "enough", *shown, (F.col("enough") & F.coalesce("is_drift", F.lit(False))).alias("is_drift"))
+
+
+def batch_drift(df: DataFrame, key: str, order: str, tie: str, score: str, window: int = 1000, threshold: float = 0.1) -> DataFrame:
+    """Drift of the scores per key: newest ``window`` against the ``window`` before."""
+    return compare_windows(newest(df.select(key, order, tie, score), key, order, tie, 2 * window), key, score, window, threshold)
+
+
+def stream_drift(events: DataFrame, key: str, tie: str, score: str, window: int = 1000, threshold: float = 0.1, stem: str = "drift") -> DataFrame:
+    """Drift per key over a stream, in two levels of state.
+
+    Every micro-batch is cut to the newest rows of each (key, slice), joined
+    with the state of the batch before and cut again; the result, two windows
+    per key, is written under the batch's number.  A batch that is run again
+    starts from the same state and overwrites the same folder.
+    """
+    spark = events.sparkSession
+    out = work_folder(spark, f"{stem}-state")
+    rows = events.select(F.col(key).cast("string").alias("key"), F.col("ts").alias("at"), F.col(tie).cast("bigint").alias("tie"), F.col(score).cast("double").alias("score"))
+
+    def step(batch: DataFrame, number: int) -> None:
+        known = batch
+        if number:
+            known = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{out}/batch={number - 1}"))
+        newest(known, "key", "at", "tie", 2 * window).drop("rn").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if number > 1:
+            remove(spark, f"{out}/batch={number - 2}")
+
+    run_batches(rows, stem, step)
+    kept = spark.read.parquet(out)
+    last = kept.agg(F.max("batch")).first()[0]
+    return compare_windows(newest(kept.filter(F.col("batch") == last), "key", "at", "tie", 2 * window), "key", "score", window, threshold)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 # ---------------------------------------------------------------- scoring and snapshots

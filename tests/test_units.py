@@ -171,3 +171,28 @@ def test_donors_fill_the_gaps(spark):
     df = spark.createDataFrame(rows, "id int, x double, y double, v double")
     got = {r["id"]: r["v"] for r in spatial.impute_knn(df, "id", "x", "y", "v", 2).collect()}
     assert (got[0], got[1], got[4]) == (15.0, 15.0, 90.0)
+
+
+def test_drift_of_a_hot_key_over_many_batches(spark, tmp_path):
+    """One key holds half of the rows, events come late and in many files; the stream agrees with the batch and with plain lists."""
+    import random
+    import statistics
+
+    from rollcall.streaming import jobs
+    rng = random.Random(3)
+    rows = [(i, rng.randint(0, 10_000), "hot" if i % 2 else f"k{i % 6}", rng.random() + (i > 700)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "event_id long, at long, kind string, value double").withColumn("ts", F.timestamp_seconds("at"))
+    df.repartition(7).write.parquet(str(tmp_path / "in"))
+    stream = jobs.read_events(spark, str(tmp_path / "in"), files_per_trigger=1)
+    got = {r["key"]: r for r in jobs.stream_drift(stream, "kind", "event_id", "value", 100, 0.1).collect()}
+    batch = {r["kind"]: r for r in jobs.batch_drift(df, "kind", "ts", "event_id", "value", 100, 0.1).collect()}
+    assert set(got) == set(batch) == {"hot", "k0", "k2", "k4"}
+    for key, r in got.items():
+        mine = [v for _, _, k, v in sorted(rows, key=lambda x: (x[1], x[0])) if k == key][-200:]
+        assert (r["n"], r["enough"]) == (len(mine), len(mine) == 200) == (batch[key]["n"], batch[key]["enough"])
+        if len(mine) == 200:
+            old, new = mine[:100], mine[100:]
+            mag = (abs(statistics.fmean(new) - statistics.fmean(old)) + abs(statistics.pstdev(new) - statistics.pstdev(old))) / 2
+            assert abs(r["magnitude"] - mag) < 1e-9 and r["is_drift"] == (mag > 0.1) and abs(batch[key]["magnitude"] - mag) < 1e-9
+        else:
+            assert r["magnitude"] is None and r["is_drift"] is False
