@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from rollcall.functions import spread
+from rollcall.operators import arima
 from rollcall.operators.ordering import halves_trend, sma_centered
 
 # 5 % critical values (Dickey-Fuller with constant; chi-square with 10 and 2 degrees).
@@ -115,89 +116,57 @@ def adf_stationarity(df: DataFrame, group: str, date: str, value: str) -> DataFr
 
 # ---------------------------------------------------------------- fitted models
 
-def _filter_ma(cols: np.ndarray, theta: float, theta_s: float, period: int) -> np.ndarray:
-    """Undo (1 + theta B)(1 + theta_s B^period) on every column, starting from zero."""
-    out = np.array(cols, dtype=float)
-    for t in range(len(out)):
-        if t >= 1:
-            out[t] -= theta * out[t - 1]
-        if theta_s and t >= period:
-            out[t] -= theta_s * out[t - period]
-            if t >= period + 1:
-                out[t] -= theta * theta_s * out[t - period - 1]
-    return out
-
-
-def _css(w: np.ndarray, lags: Sequence[int], theta: float, theta_s: float, period: int):
-    """Least squares for constant and AR terms given the MA terms."""
-    m = max(lags)
-    x = np.column_stack([np.ones(len(w) - m), *[w[m - k:len(w) - k] for k in lags]])
-    f = _filter_ma(np.column_stack([w[m:], x]), theta, theta_s, period)
-    coef, *_ = np.linalg.lstsq(f[:, 1:], f[:, 0], rcond=None)
-    e = f[:, 0] - f[:, 1:] @ coef
-    return float(e @ e), coef, e
-
-
-def _fit(w: np.ndarray, lags: Sequence[int], seasonal_ma: bool, period: int):
-    grid = np.linspace(-0.9, 0.9, 13)
-    seasonal = np.linspace(-0.8, 0.8, 5) if seasonal_ma else [0.0]
-    best = min(((_css(w, lags, a, b, period)[0], a, b) for a in grid for b in seasonal), key=lambda r: r[0])
-    step = 0.075
-    while step > 1e-3:
-        moves = [(a, b) for a in (best[1] - step, best[1], best[1] + step)
-                 for b in ((best[2] - step, best[2], best[2] + step) if seasonal_ma else (0.0,)) if abs(a) < 0.98 and abs(b) < 0.98]
-        cand = min(((_css(w, lags, a, b, period)[0], a, b) for a, b in moves), key=lambda r: r[0])
-        if cand[0] < best[0] - 1e-12:
-            best = cand
-        else:
-            step /= 2
-    sse, coef, e = _css(w, lags, best[1], best[2], period)
-    return sse, coef, e, best[1], best[2]
-
-
 def _forecast_series(y: np.ndarray, d: int, seasonal: bool, periods: int, z: float, period: int = 12) -> dict[str, np.ndarray | float]:
-    """Difference, fit, forecast, integrate back; variance from the psi weights."""
+    """Difference, fit by exact likelihood, forecast, integrate back; variance from the psi weights."""
     levels = [np.asarray(y, dtype=float)]
     steps: list[int] = []
     for s in ([period] if seasonal else []) + [1] * d:
         levels.append(levels[-1][s:] - levels[-1][:-s])
         steps.append(s)
-    w = levels[-1]
-    lags = [1, period] if seasonal and len(w) > period + 1 else [1]
-    sse, coef, e, th, ths = _fit(w, lags, seasonal and len(lags) > 1, period)
-    k = len(coef) + 1 + (1 if ths else 0)
-    sigma2 = sse / max(1, len(e) - k)
-    hist, err = list(w), [0.0] * (len(w) - len(e)) + list(e)
-    ma = {1: th}
-    if ths:
-        ma.update({period: ths, period + 1: th * ths})
-    for _ in range(periods):
-        nxt = coef[0] + sum(c * hist[-lag] for c, lag in zip(coef[1:], lags))
-        nxt += sum(m * err[-q] for q, m in ma.items() if q <= len(err))
-        hist.append(nxt)
-        err.append(0.0)
-    path = np.array(hist[len(w):])
+    found = arima.fit(levels[-1], seasonal, period, centre=len(steps) < 2)
+    path = arima.ahead(found, periods, period)
+    psi = arima.weights(found, periods, period)
     for s, lev in zip(reversed(steps), reversed(levels[:-1])):
         tail = list(lev)
         for v in path:
             tail.append(tail[-s] + v)
         path = np.array(tail[len(lev):])
-    psi = np.zeros(periods)
-    psi[0] = 1.0
-    for j in range(1, periods):
-        psi[j] = ma.get(j, 0.0) + sum(c * psi[j - lag] for c, lag in zip(coef[1:], lags) if j >= lag)
     for s in steps:
         for j in range(s, periods):
             psi[j] += psi[j - s]
-    half = z * np.sqrt(sigma2 * np.cumsum(psi ** 2))
-    n = len(e)
-    return {"mean": path, "half": half, "aic": n * math.log(max(sse / n, 1e-12)) + 2 * k, "phi": float(coef[1]), "theta": float(th)}
+    if not np.isfinite(path).all():
+        raise ValueError("no finite forecast")
+    phi, theta, sphi, stheta = found.terms
+    aic = found.deviance + 2 * found.free
+    return {"mean": path, "half": z * np.sqrt(found.sigma2 * np.cumsum(psi ** 2)), "aic": aic if math.isfinite(aic) else None, "phi": phi, "theta": theta,
+            "seasonal_phi": sphi, "seasonal_theta": stheta, "model": f"(1,{d},1)" + (f"(1,1,1,{period})" if seasonal else "")}
+
+
+def _fallback_series(y: np.ndarray, periods: int, z: float, period: int = 12, alpha: float = 0.3, beta: float = 0.05, gamma: float = 0.1) -> dict:
+    """Additive level, trend and season where nothing could be fitted; the last value of a series too short for that."""
+    y = np.asarray(y, dtype=float)
+    none = {"aic": None, "phi": None, "theta": None, "seasonal_phi": None, "seasonal_theta": None}
+    if len(y) < 2 * period:
+        spread_ = float(np.std(np.diff(y))) if len(y) > 1 else 0.0
+        return {"mean": np.full(periods, y[-1]), "half": z * spread_ * np.sqrt(np.arange(1, periods + 1)), "model": "last-value", **none}
+    level, slope = y[:period].mean(), (y[period:2 * period].mean() - y[:period].mean()) / period
+    season, errors = list(y[:period] - level), []
+    for v in y[period:]:
+        old = season.pop(0)
+        errors.append(v - (level + slope + old))
+        last = level
+        level = (v - old) * alpha + (level + slope) * (1 - alpha)
+        slope = (level - last) * beta + slope * (1 - beta)
+        season.append((v - level) * gamma + old * (1 - gamma))
+    steps = np.arange(1, periods + 1)
+    return {"mean": level + slope * steps + np.array([season[(i - 1) % period] for i in steps]), "half": z * float(np.std(errors)) * np.sqrt(steps),
+            "model": "holt-winters", **none}
 
 
 # Two-sided normal quantiles.
 Z_OF_LEVEL = {0.8: 1.2816, 0.9: 1.6449, 0.95: 1.9600, 0.99: 2.5758}
 
-FORECAST_SCHEMA = "grp string, period int, predicted double, lower double, upper double, aic double, phi double, theta double, model string"
+FORECAST_SCHEMA = "grp string, period int, predicted double, lower double, upper double, aic double, phi double, theta double, seasonal_phi double, seasonal_theta double, model string"
 
 
 def _forecast(df: DataFrame, group: str, date: str, value: str, periods: int, level: float, min_points: int, seasonal: bool) -> DataFrame:
@@ -210,22 +179,29 @@ def _forecast(df: DataFrame, group: str, date: str, value: str, periods: int, le
         y = pdf["value"].to_numpy(dtype=float)
         use_season = seasonal and len(y) >= 24
         diff = 1 if seasonal else int(pdf["d"].iloc[0])
-        r = _forecast_series(y, diff, use_season, periods, z)
-        label = f"({1},{diff},{1})" + ("(1,1,1,12)" if use_season else "")
+        try:
+            r = _forecast_series(y, diff, use_season, periods, z)
+        except (ValueError, ArithmeticError, np.linalg.LinAlgError):
+            r = _fallback_series(y, periods, z)
         return pd.DataFrame({"grp": pdf["grp"].iloc[0], "period": range(1, periods + 1), "predicted": np.maximum(r["mean"], 0.0),
                              "lower": np.maximum(r["mean"] - r["half"], 0.0), "upper": np.maximum(r["mean"] + r["half"], 0.0),
-                             "aic": r["aic"], "phi": r["phi"], "theta": r["theta"], "model": label})
+                             **{c: r[c] for c in ("aic", "phi", "theta", "seasonal_phi", "seasonal_theta", "model")}})
 
-    return s.join(d, "grp").groupBy("grp").applyInPandas(run, FORECAST_SCHEMA).withColumnRenamed("grp", group)
+    # few rows but long work: a given number of partitions is not put together again
+    dealt = s.join(d, "grp").repartition(spread.shuffle_parts(df.sparkSession), "grp")
+    return dealt.groupBy("grp").applyInPandas(run, FORECAST_SCHEMA).withColumnRenamed("grp", group)
 
 
 def arima_forecast(df: DataFrame, group: str, date: str, value: str, periods: int = 6, level: float = 0.95, min_points: int = 10) -> DataFrame:
-    """ARIMA(1,d,1) per group by conditional least squares, d from the Dickey-Fuller check."""
+    """ARIMA(1,d,1) per group by exact likelihood, d from the Dickey-Fuller check; the last value where nothing can be fitted."""
     return _forecast(df, group, date, value, periods, level, min_points, seasonal=False)
 
 
 def sarima_forecast(df: DataFrame, group: str, date: str, value: str, periods: int = 6, level: float = 0.95, min_points: int = 10) -> DataFrame:
-    """(1,1,1)(1,1,1,12) per group from 24 points on; the label names the terms that were fitted."""
+    """(1,1,1)(1,1,1,12) per group from 24 points on, (1,1,1) below, by exact likelihood; Holt-Winters where that fails.
+
+    The label names the terms that were fitted.
+    """
     return _forecast(df, group, date, value, periods, level, min_points, seasonal=True)
 
 
