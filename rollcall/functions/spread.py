@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -59,13 +60,14 @@ def pin(df: DataFrame) -> DataFrame:
 
 
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS, pinned: bool = False) -> DataFrame:
-    """Broadcast-hint ``df`` when its row count is within ``max_rows``.
+    """Broadcast-hint ``df`` when its row count is within ``max_rows`` and its files within ``BROADCAST_BYTES``.
 
-    The table is computed once (``pin``) and counted; a larger table comes
-    back without a hint, so the caller's join runs as a shuffled join.
+    The table is computed once (``pin``), measured and counted; a larger table
+    comes back without a hint, so the caller's join runs as a shuffled join.
     """
     held = df if pinned else pin(df)
-    if held.limit(max_rows + 1).count() <= max_rows:
+    size = int(held._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size <= BROADCAST_BYTES and held.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(held)
     return held
 

@@ -114,6 +114,13 @@ def gender_coverage(df: DataFrame, ratios: DataFrame | None = None, by: Sequence
     return gender_ratios(g)
 
 
+def gender_national(states: DataFrame, districts: DataFrame) -> DataFrame:
+    """One row over the state and district tables of ``gender_coverage``: records, states, districts, counts and the mean gap of the states."""
+    s = states.agg(F.sum("records").alias("records"), F.count(F.lit(1)).alias("states"), F.sum("male").alias("male"), F.sum("female").alias("female"),
+                   F.avg("gender_gap").alias("avg_gender_gap"))
+    return spread.with_global(s, districts.agg(F.count(F.lit(1)).alias("districts")))
+
+
 def gender_features(df: DataFrame) -> DataFrame:
     """Estimate male/female from the age sum where they are missing; 0 totals give NULL ratios."""
     t = total_enrolled()
@@ -152,6 +159,13 @@ def vulnerable_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
              .withColumn("status", ladder(F.col("coverage_score"), [(">=", 80, "GOOD"), (">=", 50, "MODERATE")], "LOW")))
 
 
+def vulnerable_national(states: DataFrame, districts: DataFrame) -> DataFrame:
+    """One row over ``vulnerable_groups`` per state and per district: people per group, states, districts, mean overall score of the states."""
+    own = states.groupBy("state").agg(F.max("overall").alias("overall"), *[F.max(F.when(F.col("grp") == n, F.col("enrolled"))).alias(n) for n in EXPECTED_SHARE])
+    s = own.agg(F.count(F.lit(1)).alias("states"), F.avg("overall").alias("avg_inclusion_score"), *[F.sum(n).alias(n) for n in EXPECTED_SHARE])
+    return spread.with_global(s, districts.agg(F.countDistinct("state", "district").alias("districts")))
+
+
 def vulnerable_high_risk(v: DataFrame, keys: Sequence[str], below: int = 40, k: int = 10,
                          groups: Sequence[str] = ("children", "elderly", "disabled")) -> DataFrame:
     w = W.partitionBy("grp").orderBy("overall", *keys)

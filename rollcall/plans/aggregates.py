@@ -81,6 +81,14 @@ def gender_coverage(d: Domain):
     return rounded(dist.unionByName(st, allowMissingColumns=True))
 
 
+@query("gender_national", f"""SELECT records, states, districts, male, female, round(avg_gender_gap,9)+0e0 AS avg_gender_gap FROM (SELECT {S('records', 'records')}, count(*) AS states, {S('male', 'male')}, {S('female', 'female')},
+ avg(coalesce((male-female)/nullif(total,0)::DOUBLE,0)) AS avg_gender_gap FROM (SELECT state, {S('total', 'total')}, {S('male', 'male')}, {S('female', 'female')}, {S('records', 'records')} FROM coverage GROUP BY 1)), (SELECT count(*) AS districts FROM coverage)""")
+def gender_national(d: Domain):
+    """National summary of the gender coverage."""
+    dist, st = (agg.gender_coverage(d.enrolment(), views.ratios(d), by) for by in (["state", "district"], ["state"]))
+    return rounded(agg.gender_national(st, dist), 9)
+
+
 @query("gender_features", f"""SELECT record_id, round(male,4) AS male, round(female,4) AS female, round(male/nullif(male+female,0),6) AS male_ratio,
  round((male-female)/nullif(male+female,0),6)+0e0 AS gender_gap FROM (SELECT record_id, CASE WHEN record_id%3=0 THEN t*0.515e0 ELSE record_id%50 END::DOUBLE AS male,
  CASE WHEN record_id%3=0 THEN t*0.485e0 ELSE record_id%41 END::DOUBLE AS female FROM (SELECT record_id, {T} AS t FROM enrol))""")
@@ -108,6 +116,16 @@ def vulnerable_groups(d: Domain):
     return rounded(agg.vulnerable_groups(d.enrolment(), ["state", "district"]))
 
 
+_GROUPS = ", ".join(f"CAST(sum(CASE WHEN grp='{n}' THEN enrolled END) AS BIGINT) AS {n}" for n in _GRP)
+
+
+@query("vulnerable_national", f"""SELECT count(DISTINCT state) AS states, (SELECT count(*) FROM (SELECT DISTINCT state, district FROM enrol)) AS districts, round(avg(overall),9) AS avg_inclusion_score, {_GROUPS} FROM ({_vuln_sql('state')})""")
+def vulnerable_national(d: Domain):
+    """National summary of the vulnerable groups."""
+    by = lambda *keys: agg.vulnerable_groups(d.enrolment(), list(keys))
+    return rounded(agg.vulnerable_national(by("state"), by("state", "district")), 9)
+
+
 @query("vulnerable_high_risk", f"""SELECT grp, rn, state, district, overall, coverage_score FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY overall, state, district) AS rn
  FROM ({_vuln_sql('state, district')}) WHERE grp IN ('children','elderly','disabled') AND coverage_score<97) WHERE rn<=10""")
 def vulnerable_high_risk(d: Domain):
