@@ -132,6 +132,10 @@ def recommend_strategies(requests: DataFrame, keep: Sequence[str], k: int = 3) -
                       F.when(F.col("e.neg") <= -2, "High").otherwise("Standard").alias("confidence"))
 
 
+def strategy_techniques(strategy: str) -> list[str]:
+    return list(tables.STRATEGY_METHODS[strategy][2])
+
+
 def run_strategy(df: DataFrame, strategy: str, features: Sequence[str], vigilance: str = "standard",
                  scorers: Mapping[str, Column] | None = None) -> DataFrame:
     """Score, combine and count flagged / review / cleared records of one strategy.

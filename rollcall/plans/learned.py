@@ -1,9 +1,11 @@
 """Learned detectors, clusters and classifiers."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from rollcall.functions import spread
-from rollcall.operators import density, neighbors
+from rollcall.functions import spread, tables
+from rollcall.operators import density, detectors, neighbors
 from rollcall.operators import models as mo
 from rollcall.plans import views
 from rollcall.plans.registry import query, rounded
@@ -106,6 +108,59 @@ def dbscan_vectors(d: Domain):
     return density.dbscan(emb(d), "vec_id", "x", _VEPS, _MIN)
 
 
+VIEW_SQL["trade"] = """SELECT c_custkey AS id, c_acctbal/1000e0 AS x, coalesce(n,0)/2e0 AS y, coalesce(s,0)/500000e0 AS z FROM customer
+ LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(floor(o_totalprice)::BIGINT) AS s FROM orders GROUP BY 1) ON o_custkey=c_custkey"""
+
+
+def trade(d: Domain):
+    """Three behaviour columns per customer: balance, number of orders, spending."""
+    o = d.table("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("o_totalprice").cast("bigint")).alias("s"))
+    c = d.table("customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return spread.pin(c.select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") / 1000.0).alias("x"), (F.coalesce("n", F.lit(0)) / 2.0).alias("y"),
+                               (F.coalesce("s", F.lit(0)) / 500000.0).alias("z")))
+
+
+_TEPS = 0.3
+_DETECT = {**VIEW_SQL,
+           "tpair": "SELECT a.id AS i, b.id AS j, sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d FROM trade a JOIN trade b ON true",
+           "tnear": f"SELECT i, j FROM tpair WHERE d<={_TEPS}e0",
+           "tknn": "SELECT i, j, d FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rn FROM tpair WHERE i<>j) WHERE rn<=20",
+           "tlrd": "SELECT e.i, 1e0/(avg(greatest(d,kd))+1e-10) AS l FROM tknn e JOIN (SELECT i, max(d) AS kd FROM tknn GROUP BY 1) k ON e.j=k.i GROUP BY 1",
+           "tlof": "SELECT e.i AS id, avg(o.l)/max(me.l) AS lof FROM tknn e JOIN tlrd o ON e.j=o.i JOIN tlrd me ON e.i=me.i GROUP BY 1",
+           "tcore": f"SELECT i FROM tnear GROUP BY 1 HAVING count(*)>={_MIN}",
+           "tscore": """SELECT id, (c-min(c) OVER ())/(max(c) OVER ()-min(c) OVER ()+1e-10) AS s_z, (lof-min(lof) OVER ())/(max(lof) OVER ()-min(lof) OVER ()+1e-10) AS s_lof,
+ CASE WHEN lof>(SELECT quantile_cont(lof, 0.9) FROM tlof) THEN 1e0 ELSE 0e0 END AS s_cut, CASE WHEN near IS NULL THEN 1e0 ELSE 0e0 END AS s_noise FROM (
+ SELECT id, (abs((x-avg(x) OVER ())/stddev_pop(x) OVER ())+abs((y-avg(y) OVER ())/stddev_pop(y) OVER ())+abs((z-avg(z) OVER ())/stddev_pop(z) OVER ()))/3e0 AS c FROM trade)
+ JOIN tlof USING (id) LEFT JOIN (SELECT DISTINCT n.i AS near FROM tnear n JOIN tcore c ON n.j=c.i) ON id=near"""}
+
+
+@query("ensemble_detectors", """SELECT id, round(s_z,6) AS score_zscore, round(s_lof,6) AS score_lof_share, s_noise AS score_dbscan, round((s_z*0.35e0+s_lof*0.25e0+s_noise*0.3e0)/0.9e0,6) AS ensemble FROM tscore""", views=_DETECT)
+def ensemble_detectors(d: Domain):
+    """Three detectors run on the customers' behaviour, and their weighted mean."""
+    s = detectors.ensemble_detectors(trade(d), "id", ["x", "y", "z"], {"zscore": 0.35, "lof_share": 0.25, "dbscan": 0.3}, eps=_TEPS, min_samples=_MIN)
+    return rounded(s.select("id", "score_zscore", "score_lof_share", "score_dbscan", "ensemble"))
+
+
+_REAL_RUNS = [("regional_deviation", "standard"), ("regional_deviation", "maximum"), ("volume_surge", "enhanced")]
+
+
+def _strategy_sql(strategy: str, vigilance: str) -> str:
+    method, conf, names = tables.STRATEGY_METHODS[strategy]
+    used = [n if n in detectors.REAL else "zscore" for n in names]
+    c = "(" + "+".join(f"CASE WHEN {'s_cut' if n == 'lof' else 's_z'}>=0.5e0 THEN 1e0 ELSE 0e0 END" for n in used) + f")/{len(used)}e0"
+    m = tables.VIGILANCE_CUT[vigilance]
+    return (f"SELECT '{strategy}' AS strategy, '{'|'.join(used)}' AS techniques, '{vigilance}' AS vigilance, '{'High' if conf >= 0.7 else 'Standard'}' AS confidence, count(*) AS records_analyzed, "
+            f"count(*) FILTER (WHERE c>={m * 0.5!r}::DOUBLE) AS flagged, count(*) FILTER (WHERE c>={m * 0.3!r}::DOUBLE AND c<{m * 0.5!r}::DOUBLE) AS review, count(*) FILTER (WHERE c<{m * 0.3!r}::DOUBLE) AS cleared, "
+            f"round(avg(c),6) AS raw_score FROM (SELECT {c} AS c FROM tscore)")
+
+
+@query("run_strategy_detectors", " UNION ALL ".join(_strategy_sql(s, v) for s, v in _REAL_RUNS), views=_DETECT)
+def run_strategy_detectors(d: Domain):
+    """Strategies whose techniques are run on the customers' behaviour."""
+    rows = trade(d)
+    return rounded(reduce(lambda a, b: a.unionByName(b), [detectors.run_strategy(rows, "id", s, ["x", "y", "z"], v) for s, v in _REAL_RUNS]))
+
+
 @query("kmeans_clusters")
 def kmeans_clusters(d: Domain):
     """Best silhouette of 2..10 on the behaviour columns, with a risk word per cluster."""
