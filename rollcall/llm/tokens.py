@@ -9,6 +9,9 @@ ids are those the library gives for the whole text:
   of it, are cut by the pattern as a whole.
 * ``word`` files (white space dropped): at spaces and line ends, and
   before a final comma or full stop after letters.
+
+Strings of the file's added tokens become those tokens, as in the library;
+texts are cut around them first, and each part is split on its own.
 """
 
 from __future__ import annotations
@@ -35,9 +38,13 @@ class SliceEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = spec["added_tokens"]
+        if any(a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in added):
+            raise ValueError(f"{path}: added tokens must match plainly")
+        self.added = sorted((a["content"] for a in added), key=len, reverse=True)
+        self.cut_added = re.compile("(" + "|".join(map(re.escape, self.added)) + ")").split
         self.by_word = spec["normalizer"] is not None
         self.split = regex.compile(PATTERN).findall
         self.most = cache
@@ -54,6 +61,8 @@ class SliceEncoder:
 
     def _parts(self, key: str) -> tuple[str, ...] | list[str]:
         """What the library is asked for a slice: words and final stops apart, the rest by the pattern."""
+        if key in self.added:
+            return (key,)
         if self.by_word:
             return (key[:-1], key[-1]) if len(key) > 1 and key[-1] in ",." and key[:-1].isalpha() else (key,)
         mark, word = key[:1], key[1:]
@@ -84,7 +93,13 @@ class SliceEncoder:
                 del known[p]
 
     def _slices(self, text: str) -> list[str]:
-        """Keys of the slices: a word after a space as it is, after a line end or at the start with a mark before it."""
+        """Keys of the slices: a word after a space as it is, after a line end or at the start with a mark before it.
+
+        No other slice holds the text of an added token, so that text is its own key.
+        """
+        if any(a in text for a in self.added):
+            parts = self.cut_added(text)
+            return [s for i, part in enumerate(parts) for s in ([part] if i % 2 else self._slices(part))]
         if self.by_word:
             return text.replace("\n", " ").split(" ")
         if any(r in text for r in RUNS) or text[:1].isspace() or text[-1:].isspace() or OTHER_SPACE.search(text):

@@ -36,7 +36,6 @@ def rank_encoding():
 
 def library(name):
     lib = Tokenizer.from_file(vocab.path(name))
-    lib.encode_special_tokens = True
     return lambda t: lib.encode(t or "", add_special_tokens=False).ids
 
 
@@ -130,6 +129,16 @@ def test_token_file(spark, tmp_path):
     assert token_file.read_token_file(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_as_in_the_library(name):
+    rng, encode = random.Random(8), library(name)
+    found = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", " ", "\n", "  ", "a word", "it's.", "\u1680", "é"]
+    rows = ["".join(rng.choices(found, k=rng.randint(0, 9))) for _ in range(400)]
+    ids, counts = tokens.SliceEncoder(vocab.path(name)).encode(rows)
+    for t, part in zip(rows, np.split(ids, np.cumsum(counts)[:-1])):
+        assert part.tolist() == encode(t), t
+
+
 def check_places(rows, size):
     bins = {}
     for r in rows:
