@@ -14,7 +14,8 @@ map-side combine, so a host that holds a third of all pages is never gathered
 in one task.
 
 Defined results: a null url, or one without ``://``, has an empty host and an
-empty path (template ``/``); repeated urls get equal verdicts; an empty table
+empty path (template ``/``); repeated urls get equal verdicts, whatever their
+page ids, repeated and null ids included; an empty table
 gives an empty result; without any labelled page the share is the prior
 ``0.5 * pseudo / pseudo`` of the smoothing, which is not above ``reject``, so
 everything without a rule is allowed.  Extra columns of the input are not read.
@@ -56,28 +57,32 @@ def best_rule(rules: Sequence[tuple[str, str, str]]) -> Column:
 
 
 def path_templates(parts: DataFrame, max_branch: int = 32) -> DataFrame:
-    """``page_id, template, parent``: the path with variable segments as ``*``, and with its last fixed one as ``*`` too."""
-    segment = parts.select("page_id", "host", F.posexplode(
-        F.filter(F.split("path", "/"), lambda s: s != "")).alias("depth", "seg"), "path")
+    """``host, path, template, parent`` of every distinct host and path.
+
+    ``template`` has variable segments as ``*``, ``parent`` its last fixed one as well.
+    """
+    parts = parts.select("host", "path").distinct()
+    segment = parts.select("host", "path", F.posexplode(
+        F.filter(F.split("path", "/"), lambda s: s != "")).alias("depth", "seg"))
     fixed = F.when(F.col("seg").rlike("[0-9]"), F.lit("*")).otherwise(F.col("seg"))
     before = F.when(F.col("depth") == 0, F.lit("")).otherwise(
         F.element_at(F.filter(F.split("path", "/"), lambda s: s != ""), F.greatest(F.col("depth"), F.lit(1))))
-    segment = segment.select("page_id", "host", "depth", fixed.alias("seg"),
+    segment = segment.select("host", "path", "depth", fixed.alias("seg"),
                              F.when(before.rlike("[0-9]"), F.lit("*")).otherwise(before).alias("before"))
-    wide = (segment.filter("seg <> '*'").groupBy("host", "depth", "before", "seg").agg(F.count(F.lit(1)).alias("n"))
+    wide = (segment.filter("seg <> '*'").select("host", "depth", "before", "seg").distinct()
             .groupBy("host", "depth", "before").agg(F.count(F.lit(1)).alias("children"))
             .filter(F.col("children") > max_branch)
             .select(F.col("host").alias("_h"), F.col("depth").alias("_d"), F.col("before").alias("_b"), F.lit(True).alias("variable")))
     # broadcast only when proven small; a larger table is joined by shuffling
     token = segment.join(small(wide), (F.col("host") == F.col("_h")) & (F.col("depth") == F.col("_d"))
                          & (F.col("before") == F.col("_b")), "left")
-    token = token.select("page_id", "depth", F.when(F.col("variable"), F.lit("*")).otherwise(F.col("seg")).alias("seg"))
-    lists = token.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("depth", "seg"))).alias("s"))
+    token = token.select("host", "path", "depth", F.when(F.col("variable"), F.lit("*")).otherwise(F.col("seg")).alias("seg"))
+    lists = token.groupBy("host", "path").agg(F.array_sort(F.collect_list(F.struct("depth", "seg"))).alias("s"))
     seg = F.transform("s", lambda x: x["seg"])
     last = F.array_max(F.transform("s", lambda x: F.when(x["seg"] != "*", x["depth"])))
     up = F.transform("s", lambda x: F.when(x["depth"] == F.col("last"), F.lit("*")).otherwise(x["seg"]))
     lists = lists.withColumn("last", last)
-    return lists.select("page_id", F.concat(F.lit("/"), F.array_join(seg, "/")).alias("template"),
+    return lists.select("host", "path", F.concat(F.lit("/"), F.array_join(seg, "/")).alias("template"),
                         F.concat(F.lit("/"), F.array_join(up, "/")).alias("parent"))
 
 
@@ -110,12 +115,13 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]], labels:
     """``page_id, host, path, rule, verdict, template, share`` for every page.
 
     ``labels`` (page_id, bad 0/1) are further labelled pages; the pages that a
-    rule decides are labelled by it.  Repeated page ids count as one page.
+    rule decides are labelled by it.  Every row is judged by its own url, so
+    rows with one page id, or with none, get the verdicts of their urls.
     """
     parts = with_parts(pages)
     ruled = parts.withColumn("r", best_rule(rules))
-    shapes = path_templates(parts.dropDuplicates(["page_id"]), max_branch)
-    pages_in = ruled.join(shapes.withColumnRenamed("page_id", "_pid"), F.col("page_id") == F.col("_pid"), "left").drop("_pid")
+    shapes = path_templates(parts, max_branch).withColumnsRenamed({"host": "_h", "path": "_p"})
+    pages_in = ruled.join(shapes, (F.col("host") == F.col("_h")) & (F.col("path") == F.col("_p")), "left").drop("_h", "_p")
     root = F.lit("/")
     pages_in = pages_in.withColumns({"template": F.coalesce("template", root), "parent": F.coalesce("parent", root)})
     by_rule = F.when(F.col("r.action") == "block", 1).when(F.col("r.action") == "allow", 0)

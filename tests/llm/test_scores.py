@@ -32,6 +32,17 @@ def test_url_templates(spark):
     assert {(r["template"], r["verdict"]) for r in rows} == {("/junk/*", "block"), ("/good/*", "allow")}
 
 
+def test_url_repeated_and_null_ids(spark):
+    urls = [f"http://h.net/{'junk' if i % 2 else 'good'}/{i}" for i in range(40)]
+    long = "http://h.net/junk" + "/x7" * 3000
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(0, urls[1]), (None, urls[3]), (None, urls[2]), (7, long)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(10, 20)], "page_id long, bad int")
+    rows = url_filter.url_filter(pages, [], labels).collect()
+    assert len(rows) == len(urls) + 4
+    assert all(r["verdict"] == ("block" if r["path"].startswith("/junk/") else "allow") for r in rows if len(r["path"]) < 99)
+    assert [r["template"] for r in rows if len(r["path"]) > 99] == ["/junk" + "/*" * 3000]
+
+
 def brute(vectors, k):
     ids = np.array([i for i, _ in vectors])
     x = np.array([v for _, v in vectors])
