@@ -256,7 +256,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most
     seen = rows.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).toArrow()
     idf[seen["t"].to_numpy()] = np.log((1 + n_docs) / (1 + seen["df"].to_numpy())) + 1
     weight = idf * np.array([1.0 if t in marks else plain for t in terms] or [1.0])
-    marked = rows.filter("label is not null").dropDuplicates(["doc_id"])
+    least = F.min(F.struct("label", "terms", "counts")).alias("r")  # of rows with one id, the same one on every retry
+    marked = rows.filter("label is not null").groupBy("doc_id").agg(least).select("doc_id", "r.*")
     without = marked.filter(F.size("terms") == 0).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")).first()
     share = (without["bad"] + size["bad"] / size["n"]) / (without["n"] + 1) if size["bad"] else 0.0
     told = marked.filter(F.size("terms") > 0).toArrow()
