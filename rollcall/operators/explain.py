@@ -6,7 +6,7 @@ from one-row statistics, so no record is exploded or shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -45,6 +45,12 @@ PATTERNS = {
     "other": "General Statistical Anomaly: Multiple deviations from normal patterns",
 }
 
+# Pattern names of single detectors.
+MODEL_PATTERNS = {
+    "hdbscan": "Behavioral Outlier: Record does not match any known normal behavior cluster",
+    "autoencoder": "Complex Pattern Fraud: Multi-feature anomaly pattern detected",
+}
+
 
 def feature_stats(df: DataFrame, features: Sequence[str], sample: bool = False) -> DataFrame:
     """One row: mean, std, min, max per feature."""
@@ -53,6 +59,30 @@ def feature_stats(df: DataFrame, features: Sequence[str], sample: bool = False)
     return df.agg(*[f(F.col(c).cast("double")).alias(f"_{n}_{c}") for c in features for n, f in kinds])
 
 
+def baselines(df: DataFrame, features: Sequence[str], dims: Sequence[str]) -> tuple[DataFrame, DataFrame, dict[str, DataFrame]]:
+    """The statistics of the whole table (population, then sample std) and of every value of each dimension, in one pass.
+
+    One aggregation over grouping sets, written once; its rows are as many as the
+    dimensions have values, and a part is broadcast only after its size is checked.
+    """
+    keys = [F.col(d).alias(f"_k_{d}") for d in dims]
+    values = [F.col(c).cast("double").alias(f"_v_{c}") for c in features]
+    kinds = (("m", F.avg), ("sp", F.stddev_pop), ("ss", F.stddev_samp), ("lo", F.min), ("hi", F.max))
+    names = [f"_k_{d}" for d in dims]
+    table = (df.select(*keys, *values).groupingSets([[], *[[n] for n in names]], *names)
+               .agg(F.grouping_id().alias("_set"), *[f(f"_v_{c}").alias(f"_{n}_{c}") for c in features for n, f in kinds]))
+    table = spread.pin(table)
+
+    def part(left_out: int, kept: Sequence[str], std: str) -> DataFrame:
+        named = [F.col(f"_{std if n == 's' else n}_{c}").alias(f"_{n}_{c}") for c in features for n in ("m", "s", "lo", "hi")]
+        return table.filter(F.col("_set") == left_out).select(*kept, *named)
+
+    every = (1 << len(names)) - 1  # one bit per dimension, the last one lowest, set where it is left out
+    by_dim = {d: part(every ^ (1 << (len(names) - 1 - i)), [f"_k_{d}"], "ss").drop(*[f"_{n}_{c}" for c in features for n in ("lo", "hi")])
+              for i, d in enumerate(dims)}
+    return part(every, [], "sp"), part(every, [], "ss"), by_dim
+
+
 def _drop_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.drop(*[f"_{n}_{c}" for c in features for n in ("m", "s", "lo", "hi")])
 
@@ -196,11 +226,16 @@ def deviations(df: DataFrame, features: Sequence[str], k: int = 10, stats: DataF
     return _drop_stats(out, features).drop(*[f"_{n}_{c}" for c in features for n in "pzv"])
 
 
-def _dim_flags(df: DataFrame, dim: str, features: Sequence[str], label: str, stats: DataFrame | None = None) -> DataFrame:
-    """Array of (type, feature, severity) where |z| > 2 against the baseline of the dimension value."""
-    src = stats if stats is not None else df
-    g = src.groupBy(dim).agg(*[f(F.col(c).cast("double")).alias(f"_{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_samp))])
-    out = spread.join_stats(df, g, [dim])
+def _dim_flags(df: DataFrame, dim: str, features: Sequence[str], label: str, base: DataFrame | None = None) -> DataFrame:
+    """Array of (type, feature, severity) where |z| > 2 against the baseline of the dimension value.
+
+    ``base`` holds that baseline (from ``baselines``); without it the rows themselves give it.
+    """
+    if base is None:
+        g = df.groupBy(dim).agg(*[f(F.col(c).cast("double")).alias(f"_{n}_{c}") for c in features for n, f in (("m", F.avg), ("s", F.stddev_samp))])
+        out = spread.join_stats(df, g, [dim])
+    else:
+        out = df.join(spread.small(base, pinned=True), df[dim].eqNullSafe(F.col(f"_k_{dim}")), "left").drop(f"_k_{dim}")
     items = []
     for c in features:
         z = F.abs((F.col(c) - F.col(f"_m_{c}")) / F.nullif(f"_s_{c}", F.lit(0.0)))
@@ -208,19 +243,19 @@ def _dim_flags(df: DataFrame, dim: str, features: Sequence[str], label: str, sta
     return out.withColumn(f"_{dim}_flags", F.array_compact(F.array(*items))).drop(*[f"_{n}_{c}" for c in features for n in "ms"])
 
 
-def temporal_deviations(df: DataFrame, features: Sequence[str], stats: DataFrame | None = None) -> DataFrame:
+def temporal_deviations(df: DataFrame, features: Sequence[str], base: DataFrame | None = None) -> DataFrame:
     """Weekend and month-edge flags, and values far from the month's baseline, in ``temporal_flags``."""
     flag = lambda c, t, s: F.when(F.col(c) == 1, F.struct(F.lit(t).alias("type"), F.lit("").alias("feature"), F.lit(s).alias("severity")))
-    out = _dim_flags(df, "month", features, "monthly_deviation", stats)
+    out = _dim_flags(df, "month", features, "monthly_deviation", base)
     fixed = F.array_compact(F.array(flag("is_weekend", "weekend_activity", "medium"), flag("is_month_end", "month_end_activity", "low"),
                                     flag("is_month_start", "month_start_activity", "low")))
     return out.withColumn("temporal_flags", F.concat(fixed, "_month_flags")).drop("_month_flags")
 
 
-def geo_deviations(df: DataFrame, features: Sequence[str], dims: Sequence[str] = ("state", "district"), stats: DataFrame | None = None) -> DataFrame:
+def geo_deviations(df: DataFrame, features: Sequence[str], dims: Sequence[str] = ("state", "district"), bases: Mapping[str, DataFrame] | None = None) -> DataFrame:
     out = df
     for dim in dims:
-        out = _dim_flags(out, dim, features, f"{dim}_deviation", stats)
+        out = _dim_flags(out, dim, features, f"{dim}_deviation", (bases or {}).get(dim))
     return out.withColumn("geo_flags", F.concat(*[f"_{d}_flags" for d in dims])).drop(*[f"_{d}_flags" for d in dims])
 
 
@@ -232,12 +267,19 @@ def reasons(contributors: Column, score: Column) -> Column:
     return F.when(F.size(lines) == 0, F.array(F.lit("No specific anomaly patterns identified"))).otherwise(lines)
 
 
-def fraud_pattern(contributors: Column) -> Column:
-    """First matching rule on the names of the contributors."""
+def fraud_pattern(contributors: Column, models: Mapping[str, Column] | None = None) -> Column:
+    """First matching rule on the names of the contributors, then on the detectors' scores.
+
+    ``models`` names detectors in the order they are asked; a score above 0.7 of one
+    that has a pattern of its own (``MODEL_PATTERNS``) decides, a null score does not.
+    """
     tags = F.concat_ws("", contributors["tags"])
     out = F.when(tags.rlike("<geo>.*<geo>"), PATTERNS["geo"])
     for name in ("operator", "volume", "temporal", "bio_z", "bio", "demo_z", "demo", "age_ratio", "age"):
         out = out.when(tags.contains(f"<{name}>"), PATTERNS[name])
+    for name, score in (models or {}).items():
+        if name in MODEL_PATTERNS:
+            out = out.when(score > 0.7, MODEL_PATTERNS[name])
     return out.otherwise(PATTERNS["other"])
 
 
@@ -256,18 +298,21 @@ def severity(score: Column, conf: Column, devs: Column) -> Column:
 
 
 def explain_batch(df: DataFrame, features: Sequence[str], score: str, model_scores: Sequence[str], geo_dims: Sequence[str],
-                  cut: float = 0.5, k: int = 10) -> DataFrame:
+                  cut: float = 0.5, k: int = 10, models: Mapping[str, Column] | None = None) -> DataFrame:
     """Every record with score >= cut: contributors, deviations, flags, pattern, confidence, severity, reasons.
 
-    Baselines come from all records, explanations only for those above the cut.
+    Baselines come from all records and are counted in one pass over them; explanations
+    are made only for the records above the cut.  ``models`` (name to score column) adds
+    the patterns that rest on a detector's own verdict.
     """
     picked = df.filter(F.col(score) >= cut)
-    out = attribution(picked, features, 5, feature_stats(df, features))
-    out = deviations(out, features, k, feature_stats(df, features, sample=True))
-    out = geo_deviations(temporal_deviations(out, features, df), features, geo_dims, df)
+    whole, sample, by_dim = baselines(df, features, ["month", *geo_dims])
+    out = attribution(picked, features, 5, whole)
+    out = deviations(out, features, k, sample)
+    out = geo_deviations(temporal_deviations(out, features, by_dim["month"]), features, geo_dims, by_dim)
     noteworthy = F.size(F.filter("deviations", lambda s: s["severity"] != "low"))
     out = out.withColumn("n_deviations", noteworthy).withColumn("n_flags", F.size("temporal_flags") + F.size("geo_flags"))
-    out = out.withColumn("pattern", fraud_pattern(F.col("contributors")))
+    out = out.withColumn("pattern", fraud_pattern(F.col("contributors"), models))
     out = out.withColumn("confidence", confidence(F.col(score), F.array(*model_scores), F.col("n_deviations"), F.col("n_flags")))
     out = out.withColumn("severity", severity(F.col(score), F.col("confidence"), F.col("deviations")))
     return out.withColumn("reasons", reasons(F.col("contributors"), F.col(score)))

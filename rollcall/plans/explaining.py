@@ -20,12 +20,18 @@ VIEW_SQL["feats"] = """SELECT *, CASE WHEN order_id%5<>0 THEN (demo_age_5_17%11)
 def feats(d: Domain):
     """Scored records with their features, computed once: explanations read them several times."""
     s = views.scored(d)
-    s = spread.join_stats(s, d.demographic().groupBy("center_id").agg(F.count(F.lit(1)).alias("center_event_count")), ["center_id"])
+    s = spread.join_stats(s, s.groupBy("center_id").agg(F.count(F.lit(1)).alias("center_event_count")), ["center_id"])
     return spread.pin(s.withColumns({
         "total_demo_updates": F.col("demo_age_5_17") + F.col("demo_age_17_"),
         "is_month_end": (F.dayofmonth("date") >= 25).cast("bigint"), "is_month_start": (F.dayofmonth("date") <= 5).cast("bigint")}))
 
 
+def with_models(f):
+    """Two further score columns, null for some records."""
+    return f.withColumns({"s2": F.when(F.col("order_id") % 5 != 0, F.col("demo_age_5_17") % 11 / 10.0),
+                          "s3": F.when(F.col("order_id") % 7 != 0, F.col("demo_age_17_") % 9 / 8.0)})
+
+
 _NAMES = "[" + ",".join(f"'{f}'" for f in FEATS) + "]"
 _VALS = "[" + ",".join(f"{f}::DOUBLE" for f in FEATS) + "]"
 VIEW_SQL["flong"] = f"SELECT rid, order_id, line_no, score, unnest({_NAMES}) AS feature, unnest({_VALS}) AS value FROM feats"
@@ -124,6 +130,20 @@ def fraud_pattern(d: Domain):
     return a.select(*KEY, ex.fraud_pattern(F.col("contributors")).alias("pattern"))
 
 
+_PLAIN = ["month", "line_no", "is_weekend"]
+_PABS = {c: f"coalesce(abs(({c}-avg({c}) OVER ())/nullif(stddev_pop({c}) OVER (),0)),0)" for c in _PLAIN}
+
+
+@query("fraud_pattern_models", f"""SELECT order_id, line_no, CASE WHEN weekend_rank<=1 THEN '{ex.PATTERNS['temporal']}' WHEN s2>0.7e0 THEN '{ex.MODEL_PATTERNS['hdbscan']}'
+ WHEN s3>0.7e0 THEN '{ex.MODEL_PATTERNS['autoencoder']}' ELSE '{ex.PATTERNS['other']}' END AS pattern FROM (SELECT *,
+ 1+CASE WHEN round(zl,9)>round(zw,9) THEN 1 ELSE 0 END+CASE WHEN round(zm,9)>round(zw,9) THEN 1 ELSE 0 END AS weekend_rank
+ FROM (SELECT *, {_PABS['month']} AS zm, {_PABS['line_no']} AS zl, {_PABS['is_weekend']} AS zw FROM feats))""")
+def fraud_pattern_models(d: Domain):
+    """Patterns of records whose first contributor names none: the detectors' own scores decide."""
+    a = ex.attribution(with_models(feats(d)), _PLAIN, 1)
+    return a.select(*KEY, ex.fraud_pattern(F.col("contributors"), {"hdbscan": F.col("s2"), "autoencoder": F.col("s3")}).alias("pattern"))
+
+
 VIEW_SQL["expl"] = """SELECT *, CASE WHEN score>0.9e0 OR (confidence>0.8e0 AND crit>=2) THEN 'CRITICAL' WHEN score>0.7e0 OR (confidence>0.6e0 AND (crit>=1 OR high>=2)) THEN 'HIGH' WHEN score>0.5e0 OR confidence>0.4e0 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM (
  SELECT *, least(1e0, score*0.4e0+agree*0.3e0+least(nd/5e0,1e0)*0.2e0+least(nf/3e0,1e0)*0.1e0) AS confidence FROM (
  SELECT p.order_id, p.line_no, p.score, pattern, reasons, nd, crit, high, coalesce(t.c,0)+coalesce(g.c,0) AS nf,
@@ -134,9 +154,7 @@ VIEW_SQL["expl"] = """SELECT *, CASE WHEN score>0.9e0 OR (confidence>0.8e0 AND c
 
 
 def explained(d: Domain):
-    k = F.col("order_id") % 5
-    f = feats(d).withColumn("s2", F.when(k != 0, F.col("demo_age_5_17") % 11 / 10.0)).withColumn("s3", F.when(F.col("order_id") % 7 != 0, F.col("demo_age_17_") % 9 / 8.0))
-    return ex.explain_batch(f, FEATS, "score", ["score", "s2", "s3"], ["state", "center_id"], 0.5)
+    return ex.explain_batch(with_models(feats(d)), FEATS, "score", ["score", "s2", "s3"], ["state", "center_id"], 0.5)
 
 
 @query("confidence", "SELECT order_id, line_no, round(confidence,6) AS confidence FROM expl")
