@@ -10,15 +10,26 @@ from rollcall.sources.domain import TABLES, Domain
 
 RECORD = T.StructType([T.StructField("record_id", T.LongType()), T.StructField("state", T.StringType()),
                        T.StructField("age_0_5", T.LongType())])
+PAGE = 500
+
+
+def landed(d: Domain) -> str:
+    """The enrolment records as page files, filed by state."""
+    path = readers.work_folder(d.spark, "pages")
+    readers.land_pages(d.enrolment().select("record_id", "state", "age_0_5"), "record_id", PAGE, path, ["state"])
+    return path
 
 
 @query("scan_records", "SELECT record_id, state, age_0_5 FROM enrol")
 def scan_records(d: Domain):
-    pages = (d.enrolment().select("record_id", "state", "age_0_5")
-             .withColumn("_page", F.expr("record_id div 500"))
-             .groupBy("_page").agg(F.collect_list(F.struct("record_id", "state", "age_0_5")).alias("records"))
-             .select(F.to_json(F.struct(F.size("records").alias("total"), F.size("records").alias("count"), "records")).alias("page")))
-    return readers.parse_record_pages(pages, "page", RECORD)
+    """Every record of the landed pages of all states, each state ending with its first page that is not full."""
+    return readers.read_record_pages(d.spark, landed(d), RECORD, PAGE)
+
+
+@query("scan_pages_filtered", "SELECT record_id, state, age_0_5 FROM enrol WHERE state='NATION_6'")
+def scan_pages_filtered(d: Domain):
+    """The records of one state: only the folder of its pages is read."""
+    return readers.read_record_pages(d.spark, landed(d), RECORD, PAGE, {"state": "NATION_6"})
 
 
 @query("scan_filtered", "SELECT * FROM enrol WHERE state='NATION_6' ORDER BY record_id LIMIT 100 OFFSET 20")
@@ -28,11 +39,12 @@ def scan_filtered(d: Domain):
 
 @query("scan_csv_typed", """SELECT record_id, state, coalesce(age_0_5, 0) AS age_0_5, CAST(age_5_17 AS DOUBLE) AS age_5_17 FROM gaps""")
 def scan_csv_typed(d: Domain):
+    """Typed CSV files with a header and blank cells, written from the given rows and read back."""
     schema = T.StructType([T.StructField("record_id", T.LongType()), T.StructField("state", T.StringType()),
                            T.StructField("age_0_5", T.LongType()), T.StructField("age_5_17", T.DoubleType())])
-    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    lines = d.gaps().select(F.concat_ws(",", F.col("record_id").cast("string"), "state", blank("age_0_5"), blank("age_5_17")).alias("line"))
-    return readers.parse_typed_csv(lines, "line", schema, zero=["age_0_5"])
+    path = readers.work_folder(d.spark, "typed-csv")
+    readers.write_csv(d.gaps().select("record_id", "state", "age_0_5", "age_5_17"), path)
+    return readers.read_typed_csv(d.spark, path, schema, zero=["age_0_5"])
 
 
 @query("union_sources", """SELECT source, state, count(*) AS n, CAST(sum(demo_age_5_17) AS BIGINT) AS demo_young,

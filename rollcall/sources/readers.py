@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollcall.functions import spread
 from rollcall.functions.spread import ensure_checkpoint_dir
 
 
@@ -17,10 +18,60 @@ def page_schema(record: T.StructType) -> T.StructType:
                          T.StructField("records", T.ArrayType(record))])
 
 
-def read_record_pages(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
-    """Landed JSON pages ``{total, count, records: [...]}`` to one row per record."""
-    pages = spark.read.schema(page_schema(record)).json(path, multiLine=True)
-    return pages.select(F.explode("records").alias("r")).select("r.*")
+def land_pages(df: DataFrame, key: str, size: int, path: str, by: Sequence[str] = ()) -> None:
+    """Write rows as pages ``{offset, total, count, records}`` of at most ``size`` rows in the order of ``key``.
+
+    Pages of one value of the ``by`` columns lie in a folder of their own, as a
+    source lands them that is asked with a filter.  Rows are placed by exact
+    running counts over range partitions, so no value is gathered in one task;
+    a page is the only thing that is.
+    """
+    by, names = list(by), df.columns
+    numbered = spread.running(df.withColumn("_one", F.lit(1)), by, [key], {"_at": "_one"})
+    record = F.struct(F.col("_at_before").alias("_at"), F.struct(*names).alias("r"))
+    pages = (numbered.withColumn("offset", F.expr(f"_at_before div {size} * {size}"))
+             .groupBy(*by, "offset").agg(F.first("_at_all").alias("total"), F.count(F.lit(1)).alias("count"),
+                                         F.array_sort(F.collect_list(record)).alias("_rs")))
+    pages = pages.select(*by, "offset", "total", "count", F.transform("_rs", lambda x: x["r"]).alias("records"))
+    pages.write.partitionBy(*by).json(path) if by else pages.write.json(path)
+
+
+def read_record_pages(spark: SparkSession, path: str, record: T.StructType, size: int | None = None,
+                      filters: Mapping[str, object] | None = None, multi_line: bool | None = None) -> DataFrame:
+    """Landed pages of at most ``size`` records to one row per record.
+
+    ``filters`` are equalities on the columns the pages are filed under; they
+    choose folders, other files are not listed or read.  Reading ends with the
+    first page that is not full, as a pager does that asks for one page after the
+    other: the page heads are read first (without the records), then only pages
+    up to that one, for each folder on its own.  Without ``size`` every page is read.
+    ``multi_line`` takes files that hold one page over several lines (so by default
+    without ``size``); otherwise every line is a page.
+    """
+    read = spark.read.option("multiLine", size is None if multi_line is None else multi_line)
+    whole = T.StructType([T.StructField("offset", T.LongType()), *page_schema(record).fields])
+    filters = filters or {}
+    filed = [f.name for f in read.schema(whole).json(path).schema.fields if f.name not in whole.names]
+    if unfiled := set(filters).difference(filed):
+        raise ValueError(f"pages are not filed by {sorted(unfiled)}")
+
+    def pages(schema: T.StructType) -> DataFrame:
+        found = read.schema(schema).json(path)
+        for column, value in filters.items():
+            found = found.filter(F.col(column) == F.lit(value))
+        return found
+
+    own = [c for c in filed if c not in record.names]
+    if size is None:
+        return pages(whole).select(*own, F.explode("records").alias("r")).select(*own, "r.*")
+    heads = pages(T.StructType([f for f in whole.fields if f.name != "records"]))
+    ends = heads.filter(F.coalesce("count", F.lit(0)) < size).groupBy(*filed).agg(F.min("offset").alias("_end"))
+    if filed:
+        held = spread.join_stats(pages(whole), ends, filed)
+    else:
+        held = spread.with_global(pages(whole), ends)
+    held = held.filter(F.col("_end").isNull() | (F.col("offset") <= F.col("_end")))
+    return held.select(*own, F.explode("records").alias("r")).select(*own, "r.*")
 
 
 def parse_record_pages(pages: DataFrame, column: str, record: T.StructType) -> DataFrame:
