@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -14,7 +16,6 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvalu
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -281,7 +282,7 @@ def calinski_harabasz(df: DataFrame, features: str, label: str) -> DataFrame:
 # ---------------------------------------------------------------- classifiers
 
 def split_rows(df: DataFrame, key: str, share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test by keyed hash: every class is cut in the same proportion and reruns agree."""
+    """Train and test by keyed hash: reruns agree, and every class is cut by ``share`` up to chance."""
     u = hashed_unit(F.col(key), F.lit(seed))
     return df.filter(u < share), df.filter(u >= share)
 
@@ -324,17 +325,53 @@ def train_classifier(df: DataFrame, key: str, features: Sequence[str], label: st
     return out
 
 
-def tune_classifier(df: DataFrame, features: Sequence[str], label: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Cross-validated ROC-AUC of a small grid of regularisation settings."""
-    data = spread.pin(prepare(df, features, label))
-    pipe = classifier(features, "logistic", seed)
-    lr = pipe.getStages()[-1]
-    grid = ParamGridBuilder().addGrid(lr.regParam, [0.0, 0.01, 0.1]).addGrid(lr.elasticNetParam, [0.0, 0.5]).build()
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="label"), numFolds=folds, seed=seed, parallelism=4)
-    model = cv.fit(data)
-    best = max(model.avgMetrics)
-    rows = [(float(g[lr.regParam]), float(g[lr.elasticNetParam]), float(m), bool(m == best)) for g, m in zip(grid, model.avgMetrics)]
-    return df.sparkSession.createDataFrame(rows, "reg_param double, elastic_net double, roc_auc double, is_best boolean")
+def tuning_settings() -> list[tuple[str, dict[str, float]]]:
+    """Thirty settings: (kind, parameters) of logistic, forest and boosted models."""
+    logistic = [{"regParam": 10.0 ** -e, "elasticNetParam": mix} for e in (4, 3, 2, 1, 0) for mix in (0.0, 0.5)]
+    forest = [{"numTrees": n, "maxDepth": depth} for n in (20, 40) for depth in (3, 5, 7, 9, 11)]
+    boosted = [{"maxIter": n, "maxDepth": depth, "stepSize": step} for n, step in ((10, 0.1), (20, 0.1)) for depth in (2, 3, 4, 5, 6)]
+    return [*(("logistic", p) for p in logistic), *(("forest", p) for p in forest), *(("boosted", p) for p in boosted)]
+
+
+def tune_classifier(df: DataFrame, key: str, features: Sequence[str], label: str, settings: Sequence[tuple[str, dict[str, float]]] | None = None,
+                    folds: int = 5, rungs: Sequence[float] = (1 / 9, 1 / 3, 1.0), keep: int = 3, parallel: int = 4, seed: int = 42) -> DataFrame:
+    """Successive halving over the settings: one row each with the last rung it reached and its ROC-AUC there.
+
+    Every rung trains on a larger share of the rows, drawn by a keyed hash so that
+    rungs are nested and reruns agree, and a ``keep``-th of the settings goes on.
+    All rungs but the last measure on one fold; the last one trains on all rows
+    and averages all folds.  The best setting of the last rung is flagged, ties
+    go to the earlier setting.  Columns are standardised over all rows.
+    """
+    settings = list(tuning_settings() if settings is None else settings)
+    data = prepare(df, features, label).withColumns({
+        "_fold": F.floor(hashed_unit(F.col(key), F.lit(seed + 1)) * folds), "_draw": hashed_unit(F.col(key), F.lit(seed + 2))})
+    raw = VectorAssembler(inputCols=list(features), outputCol="_raw").transform(data)
+    scaled = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True, withStd=True).fit(raw).transform(raw)
+    data = spread.pin(scaled.select("_x", "label", "weight", "_fold", "_draw"))
+    measure = BinaryClassificationEvaluator(labelCol="label")
+
+    def fold_auc(setting: int, share: float, fold: int) -> float:
+        kind, params = settings[setting]
+        model = estimator(kind, seed)
+        model = model.copy({model.getParam(n): v for n, v in params.items()})
+        train = data.filter((F.col("_fold") != fold) & (F.col("_draw") < share))
+        return measure.evaluate(model.fit(train).transform(data.filter(F.col("_fold") == fold)))
+
+    alive, reached = list(range(len(settings))), {}
+    with ThreadPoolExecutor(parallel) as pool:
+        for rung, share in enumerate(rungs):
+            used = range(folds) if rung == len(rungs) - 1 else range(1)
+            jobs = {(s, f): pool.submit(inheritable_thread_target(df.sparkSession)(fold_auc), s, share, f) for s in alive for f in used}
+            auc = {s: sum(jobs[s, f].result() for f in used) / len(used) for s in alive}
+            reached.update({s: (rung + 1, auc[s]) for s in alive})
+            alive = sorted(alive, key=lambda s: (-auc[s], s))
+            if rung < len(rungs) - 1:
+                alive = alive[:-(-len(alive) // keep)]
+    best = alive[0]
+    rows = [(k, ", ".join(f"{n}={v:g}" for n, v in p.items()), reached[s][0], float(rungs[reached[s][0] - 1]), float(reached[s][1]), s == best)
+            for s, (k, p) in enumerate(settings)]
+    return df.sparkSession.createDataFrame(rows, "model string, setting string, rung int, train_share double, roc_auc double, is_best boolean")
 
 
 def cv_compare(df: DataFrame, key: str, features: Sequence[str], label: str, kinds: Sequence[str] = ("logistic", "forest", "boosted"), folds: int = 5, seed: int = 42) -> DataFrame:

@@ -182,7 +182,7 @@ def train_classifier(d: Domain):
 
 @query("tune_classifier")
 def tune_classifier(d: Domain):
-    return rounded(mo.tune_classifier(docs(d).filter("quality is not null"), FEATURES, "quality"))
+    return rounded(mo.tune_classifier(docs(d).filter("quality is not null"), "doc_id", FEATURES, "quality"))
 
 
 @query("cv_compare")

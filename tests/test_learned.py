@@ -153,3 +153,15 @@ def test_moran_permutation_sees_clustering(spark):
     assert r["morans_i"] > 0.5 and r["p_sim"] <= 0.02 and r["z_sim"] > 3
     g = {x["id"]: x["z_sim"] for x in spatial.gi_star_permutation(df, "id", "v", e, 99).collect()}
     assert g[0] > 0 > g[7]
+
+
+def test_halving_finds_the_model_that_can(spark):
+    rows = [(i, float(i % 2) + (i % 97) / 500, float(i // 2 % 2) + (i % 89) / 500, int(i % 2 != i // 2 % 2)) for i in range(1200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y int")  # neither column alone tells the classes apart
+    some = [s for s in models.tuning_settings() if s[1].get("maxDepth", 3) == 3][:2] + [("logistic", {"regParam": r}) for r in (0.0, 0.01, 0.1, 1.0)]
+    assert len(models.tuning_settings()) == 30
+    out = models.tune_classifier(df, "id", ["a", "b"], "y", some + [("boosted", {"maxIter": 5, "maxDepth": 3, "stepSize": 0.1})] * 2, folds=3).collect()
+    assert sorted(r["rung"] for r in out) == [1] * 5 + [2] * 2 + [3]
+    best = [r for r in out if r["is_best"]]
+    assert len(best) == 1 and best[0]["model"] != "logistic" and best[0]["roc_auc"] > 0.95 and best[0]["train_share"] == 1.0
+    assert all(r["roc_auc"] < 0.7 for r in out if r["model"] == "logistic")
