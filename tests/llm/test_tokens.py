@@ -63,6 +63,23 @@ def test_bpe_round_trip(spark, rank_encoding):
         rank_encoding.encode_ordinary(DOCS[0][1])
 
 
+WORDS = ["a", "Bc", "word", " ", " ", "\n", ",", ".", "'s", "23", "\0", "é", "e\u0301", "\u0958", "İ", "ſ", "中文", "\t", "  ", "　", "-", "<|endoftext|>", "<", "|>",
+         "x" * 70, "ab" * 40, "\r\n"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("cache", [1_000_000, 50])
+def test_joined_words_give_library_ids(name, cache):
+    encoder, want, rng = tokens.SliceEncoder(vocab.path(name), cache), library(name), random.Random(cache)
+    for _ in range(40):
+        batch = ["".join(rng.choices(WORDS, k=rng.randrange(25))) for _ in range(40)]
+        ids, counts = encoder.encode(batch)
+        for t, part in zip(batch, np.split(ids, np.cumsum(counts)[:-1])):
+            assert part.tolist() == want(t)
+    assert encoder.encode([])[0].tolist() == [] and encoder.encode(["", ""])[1].tolist() == [0, 0]
+    assert not any(len(k) > encoder.LONG for k in encoder.numbers)  # long slices are forgotten
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_slices_give_library_ids(name):
     encoder, want = tokens.load(vocab.path(name)), library(name)
