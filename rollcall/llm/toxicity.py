@@ -15,7 +15,10 @@
 * Neighbours vote with their cosine; the vote is mapped to a probability by a
   monotone fit on votes of the examples about each other (each left out).
 
-The index is bounded by the words of ``sample_rows`` texts and is broadcast.
+The index is bounded by the words of ``sample_rows`` texts; their packed term
+counts are broadcast and every worker builds the index once.  The examples ask
+each other in a Spark job of their own; only their votes, one number each,
+come back for the monotone fit.
 A score depends on the text alone.
 
 Defined results: a null text counts as empty; texts without any known term get
@@ -34,9 +37,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollcall.functions.spread import shuffle_parts
 from rollcall.llm.common import crc32_of, hold
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -118,14 +123,14 @@ def _spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 class BlockMaxIndex:
     """Postings of unit vectors by term and block, with the largest weight of each pair that occurs."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = 64):
-        self.n, self.block = len(vectors), block
+    def __init__(self, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int, block: int = 2048):
+        """``sizes`` terms of every vector, and ``term``, ``weight`` of all vectors one after the other."""
+        self.n, self.block = len(sizes), block
         self.blocks = -(-max(self.n, 1) // block)
-        example = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        example = np.repeat(np.arange(self.n), sizes)
         order = np.argsort(term, kind="stable")  # examples are in order already
         self.example, self.weight = example[order].astype(np.int32), weight[order]
+        del example
         cell = term[order] * self.blocks + self.example // block
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         self.start = np.append(first, len(cell))  # postings of every (term, block) that occurs
@@ -154,12 +159,18 @@ class BlockMaxIndex:
             wanted = np.zeros(self.blocks, bool)
             wanted[due] = True
             use = wanted[of]
-            c, w = cells[use], own[use]
-            x, y = self.start[c], self.start[c + 1]
-            post = _spans(x, y)
-            total = np.bincount(self.example[post], np.repeat(w, y - x) * self.weight[post], self.n)
+            c = cells[use]
+            x = self.start[c]
+            size = self.start[c + 1] - x
+            post = _spans(x, x + size)
+            part = self.weight[post]
+            part *= np.repeat(own[use], size)
+            total = np.bincount(self.example[post], part, self.n)
             hit = np.flatnonzero(total > 0)
             hit = hit[hit != skip]
+            if len(hit) > k:  # ties with the k-th stay
+                least = np.partition(total[hit], len(hit) - k)[len(hit) - k]
+                hit = hit[total[hit] >= least]
             best, score = np.append(best, hit), np.append(score, total[hit])
             top = np.lexsort((best, -score))[:k]
             best, score = best[top], score[top]
@@ -187,43 +198,47 @@ def monotone(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return xs, ps
 
 
+def units(sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights of many vectors, as ``unit`` gives them, one after the other."""
+    w = (1 + np.log(counts)) * idf[terms]
+    length = np.bincount(np.repeat(np.arange(len(sizes)), sizes), w * w, len(sizes))
+    return w / np.repeat(np.sqrt(length), sizes)
+
+
 class NearestExamples:
-    """The fitted scorer: index, labels and ids of the examples, idf, calibration."""
+    """The scorer: ids, labels and packed term counts of the examples, idf; with knots, the calibration.
 
-    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray, share_without: float, k: int):
-        examples = sorted(examples, key=lambda e: e[0])
-        self.ids = np.array([e[0] for e in examples], np.int64)
-        self.labels = np.array([e[1] for e in examples], float)
+    Only the packed counts travel; the index is built where it is first asked for.
+    """
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray,
+                 share_without: float, k: int):
+        self.ids, self.labels, self.sizes = ids, labels.astype(float), sizes
+        self.packed = [zlib.compress(np.ascontiguousarray(f, np.int32), 1) for f in (terms, counts)]
         self.idf, self.k, self.share_without = idf, k, share_without
-        self.held = [(np.asarray(e[2], np.int32), np.asarray(e[3], np.int64)) for e in examples]
-        vectors = [unit(t, c, idf) for t, c in self.held]
-        self.index = BlockMaxIndex(vectors, len(idf))
-        votes = np.array([self._vote(*self.index.nearest(t, w, k, skip=i)) for i, (t, w) in enumerate(vectors)])
-        self.knots = monotone(votes, self.labels) if len(votes) else (np.zeros(1), np.zeros(1))
+        self.built: BlockMaxIndex | None = None
 
     def __getstate__(self) -> dict:
-        # what the index is made of is far smaller than the index; it is built again where it arrives
-        sizes = np.array([len(t) for t, _ in self.held], np.int64)
-        flat = [np.concatenate([x[i] for x in self.held]) if self.held else np.zeros(0, np.int64) for i in (0, 1)]
-        packed = [zlib.compress(f.astype(np.int64).tobytes(), 1) for f in flat]
-        return {k: v for k, v in self.__dict__.items() if k not in ("held", "index")} | {"packed": packed, "sizes": sizes}
-
-    def __setstate__(self, state: dict) -> None:
-        stops = np.cumsum(state.pop("sizes"))[:-1]
-        terms, counts = (np.split(np.frombuffer(zlib.decompress(f), np.int64), stops) for f in state.pop("packed"))
-        self.__dict__.update(state)
-        vectors = [unit(t, c, self.idf) for t, c in zip(terms, counts)] if len(self.ids) else []
-        self.held = list(zip(terms, counts)) if vectors else []
-        self.index = BlockMaxIndex(vectors, len(self.idf))
+        return self.__dict__ | {"built": None}
+
+    @property
+    def index(self) -> BlockMaxIndex:
+        if self.built is None:
+            terms, counts = (np.frombuffer(zlib.decompress(f), np.int32) for f in self.packed)
+            self.built = BlockMaxIndex(self.sizes, terms, units(self.sizes, terms, counts, self.idf), len(self.idf))
+        return self.built
+
+    def vote(self, terms, counts, skip: int = -1) -> float:
+        return self._vote(*self.index.nearest(*unit(terms, counts, self.idf), self.k, skip))
 
     def _vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         return float((cosine * self.labels[near]).sum() + 0.5 * self.share_without) / float(cosine.sum() + 0.5)
 
-    def score(self, terms, counts) -> tuple[float, list[int]]:
+    def score(self, terms, counts, knots: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[int]]:
         if not len(terms):
             return self.share_without, []
         near, cosine = self.index.nearest(*unit(terms, counts, self.idf), self.k)
-        p = float(np.interp(self._vote(near, cosine), *self.knots))
+        p = float(np.interp(self._vote(near, cosine), *knots))
         return min(1.0, max(0.0, p)), self.ids[near[self.labels[near] == 1][:3]].tolist()
 
 
@@ -260,15 +275,29 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most
     marked = rows.filter("label is not null").groupBy("doc_id").agg(least).select("doc_id", "r.*")
     without = marked.filter(F.size("terms") == 0).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")).first()
     share = (without["bad"] + size["bad"] / size["n"]) / (without["n"] + 1) if size["bad"] else 0.0
-    told = marked.filter(F.size("terms") > 0).toArrow()
-    found = [(i, y, t.values.to_numpy(), c.values.to_numpy()) for i, y, t, c in zip(
-        told["doc_id"].to_pylist(), told["label"].to_pylist(), told["terms"], told["counts"])]
-    model = spark.sparkContext.broadcast(NearestExamples(found, weight, min(share, 0.5), k))
+    told = hold(marked.filter(F.size("terms") > 0), "examples")
+    flat = told.toArrow().sort_by("doc_id").combine_chunks()  # at most sample_rows rows of term numbers and counts
+    ids, label = (flat[c].to_numpy() for c in ("doc_id", "label"))
+    sizes = pc.list_value_length(flat["terms"]).to_numpy().astype(np.int64)
+    found, counted = (pc.list_flatten(flat[c]).to_numpy() for c in ("terms", "counts"))
+    model = spark.sparkContext.broadcast(NearestExamples(ids, label, sizes, found, counted, weight, min(share, 0.5), k))
+    del flat, found, counted
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
+        for batch in batches:
+            names, at = batch.column(0), np.searchsorted(own.ids, batch.column(0).to_numpy())
+            out = [own.vote(t.values.to_numpy(), c.values.to_numpy(), i) for t, c, i in zip(batch.column(2), batch.column(3), at.tolist())]
+            yield pa.RecordBatch.from_arrays([names, batch.column(1), pa.array(out, pa.float64())], names=["doc_id", "label", "vote"])
+
+    # every example asks the others; the votes, one number an example, come back for the monotone fit
+    voted = told.repartition(shuffle_parts(spark), "doc_id").mapInArrow(votes, "doc_id long, label int, vote double").toArrow().sort_by("doc_id")
+    knots = monotone(voted["vote"].to_numpy(), voted["label"].to_numpy().astype(float)) if len(voted) else (np.zeros(1), np.zeros(1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            out = [own.score(t, c) for t, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            out = [own.score(t.values.to_numpy(), c.values.to_numpy(), knots) for t, c in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([o[0] for o in out], pa.float64()),
                  pa.array([int(o[0] >= cut) for o in out], pa.int32()), pa.array([o[1] for o in out], pa.list_(pa.int64()))],

@@ -108,7 +108,7 @@ def test_block_max_is_exact():
         t = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
         w = rng.random(len(t))
         vectors.append((t, w / np.sqrt((w * w).sum())))
-    index = toxicity.BlockMaxIndex(vectors, 40, block=16)
+    index = toxicity.BlockMaxIndex(np.array([len(t) for t, _ in vectors]), *(np.concatenate(c) for c in zip(*vectors)), 40, block=16)
     dense = np.zeros((300, 40))
     for i, (t, w) in enumerate(vectors):
         dense[i, t] = w
