@@ -14,19 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions import spread
-from rollcall.operators import pivots, spatial
-
-
-def nearest(df: DataFrame, key: str, features: str | Sequence[str], k: int) -> DataFrame:
-    """Edges (i, j, rank, d, w): grid cells for two columns, pivots for an array or any other number."""
-    if not isinstance(features, str) and len(features) == 2:
-        return spatial.knn_neighbors(df, key, *features, k)
-    return pivots.knn_join(df, key, features, k)
+from rollcall.operators import pivots
 
 
 def lof(df: DataFrame, key: str, features: str | Sequence[str], k: int = 20, outlier: float = 1.5) -> DataFrame:
     """Local outlier factor of every row over an array column or several columns."""
-    e = spread.pin(nearest(df, key, features, k))
+    e = spread.pin(pivots.knn_join(df, key, features, k))
     kd = e.groupBy("i").agg(F.max("d").alias("_kd"))
     reach = e.join(kd.select(F.col("i").alias("j"), F.col("_kd").alias("_kj")), "j").groupBy("i").agg(F.avg(F.greatest("d", "_kj")).alias("_r"))
     lrd = spread.pin(reach.select("i", (1.0 / (F.col("_r") + 1e-10)).alias("_l")))

@@ -13,8 +13,9 @@ of different lengths are refused.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,8 @@ from pyspark.sql import types as T
 from rollcall.functions import spread
 
 MOST_PIVOTS = 1024
-BLOCK_BYTES = 1 << 17
+BLOCK_BYTES = 1 << 19
+GROUP = 64
 SLACK = 1e-9
 
 
@@ -119,11 +121,17 @@ class Cells:
 
     def reach(self, d: np.ndarray, k: int) -> np.ndarray:
         """An upper bound of the k-th smallest distance, from the distances ``d`` to the pivots."""
-        out = np.full(len(d), np.inf)
-        for at in range(0, len(d), 64):  # rows x pivots x k numbers at a time
-            sums = (d[at:at + 64, :, None] + self.near[None]).reshape(len(d[at:at + 64]), -1)
+        out, few = np.full(len(d), np.inf), min(4, d.shape[1])
+        close = np.argpartition(d, few - 1, axis=1)[:, :few]
+        sums = (np.take_along_axis(d, close, axis=1)[:, :, None] + self.near[close]).reshape(len(d), -1)
+        if sums.shape[1] >= k:
+            out = np.partition(sums, k - 1, axis=1)[:, k - 1]
+        open_ = np.flatnonzero(~np.isfinite(out))  # the closest cells hold too few
+        for at in range(0, len(open_), 64):  # rows x pivots x k numbers at a time
+            rows = open_[at:at + 64]
+            sums = (d[rows, :, None] + self.near[None]).reshape(len(rows), -1)
             if sums.shape[1] >= k:
-                out[at:at + 64] = np.partition(sums, k - 1, axis=1)[:, k - 1]
+                out[rows] = np.partition(sums, k - 1, axis=1)[:, k - 1]
         return out
 
     def visits(self, x: np.ndarray, reach: np.ndarray, d: np.ndarray) -> Iterator[tuple[int, float, float]]:
@@ -150,46 +158,194 @@ def cells_of(blocks: DataFrame, pivots: np.ndarray, k: int) -> Cells:
     return Cells(pivots, low, high, near)
 
 
-def meetings(left: DataFrame, right: DataFrame, cells: Cells, k: int | None, reach: float | None = None) -> DataFrame:
-    """(bid, sid, reach) of the pairs of blocks that must be compared.
+def promised(left: DataFrame, right: DataFrame, cells: Cells, k: int) -> DataFrame:
+    """(bid, reach): per row of a block an upper bound of its k-th smallest distance, from the pivots and the block next to its own.
 
-    For the k nearest, the reach of a row is the smaller of what the pivots
-    promise and what the block next to its own holds; else it is given.
+    Rows with more than k - 1 equal ones (column ``m``, if there is one) need nothing but those.
     """
     meta = right.select(F.col("bid").alias("sid"), "cell", F.col("lo").alias("slo"), F.col("hi").alias("shi"))
-    mine = left.select("bid", "cell", "lo", "hi", "n", "vec")
+    gap = F.greatest(F.col("slo") - F.col("hi"), F.col("lo") - F.col("shi"), F.lit(0.0))
+    middle = F.abs(F.col("slo") + F.col("shi") - F.col("lo") - F.col("hi"))
+    nearest = left.select("bid", "cell", "lo", "hi").join(meta, "cell").groupBy("bid").agg(F.min_by("sid", F.struct(gap, middle, "sid")).alias("sid"))
+    other = right.select(F.col("bid").alias("sid"), F.col("n").alias("sn"), F.col("vec").alias("svec"))
+    copies = F.col("m") if "m" in left.columns else F.lit(None).cast("array<bigint>").alias("m")
+    mine = left.select("bid", "n", "vec", copies).join(nearest, "bid", "left").join(other, "sid", "left").drop("sid")
+
+    def bound(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                x = matrix(r.vec, r.n)
+                far = cells.reach(distances(x, cells.pivots), k)
+                if r.svec is not None and r.sn >= k:
+                    far = np.minimum(far, np.partition(distances(x, matrix(r.svec, int(r.sn))), k - 1, axis=1)[:, k - 1])
+                if r.m is not None:
+                    far[np.asarray(r.m) >= k] = 0.0
+                yield pd.DataFrame({"bid": [r.bid], "reach": [far]})
+
+    return spread.pin(mine.mapInPandas(bound, "bid long, reach array<double>"))
+
+
+def meetings(left: DataFrame, right: DataFrame, cells: Cells, k: int | None, reach: float | DataFrame | None = None) -> DataFrame:
+    """(bid, sid) of the pairs of blocks that must be compared.
+
+    For the k nearest, ``reach`` is the table of ``promised`` (made here where it
+    is missing); else it is one distance for all rows.
+    """
+    meta = right.select(F.col("bid").alias("sid"), "cell", F.col("lo").alias("slo"), F.col("hi").alias("shi"))
+    mine = left.select("bid", "n", "vec")
     if k is not None:
-        gap = F.greatest(F.col("slo") - F.col("hi"), F.col("lo") - F.col("shi"), F.lit(0.0))
-        middle = F.abs(F.col("slo") + F.col("shi") - F.col("lo") - F.col("hi"))
-        nearest = left.select("bid", "cell", "lo", "hi").join(meta, "cell").groupBy("bid").agg(F.min_by("sid", F.struct(gap, middle, "sid")).alias("sid"))
-        other = right.select(F.col("bid").alias("sid"), F.col("n").alias("sn"), F.col("vec").alias("svec"))
-        mine = mine.join(nearest, "bid", "left").join(other, "sid", "left").drop("sid")
+        mine = mine.join(promised(left, right, cells, k) if reach is None else reach, "bid")
+    one = reach if k is None else None
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
             for r in b.itertuples(index=False):
                 x = matrix(r.vec, r.n)
-                d = distances(x, cells.pivots)
-                if k is None:
-                    far = np.full(len(x), reach)
-                else:
-                    far = cells.reach(d, k)
-                    if r.svec is not None and r.sn >= k:
-                        far = np.minimum(far, np.partition(distances(x, matrix(r.svec, int(r.sn))), k - 1, axis=1)[:, k - 1])
-                out += [(r.bid, *v, far.tolist()) for v in cells.visits(x, far, d)]
-            yield pd.DataFrame(out, columns=["bid", "cell", "vlo", "vhi", "reach"])
+                far = np.asarray(r.reach) if one is None else np.full(len(x), one)
+                out = [(r.bid, *v) for v in cells.visits(x, far, distances(x, cells.pivots))]
+                yield pd.DataFrame(out, columns=["bid", "cell", "vlo", "vhi"])
 
-    seen = mine.mapInPandas(visit, "bid long, cell int, vlo double, vhi double, reach array<double>")
-    return spread.pin(seen.join(meta, "cell").filter((F.col("slo") <= F.col("vhi")) & (F.col("shi") >= F.col("vlo"))).select("bid", "sid", "reach"))
+    seen = mine.mapInPandas(visit, "bid long, cell int, vlo double, vhi double")
+    return spread.pin(seen.join(meta, "cell").filter((F.col("slo") <= F.col("vhi")) & (F.col("shi") >= F.col("vlo"))).select("bid", "sid"))
 
 
-def facing(pairs: DataFrame, left: DataFrame, right: DataFrame, *extra: str) -> DataFrame:
-    """The pairs of blocks with both contents."""
-    a = left.select("bid", F.col("n").alias("an"), F.col("ids").alias("aids"), F.col("vec").alias("avec"), *[F.col(c).alias(f"a_{c}") for c in extra])
-    b = right.select(F.col("bid").alias("sid"), F.col("n").alias("bn"), F.col("ids").alias("bids"), F.col("vec").alias("bvec"),
-                     *[F.col(c).alias(f"b_{c}") for c in extra])
-    return pairs.join(a, "bid").join(b, "sid")
+def facing(pairs: DataFrame, left: DataFrame, right: DataFrame, work: Callable[[list, Iterator[tuple]], Iterator[pd.DataFrame]], schema,
+           extra: Sequence[str] = (), group: int = GROUP) -> DataFrame:
+    """``work(held, met)`` per task: ``held`` are up to ``group`` left blocks, ``met`` yields (right block, positions in ``held`` it must meet).
+
+    Blocks next to each other are held together, so a right block travels once
+    per group that needs it, not once per pair of blocks; it is dropped when the
+    next one comes.  Groups with many pairs are several tasks with a part of the
+    right blocks each.  Blocks have ids, vec, n and the columns ``extra``; a side
+    without such a column gives None.
+    """
+    spark = left.sparkSession
+    # blocks are numbered through in their order: their place in a partition plus the blocks of the partitions before
+    place, part = F.col("bid").bitwiseAND(F.lit((1 << 33) - 1)), F.shiftright("bid", 33).cast("int")
+    counts = {r["p"]: r["n"] for r in left.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    size = -(-total // max(-(-total // group), min(total, 8))) if total else 1
+    seat = F.element_at(F.array(*[F.lit(n).cast("bigint") for n in before or [0]]), part + 1) + place
+    grouped = lambda t: t.withColumn("_g", F.floor(seat / size).cast("int")).withColumn("_at", F.pmod(seat, F.lit(size)).cast("int"))
+    weights = {r["_g"]: r["n"] for r in grouped(pairs).groupBy("_g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = min(max(spread.shuffle_parts(spark), spark.sparkContext.defaultParallelism * 4), max(1, sum(weights.values()) // 16))
+    plan, tasks = [], 0
+    for g in sorted(weights):
+        parts = max(1, round(wanted * weights[g] / sum(weights.values())))
+        plan.append((g, tasks, parts))
+        tasks += parts
+    if not plan:
+        return spark.createDataFrame([], schema)
+    plan = F.broadcast(spark.createDataFrame(plan, "_g int, _first int, _parts int"))
+
+    def side(t: DataFrame, n: int, *at: Column) -> DataFrame:
+        more = [F.col(f"`{c}`") if c in t.columns else F.lit(None).cast(kinds[c]).alias(c) for c in extra]
+        return t.select(*at, F.lit(n).alias("_side"), "bid", "n", "ids", "vec", *more)
+
+    kinds = {c: (left if c in left.columns else right).schema[c].dataType for c in extra}
+    mine = side(grouped(left).join(plan, "_g").withColumn("_t", F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_parts") - 1))),
+                0, F.col("_t"), F.array("_at").alias("_at"))
+    needs = grouped(pairs).join(plan, "_g").groupBy("sid", (F.col("_first") + F.pmod(F.xxhash64("sid"), F.col("_parts"))).cast("int").alias("_t")).agg(
+        F.sort_array(F.collect_list("_at")).alias("_at"))
+    others = side(needs.join(right.withColumnRenamed("bid", "sid"), "sid").withColumnRenamed("sid", "bid"), 1, F.col("_t"), F.col("_at"))
+    dealt = mine.unionByName(others).repartitionById(tasks, "_t").sortWithinPartitions("_t", "_side", "bid")
+    names = dealt.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (dict(zip(names, r)) for b in batches for r in b.itertuples(index=False, name=None))
+        for _, of_task in groupby(rows, key=lambda c: c["_t"]):
+            held: dict[int, dict] = {}
+            for right, blocks in groupby((c | {"x": matrix(c["vec"], c["n"])} for c in of_task), key=lambda c: c["_side"]):
+                if not right:
+                    held = {int(c["_at"][0]): c for c in blocks}
+                    continue
+                for out in work(held, ((c, [int(a) for a in c["_at"]]) for c in blocks)):
+                    if len(out):
+                        yield out
+
+    return dealt.mapInPandas(run, schema)
+
+
+class Shifted:
+    """A block moved to its own middle, for products: ``products(y)`` is x.y - y.y/2 in one matrix product, |x - y|^2 = xx - 2 products."""
+
+    def __init__(self, x: np.ndarray):
+        self.middle = x.mean(axis=0)
+        moved = x - self.middle
+        self.xx = (moved * moved).sum(axis=1)
+        self.side = np.hstack([moved, np.ones((len(x), 1))])
+
+    def products(self, y: np.ndarray, rows: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, float]:
+        """The products of ``rows`` and a bound of their rounding error (not finite where numbers are too large for products)."""
+        moved = y - self.middle
+        yy = (moved * moved).sum(axis=1)
+        error = 8 * np.finfo(float).eps * (len(self.middle) + 8) * (self.xx.max(initial=0.0) + yy.max(initial=0.0))
+        return self.side[rows] @ np.hstack([moved, -0.5 * yy[:, None]]).T, float(error) + 1e-300
+
+
+def along(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distances of the rows of ``x`` to the rows of ``y`` beside them, summed like ``distances``."""
+    total = np.zeros(len(x))
+    for t in range(x.shape[1]):
+        diff = x[:, t] - y[:, t]
+        total += diff * diff
+    return np.sqrt(total)
+
+
+class Nearest:
+    """The k nearest of every row of a block among the blocks it has met: ties by id."""
+
+    def __init__(self, block: dict, k: int):
+        self.x, self.ids, self.k, self.n = block["x"], block["ids"], k, block["n"]
+        self.bound = np.asarray(block["reach"], dtype=float) * (1 + SLACK) + 1e-300
+        self.shifted = Shifted(self.x)
+        self.held: list[tuple] = []
+        self.count = 0
+
+    def meet(self, y: np.ndarray, ids: np.ndarray) -> None:
+        with np.errstate(over="ignore", invalid="ignore"):
+            p, error = self.shifted.products(y)
+            least = (self.shifted.xx - self.bound * self.bound * (1 + 4 * SLACK)) / 2 - error
+            if np.isfinite(error):
+                i, j = np.nonzero(~(p < least[:, None]))
+            else:
+                i, j = np.divmod(np.arange(p.size), p.shape[1])
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
+            with np.errstate(over="ignore"):
+                d = along(self.x[a], y[b])
+            ok = d <= self.bound[a]
+            self.held.append((a[ok], d[ok], ids[b[ok]]))
+            self.count += int(ok.sum())
+            if self.count > 2 * self.n * self.k + (1 << 15):
+                self.fold()
+
+    def fold(self) -> None:
+        rows, d, ids = (np.concatenate([h[c] for h in self.held]) for c in range(3))
+        if ids.dtype == object:
+            order = np.array(sorted(range(len(rows)), key=lambda e: (rows[e], d[e], ids[e])), dtype=int)
+        else:
+            order = np.lexsort((ids, d, rows))
+        rows, d, ids = rows[order], d[order], ids[order]
+        first = np.searchsorted(rows, np.arange(self.n))
+        keep = np.arange(len(rows)) - first[rows] < self.k
+        rows, d, ids = rows[keep], d[keep], ids[keep]
+        last = np.searchsorted(rows, np.arange(self.n), side="right")
+        full = np.bincount(rows, minlength=self.n) == self.k
+        self.bound[full] = np.minimum(self.bound[full], d[last[full] - 1])
+        self.held, self.count = [(rows, d, ids)], len(rows)
+
+    def found(self) -> pd.DataFrame:
+        if not self.held:
+            return pd.DataFrame({"i": [], "d": [], "j": []})
+        self.fold()
+        rows, d, ids = self.held[0]
+        at = np.searchsorted(rows, np.arange(self.n + 1))
+        some = np.flatnonzero(np.diff(at))
+        return pd.DataFrame({"i": [self.ids[i] for i in some], "d": [d[at[i]:at[i + 1]] for i in some], "j": [ids[at[i]:at[i + 1]] for i in some]})
 
 
 def sites_of(rows: DataFrame) -> DataFrame:
@@ -197,16 +353,18 @@ def sites_of(rows: DataFrame) -> DataFrame:
     return spread.pin(rows.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m")).select("id", "v", "m"))
 
 
-def block_rows(d: int, least: int) -> int:
-    return max(least, min(1024, BLOCK_BYTES // (8 * max(1, d))))
+def block_rows(d: int, least: int, n: int) -> int:
+    """At most 1024 rows and ``BLOCK_BYTES``; of few rows, blocks for a few tasks."""
+    return max(least, min(1024, BLOCK_BYTES // (8 * max(1, d)), max(128, n // 64)))
 
 
 def knn_join(df: DataFrame, key: str, features: str | Sequence[str], k: int = 5, donors: DataFrame | None = None,
              per_block: int | None = None) -> DataFrame:
     """Edges (i, j, rank, d, w) to the k nearest rows (of ``donors`` if given), ties by key, w = 1/number of edges.
 
-    Each different vector searches once.  Of equal vectors, the k + 1 with the
-    smallest keys are candidates; no more can matter.
+    Each different vector searches once, among different vectors: the k + 1
+    nearest of those hold the k + 1 nearest rows.  Of equal vectors, the k + 1
+    with the smallest keys are candidates; no more can matter.
     """
     rows = spread.pin(points(df, key, features))
     givers = rows if donors is None else spread.pin(points(donors, key, features))
@@ -221,40 +379,38 @@ def knn_join(df: DataFrame, key: str, features: str | Sequence[str], k: int = 5,
         T.StructField("w", T.DoubleType())]))
     if not size["n"]:
         return empty
-    per_block = per_block or block_rows(size["d"], k + 1)
+    per_block = per_block or block_rows(size["d"], k + 1, size["n"])
     pivots = choose_pivots(given, size["n"], per_block)
-    # the smallest keys of a site: a bounded array per group, partly aggregated before the shuffle where a vector is not repeated
-    repeated = given.filter("m > 1").select("v")
-    some = givers.join(repeated, "v", "left_semi").groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("_s")).agg(
-        F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("l"))
-    some = some.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("l"))), 1, k + 1).alias("l"))
-    candidates = given.filter("m = 1").select("id", "v").unionByName(some.select(F.explode("l").alias("id"), "v"))
-    s_blocks = pack(candidates, pivots, per_block)
-    r_blocks = pack(sites.select("id", "v"), pivots, per_block)
+    s_blocks = pack(given.select("id", "v"), pivots, per_block)
+    r_blocks = pack(sites.select("id", "v", "m"), pivots, per_block, "m") if donors is None else pack(sites.select("id", "v"), pivots, per_block)
     cells = cells_of(s_blocks, pivots, k + 1)
-    pairs = meetings(r_blocks, s_blocks, cells, k + 1)
-    found = T.StructType([T.StructField("i", kind), T.StructField("near", T.ArrayType(T.StructType([
-        T.StructField("d", T.DoubleType()), T.StructField("j", kind)])))])
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            names, lists = [], []
-            for r in b.itertuples(index=False):
-                d = distances(matrix(r.avec, r.an), matrix(r.bvec, r.bn))
-                ids = np.asarray(r.bids, dtype=object)
-                reach = np.asarray(r.reach)
-                for i, row in enumerate(d):
-                    at = np.flatnonzero(row <= reach[i] * (1 + SLACK) + 1e-300)
-                    if len(at) > k + 1:
-                        cut = np.partition(row[at], k)[k]
-                        at = at[row[at] <= cut]
-                    if len(at):
-                        names.append(r.aids[i])
-                        lists.append(sorted(zip(row[at].tolist(), ids[at].tolist()))[:k + 1])
-            yield pd.DataFrame({"i": names, "near": lists})
-
-    near = facing(pairs, r_blocks, s_blocks).mapInPandas(compare, found).groupBy("i").agg(
-        F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+    reach = promised(r_blocks, s_blocks, cells, k + 1)
+    pairs = meetings(r_blocks, s_blocks, cells, k + 1, reach)
+    found = T.StructType([T.StructField("i", kind), T.StructField("d", T.ArrayType(T.DoubleType())), T.StructField("j", T.ArrayType(kind))])
+
+    def compare(held: dict, met: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        own = {at: Nearest(b, k + 1) for at, b in held.items()}
+        for b, at in met:
+            ids = np.asarray(b["ids"])
+            if ids.dtype.kind not in "iu":
+                ids = np.asarray(list(b["ids"]), dtype=object)
+            for a in at:
+                own[a].meet(b["x"], ids)
+        for o in own.values():
+            yield o.found()
+
+    near = facing(pairs, r_blocks.drop("m").join(reach, "bid"), s_blocks, compare, found, ["reach"])
+    near = near.select("i", F.transform(F.arrays_zip("d", "j"), lambda s: F.struct(s["d"].alias("d"), s["j"].alias("j"))).alias("near"))
+    near = near.groupBy("i").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
+    # of a vector that is repeated, the rows with the smallest keys: a bounded array per group, partly aggregated before the shuffle
+    repeated = spread.pin(given.filter("m > 1").select(F.col("id").alias("_site"), "v"))
+    if not repeated.isEmpty():
+        some = givers.join(repeated, "v").groupBy("_site", F.pmod(F.xxhash64("id"), F.lit(64)).alias("_s")).agg(
+            F.slice(F.sort_array(F.collect_list("id")), 1, k + 1).alias("l"))
+        some = some.groupBy("_site").agg(F.slice(F.sort_array(F.flatten(F.collect_list("l"))), 1, k + 1).alias("l"))
+        each = spread.pin(near).select("i", F.explode("near").alias("s")).join(some, F.col("s.j") == F.col("_site"), "left")
+        same = F.transform(F.coalesce("l", F.array("s.j")), lambda j: F.struct(F.col("s.d").alias("d"), j.alias("j")))
+        near = each.select("i", same.alias("near")).groupBy("i").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
     lists = spread.pin(sites.select(F.col("id").alias("i"), "v").join(near, "i").select("v", "near"))
     mine = rows.select(F.col("id").alias("i"), "v").join(lists, "v")
     others = F.slice(F.filter("near", lambda s: s["j"] != F.col("i")), 1, k) if donors is None else F.slice("near", 1, k)
