@@ -5,10 +5,12 @@
    packed and led once more, so a clot has a radius of half an eps at most and
    its members are neighbours of each other.  A dense ball of any number of rows
    shrinks by the square of the block size, to a few clots.
-2. Clots, not rows, are joined by range.  Where the radii cannot decide, the
-   members are compared block by block: rows of thin clots to count their
-   neighbours, core members only for two clots that sure links have not yet put
-   into one cluster.  A comparison of two blocks returns one number or flag.
+2. Clots, not rows, meet by blocks (``pivots.facing``), and a task keeps what it
+   finds to itself: counts up to the limit, links only while they join what was
+   apart, the smallest cluster.  No pair that radii decide is ever written.
+   Where they cannot decide, the members are compared block by block: rows of
+   thin clots to count their neighbours, core members only for two clots that
+   sure links have not yet put into one cluster.
 3. Clots with core members are connected; other rows take the smallest cluster
    of a core row within eps.
 """
@@ -65,27 +67,174 @@ def clots(sites: DataFrame, pivots: np.ndarray, per_block: int, eps: float) -> t
     return members, spread.pin(found.join(heads, "cid").select("cid", F.col("lv").alias("v"), "rows", "sites", "radius"))
 
 
-def near_clots(found: DataFrame, pivots: np.ndarray, per_block: int, eps: float) -> DataFrame:
-    """(a, b, rows, sure) for clots that may hold, or surely hold, rows within eps of each other."""
-    kind = found.schema["cid"].dataType
-    most = found.agg(F.max("radius")).first()[0] or 0.0
-    blocks = pv.pack(found.select(F.col("cid").alias("id"), "v", F.struct("radius", "rows").alias("size")), pivots, per_block, "size")
-    pairs = pv.meetings(blocks, blocks, pv.cells_of(blocks, pivots, 1), None, eps + 2 * most)
+def judge(shifted: pv.Shifted, a: dict, b: dict, eps: float, rows: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """(near, sure) of the clots of two blocks: their rows may lie, or surely lie, within eps of each other.
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    Distances come from one product and are summed as in ``pv.distances`` only
+    where that is not sharp enough; clots of one place are decided exactly.
+    """
+    x, y = a["x"][rows], b["x"]
+    ra, rb = a["radius"][rows], b["radius"]
+    with np.errstate(over="ignore", invalid="ignore"):
+        p, error = shifted.products(y, rows)
+        if not np.isfinite(error):
+            d = pv.distances(x, y)
+            both = ra[:, None] + rb[None]
+            return d - both <= eps * (1 + pv.SLACK * (both > 0)), np.where(both > 0, d + both <= eps * (1 - pv.SLACK), d <= eps)
+    if not ra.any() and not rb.any():
+        p -= (shifted.xx[rows][:, None] - eps * eps) / 2
+        error += 8 * np.finfo(float).eps * eps * eps
+        sure = p > error
+        i, j = np.nonzero(np.abs(p) <= error)
+        sure[i, j] = pv.along(x[i], y[j]) <= eps
+        return sure, sure
+    d2, both = shifted.xx[rows][:, None] - 2 * p, ra[:, None] + rb[None]
+    low, high = np.sqrt(np.maximum(d2 - 2 * error, 0.0)), np.sqrt(np.maximum(d2 + 2 * error, 0.0))
+    wide = both > 0
+    near, sure = low - both <= eps * (1 + pv.SLACK), high + both <= eps * (1 - pv.SLACK)
+    i, j = np.nonzero(~wide & near & ~sure)
+    near[i, j] = sure[i, j] = pv.along(x[i], y[j]) <= eps
+    return near, sure
+
+
+def sized(blocks: dict, *fields: str) -> dict:
+    return {at: c | {f: np.array([s[f] for s in c["size"]]) for f in fields} for at, c in blocks.items()}
+
+
+def clot_blocks(found: DataFrame, pivots: np.ndarray, per_block: int) -> DataFrame:
+    """Blocks of clots; everything but their place is in ``size``."""
+    more = [c for c in found.columns if c not in ("cid", "v")]
+    return pv.pack(found.select(F.col("cid").alias("id"), "v", F.struct(*more).alias("size")), pivots, per_block, "size")
+
+
+def known_rows(blocks: DataFrame, pairs: DataFrame, eps: float, least: int) -> DataFrame:
+    """(cid, known): rows of the clot and of those surely near, counted until there are ``least``."""
+
+    def count(held: dict, met: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        held = sized(held, "radius", "rows")
+        shifted = {at: pv.Shifted(c["x"]) for at, c in held.items()}
+        known = {at: np.zeros(c["n"], dtype=np.int64) for at, c in held.items()}
+        for b, at in met:
+            b = sized({0: b}, "radius", "rows")[0]
+            for i in at:
+                todo = np.flatnonzero(known[i] + held[i]["rows"] < least)
+                if len(todo):
+                    sure = judge(shifted[i], held[i], b, eps, todo)[1]
+                    if b["bid"] == held[i]["bid"]:
+                        sure[np.arange(len(todo)), todo] = False
+                    known[i][todo] += sure @ b["rows"].astype(np.int64)
+        for i, c in held.items():
+            yield pd.DataFrame({"cid": list(c["ids"]), "more": known[i]})
+
+    kind = blocks.schema["ids"].dataType.elementType
+    more = pv.facing(pairs, blocks, blocks, count, T.StructType([T.StructField("cid", kind), T.StructField("more", T.LongType())]), ["size"])
+    own = blocks.select(F.explode(F.arrays_zip("ids", "size")).alias("c")).select(F.col("c.ids").alias("cid"), F.col("c.size.rows").alias("rows"))
+    return own.join(more.groupBy("cid").agg(F.sum("more").alias("more")), "cid", "left").select("cid", (F.col("rows") + F.coalesce("more", F.lit(0))).alias("known"))
+
+
+def sure_links(blocks: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
+    """(a, b) by the names ``x``: links of sure pairs that join what the task's links had not joined yet."""
+
+    def link(held: dict, met: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        held, base, total = sized(held, "radius", "x"), {}, 0
+        held = {at: c | {"name": c["x"], "x": pv.matrix(c["vec"], c["n"])} for at, c in held.items()}
+        shifted = {at: pv.Shifted(c["x"]) for at, c in held.items()}
+        for at, c in held.items():
+            base[at], total = total, total + c["n"]
+        parent = np.arange(total)
+
+        def roots(at: np.ndarray) -> np.ndarray:
+            out = parent[at]
+            while (parent[out] != out).any():
+                out = parent[out]
+            parent[at] = out
+            return out
+
+        for b, at in met:
+            b = sized({0: b}, "radius", "x")[0]
+            name, b["x"] = b["x"], pv.matrix(b["vec"], b["n"])
+            # a block that is held too keeps its places; else its rows are new ones behind the held
+            own = [i for i in held if held[i]["bid"] == b["bid"]]
+            there = base[own[0]] + np.arange(b["n"]) if own else total + np.arange(b["n"])
+            parent = np.concatenate([parent[:total], total + np.arange(0 if own else b["n"])])
             out = []
-            for r in b.itertuples(index=False):
-                d = pv.distances(pv.matrix(r.avec, r.an), pv.matrix(r.bvec, r.bn))
-                ra, rb = (np.array([s["radius"] for s in x]) for x in (r.a_size, r.b_size))
-                both = ra[:, None] + rb[None]
-                i, j = np.nonzero(d - both <= eps * (1 + pv.SLACK * (both > 0)))
-                sure = np.where(both > 0, d + both <= eps * (1 - pv.SLACK), d <= eps)
-                out += [(r.aids[x], r.bids[y], r.b_size[y]["rows"], bool(sure[x, y])) for x, y in zip(i, j) if r.aids[x] != r.bids[y]]
-            yield pd.DataFrame(out, columns=["a", "b", "rows", "sure"])
-
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("rows", T.LongType()), T.StructField("sure", T.BooleanType())])
-    return spread.pin(pv.facing(pairs, blocks, blocks, "size").mapInPandas(compare, schema))
+            for i in at:
+                mine = base[i] + np.arange(held[i]["n"])
+                one, two = roots(mine), roots(there)
+                if one.min() == one.max() == two.min() == two.max():
+                    continue
+                sure = judge(shifted[i], held[i], b, eps)[1]
+                while True:
+                    sure &= one[:, None] != two[None]
+                    rows, columns = np.flatnonzero(sure.any(axis=1)), np.flatnonzero(sure.any(axis=0))
+                    if not len(rows):
+                        break
+                    for r, c in [*zip(rows, sure[rows].argmax(axis=1)), *zip(sure[:, columns].argmax(axis=0), columns)]:
+                        u, w = (int(roots(np.array([m]))[0]) for m in (mine[r], there[c]))
+                        if u != w:
+                            parent[max(u, w)] = min(u, w)
+                            out.append((held[i]["name"][r], name[c]))
+                    one, two = roots(mine), roots(there)
+            # held rows must not hang on rows that are dropped: roots are the smaller places, and held places are smaller
+            roots(np.arange(len(parent)))
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    kind = blocks.schema["ids"].dataType.elementType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
+    return pv.facing(pairs.filter("bid <= sid"), blocks, blocks, link, schema, ["size"])
+
+
+def open_pairs(left: DataFrame, right: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
+    """(a, b) of clots that may hold rows within eps, but not surely; of clots with a cluster ``comp``, those of two clusters: (a, b, cx, cy)."""
+    names = left.select(F.col("size")[0].alias("s")).select("s.*").columns
+    fields = [f for f in ("radius", "comp") if f in names]
+
+    def ask(held: dict, met: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        held = sized(held, *fields)
+        shifted = {at: pv.Shifted(c["x"]) for at, c in held.items()}
+        for b, at in met:
+            b = sized({0: b}, *fields)[0]
+            for i in at:
+                a = held[i]
+                if "comp" in fields and a["comp"].min() == a["comp"].max() == b["comp"].min() == b["comp"].max():
+                    continue
+                near, sure = judge(shifted[i], a, b, eps)
+                x, y = np.nonzero(near & ~sure)
+                out = pd.DataFrame({"a": [a["ids"][r] for r in x], "b": [b["ids"][c] for c in y]})
+                if "comp" in fields:
+                    out = out.assign(cx=a["comp"][x], cy=b["comp"][y])[a["comp"][x] != b["comp"][y]]
+                yield out[out["a"] != out["b"]]
+
+    kind = left.schema["ids"].dataType.elementType
+    cols = ["a", "b", *(("cx", "cy") if "comp" in fields else ())]
+    return pv.facing(pairs, left, right, ask, T.StructType([T.StructField(c, kind) for c in cols]), ["size"])
+
+
+def beside(left: DataFrame, right: DataFrame, pairs: DataFrame, eps: float) -> DataFrame:
+    """(a, b, comp): per clot of ``left`` the smallest cluster surely near it (b null), and open pairs that could give a smaller one."""
+
+    def ask(held: dict, met: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        held = sized(held, "radius")
+        shifted = {at: pv.Shifted(c["x"]) for at, c in held.items()}
+        best = {at: np.full(c["n"], np.iinfo(np.int64).max) for at, c in held.items()}
+        for b, at in met:
+            b = sized({0: b}, "radius", "comp")[0]
+            for i in at:
+                todo = np.flatnonzero(best[i] > b["comp"].min())
+                if not len(todo):
+                    continue
+                a, comp = held[i], b["comp"].astype(np.int64)
+                near, sure = judge(shifted[i], a, b, eps, todo)
+                best[i][todo] = np.minimum(best[i][todo], np.where(sure, comp[None], np.iinfo(np.int64).max).min(axis=1))
+                x, y = np.nonzero(near & ~sure & (comp[None] < best[i][todo][:, None]))
+                out = pd.DataFrame({"a": [a["ids"][r] for r in todo[x]], "b": pd.array([b["ids"][c] for c in y], dtype="Int64"), "comp": comp[y]})
+                yield out[(out["a"] != out["b"]).to_numpy(dtype=bool)]
+        for i, c in held.items():
+            some = np.flatnonzero(best[i] < np.iinfo(np.int64).max)
+            yield pd.DataFrame({"a": [c["ids"][r] for r in some], "b": pd.array([None] * len(some), dtype="Int64"), "comp": best[i][some]})
+
+    kind = left.schema["ids"].dataType.elementType
+    return pv.facing(pairs, left, right, ask, T.StructType([T.StructField(c, kind) for c in ("a", "b", "comp")]), ["size"])
 
 
 def _gather(members: DataFrame, per_block: int, name: str) -> DataFrame:
@@ -126,18 +275,25 @@ def dbscan(df: DataFrame, key: str, features: str | Sequence[str], eps: float =
         return keys.select(key, F.lit(-1).cast("bigint").alias("cluster"), F.lit(False).alias("is_core"))
     if size["d"] != size["least"]:
         raise ValueError("vectors of different lengths")
-    per_block = per_block or pv.block_rows(size["d"], 16)
+    per_block = per_block or pv.block_rows(size["d"], 16, size["n"])
     kind = sites.schema["id"].dataType
     pivots = pv.choose_pivots(sites, size["n"], per_block)
     members, found = clots(sites, pivots, per_block, eps)
-    pairs = near_clots(found, pivots, per_block, eps)
+    widest = found.agg(F.max("radius")).first()[0]
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        return pv.meetings(left, right, pv.cells_of(right, pivots, 1), None, eps + 2 * widest)
 
     # rows within eps: all of the own clot and of sure clots, and the members of open clots that are
-    sure = pairs.filter("sure").groupBy(F.col("a").alias("cid")).agg(F.sum("rows").alias("_sure"))
-    known = found.join(sure, "cid", "left").select("cid", (F.col("rows") + F.coalesce("_sure", F.lit(0))).alias("known"))
-    thin = spread.pin(known.filter(F.col("known") < min_samples).select("cid", "known"))
+    blocks = clot_blocks(found.select("cid", "v", "radius", "rows"), pivots, per_block)
+    known = spread.pin(known_rows(blocks, meet(blocks, blocks), eps, min_samples))
+    thin = spread.pin(known.filter(F.col("known") < min_samples))
     thin_rows = members.join(thin.select("cid"), "cid", "left_semi")
-    ask = pairs.filter("not sure").join(thin.select(F.col("cid").alias("a")), "a", "left_semi").select("a", "b")
+    if widest and not thin.isEmpty():
+        asking = clot_blocks(found.join(thin.select("cid"), "cid", "left_semi").select("cid", "v", "radius", "rows"), pivots, per_block)
+        ask = spread.pin(open_pairs(asking, blocks, meet(asking, blocks), eps))
+    else:
+        ask = thin.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
 
     def count(r, within):
         m = np.array([s["m"] for s in r.b_l])
@@ -150,28 +306,31 @@ def dbscan(df: DataFrame, key: str, features: str | Sequence[str], eps: float =
 
     # clots with core members, named by the smallest
     nodes = spread.pin(core.groupBy("cid").agg(F.min("id").alias("id")))
-    na, nb = nodes.select(F.col("cid").alias("a"), F.col("id").alias("x")), nodes.select(F.col("cid").alias("b"), F.col("id").alias("y"))
-    linked = spread.pin(pairs.join(na, "a").join(nb, "b").filter("x < y").select("a", "b", "x", "y", "sure"))
-    edges = linked.filter("sure").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    comp = components(edges, nodes.select("id"))
-    to = lambda c: comp.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
-    open_ = linked.filter("not sure").join(to("x"), "x").join(to("y"), "y").filter("cx <> cy").select("a", "b", "cx", "cy")
-    touching = _facing(open_, core, core, per_block, eps, lambda r, within: [(r.cx, r.cy)] if within.any() else [],
-                       T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
-    top = components(spread.pin(touching.distinct()), comp.select(F.col("comp").alias("id")).distinct())
-    comp = comp.join(top.select(F.col("id").alias("comp"), F.col("comp").alias("_top")), "comp").select("id", F.col("_top").alias("comp"))
+    placed = spread.pin(found.join(nodes, "cid").select("cid", "v", "radius", F.col("id").alias("x")))
+    blocks = clot_blocks(placed, pivots, per_block)
+    pairs = meet(blocks, blocks)
+    comp = components(spread.pin(sure_links(blocks, pairs, eps)), nodes.select("id"))
+    if widest and comp.select("comp").distinct().limit(2).count() > 1:
+        blocks = clot_blocks(placed.join(comp, F.col("x") == F.col("id")).select("cid", "v", "radius", "comp"), pivots, per_block)
+        open_ = spread.pin(open_pairs(blocks, blocks, meet(blocks, blocks).filter("bid <= sid"), eps))
+        touching = _facing(open_, core, core, per_block, eps, lambda r, within: [(r.cx, r.cy)] if within.any() else [],
+                           T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+        top = components(spread.pin(touching.distinct()), comp.select(F.col("comp").alias("id")).distinct())
+        comp = comp.join(top.select(F.col("id").alias("comp"), F.col("comp").alias("_top")), "comp").select("id", F.col("_top").alias("comp"))
     named = spread.pin(nodes.join(comp, "id").select("cid", "comp"))
 
     # rows that are not core: the own clot, sure clots, and core members of open clots within eps
     rest = spread.pin(members.join(core.select("id"), "id", "left_anti"))
     own = rest.join(named, "cid").select("id", "comp")
-    by_clot = pairs.join(named.withColumnRenamed("cid", "b"), "b").select("a", "b", "comp", "sure")
-    sure_comp = by_clot.filter("sure").groupBy(F.col("a").alias("cid")).agg(F.min("comp").alias("comp"))
-    beside = rest.join(sure_comp, "cid").select("id", "comp")
-    doubt = by_clot.filter("not sure").join(rest.select(F.col("cid").alias("a")).distinct(), "a", "left_semi").select("a", "b", "comp")
+    seeking = clot_blocks(found.join(rest.select("cid").distinct(), "cid", "left_semi").select("cid", "v", "radius", F.lit(-1).cast(kind).alias("comp")), pivots, per_block)
+    giving = clot_blocks(found.join(named, "cid").select("cid", "v", "radius", "comp"), pivots, per_block)
+    around = spread.pin(beside(seeking, giving, meet(seeking, giving), eps))
+    sure_comp = around.filter("b is null").groupBy(F.col("a").alias("cid")).agg(F.min("comp").alias("comp"))
+    by_clot = rest.join(sure_comp, "cid").select("id", "comp")
+    doubt = around.filter("b is not null")
     reached = _facing(doubt, rest, core, per_block, eps, lambda r, within: [(s["id"], r.comp) for s, w in zip(r.a_l, within.any(axis=1)) if w],
                       T.StructType([T.StructField("id", kind), T.StructField("comp", kind)]))
-    border = own.unionByName(beside).unionByName(reached).groupBy("id").agg(F.min("comp").alias("comp"))
+    border = own.unionByName(by_clot).unionByName(reached).groupBy("id").agg(F.min("comp").alias("comp"))
 
     label = core.join(named, "cid").select("id", "comp", F.lit(True).alias("is_core")).unionByName(border.select("id", "comp", F.lit(False).alias("is_core")))
     by_vector = sites.select("id", "v").join(label, "id").select("v", "comp", "is_core")

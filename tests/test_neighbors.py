@@ -199,3 +199,56 @@ def test_gaussian_tile_holds_many_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(float(a), float(b), float(a)) for a, b in rng.uniform(0.1, 0.9, size=(600, 2))], "x double, y double, q double")
     held = gauss.blocks(df, 1.0, ["q"])
     assert held.count() == 12 and max(len(r["rows"]) for r in held.collect()) <= 100
+
+
+def test_blocks_travel_once_per_group_and_task(spark):
+    """Every pair of blocks meets once, and a right block reaches a task once however many held blocks it meets."""
+    import pandas as pd
+    x = np.random.default_rng(15).normal(size=(400, 4))
+    rows = pivots.points(frame(spark, x), "id", "v")
+    pick = pivots.choose_pivots(rows, 400, 20)
+    blocks = pivots.pack(rows, pick, 20)
+    pairs = pivots.meetings(blocks, blocks, pivots.cells_of(blocks, pick, 6), 6)
+    assert pairs.columns == ["bid", "sid"]  # nothing of the size of a block goes with a pair
+
+    def work(held, met):
+        for b, at in met:
+            yield pd.DataFrame({"bid": [held[a]["bid"] for a in at], "sid": b["bid"], "held": min(c["bid"] for c in held.values())})
+
+    seen = pivots.facing(pairs, blocks, blocks, work, "bid long, sid long, held long", group=8).collect()
+    assert sorted((r["bid"], r["sid"]) for r in seen) == sorted(tuple(r) for r in pairs.collect())
+    travels = {(r["sid"], r["held"]) for r in seen}
+    assert len(travels) < len(seen) / 2 and len({r["held"] for r in seen}) > 1
+
+
+def test_links_and_counts_stay_small_where_all_rows_are_near(spark):
+    """A hundred thousand pairs within eps: a task writes the links of a tree, and counts end at the limit."""
+    x = np.random.default_rng(16).normal(size=(320, 12)) * 0.1
+    sites = pivots.sites_of(pivots.points(frame(spark, x), "id", "v"))
+    pick = pivots.choose_pivots(sites, 320, 32)
+    found = sites.select(F.col("id").alias("cid"), "v", F.lit(0.0).alias("radius"), F.col("m").alias("rows"), F.col("id").alias("x"))
+    blocks = density.clot_blocks(found, pick, 32)
+    pairs = pivots.meetings(blocks, blocks, pivots.cells_of(blocks, pick, 1), None, 5.0)
+    links = [tuple(r) for r in density.sure_links(blocks, pairs, 5.0).collect()]
+    whole = {i: i for i in range(320)}
+
+    def root(i):
+        while whole[i] != i:
+            i = whole[i]
+        return i
+
+    for a, b in links:
+        whole[root(a)] = root(b)
+    assert len({root(i) for i in range(320)}) == 1 and len(links) < 320 * 40
+    assert {r["known"] >= 5 for r in density.known_rows(blocks, pairs, 5.0, 5).collect()} == {True}
+
+
+def test_two_columns_with_many_copies_against_brute_force(spark):
+    x = np.round(np.random.default_rng(17).normal(size=(12, 2)), 1).repeat(15, axis=0)
+    x[:4] = [[9.0, 9.0], [9.0, 9.1], [8.0, 9.0], [-9.0, 3.0]]
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(900, None, 1.0)], "id long, x double, y double")
+    got = {}
+    for r in spatial.knn_neighbors(df, "id", "x", "y", 20).collect():
+        got.setdefault(r["i"], []).append((r["rank"], r["j"]))
+    assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == {
+        i: [j for _, j in sorted((gap(x[i], x[j]), j) for j in range(len(x)) if j != i)[:20]] for i in range(len(x))}
