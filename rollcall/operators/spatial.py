@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from rollcall.functions import shuffle, spread
 from rollcall.functions.scalar import classify_z, log_scale, normal_cdf, two_sided_p, z_color
-from rollcall.operators import gauss, quadtree
+from rollcall.operators import gauss, pivots, quadtree
 from rollcall.operators.clean import scale_minmax
 from rollcall.operators.ordering import rank_smooth
 
@@ -54,51 +54,8 @@ def _as(df: DataFrame, key: str, x: str, y: str, tag: str, *more: str) -> DataFr
 
 
 def knn_neighbors(df: DataFrame, key: str, x: str, y: str, k: int = 5, donors: DataFrame | None = None) -> DataFrame:
-    """Edges (i, j, rank, d, w) to the k nearest points (of ``donors`` if given), ties by key, w = 1/number of edges.
-
-    Equal positions are one site with at most k+1 members kept as candidates
-    (no more can matter).  Cells start fine enough that none is crowded; sites
-    whose k-th candidate may lie outside their block go on with cells twice as
-    wide, so dense and sparse areas both stay cheap and the result is exact.
-    """
-    pts = spread.pin(_as(df, key, x, y, "i"))
-    givers = pts if donors is None else spread.pin(_as(donors, key, x, y, "i"))
-    box = (pts if donors is None else pts.unionByName(givers)).agg(F.min("ix").alias("x0"), F.max("ix").alias("x1"), F.min("iy").alias("y0"), F.max("iy").alias("y1"),
-                  F.count(F.lit(1)).alias("n")).first()
-    if not box["n"]:
-        return pts.select("i", F.col("i").alias("j"), F.lit(1).alias("rank"), F.lit(0.0).alias("d"), F.lit(0.0).alias("w"))
-    extent = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-9)
-    members = givers.withColumn("_rn", F.row_number().over(W.partitionBy("ix", "iy").orderBy("i"))).filter(F.col("_rn") <= k + 1)
-    cand = spread.pin(members.select(F.col("i").alias("j"), F.col("ix").alias("jx"), F.col("iy").alias("jy")))
-    todo = spread.pin(pts.select("ix", "iy").distinct())
-
-    size = extent / max(1.0, math.sqrt(box["n"] / (k + 1.0)))
-    while size > extent * 2.0 ** -40:
-        crowd = todo.groupBy(_cell(F.col("ix"), size), _cell(F.col("iy"), size)).count().agg(F.max("count")).first()[0]
-        if crowd <= 8 * (k + 1):
-            break
-        size /= 2.0
-
-    lists = None
-    while True:
-        pairs = near_pairs(todo, cand, "ix", "iy", "jx", "jy", size).withColumn("d", distance("ix", "iy", "jx", "jy"))
-        best = W.partitionBy("ix", "iy").orderBy("d", "j")
-        top = pairs.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k + 1)
-        near = top.groupBy("ix", "iy").agg(F.array_sort(F.collect_list(F.struct("d", "j"))).alias("near"))
-        last = size > extent
-        sure = (F.size("near") == k + 1) & (F.element_at("near", -1)["d"] < size)
-        near = spread.pin(near.withColumn("_ok", F.lit(True) if last else sure))
-        done = near.filter("_ok").drop("_ok")
-        lists = done if lists is None else lists.unionByName(done)
-        left = near.filter(~F.col("_ok")).select("ix", "iy")
-        if last or left.isEmpty():
-            break
-        todo, size = left, size * 2.0
-
-    mine = pts.join(lists, ["ix", "iy"])
-    others = F.slice(F.filter("near", lambda s: s["j"] != F.col("i")), 1, k)
-    out = mine.select("i", F.size(others).alias("_n"), F.posexplode(others).alias("_p", "_s"))
-    return out.select("i", F.col("_s.j").alias("j"), (F.col("_p") + 1).alias("rank"), F.col("_s.d").alias("d"), (1.0 / F.col("_n")).alias("w"))
+    """Edges (i, j, rank, d, w) to the k nearest points (of ``donors`` if given), ties by key, w = 1/number of edges: ``pivots.knn_join`` of two columns."""
+    return pivots.knn_join(df, key, [x, y], k, donors)
 
 
 def _standardize(edges: DataFrame) -> DataFrame:
