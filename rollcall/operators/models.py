@@ -80,27 +80,60 @@ def fit_isolation_forest(df: DataFrame, key: str, features: str, trees: int = 10
     return rows.groupBy("tree").applyInPandas(grow, TREE_SCHEMA)
 
 
+class Forest:
+    """All trees in one set of arrays: right children follow left ones; leaves lead to themselves."""
+
+    def __init__(self, rows: Sequence):
+        feat, cut, left, depth, roots, self.levels = [], [], [], [], [], 0
+        for r in rows:
+            roots.append(len(feat))
+            todo = [0]  # nodes of the tree in their new order
+            for col in (feat, cut, left, depth):
+                col.append(None)
+            level = {0: 0}
+            for at, old in enumerate(todo):
+                here = roots[-1] + at
+                feat[here], cut[here], left[here], depth[here] = r["feat"][old], r["cut"][old], here, r["depth"][old]
+                if r["feat"][old] >= 0:
+                    left[here] = len(feat)
+                    for child in (r["left"][old], r["right"][old]):
+                        level[child] = level[old] + 1
+                        self.levels = max(self.levels, level[child])
+                        todo.append(child)
+                        for col in (feat, cut, left, depth):
+                            col.append(None)
+        self.feat, self.left, self.roots = (np.asarray(c, dtype=np.int64) for c in (feat, left, roots))
+        self.cut, self.depth = (np.asarray(c, dtype=float) for c in (cut, depth))
+
+    def paths(self, x: np.ndarray, step: int = 256) -> np.ndarray:
+        """Sum of the path lengths per row; all trees go down one level at a time, for ``step`` rows."""
+        total = np.zeros(len(x))
+        feat = np.where(self.feat < 0, x.shape[1], self.feat)  # a leaf asks a column of -inf and stays
+        for a in range(0, len(x), step):
+            part = x[a:a + step]
+            m = len(part)
+            flat = np.concatenate([part.T.ravel(), np.full(m, -np.inf)])
+            start, seat = feat * m, np.arange(m)
+            at = np.repeat(self.roots[:, None], m, axis=1)
+            for _ in range(self.levels):
+                right = ~(flat.take(start.take(at) + seat) < self.cut.take(at))
+                at = self.left.take(at)
+                at += right
+            for t in range(len(at)):
+                total[a:a + step] += self.depth.take(at[t])
+        return total
+
+
 def score_isolation_forest(df: DataFrame, forest: DataFrame, features: str, out: str = "iforest") -> DataFrame:
     """2^(-mean path / c(n)) per row, in Arrow batches; the forest is bounded (trees x sample nodes)."""
     rows = forest.collect()
-    trees = [tuple(np.asarray(r[c]) for c in ("feat", "cut", "left", "right", "depth")) for r in rows]
     c_n = average_path(float(np.mean([r["n"] for r in rows])))
-    held = df.sparkSession.sparkContext.broadcast(trees)
+    held = df.sparkSession.sparkContext.broadcast(Forest(rows))
 
     @F.pandas_udf(T.DoubleType())
     def score(col: pd.Series) -> pd.Series:
-        x = np.stack([np.asarray(v, dtype=float) for v in col]) if len(col) else np.zeros((0, 1))
-        total = np.zeros(len(x))
-        for feat, cut, left, right, depth in held.value:
-            at = np.zeros(len(x), dtype=int)
-            while True:
-                inner = np.flatnonzero(feat[at] >= 0)
-                if not len(inner):
-                    break
-                here = at[inner]
-                at[inner] = np.where(x[inner, feat[here]] < cut[here], left[here], right[here])
-            total += depth[at]
-        return pd.Series(np.power(2.0, -(total / len(held.value)) / max(c_n, 1e-9)))
+        x = np.stack(col.to_numpy()).astype(float, copy=False) if len(col) else np.zeros((0, 1))
+        return pd.Series(np.power(2.0, -(held.value.paths(x) / len(held.value.roots)) / max(c_n, 1e-9)))
 
     return df.withColumn(out, score(F.col(features)))
 
@@ -406,7 +439,8 @@ def permutation_importance(df: DataFrame, key: str, features: Sequence[str], sco
     a keyed bijection on the numbers says whose value a row gets, so a feature
     is shuffled by one join.
     """
-    base = spread.pin(shuffle.numbered(score(df).select(key, F.col("score").alias("_base"), *features), key, "_seat"))
+    seats = shuffle.numbered(df.select(key, *features), key, "_seat")  # before scoring: range partitions read their input twice
+    base = spread.pin(score(seats).select(key, F.col("score").alias("_base"), *features, "_seat"))
     rows, out = base.count(), None
     for c in features:
         given = base.select(F.col("_seat").alias("_from"), F.col(c).alias("_given"))

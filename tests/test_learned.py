@@ -165,3 +165,31 @@ def test_halving_finds_the_model_that_can(spark):
     best = [r for r in out if r["is_best"]]
     assert len(best) == 1 and best[0]["model"] != "logistic" and best[0]["roc_auc"] > 0.95 and best[0]["train_share"] == 1.0
     assert all(r["roc_auc"] < 0.7 for r in out if r["model"] == "logistic")
+
+
+def test_forest_in_one_set_of_arrays_walks_like_its_trees():
+    rng = np.random.default_rng(18)
+    rows = [models._grow(np.round(rng.normal(size=(n, 3)), 1), np.random.default_rng(n), 7) for n in (1, 2, 60, 128)]
+    x = rng.normal(size=(600, 3))
+    x[0, 1], x[1, 0], x[2] = np.nan, np.inf, -np.inf
+
+    def walk(tree, v):
+        at = 0
+        while tree["feat"][at] >= 0:
+            at = tree["left" if v[tree["feat"][at]] < tree["cut"][at] else "right"][at]
+        return tree["depth"][at]
+
+    assert np.allclose(models.Forest(rows).paths(x), [sum(walk(t, v) for t in rows) for v in x], rtol=1e-12)
+
+
+def test_permutation_importance_scores_each_row_once_per_feature(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(a, b):
+        calls.add(1)
+        return a * 3.0 + b
+
+    df = spark.createDataFrame([(i, float(i), float(i % 5)) for i in range(200)], "id long, a double, b double")
+    out = {r["feature"]: r["importance"] for r in models.permutation_importance(df, "id", ["a", "b"], lambda t: t.withColumn("score", seen("a", "b"))).collect()}
+    assert out["a"] == 1.0 and out["b"] < 0.1 and calls.value == 600
