@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollcall.functions.spread import shuffle_parts, small
-from rollcall.llm.common import hold, input_bytes
+from rollcall.llm.common import hold, input_bytes, lean
 from rollcall.llm.induced_sort import suffix_array
 from rollcall.llm.ngram_join import BASE, _by, _mixed
 
@@ -158,6 +158,11 @@ PAIR = [("doc", "<i8"), ("hash", "<i8"), ("low", "<u4"), ("high", "<u4")]
 OPEN = [("doc", "<i8"), ("hash", "<i8"), ("first", "<u4"), ("last", "<u4"), ("pos", "<u4"), ("gram", "<u8")]
 
 
+def _dealt(gram: np.ndarray, parts: int) -> np.ndarray:
+    """Part of each owning gram.  Owners are the least of many hashes, so the hash itself would crowd the first parts."""
+    return (_mixed(gram) >> U(40)).astype(np.int64) * parts >> 24
+
+
 def _own(fragments: int, buckets: int, length: int):
     """Step 1: lines ``kind 0`` for fragments, ``kind 1`` with windows decided inside the run."""
 
@@ -177,7 +182,7 @@ def _own(fragments: int, buckets: int, length: int):
                 rows = _decided(who[doc[later]], first[later], last[later] + length, buckets)
                 tied = np.flatnonzero(same & ~later)
                 keep = np.sort(np.concatenate([keep, tied]))
-                frag = ((gram[keep] >> U(40)).astype(np.int64) * fragments) >> 24
+                frag = _dealt(gram[keep], fragments)
                 by = np.argsort(frag, kind="stable")
                 keep, frag = keep[by], frag[by]
                 cuts = np.flatnonzero(np.diff(frag)) + 1
@@ -205,7 +210,8 @@ LINE = "kind int, frag int, who binary, body binary"
 
 def _bucketed(records: np.ndarray, buckets: int, kind: int) -> list[tuple]:
     """Records as lines by bucket of their document."""
-    bucket = (_mixed(records["hash"].astype(U)) >> U(40)).astype(np.int64) * buckets >> 24
+    # copies of one text have the same hash: they are dealt to at most 16 buckets, so that lines stay few
+    bucket = (_mixed(records["hash"].astype(U) ^ _mixed(records["doc"].astype(U)) >> U(60)) >> U(40)).astype(np.int64) * buckets >> 24
     order = np.argsort(bucket, kind="stable")
     records, bucket = records[order], bucket[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -213,10 +219,26 @@ def _bucketed(records: np.ndarray, buckets: int, kind: int) -> list[tuple]:
             for a, b in zip(np.concatenate([[0], cuts]).tolist(), np.concatenate([cuts, [len(bucket)]]).tolist()) if b > a]
 
 
+def _merged(records: np.ndarray) -> np.ndarray:
+    """Runs in order of document and start; those that overlap or touch are one."""
+    if not len(records):
+        return records
+    records = records[np.lexsort((records["low"], records["hash"], records["doc"]))]
+    group = np.concatenate([[True], (records["doc"][1:] != records["doc"][:-1]) | (records["hash"][1:] != records["hash"][:-1])])
+    # running highest end inside a document, to find where a run starts
+    lift = np.cumsum(group).astype(np.int64) << 32
+    reach = np.maximum.accumulate(records["high"] + lift)
+    head = np.flatnonzero(np.concatenate([[True], records["low"][1:] + lift[1:] > reach[:-1]]))
+    tail = np.append(head[1:], len(records)) - 1
+    merged = records[head].copy()
+    merged["high"] = (reach[tail] - lift[tail]).astype(np.uint32)
+    return merged
+
+
 def _decided(who: np.ndarray, low: np.ndarray, high: np.ndarray, buckets: int) -> list[tuple]:
     records = np.zeros(len(who), PAIR)
     records["doc"], records["hash"], records["low"], records["high"] = who[:, 0], who[:, 1], low, high
-    return _bucketed(records, buckets, 1)
+    return _bucketed(_merged(records), buckets, 1)
 
 
 def _fold(buckets: int, length: int, crowd: int):
@@ -277,17 +299,7 @@ def _per_document(kind: str):
         for _, lines in _by(batches):
             records = np.concatenate([np.frombuffer(x[0], dtype) for x in lines])
             if kind == "runs":
-                records = records[np.lexsort((records["low"], records["hash"], records["doc"]))]
-                group = np.concatenate([[True], (records["doc"][1:] != records["doc"][:-1]) | (records["hash"][1:] != records["hash"][:-1])])
-                # running highest end inside a document, to find where a run starts
-                lift = np.cumsum(group).astype(np.int64) << 32
-                reach = np.maximum.accumulate(records["high"] + lift)
-                begin = np.concatenate([[True], records["low"][1:] + lift[1:] > reach[:-1]])
-                head = np.flatnonzero(begin)
-                tail = np.append(head[1:], len(records)) - 1
-                merged = records[head].copy()
-                merged["high"] = (reach[tail] - lift[tail]).astype(np.uint32)
-                records = merged
+                records = _merged(records)
             else:
                 records = np.unique(records)
                 records = records[np.lexsort((records["hash"], records["doc"]))]
@@ -312,8 +324,8 @@ def _contexts(shards: int, length: int):
             for doc, h, text, found in zip(*(c.to_pylist() for c in batch.columns)):
                 data = text.encode()
                 records = np.frombuffer(found, OPEN)
-                for first, last, gram in zip(*(records[k].tolist() for k in ("first", "last", "gram"))):
-                    for col, v in zip(out, ((gram >> 32) * shards >> 32, doc, h, first, data[first:last + length])):
+                for first, last, shard in zip(records["first"].tolist(), records["last"].tolist(), _dealt(records["gram"], shards).tolist()):
+                    for col, v in zip(out, (shard, doc, h, first, data[first:last + length])):
                         col.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names)
@@ -444,25 +456,25 @@ def find_repeats(source: DataFrame, length: int = 50, crowd: int = 16_384, bytes
     """Per document with repeats (``_doc``, ``_hash``): ``found``, its merged runs, from ``source`` (``doc``, ``hash``, ``text``)."""
     spark = source.sparkSession
     n = max(2 * shuffle_parts(spark), (size_hint or input_bytes(source)) // bytes_per_fragment)
-    lines = source.mapInArrow(_own(n, n, length), LINE)
+    lines = source.mapInArrow(lean(_own(n, n, length)), LINE)
     folded = hold(lines.repartition("frag").sortWithinPartitions("frag").select("frag", "kind", "who", "body").mapInArrow(
-        _fold(n, length, crowd), LINE), "folded")
+        lean(_fold(n, length, crowd)), LINE), "folded")
 
     def contexts(kind: int) -> DataFrame:
         asked = (folded.filter(F.col("kind") == kind).select("frag", "body").repartition("frag").sortWithinPartitions("frag")
-                 .mapInArrow(_per_document("open"), "_doc long, _hash long, found binary"))
+                 .mapInArrow(lean(_per_document("open")), "_doc long, _hash long, found binary"))
         return source.filter("text is not null").join(asked, (F.col("doc") == F.col("_doc")) & (F.col("hash") == F.col("_hash"))).select(
             "doc", "hash", "text", "found")
 
     sorted_ = hold(contexts(2).mapInArrow(
-        _contexts(max(shuffle_parts(spark), 2 * n // 3), length), "shard int, doc long, hash long, first long, piece binary")
-        .repartition("shard").sortWithinPartitions("shard").mapInArrow(_sort_shard(length, n, memory), LINE), "decided")
+        lean(_contexts(max(shuffle_parts(spark), n // 4), length)), "shard int, doc long, hash long, first long, piece binary")
+        .repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(_sort_shard(length, n, memory)), LINE), "decided")
     if folded.filter("kind = 3").limit(1).count():
-        windows = hold(contexts(3).mapInArrow(_windows(length), WINDOW), "windows")
+        windows = hold(contexts(3).mapInArrow(lean(_windows(length)), WINDOW), "windows")
         sorted_ = sorted_.unionByName(hold(_decide_crowded(windows, n, hot), "decided"))
     runs = folded.filter("kind = 1").select("kind", "frag", "body").unionByName(sorted_.select("kind", "frag", "body"))
     return (runs.select("frag", "body").repartition("frag").sortWithinPartitions("frag")
-            .mapInArrow(_per_document("runs"), "_doc long, _hash long, found binary"))
+            .mapInArrow(lean(_per_document("runs")), "_doc long, _hash long, found binary"))
 
 
 def _with_runs(docs: DataFrame, length: int, **how) -> DataFrame:
@@ -506,7 +518,7 @@ def repeats(docs: DataFrame, length: int = 50, **how) -> DataFrame:
 
     rows = _with_runs(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), length, **how)
     return rows.select("doc_id", "text", "__cut_runs").mapInArrow(
-        run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 @F.pandas_udf(T.StringType())

@@ -216,3 +216,23 @@ def test_windows_of_a_crowd_fold_before_they_move(spark):
     # each window inside the passage moves once; the others become one decided run per document
     assert sum(r["piece"] is not None for r in moved) == len(passage) - 49
     assert sum(r["piece"] is None for r in moved) == len(rows) - 1
+
+
+def test_owning_grams_are_dealt_evenly():
+    """Owners are the least of many hashes: dealt by the hash itself, the first parts hold several times their share."""
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 20_000, dtype=np.uint8)) for _ in range(40)]
+    gram = substring_dedup.owners(texts, 50)[4]
+    load = np.bincount(substring_dedup._dealt(gram, 100), minlength=100)
+    assert len(load) == 100 and load.max() < 1.5 * load.mean()
+
+
+def test_decided_runs_are_merged_and_copies_spread():
+    """Windows that overlap or touch travel as one run, and copies of one text lie in a few buckets."""
+    who = np.array([[doc, 77] for doc in range(1000) for _ in range(3)])
+    low = np.tile([0, 14, 90], 1000)
+    rows = substring_dedup._decided(who, low, np.tile([64, 80, 150], 1000), 50)
+    records = np.concatenate([np.frombuffer(r[3], substring_dedup.PAIR) for r in rows])
+    assert sorted(records.tolist()) == sorted((doc, 77, a, b) for doc in range(1000) for a, b in ((0, 80), (90, 150)))
+    sizes = [len(r[3]) for r in rows]
+    assert 8 <= len(sizes) <= 16 and max(sizes) < sum(sizes) / 3
