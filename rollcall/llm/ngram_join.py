@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollcall.functions.spread import shuffle_parts
-from rollcall.llm.common import ASCII_LOWER, hold, input_bytes
+from rollcall.llm.common import ASCII_LOWER, hold, input_bytes, lean
 from rollcall.llm.components import components
 
 SPACES = np.zeros(256, bool)
@@ -335,9 +335,9 @@ def link_classes(fragments: DataFrame, n_fragments: int, percent: int, short_lis
     """Links ``a, b`` between class keys; enough of them to give every component, and no false one."""
     counted = (fragments.repartition("frag").sortWithinPartitions("frag")
                .select("frag", "keys", "sizes", "index", "hashes").mapInArrow(
-        _count_fragment(n_fragments), "bucket int, keys binary, sizes binary, index binary, hashes binary, df binary"))
+        lean(_count_fragment(n_fragments)), "bucket int, keys binary, sizes binary, index binary, hashes binary, df binary"))
     classes = hold(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
-        _prefixes(percent), "key binary, size long, grams array<long>, prefix int"), "classes")
+        lean(_prefixes(percent)), "key binary, size long, grams array<long>, prefix int"), "classes")
     lists = hold(classes.select("key", "size", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("gram")), "lists")
     length = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).filter("n > 1").select(
         F.col("gram").alias("_g"), "n", "least")
@@ -389,7 +389,7 @@ def _long_lists(long: DataFrame, classes: DataFrame, percent: int, block: int) -
     dealt = member.select("root", "key", "size", "grams", F.explode(F.concat(with_same, with_below, with_over)).alias("cell"))
     cell = F.xxhash64("root", "cell")
     return (dealt.select(cell.alias("cell"), "key", "size", "grams").repartition("cell").sortWithinPartitions("cell", "key")
-            .mapInArrow(_compare_blocks(percent), "a binary, b binary"))
+            .mapInArrow(lean(_compare_blocks(percent)), "a binary, b binary"))
 
 
 def _linked(docs: DataFrame, n: int, percent: int, short_list: int, block: int, bytes_per_fragment: int) -> tuple[DataFrame, DataFrame]:
@@ -398,9 +398,9 @@ def _linked(docs: DataFrame, n: int, percent: int, short_list: int, block: int,
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     n_fragments = max(shuffle_parts(docs.sparkSession), input_bytes(docs) // bytes_per_fragment)
     # the sets are worked out twice: once for the digests, once cut up, which is cheaper than keeping them
-    own = hold(source.mapInArrow(_rows(n), "doc_id long, text_hash long, n_shingles long, key binary"), "sets")
+    own = hold(source.mapInArrow(lean(_rows(n)), "doc_id long, text_hash long, n_shingles long, key binary"), "sets")
     cut = source.select("text").mapInArrow(
-        _cut_sets(n, n_fragments), "frag int, keys binary, sizes binary, index binary, hashes binary")
+        lean(_cut_sets(n, n_fragments)), "frag int, keys binary, sizes binary, index binary, hashes binary")
     return own, components(link_classes(cut, n_fragments, percent, short_list, block))
 
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollcall.llm.common import hold
+from rollcall.llm.common import hold, lean
 from rollcall.llm.tokens import load, text_groups
 
 
@@ -57,7 +57,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 0, size: int = 2048)
                 names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+        lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[int]]:

@@ -63,7 +63,7 @@ class SliceEncoder:
     LONG = 64  # slices with more characters are forgotten after each call
     JOINED = 128  # plain words that are given to the library as one text
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    def __init__(self, path: str, cache: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
