@@ -120,6 +120,34 @@ def test_block_max_is_exact():
         assert score == pytest.approx(full[order]) and set(near.tolist()) == set(order) or score == pytest.approx(full[order])
 
 
+@pytest.mark.parametrize("head,block", [(0, 7), (5, 16), (40, 512)])
+def test_search_of_many_is_exact(head, block):
+    """Frequent terms by matrix products, others by postings, equal vectors as one: the same neighbours as brute force, ties by number."""
+    rng = np.random.default_rng(3)
+    dense = np.zeros((600, 40))
+    for i in range(600):
+        t = rng.choice(40, rng.integers(1, 9), replace=False)
+        dense[i, t] = rng.integers(1, 4, len(t))
+    dense[200:260] = dense[7]
+    dense /= np.sqrt((dense * dense).sum(1))[:, None]
+    row, term = np.nonzero(dense)
+    sizes = np.bincount(row, minlength=600)
+    index = toxicity.BlockMaxIndex(sizes, term, dense[row, term], 40, block=block, head=head)
+    assert index.head.shape[1] == head
+    for i, (near, score) in enumerate(index.search(sizes, term, dense[row, term], 10, np.arange(600))):
+        full = (dense * dense[i]).sum(1)
+        assert len(near) == 10 and i not in near
+        assert score == pytest.approx(full[near]) and score == pytest.approx(np.sort(np.delete(full, i))[::-1][:10])
+    near, _ = index.nearest(term[row == 7], dense[7][dense[7] > 0], 10, skip=7)
+    assert near.tolist() == list(range(200, 210))
+
+
+@pytest.mark.parametrize("text", [None, "", "Don't stop\u00a0NOW, x\u00b2 na\u00efve\u2014end a_b 12ab34 \u2167 a a\x1cA", "\u0130x, \u00df\u3000\u4e2d\u6587"])
+def test_word_counts(text):
+    words = toxicity.WORD.findall((text or "").lower())
+    assert toxicity.word_counts(text) == {w: words.count(w) for w in words}
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     rows = toxicity.toxicity(docs, labels).join(labels, "doc_id").filter("held_out and toxic is not null").collect()
