@@ -21,16 +21,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
-def hold(df: DataFrame, label: str = "held") -> DataFrame:
+#: Spark removes the shuffle files of a query when it has ended.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def hold(df: DataFrame, label: str = "held", tidy: bool = False) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, and what comes out of a
     Python stage is computed once.  The table is written with zstd to keep the
-    scratch space small.
+    scratch space small.  ``tidy``: shuffle files of the writing go at its end,
+    not when the driver happens to collect its garbage.
     """
     spark = tune(df.sparkSession)
     path = f"{ensure_checkpoint_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(TIDY, None)
+    try:
+        if tidy:
+            spark.conf.set(TIDY, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

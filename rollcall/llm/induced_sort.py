@@ -6,9 +6,8 @@ pieces are named, and the string of names is sorted in turn.  From their order
 two scans induce all others.  A scan keeps one queue per first character; a
 suffix enters the queue of the character before it when it is scanned, so every
 queue is in order of arrival and together they are a priority queue by
-(character, rank of the rest).  A tuple is a position and the common prefix
-with the suffix before it; the common prefix of two induced suffixes is one
-more than the least one scanned between those that induced them.
+(character, rank of the rest).  Common prefixes of neighbours are compared
+afterwards, seven characters at a time.
 
 Queues hold arrays; above ``memory`` bytes the longest queues go to an
 anonymous temporary file and are read back when their character is scanned.
@@ -20,18 +19,20 @@ import tempfile
 
 import numpy as np
 
+U = np.uint64
+
 
 class Queues:
-    """First-in-first-out arrays of (position, common prefix) per character, spilling to disk."""
+    """First-in-first-out arrays of positions per character, spilling to disk."""
 
     def __init__(self, memory: int):
         self.memory, self.held = memory, 0
         self.parts: dict[int, list] = {}
         self.file = None
 
-    def push(self, char: int, pos: np.ndarray, lcp: np.ndarray) -> None:
-        self.parts.setdefault(char, []).append((pos, lcp))
-        self.held += 9 * len(pos)
+    def push(self, char: int, pos: np.ndarray) -> None:
+        self.parts.setdefault(char, []).append(pos)
+        self.held += 8 * len(pos)
         if self.held > self.memory:
             self._spill()
 
@@ -40,41 +41,25 @@ class Queues:
             self.file = tempfile.TemporaryFile()
         for parts in self.parts.values():
             for i, part in enumerate(parts):
-                if isinstance(part[0], np.ndarray):
+                if isinstance(part, np.ndarray):
                     at = self.file.seek(0, 2)
-                    self.file.write(part[0].astype("<i8").tobytes() + part[1].tobytes())
-                    parts[i] = (at, len(part[0]))
+                    self.file.write(part.astype("<i8").tobytes())
+                    parts[i] = (at, len(part))
         self.held = 0
 
-    def take(self, char: int) -> tuple[np.ndarray, np.ndarray] | None:
+    def take(self, char: int) -> np.ndarray | None:
         parts = self.parts.pop(char, None)
         if not parts:
             return None
         out = []
-        for a, b in parts:
-            if isinstance(a, np.ndarray):
-                self.held -= 9 * len(a)
-                out.append((a, b))
+        for part in parts:
+            if isinstance(part, np.ndarray):
+                self.held -= 8 * len(part)
             else:
-                self.file.seek(a)
-                out.append((np.frombuffer(self.file.read(8 * b), "<i8"), np.frombuffer(self.file.read(b), np.uint8)))
-        return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
-
-
-def _range_min(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Least of ``values[first..last]`` (inclusive) for many ranges, by doubling."""
-    out = np.empty(len(first), values.dtype)
-    size = last - first + 1
-    level = np.frexp(size.astype(np.float64))[1] - 1
-    row, width = values, 1
-    for k in range(int(level.max()) + 1 if len(level) else 0):
-        if k:
-            row = np.minimum(row[:-width], row[width:])
-            width *= 2
-        own = level == k
-        if own.any():
-            out[own] = np.minimum(row[first[own]], row[last[own] - width + 1])
-    return out
+                self.file.seek(part[0])
+                part = np.frombuffer(self.file.read(8 * part[1]), "<i8")
+            out.append(part)
+        return out[0] if len(out) == 1 else np.concatenate(out)
 
 
 def kinds(text: np.ndarray) -> np.ndarray:
@@ -89,132 +74,117 @@ def kinds(text: np.ndarray) -> np.ndarray:
 class Inducer:
     """Both scans over one text (values from 0; the last one a unique least)."""
 
-    def __init__(self, text: np.ndarray, depth: int, memory: int):
-        self.text, self.depth, self.memory = text, depth, memory
+    def __init__(self, text: np.ndarray, memory: int):
+        self.text, self.memory = text, memory
         self.rising = kinds(text)
-        self.chars = np.unique(text).tolist()
-
-    def _same(self, a: int, b: int) -> int:
-        """Common prefix of two suffixes, compared directly (for the seams between kinds)."""
-        x, y = self.text[a:a + self.depth], self.text[b:b + self.depth]
-        n = min(len(x), len(y))
-        differ = np.flatnonzero(x[:n] != y[:n])
-        return int(differ[0]) if len(differ) else n
+        self.chars = np.flatnonzero(np.bincount(text)).tolist()
+        self.none = self.chars[-1] + 1
 
     def _scan(self, chars, want_rising: bool, seeds: dict) -> dict:
-        """One scan: per character the induced suffixes in scan order, with common prefixes."""
+        """One scan: per character the induced suffixes in scan order."""
         queues = Queues(self.memory)
-        carry = np.full(int(self.text.max()) + 1, 0, np.int64)  # least common prefix since the last push
-        begun = np.zeros(len(carry), bool)
-        done: dict[int, tuple] = {}
+        # the queue that the suffix before enters, or ``none``
+        target = np.full(len(self.text), self.none, np.uint16)
+        np.copyto(target[1:], self.text[:-1], where=self.rising[:-1] == want_rising, casting="unsafe")
+
+        def scanned(pos: np.ndarray) -> None:
+            to = target[pos]
+            use = np.flatnonzero(to != self.none)
+            if not len(use):
+                return
+            to = to[use]
+            order = np.argsort(to, kind="stable")
+            to = to[order]
+            moved = pos[use[order]] - 1
+            cuts = np.flatnonzero(to[1:] != to[:-1]) + 1
+            starts = [0, *cuts.tolist()]
+            for char, a, b in zip(to[starts].tolist(), starts, [*starts[1:], len(to)]):
+                queues.push(char, moved[a:b])
+
+        done: dict[int, np.ndarray] = {}
         for char in chars:
             own: list = []
-            last = None
-
-            def scanned(pos, lcp):
-                nonlocal last
-                lcp = lcp.copy()
-                lcp[0] = 0 if last is None else (lcp[0] if not own_seam else self._same(last, int(pos[0])))
-                last = int(pos[-1])
-                before = pos - 1
-                use = np.flatnonzero((pos > 0) & (self.rising[before] == want_rising))
-                least = lcp.min()
-                if len(use):
-                    target = self.text[before[use]]
-                    order = np.argsort(target, kind="stable")
-                    use, target = use[order], target[order]
-                    head = np.concatenate([[True], target[1:] != target[:-1]])
-                    first = np.where(head, 0, np.concatenate([[0], use[:-1] + 1]))
-                    found = _range_min(lcp, first, use).astype(np.int64)
-                    heads = np.flatnonzero(head)
-                    groups = target[heads]
-                    found[heads] = np.minimum(found[heads], carry[groups])
-                    found = np.minimum(found + 1, self.depth)
-                    found[heads[~begun[groups]]] = 0
-                    ends = np.append(heads[1:], len(use))
-                    tails = use[ends - 1] + 1
-                    np.minimum(carry, least, out=carry)
-                    full = tails < len(lcp)
-                    carry[groups] = self.depth
-                    if full.any():
-                        carry[groups[full]] = _range_min(lcp, tails[full], np.full(int(full.sum()), len(lcp) - 1))
-                    begun[groups] = True
-                    moved = before[use]
-                    for g, a, b in zip(groups.tolist(), heads.tolist(), ends.tolist()):
-                        queues.push(g, moved[a:b], found[a:b].astype(np.uint8))
-                else:
-                    np.minimum(carry, least, out=carry)
-
-            own_seam = False
             while (got := queues.take(char)) is not None:
                 own.append(got)
-                scanned(*got)
+                scanned(got)
             if own:
-                done[char] = (np.concatenate([o[0] for o in own]), np.concatenate([o[1] for o in own]))
+                done[char] = np.concatenate(own)
             if char in seeds:
-                own_seam = True
-                scanned(*seeds[char])
+                scanned(seeds[char])
         return done
 
-    def sort(self, lms: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All suffixes from the sorted ``lms`` suffixes, in order, with common prefixes."""
-        head = self.text[lms]
-        cuts = np.searchsorted(head, self.chars + [self.chars[-1] + 1])
-        seeds = {c: (lms[a:b], lcp[a:b]) for c, a, b in zip(self.chars, cuts, cuts[1:]) if b > a}
-        falling = self._scan(self.chars, False, seeds)
-        back = {}
-        for c, (pos, own) in falling.items():
-            back[c] = (pos[::-1], np.append(own[1:][::-1], np.uint8(0))[np.r_[len(own) - 1, 0:len(own) - 1]])
-        rising = self._scan(self.chars[::-1], True, back)
-        out, common = [], []
-        for c in self.chars:
-            last = None
-            if c in falling:
-                pos, own = falling[c]
-                own = own.copy()
-                own[0] = 0
-                out.append(pos)
-                common.append(own)
-                last = int(pos[-1])
-            if c in rising or c == self.chars[0]:
-                pos, own = rising.get(c, (np.array([len(self.text) - 1]), np.zeros(1, np.uint8)))
-                pos, own = pos[::-1], np.append(np.uint8(0), own[1:][::-1]).astype(np.uint8)
-                if last is not None:
-                    own[0] = self._same(last, int(pos[0]))
-                out.append(pos)
-                common.append(own)
-        return np.concatenate(out), np.concatenate(common)
-
-
-def _common(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefixes of many pairs of suffixes, up to ``depth``."""
-    out = np.zeros(len(a), np.uint8)
-    alive, n = np.arange(len(a)), len(text)
-    for k in range(depth):
-        x, y = a[alive] + k, b[alive] + k
-        same = (x < n) & (y < n)
-        same[same] = text[x[same]] == text[y[same]]
-        alive = alive[same]
+    def sort(self, lms: np.ndarray) -> np.ndarray:
+        """All suffixes in order, from the sorted ``lms`` suffixes."""
+        cuts = np.searchsorted(self.text[lms], self.chars + [self.none])
+        falling = self._scan(self.chars, False, {c: lms[a:b] for c, a, b in zip(self.chars, cuts, cuts[1:]) if b > a})
+        rising = self._scan(self.chars[::-1], True, {c: pos[::-1] for c, pos in falling.items()})
+        rising[self.chars[0]] = np.array([len(self.text) - 1])
+        return np.concatenate([part for c in self.chars for part in (falling.get(c), rising[c][::-1] if c in rising else None) if part is not None])
+
+
+WORD, BITS = 7, U(9)  # characters in a word
+
+
+def _words(text: np.ndarray) -> np.ndarray:
+    """The characters from every position on, ``WORD`` to a number; behind the end there are zeros."""
+    one = np.zeros(len(text) + WORD, U)
+    one[:len(text)] = text
+    two = one[:-1] << BITS | one[1:]
+    four = two[:-2] << U(2) * BITS | two[2:]
+    n = len(text)
+    return four[:n] << U(3) * BITS | two[4:n + 4] << BITS | one[6:n + 6]
+
+
+def _common(words: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefixes of many pairs of different suffixes, up to ``depth``; the text ends with its only 0."""
+    out = np.full(len(a), depth, np.uint8)
+    alive = np.arange(len(a))
+    for k in range(0, depth, WORD):
+        differ = words[a] ^ words[b]
+        here = differ != 0
+        # the first character that differs, by the highest bit (a number rounded up to the next power counts as the first)
+        high = np.frexp((differ[here] >> BITS).astype(np.float64))[1]
+        out[alive[here]] = np.minimum(k + np.maximum(9 * (WORD - 1) - high, 0) // 9, depth)
+        # the last character is unique, so pairs differ before either ends
+        alive, a, b = (x[~here] for x in (alive, a, b))
         if not len(alive):
             break
-        out[alive] = k + 1
+        a += WORD
+        b += WORD
     return out
 
 
+def _names_in_order(names: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks of all suffixes of a string of names, by as many names as ``depth`` characters may hold: twice as many in each round."""
+    span, found = 1, int(names.max()) + 1
+    while span * 2 < depth + 2 and found < len(names):  # a name stands for two characters at least
+        pair = names * (len(names) + 2)
+        pair[:-span] += names[span:] + 1
+        order = np.argsort(pair)
+        pair = pair[order]
+        names = np.empty(len(order), np.int64)
+        names[order] = np.concatenate([[0], np.cumsum(pair[1:] != pair[:-1])])
+        before, found = found, int(names.max()) + 1
+        if found == before:  # names that twice as many do not part are never parted
+            break
+        span *= 2
+    return names
+
+
 def suffix_array(text: np.ndarray, depth: int, memory: int = 128 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``text`` in order of their first ``depth`` values, and common prefixes with the one before (at most ``depth``).
 
-    ``text`` holds small non-negative integers; its last value is the only 0.
+    ``text`` holds integers from 0 to 511; its last value is the only 0.
     """
-    inducer = Inducer(text, depth, memory)
+    inducer = Inducer(text, memory)
     rising = inducer.rising
+    words = _words(text)
     lms = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
     if len(lms) < 2:
         order = lms
     else:
         # pieces between LMS positions, sorted by an induction from any order within a first character
-        start = lms[np.argsort(text[lms], kind="stable")]
-        every, _ = inducer.sort(start, np.zeros(len(start), np.uint8))
+        every = inducer.sort(lms[np.argsort(text[lms], kind="stable")])
         mark = np.zeros(len(text), bool)
         mark[lms] = True
         order = every[mark[every]]
@@ -225,19 +195,11 @@ def suffix_array(text: np.ndarray, depth: int, memory: int = 128 << 20) -> tuple
         n = number[order]
         same = length[n[1:]] == length[n[:-1]]
         near = np.flatnonzero(same)
-        same[near] = _common(text, order[near], order[near + 1], depth) >= length[n[near]]
+        same[near] = _common(words, order[near], order[near + 1], depth) >= length[n[near]]
         names = np.zeros(len(lms), np.int64)
         names[n[1:]] = np.cumsum(~same)
-        # the string of names: ranks of twice as many names in each round
-        span = 1
-        while span * 2 < depth + 2 and len(np.unique(names)) < len(names):
-            nxt = np.zeros(len(names), np.int64)
-            nxt[:-span] = names[span:] + 1 if span < len(names) else 0
-            pair = names * (len(names) + 2) + nxt
-            names = np.unique(pair, return_inverse=True)[1]
-            span *= 2
-        order = lms[np.argsort(names, kind="stable")]
-    lcp = np.zeros(len(order), np.uint8)
-    if len(order) > 1:
-        lcp[1:] = _common(text, order[:-1], order[1:], depth)
-    return inducer.sort(order, lcp)
+        order = lms[np.argsort(_names_in_order(names, depth), kind="stable")]
+    order = inducer.sort(order)
+    common = np.zeros(len(order), np.uint8)
+    common[1:] = _common(words, order[:-1], order[1:], depth)
+    return order, common

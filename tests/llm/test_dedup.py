@@ -3,12 +3,14 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from rollcall.llm import exact_dedup, induced_sort, ngram_join, substring_dedup
+from rollcall.llm.common import hold
 from rollcall.llm.components import components
 
 SCHEMA = "doc_id long, text string, key string, entry int, root string, found string"
@@ -236,3 +238,70 @@ def test_decided_runs_are_merged_and_copies_spread():
     assert sorted(records.tolist()) == sorted((doc, 77, a, b) for doc in range(1000) for a, b in ((0, 80), (90, 150)))
     sizes = [len(r[3]) for r in rows]
     assert 8 <= len(sizes) <= 16 and max(sizes) < sum(sizes) / 3
+
+
+def batches_of(texts, size):
+    for a in range(0, len(texts), size):
+        part = texts[a:a + size]
+        yield pa.RecordBatch.from_arrays([pa.array(range(a, a + len(part)), pa.int64()), pa.array([0] * len(part), pa.int64()), pa.array(part)],
+                                         names=["doc", "hash", "text"])
+
+
+def test_lines_of_owning_grams_hold_many():
+    """A task writes a line per fragment, not one per run of documents and fragment: with many fragments those hold a few grams each."""
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(97, 123, 4_000, np.uint8).tobytes().decode() for _ in range(1000)]
+    texts += [t[:2000] + "." + t[2000:] for t in texts[:50]]
+    lines = [r for b in substring_dedup._own(3000, 3000, 50)(batches_of(texts, 100)) for r in b.to_pylist()]
+    assert len([r for r in lines if r["kind"] == 0]) <= 3000 and len([r for r in lines if r["kind"] == 1]) <= 50
+    assert len({r["frag"] for r in lines if r["kind"] == 0}) > 2900
+    # folding gathers the records of several fragments as well
+    lines.sort(key=lambda r: r["frag"])
+    batch = pa.RecordBatch.from_pylist([{k: r[k] for k in ("frag", "kind", "who", "body")} for r in lines if r["kind"] == 0], schema=pa.schema(
+        [("frag", pa.int32()), ("kind", pa.int32()), ("who", pa.binary()), ("body", pa.binary())]))
+    folded = [r for b in substring_dedup._fold(20, 50, 16384)(iter([batch])) for r in b.to_pylist()]
+    assert len(folded) <= 3 * 20
+
+
+def test_owning_grams_travel_unchanged():
+    rng = np.random.default_rng(7)
+    who = np.stack([rng.integers(-1 << 62, 1 << 62, 90), rng.integers(-1 << 62, 1 << 62, 90)], 1)
+    who[5, 0] = substring_dedup.LAST_ID
+    cols = {name: rng.integers(0, 90 if name == "doc" else np.iinfo(kind).max, 400, kind) for name, kind in substring_dedup.OWN}
+    lines = [substring_dedup._packed(who, {name: c[a:b] for name, c in cols.items()}) for a, b in ((0, 150), (150, 151), (151, 400))]
+    back, got = substring_dedup._unpacked(lines)
+    assert (back[got["doc"]] == who[cols["doc"]]).all()
+    assert all((got[name] == cols[name]).all() for name, _ in substring_dedup.OWN if name != "doc")
+
+
+def test_contexts_without_a_common_side_are_not_sorted(spark):
+    """A gram of 24 bytes between different bytes holds no common window; 13 bytes more on one side may."""
+    rng = np.random.default_rng(9)
+    noise = lambda n: rng.integers(97, 123, n, np.uint8).tobytes().decode()
+    shared = {n: noise(n) for n in (24, 49, 50, 60)}
+    texts = [noise(80) + s + noise(80) for s in shared.values() for _ in range(2)]
+    lines = [r for b in substring_dedup._own(1, 1, 50)(batches_of(texts, 100)) for r in b.to_pylist()]
+    batch = pa.RecordBatch.from_pylist([{k: r[k] for k in ("frag", "kind", "who", "body")} for r in lines], schema=pa.schema(
+        [("frag", pa.int32()), ("kind", pa.int32()), ("who", pa.binary()), ("body", pa.binary())]))
+    asked = np.concatenate([np.frombuffer(r["body"], substring_dedup.OPEN) for b in substring_dedup._fold(1, 50, 16384)(iter([batch]))
+                            for r in b.to_pylist() if r["kind"] == 2])
+    assert set(asked["doc"]) <= {2, 3, 4, 5, 6, 7} and {4, 5, 6, 7} <= set(asked["doc"])
+    got = [r["n_removed"] for r in substring_dedup.repeats(docs(spark, list(enumerate(texts))), 50).orderBy("doc_id").collect()]
+    assert got == [0, 0, 0, 0, 0, 50, 0, 60]
+
+
+def test_held_tables_leave_no_shuffle_files(spark):
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(conf, None)
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    there = shuffled()
+    rows = hold(spark.range(1000).repartition(5, "id"), tidy=True)
+    for _ in range(50):
+        if not shuffled() - there:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - there and rows.count() == 1000 and spark.conf.get(conf, None) == before
